@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import brown_lm, chat_trees, decontam, exact_dedup, langid, license_scan, mixing, simhash_dedup, token_lengths
+from corpusloom.llm import brown_lm, chat_trees, decontam, exact_dedup, langid, license_scan, mixing, simhash_dedup, substring_dedup, token_lengths
 from corpusloom.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_lm.brown_lm(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.groups(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_chat_trees": op4_chat_trees,
     "op5_brown_lm": op5_brown_lm,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_language_id": op8_language_id,
     "op9_token_lengths": op9_token_lengths,
