@@ -210,6 +210,7 @@ def compact(edges: DataFrame, scratch: Scratch) -> DataFrame:
         step = going.join(b, "top").select("h", F.col("_top").alias("top"), (F.col("idx") + F.col("_idx")).alias("idx"), F.col("_open").alias("open"))
         rounds += 1
         at = scratch.save(at.where("NOT open").unionByName(step), f"path-{rounds}")
+        scratch.drop(f"path-{rounds - 1}")
     return at.select("h", F.when(F.col("open"), F.col("h")).otherwise(F.col("top")).alias("path"), F.when(F.col("open"), 0).otherwise(F.col("idx")).alias("idx"))
 
 
