@@ -41,3 +41,27 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if was == now:
             break
     return all_ids.join(e.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+
+
+def clusters(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """(rep, members): every cluster of (id, seq), singletons included; members by insertion, the first is rep.
+
+    An id inserted more than once counts from its first time.
+    """
+    first = ids.where("id IS NOT NULL").groupBy("id").agg(F.min("seq").alias("seq"))
+    roots = connected_components(edges)
+    named = first.join(roots, "id", "left").select("id", "seq", F.coalesce("root", "id").alias("root"))
+    held = named.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("seq", "id"))).alias("m"))
+    return held.select(F.col("m")[0]["id"].alias("rep"), F.transform("m", lambda x: x["id"]).alias("members"))
+
+
+def find(labels: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, rep, known): an id that no cluster has gives null and false."""
+    asked = ids.select("id").distinct()
+    return asked.join(labels.select("id", "rep"), "id", "left").select("id", "rep", F.col("rep").isNotNull().alias("known"))
+
+
+def same(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, same): whether both are known and in one cluster."""
+    a, b = labels.select(F.col("id").alias("a"), F.col("rep").alias("_x")), labels.select(F.col("id").alias("b"), F.col("rep").alias("_y"))
+    return pairs.select("a", "b").join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce(F.col("_x") == F.col("_y"), F.lit(False)).alias("same"))

@@ -1,6 +1,439 @@
-"""Registered queries over the reference operators, and their SQL."""
+"""Registered queries over the sketching operators, each over its whole table, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corpusloom.functions import columns as C
+from corpusloom.functions import udfs as U
+from corpusloom.operators import cluster, lsh, sketches, streams, winnow
+from corpusloom.plans import oracle as O
+
+K, W = 8, 6  # winnowing: bytes of a window, windows
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("seq"), "text", "lang")
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("item_id").alias("seq"), "text")
+
+
+def _sigs(df: DataFrame, k: int) -> DataFrame:
+    return df.select("id", "seq", U.sketch(F.col("text"), 3, k).alias("sig"))
+
+
+def _fps(df: DataFrame) -> DataFrame:
+    return df.select("id", "seq", U.simhash_text(F.col("text"), 3).alias("fp"))
+
+
+_SH = O.shingles("documents", "doc_id")
+_SIG16 = f"WITH {_SH}, {O.signatures(16, ids='(SELECT doc_id AS id FROM documents)')}"
+_SIG128 = f"WITH {_SH}, {O.signatures(128, ids='(SELECT doc_id AS id FROM documents)')}"
+_ITEM = f"WITH {O.shingles('benchmark', 'item_id')}, {O.signatures(128, ids='(SELECT item_id AS id FROM benchmark)')}"
+_FP = f"WITH {_SH}, {O.simhash()}, allf AS (SELECT d.doc_id AS id, coalesce(fp, 0::UBIGINT) AS fp FROM documents d LEFT JOIN fps ON fps.id = d.doc_id)"
+_CH = O.char8("benchmark", "item_id")
+_WF = f"WITH {_CH}, {O.winnow(W)}"
+
+
+# --- shingles
+
+
+@query(f"SELECT doc_id, len({O.TOKENS})::BIGINT AS n_tokens, greatest(len({O.TOKENS}) - 2, 0)::BIGINT AS n_shingles, greatest(octet_length(encode(text)) - 7, 0)::BIGINT AS n_windows, greatest(length(text) - 7, 0)::BIGINT AS n_runes FROM documents")
+def shingle_counts(spark, sf_dir):
+    """Tokens, word shingles, byte windows and code point windows of each document."""
+    t = F.col("text")
+    return _docs(spark, sf_dir).select(
+        F.col("id").alias("doc_id"), F.size(U.tokens(t)).cast("long").alias("n_tokens"), F.size(U.words(t, 3)).cast("long").alias("n_shingles"),
+        F.greatest(F.octet_length("text") - 7, F.lit(0)).cast("long").alias("n_windows"), F.greatest(F.length("text") - 7, F.lit(0)).cast("long").alias("n_runes"),
+    )
+
+
+@query(f"WITH {_CH} SELECT id, pos, {O.signed('h')} AS h FROM ch")
+def char_hashes(spark, sf_dir):
+    return _items(spark, sf_dir).select("id", F.posexplode(U.char(F.col("text"), 8)).alias("pos", "h"))
+
+
+@query(f"WITH r AS (SELECT conv_id, turn, unnest(range(0, length(text) - 7))::INT AS pos, unnest(list_transform(range(1, length(text) - 6), lambda i: substr(text, i, 8))) AS tok FROM conversations), th AS (SELECT * FROM {O.token_hash('(SELECT DISTINCT tok FROM r)')}) SELECT conv_id, turn, pos, {O.signed('hash')} AS h FROM r JOIN th USING (tok)")
+def char_rune_hashes(spark, sf_dir):
+    c = _read(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.posexplode(U.char_runes(F.col("text"), 8)).alias("pos", "h"))
+
+
+@query(f"WITH tk AS (SELECT doc_id AS id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM (SELECT doc_id, {O.TOKENS} AS toks FROM documents)), th AS (SELECT * FROM {O.token_hash('(SELECT DISTINCT tok FROM tk)')}) SELECT id, (pos - 1)::INT AS pos, {O.signed('hash')} AS h FROM tk JOIN th USING (tok)")
+def token_hashes(spark, sf_dir):
+    return _docs(spark, sf_dir).select("id", F.posexplode(U.token_hashes(F.col("text"))).alias("pos", "h"))
+
+
+@query(f"WITH {_SH} SELECT id, (pos - 1)::INT AS pos, {O.signed('h')} AS h FROM sh")
+def word_shingles(spark, sf_dir):
+    return _docs(spark, sf_dir).select("id", F.posexplode(U.words(F.col("text"), 3)).alias("pos", "h"))
+
+
+# --- MinHash
+
+
+@query(f"{_SIG16} SELECT id, slot::INT AS slot, {O.signed('v')} AS v FROM slots")
+def minhash_sketch(spark, sf_dir):
+    return _sigs(_docs(spark, sf_dir), 16).select("id", F.posexplode("sig").alias("slot", "v"))
+
+
+@query(f"{_SIG16} SELECT lang, slot::INT AS slot, {O.signed('min(v)')} AS v FROM slots JOIN documents ON doc_id = id GROUP BY lang, slot")
+def minhash_union(spark, sf_dir):
+    """Signature of all texts of a language, as the union of their signatures."""
+    sigs = _docs(spark, sf_dir).select("lang", U.sketch(F.col("text"), 3, 16).alias("sig"))
+    return sketches.union_agg(sigs, ["lang"]).select("lang", F.posexplode("sig").alias("slot", "v"))
+
+
+@query(f"{_SIG16} SELECT lang, slot::INT AS slot, {O.signed('min(v)')} AS v FROM slots JOIN documents ON doc_id = id GROUP BY lang, slot")
+def minhash_update(spark, sf_dir):
+    """The same out of exploded shingles, folded in each task before the shuffle."""
+    h = _docs(spark, sf_dir).select("lang", F.explode_outer(U.words(F.col("text"), 3)).alias("h"))
+    return sketches.minhash_agg(h, ["lang"], k=16).select("lang", F.posexplode("sig").alias("slot", "v"))
+
+
+def _card(sig: str, k: int) -> str:
+    total = f"list_reduce(list_prepend(0.0::DOUBLE, list_transform({sig}, lambda x: x::DOUBLE / 18446744073709551616.0::DOUBLE)), lambda s, x: s + x)"
+    return f"CASE WHEN len(list_filter({sig}, lambda x: x <> {2**64 - 1}::UBIGINT)) = 0 THEN 0.0::DOUBLE ELSE {k}.0::DOUBLE / {total} - 1 END"
+
+
+@query(f"{_SIG128} SELECT id, round({_card('sig', 128)}, 6) AS cardinality FROM sigs")
+def minhash_cardinality(spark, sf_dir):
+    return _sigs(_docs(spark, sf_dir), 128).select("id", F.round(C.cardinality(F.col("sig")), 6).alias("cardinality"))
+
+
+_PAIRS = f"""{_ITEM}, card AS (SELECT id, sig, {_card("sig", 128)} AS c FROM sigs),
+pr AS (SELECT a.id AS a, b.id AS b, a.c AS ca, b.c AS cb, {O.same("a.sig", "b.sig", 128)} AS j FROM card a, card b)
+SELECT a, b, CASE WHEN ca = 0 OR cb = 0 THEN 0.0::DOUBLE ELSE j END AS similarity, j AS jaccard, round(j / (1 + j) * (ca + cb), 6) AS intersection,
+  round(CASE WHEN ca <= 0 THEN 0.0::DOUBLE ELSE greatest(least(j / (1 + j) * (ca + cb) / ca, 1.0::DOUBLE), 0.0::DOUBLE) END, 6) AS containment FROM pr"""
+
+
+@query(_PAIRS)
+def item_pairs(spark, sf_dir):
+    """Every ordered pair of benchmark items, estimated: the one-against-many comparison."""
+    s = _sigs(_items(spark, sf_dir), 128)
+    a, b = s.select(F.col("id").alias("a"), F.col("sig").alias("x")), s.select(F.col("id").alias("b"), F.col("sig").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    return a.crossJoin(b).select("a", "b", C.similarity(x, y).alias("similarity"), C.jaccard(x, y).alias("jaccard"), F.round(C.intersection_cardinality(x, y), 6).alias("intersection"), F.round(C.containment(x, y), 6).alias("containment"))
+
+
+# --- SimHash
+
+
+@query(f"{_FP} SELECT id, {O.signed('fp')} AS fp FROM allf")
+def simhash_text(spark, sf_dir):
+    return _fps(_docs(spark, sf_dir)).select("id", "fp")
+
+
+@query(f"""WITH {O.shingles("documents", "doc_id")}, sums AS (SELECT lang, {", ".join(f"sum(CASE WHEN (h >> {i}) & 1 = 1 THEN n_chars ELSE -n_chars END) > 0 AS b{i}" for i in range(64))} FROM sh JOIN documents ON doc_id = id GROUP BY lang),
+f AS (SELECT lang, ({" + ".join(f"CASE WHEN b{i} THEN {1 << i}::UHUGEINT ELSE 0::UHUGEINT END" for i in range(64))})::UBIGINT AS fp FROM sums) SELECT lang, {O.signed("fp")} AS fp FROM f""")
+def simhash_weighted(spark, sf_dir):
+    """Fingerprint of each language's shingles, weighted by the length of their document."""
+    d = _read(spark, sf_dir, "documents").select("lang", "n_chars", F.explode(U.words(F.col("text"), 3)).alias("h"))
+    return sketches.simhash_agg(d, ["lang"], weight=F.col("n_chars"))
+
+
+@query(f"WITH {O.shingles('benchmark', 'item_id')}, {O.simhash()} SELECT a.id AS a, b.id AS b, bit_count(xor(a.fp, b.fp))::INT AS distance, round(cos(bit_count(xor(a.fp, b.fp)) * (pi() / 64)), 9) AS cosine FROM fps a, fps b WHERE a.id < b.id")
+def simhash_distance(spark, sf_dir):
+    f = _fps(_items(spark, sf_dir))
+    a, b = f.select(F.col("id").alias("a"), F.col("fp").alias("x")), f.select(F.col("id").alias("b"), F.col("fp").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", C.distance(x, y).alias("distance"), F.round(C.cosine_estimate(x, y), 9).alias("cosine"))
+
+
+# --- LSH
+
+
+@query(f"{_SIG16}, {O.bands(4, 4)} SELECT id, band, {O.signed('key')} AS key FROM bk")
+def band_keys(spark, sf_dir):
+    return lsh.band_table(_sigs(_docs(spark, sf_dir), 16), 4, 4).select("id", "band", "key")
+
+
+@query(f"{_SIG16}, {O.bands(4, 4)}, h AS (SELECT q.id AS query, x.id AS id, min(struct_pack(band := q.band, seq := x.id)) AS first FROM bk q JOIN bk x USING (band, key) GROUP BY ALL) SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY first.band, first.seq, id)::INT AS rank FROM h")
+def lsh_candidates(spark, sf_dir):
+    s = _sigs(_docs(spark, sf_dir), 16)
+    return lsh.index_query(lsh.band_table(s, 4, 4), s, 4, 4)
+
+
+_STATS = "SELECT (SELECT count(DISTINCT id) FROM {t}) AS ids, count(*) AS buckets, sum(n)::BIGINT AS entries, max(n) AS max_bucket FROM (SELECT count(*) AS n FROM {t} GROUP BY {k})"
+
+
+@query(f"{_SIG16}, {O.bands(4, 4)} " + _STATS.format(t="bk", k="band, key"))
+def lsh_stats(spark, sf_dir):
+    return lsh.stats(lsh.band_table(_sigs(_docs(spark, sf_dir), 16), 4, 4))
+
+
+@query(f"{_SIG16}, {O.bands(4, 4)} SELECT band, {O.signed('key')} AS key, id FROM bk WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def lsh_remove(spark, sf_dir):
+    """The band table without the documents labelled toxic."""
+    t = lsh.band_table(_sigs(_docs(spark, sf_dir), 16), 4, 4)
+    return lsh.remove(t, _read(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))).select("band", "key", "id")
+
+
+@query(f"{_SIG16}, {O.bands(4, 4)}, h AS (SELECT DISTINCT q.id AS query, x.id AS id FROM bk q JOIN bk x USING (band, key)), v AS (SELECT query, h.id, {O.same('a.sig', 'b.sig', 16)} AS similarity FROM h JOIN sigs a ON a.id = query JOIN sigs b ON b.id = h.id) SELECT query, id, similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id)::INT AS rank FROM v WHERE similarity >= 0.5")
+def verified_neighbors(spark, sf_dir):
+    s = _sigs(_docs(spark, sf_dir), 16)
+    return lsh.verified_query(s, s, 4, 4, 0.5)
+
+
+_NEAR = f"{_SIG128}, {O.bands(16, 8)}, h AS (SELECT DISTINCT x.id AS a, y.id AS b FROM bk x JOIN bk y USING (band, key) WHERE x.id < y.id), np AS (SELECT a, b, {O.same('x.sig', 'y.sig', 128)} AS similarity FROM h JOIN sigs x ON x.id = a JOIN sigs y ON y.id = b)"
+
+
+@query(f"{_NEAR} SELECT a, b, similarity FROM np WHERE similarity >= 0.5")
+def near_duplicate_pairs(spark, sf_dir):
+    """Flagship: pairs of documents whose estimated Jaccard similarity is at least one half."""
+    return lsh.similarity_join(_sigs(_docs(spark, sf_dir), 128), 16, 8, 0.5)
+
+
+@query("SELECT k, target::DOUBLE AS target, b AS bands, k // b AS rows, round(th, 12) AS threshold FROM (SELECT k, target, b, pow(1.0 / b, 1.0 / (k // b)) AS th, row_number() OVER (PARTITION BY k, target ORDER BY round(abs(pow(1.0 / b, 1.0 / (k // b)) - target), 15), b DESC) AS r FROM (VALUES (128, 0.5), (128, 0.8), (100, 0.7), (64, 0.3)) t(k, target), (SELECT unnest(range(1, 129))::INT AS b) WHERE k % b = 0) WHERE r = 1")
+def lsh_params(spark, sf_dir):
+    rows = [(k, t, *C.params(k, t)) for k, t in ((128, 0.5), (128, 0.8), (100, 0.7), (64, 0.3))]
+    return spark.createDataFrame([(k, t, b, r, round(C.threshold(b, r), 12)) for k, t, b, r in rows], "k int, target double, bands int, rows int, threshold double")
+
+
+_LCP = "CASE " + " ".join(f"WHEN qk[1:{n}] = k[1:{n}] THEN {n}" for n in (4, 3, 2, 1)) + " ELSE 0 END"
+
+
+@query(f"{_SIG16}, ft AS (SELECT id, t AS tree, sig[t * 4 + 1 : t * 4 + 4] AS k FROM sigs, (SELECT unnest(range(4))::INT AS t)), m AS (SELECT q.id AS query, x.id AS id, q.tree, q.k AS qk, x.k AS k FROM ft q JOIN ft x ON q.tree = x.tree AND q.k[1] = x.k[1]), b AS (SELECT query, id, min(struct_pack(d := -({_LCP}), tree := tree, k := k, seq := id)) AS f FROM m GROUP BY ALL), r AS (SELECT query, id, -f.d AS depth, row_number() OVER (PARTITION BY query ORDER BY f.d, f.tree, f.k, f.seq)::INT AS rank FROM b) SELECT query, id, depth::INT AS depth, rank FROM r WHERE rank <= 5")
+def forest_topk(spark, sf_dir):
+    """Five nearest by shared prefix, of 4 trees of depth 4."""
+    s = _sigs(_docs(spark, sf_dir), 16)
+    return lsh.forest_query(lsh.forest_table(s, 4, 4), s, 4, 4, 5)
+
+
+@query(f"{_FP} SELECT x.id AS a, y.id AS b, bit_count(xor(x.fp, y.fp))::INT AS distance FROM allf x, allf y WHERE x.id < y.id AND bit_count(xor(x.fp, y.fp)) <= 3")
+def hamming_within_3(spark, sf_dir):
+    return lsh.hamming_join(_fps(_docs(spark, sf_dir)), 3)
+
+
+_BLOCK = "CASE block WHEN 0 THEN fp & 65535 WHEN 1 THEN (fp >> 16) & 65535 WHEN 2 THEN (fp >> 32) & 65535 ELSE fp >> 48 END"
+_HT = f"{_FP}, ht AS (SELECT id, fp, block, {_BLOCK} AS key FROM allf, (SELECT unnest(range(4))::INT AS block))"
+
+
+@query(f"{_HT}, hq AS (SELECT q.id AS query, x.id AS id, min(q.block) AS block, any_value(bit_count(xor(q.fp, x.fp)))::INT AS distance FROM ht q JOIN ht x USING (block, key) WHERE bit_count(xor(q.fp, x.fp)) <= 3 GROUP BY ALL) SELECT query, id, distance, row_number() OVER (PARTITION BY query ORDER BY block, id)::INT AS rank FROM hq")
+def hamming_query(spark, sf_dir):
+    f = _fps(_docs(spark, sf_dir))
+    return lsh.hamming_query(lsh.hamming_table(f, 3), f, 3)
+
+
+@query(f"{_HT} " + _STATS.format(t="ht", k="block, key"))
+def hamming_stats(spark, sf_dir):
+    return lsh.stats(lsh.hamming_table(_fps(_docs(spark, sf_dir)), 3), ["block", "key"])
+
+
+# --- winnowing
+
+
+@query(f"{_WF} SELECT id, ord, pos, {O.signed('h')} AS hash FROM wf")
+def winnow_fingerprints(spark, sf_dir):
+    return winnow.fingerprints(_items(spark, sf_dir), K, W)
+
+
+@query(f"{_WF} SELECT id, pos, {O.signed('h')} AS h FROM wf")
+def winnow_window(spark, sf_dir):
+    """The same selection by a sliding window in the JVM."""
+    return winnow.select_minima(_items(spark, sf_dir).select("id", F.posexplode(U.char(F.col("text"), K)).alias("pos", "h")), W)
+
+
+@query(f"{_WF} SELECT {O.signed('h')} AS hash, count(DISTINCT id) AS docs FROM wf GROUP BY h")
+def winnow_doc_freq(spark, sf_dir):
+    return winnow.doc_freq(winnow.fingerprints(_items(spark, sf_dir), K, W))
+
+
+@query(f"{_WF}, n AS (SELECT a.id AS query, b.id AS id, count(*) AS shared FROM (SELECT DISTINCT id, h FROM wf) a JOIN (SELECT DISTINCT id, h FROM wf) b USING (h) GROUP BY ALL) SELECT query, id, shared, row_number() OVER (PARTITION BY query ORDER BY shared DESC, id)::INT AS rank FROM n")
+def winnow_overlap_counts(spark, sf_dir):
+    f = winnow.fingerprints(_items(spark, sf_dir), K, W)
+    return winnow.overlap_counts(f, f)
+
+
+_ISLES = "d AS (SELECT DISTINCT query, id, j, qpos, dpos, dpos - qpos AS diag FROM m), g AS (SELECT *, j - row_number() OVER (PARTITION BY query, id, diag ORDER BY j) AS isle FROM d)"
+
+
+@query(f"{_WF}, m AS (SELECT q.id AS query, x.id AS id, q.ord AS j, q.pos AS qpos, x.pos AS dpos FROM wf q JOIN wf x USING (h)), {_ISLES} SELECT query, id, min(qpos) AS qpos, min(dpos) AS dpos, (max(qpos) - min(qpos) + {K})::INT AS len FROM g GROUP BY query, id, diag, isle")
+def winnow_matches(spark, sf_dir):
+    f = winnow.fingerprints(_items(spark, sf_dir), K, W)
+    return winnow.matches(f, f, K)
+
+
+_CHD = O.char8("documents", "doc_id")
+_WFD = f"WITH {_CHD}, {O.winnow(W)}, wfd AS MATERIALIZED (SELECT * FROM wf)"
+_WFI = _CH.replace("ch AS", "chi AS", 1) + ", " + O.winnow(W).replace("FROM ch)", "FROM chi)").replace("wm AS", "wmi AS").replace("FROM wm", "FROM wmi").replace("wf AS", "wfi AS")
+
+
+@query(f"{_WFD}, {_WFI}, m AS (SELECT q.id AS query, x.id AS id, q.ord AS j, q.pos AS qpos, x.pos AS dpos FROM wfi q JOIN wfd x USING (h)), {_ISLES} SELECT query, id, min(qpos) AS qpos, min(dpos) AS dpos, (max(qpos) - min(qpos) + {K})::INT AS len FROM g GROUP BY query, id, diag, isle")
+def winnow_matches_documents(spark, sf_dir):
+    """Passages of benchmark items in documents."""
+    return winnow.matches(winnow.fingerprints(_docs(spark, sf_dir), K, W), winnow.fingerprints(_items(spark, sf_dir), K, W), K)
+
+
+_NEXT = "SELECT doc_id AS y, lag(doc_id) OVER (PARTITION BY substr(text, 1, 40) ORDER BY doc_id) AS x FROM documents"
+
+
+@query(f"{_WFD}, pr AS (SELECT * FROM ({_NEXT}) WHERE x IS NOT NULL), m AS (SELECT pr.y AS query, 0 AS id, b.ord AS j, b.pos AS qpos, a.pos AS dpos FROM pr JOIN wfd b ON b.id = pr.y JOIN wfd a ON a.id = pr.x AND a.h = b.h), {_ISLES} SELECT query AS pair, min(dpos) AS pos_a, min(qpos) AS pos_b, (max(qpos) - min(qpos) + {K})::INT AS len FROM g GROUP BY query, diag, isle")
+def winnow_overlaps(spark, sf_dir):
+    """Aligned spans of each document and the one before it that starts alike."""
+    d = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    w = Window.partitionBy(F.substring("text", 1, 40)).orderBy("doc_id")
+    pairs = d.select(F.col("doc_id").alias("pair"), F.lag("text").over(w).alias("a"), F.col("text").alias("b")).where("a IS NOT NULL")
+    return winnow.overlaps(pairs, K, W)
+
+
+@query(f"{_WF}, df AS (SELECT h, count(DISTINCT id) AS n FROM wf GROUP BY h), q AS (SELECT id, ord, pos FROM wf JOIN df USING (h) WHERE n >= 2), r AS (SELECT *, ord - row_number() OVER (PARTITION BY id ORDER BY ord) AS isle FROM q) SELECT id, min(pos) AS pos, (max(pos) + {K} - min(pos))::INT AS len FROM r GROUP BY id, isle HAVING count(*) >= 2")
+def winnow_cover(spark, sf_dir):
+    f = winnow.fingerprints(_items(spark, sf_dir), K, W)
+    return winnow.cover(f, f, K, 2, 2)
+
+
+@query(f"{_WFD}, df AS (SELECT h, count(DISTINCT id) AS n FROM wfd GROUP BY h), q AS (SELECT id, ord, pos FROM wfd JOIN df USING (h) WHERE n >= 3), r AS (SELECT *, ord - row_number() OVER (PARTITION BY id ORDER BY ord) AS isle FROM q) SELECT id, min(pos) AS pos, (max(pos) + {K} - min(pos))::INT AS len FROM r GROUP BY id, isle HAVING count(*) >= 5")
+def winnow_cover_documents(spark, sf_dir):
+    """Boilerplate: runs of at least 5 fingerprints that stand in at least 3 documents."""
+    f = winnow.fingerprints(_docs(spark, sf_dir), K, W)
+    return winnow.cover(f, f, K, 3, 5)
+
+
+# --- summaries
+
+
+def _hll_sql(regs: str, keys: str, p: int) -> str:
+    m, comma, by = float(1 << p), f"{keys}, " if keys else "", f"GROUP BY {keys}" if keys else ""
+    raw = f"({0.7213 / (1 + 1.079 / m) * m * m!r}::DOUBLE / (s + {m} - n))"
+    return f"WITH {regs}, t AS (SELECT {comma}sum(pow(2.0::DOUBLE, -rho)) AS s, count(*) AS n FROM regs {by}) SELECT {comma}round(CASE WHEN {raw} <= {2.5 * m} AND n < {m} THEN {m}::DOUBLE * ln({m}::DOUBLE / ({m}::DOUBLE - n)) ELSE {raw} END, 6) AS estimate FROM t"
+
+
+@query(f"WITH {O.hll('events', 'user_id', 14)} SELECT idx, rho FROM regs")
+def hll_registers(spark, sf_dir):
+    return sketches.hll_registers(_read(spark, sf_dir, "events"), [], "user_id", 14).select("idx", "rho")
+
+
+@query(_hll_sql(O.hll("events", "user_id", 12, "event_type"), "event_type", 12))
+def hll_by_group(spark, sf_dir):
+    r = sketches.hll_registers(_read(spark, sf_dir, "events"), ["event_type"], "user_id", 12)
+    return sketches.hll_estimate(r, ["event_type"], 12).select("event_type", F.round("estimate", 6).alias("estimate"))
+
+
+@query(_hll_sql(O.hll("(SELECT l_partkey AS v FROM lineitem UNION ALL SELECT p_partkey FROM part)", "v", 14), "", 14))
+def hll_merge(spark, sf_dir):
+    a = sketches.hll_registers(_read(spark, sf_dir, "lineitem"), [], "l_partkey", 14)
+    b = sketches.hll_registers(_read(spark, sf_dir, "part"), [], "p_partkey", 14)
+    return sketches.hll_estimate(sketches.hll_merge(a, b, []), [], 14).select(F.round("estimate", 6).alias("estimate"))
+
+
+@query(f"WITH {O.hll('events', 'user_id', 4, 'event_type')}, r AS (SELECT event_type, i, coalesce(rho, 0) AS rho FROM (SELECT DISTINCT event_type FROM events) CROSS JOIN (SELECT unnest(range(16))::INT AS i) LEFT JOIN regs ON regs.event_type = events.event_type AND idx = i) SELECT event_type, '010304' || string_agg(lpad(hex(rho), 2, '0'), '' ORDER BY i) AS data FROM r GROUP BY event_type".replace("(SELECT DISTINCT event_type FROM events)", "(SELECT DISTINCT event_type FROM events) events").replace("SELECT event_type, i,", "SELECT events.event_type, i,"))
+def hll_marshal(spark, sf_dir):
+    r = sketches.hll_registers(_read(spark, sf_dir, "events"), ["event_type"], "user_id", 4)
+    return sketches.hll_bytes(r, ["event_type"], 4).select("event_type", F.hex("data").alias("data"))
+
+
+@query("SELECT event_type AS item, count(*) AS count, 0::BIGINT AS err, sum(count(*)) OVER ()::BIGINT AS total FROM events GROUP BY event_type")
+def topk_exact(spark, sf_dir):
+    """SpaceSaving with a counter for every item is an exact count."""
+    return streams.space_saving(_read(spark, sf_dir, "events"), [], "event_type", ["event_id"], 1000)
+
+
+@query("SELECT user_id AS item, true AS ok FROM events GROUP BY user_id HAVING count(*) > (SELECT count(*) FROM events) / 200")
+def topk_bounds(spark, sf_dir):
+    """Users with more than one in 200 events are all held by 400 counters, within their bounds."""
+    e = _read(spark, sf_dir, "events")
+    held = streams.space_saving_merged(e, "user_id", 400)
+    truth, all_ = e.groupBy(F.col("user_id").alias("item")).agg(F.count("*").alias("n")), e.agg(F.count("*").alias("total"))
+    heavy = truth.crossJoin(all_).where(F.col("n") * 200 > F.col("total")).join(held, "item", "left")
+    return heavy.select("item", F.coalesce((F.col("n") <= F.col("count")) & (F.col("n") >= F.col("count") - F.col("err")), F.lit(False)).alias("ok"))
+
+
+def _reservoir_sql(table: str, keys: str, item: str, order: str, k: int, seed: int) -> str:
+    from corpusloom.functions.kernels import GAMMA
+
+    part, comma = (f"PARTITION BY {keys} ", f"{keys}, ") if keys else ("", "")
+    steps = [("m", f"greatest(n, {k}) - {k}"), ("z0", O.add(O.mul("m::UBIGINT", GAMMA), seed)), *O.finalizer("z0", "z")]
+    steps.append(("slot", f"CASE WHEN n <= {k} THEN n - 1 ELSE (z::UHUGEINT * n::UHUGEINT // {O.M})::BIGINT END"))
+    rows = f"(SELECT {comma}{item} AS item, row_number() OVER ({part}ORDER BY {order}) AS n FROM {table})"
+    return f"SELECT {comma}slot, arg_max(item, n) AS item FROM {O.chain(rows, steps)} WHERE slot < {k} GROUP BY {comma}slot"
+
+
+@query(_reservoir_sql("orders", "", "o_orderkey", "o_orderkey", 100, 42))
+def reservoir_sample(spark, sf_dir):
+    return streams.reservoir(_read(spark, sf_dir, "orders"), [], "o_orderkey", ["o_orderkey"], 100, 42)
+
+
+@query(_reservoir_sql("events", "event_type", "event_id", "event_id", 10, 7))
+def reservoir_by_group(spark, sf_dir):
+    return streams.reservoir(_read(spark, sf_dir, "events"), ["event_type"], "event_id", ["event_id"], 10, 7)
+
+
+# --- clusters
+
+
+_CLUSTERS = f"{_NEAR}, e AS (SELECT a, b FROM np WHERE similarity >= 0.5), u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r(x, y) AS (SELECT x, x FROM u UNION SELECT r.x, u.y FROM r JOIN u ON r.y = u.x)".replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(f"{_CLUSTERS} SELECT x AS id, min(y) AS rep FROM r GROUP BY x")
+def clusters(spark, sf_dir):
+    """Clusters of near duplicates; the representative is the member that came first."""
+    roots = cluster.connected_components(near_duplicate_pairs(spark, sf_dir))
+    return roots.select("id", F.col("root").alias("rep"))
+
+
+@query(f"{_CLUSTERS}, k AS (SELECT x AS id, min(y) AS rep FROM r GROUP BY x) SELECT coalesce(rep, doc_id) AS rep, count(*) AS members, string_agg(doc_id, ',' ORDER BY doc_id) AS ids FROM documents LEFT JOIN k ON id = doc_id GROUP BY ALL")
+def cluster_members(spark, sf_dir):
+    """All clusters, singletons included, members in order of insertion."""
+    ids = _docs(spark, sf_dir).select("id", "seq")
+    out = cluster.clusters(ids, near_duplicate_pairs(spark, sf_dir))
+    return out.select("rep", F.size("members").cast("long").alias("members"), F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("ids"))
+
+
+# --- bytes
+
+
+def _le(x: str, n: int = 8) -> str:
+    h = f"lpad(hex({x}), {2 * n}, '0')"
+    return "(" + " || ".join(f"substr({h}, {2 * i + 1}, 2)" for i in reversed(range(n))) + ")"
+
+
+@query(f"{_SIG16} SELECT id, '01011000' || '0000000000000000' || string_agg({_le('v')}, '' ORDER BY slot) AS data FROM slots GROUP BY id")
+def marshal_signature(spark, sf_dir):
+    return _sigs(_docs(spark, sf_dir), 16).select("id", F.hex(U.marshal_signature(F.col("sig"), 0)).alias("data"))
+
+
+@query(f"{_FP} SELECT id, '0102' || {_le('fp')} AS data FROM allf")
+def marshal_fingerprint(spark, sf_dir):
+    return _fps(_docs(spark, sf_dir)).select("id", F.hex(U.marshal_fingerprint(F.col("fp"))).alias("data"))
+
+
+@query("SELECT doc_id AS id, true AS ok FROM documents")
+def decode_roundtrip(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("id", U.sketch(F.col("text"), 3, 16).alias("sig"), U.simhash_text(F.col("text")).alias("fp"))
+    d = d.withColumn("s", U.decode_signature(U.marshal_signature(F.col("sig"), 5))).withColumn("f", U.decode_fingerprint(U.marshal_fingerprint(F.col("fp"))))
+    return d.select("id", ((F.col("s.sig") == F.col("sig")) & (F.col("s.seed") == 5) & (F.col("f") == F.col("fp"))).alias("ok"))
+
+
+# --- chunks
+
+
+@query(f"WITH RECURSIVE whole AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id), {O.shingles('whole', 'conv_id')}, {O.signatures(16, ids='(SELECT conv_id AS id FROM whole)')} SELECT id AS conv_id, slot::INT AS slot, {O.signed('v')} AS v FROM slots".replace("WITH RECURSIVE", "WITH"))
+def chunked_sketch(spark, sf_dir):
+    """Signature of each conversation, its turns taken as chunks of one document."""
+    from corpusloom.streaming.chunks import sketch_chunks
+
+    c = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_seq"), F.col("text").cast("binary").alias("chunk"))
+    return sketch_chunks(c, 3, 16, 0).select(F.col("doc_id").alias("conv_id"), F.posexplode("sig").alias("slot", "v"))
