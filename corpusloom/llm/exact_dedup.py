@@ -23,7 +23,11 @@ MAX_KICKS = 64
 #: Digests one bucket is planned for; the number of buckets follows the rows.
 BUCKET_ROWS = 100_000
 
-INDEX_SCHEMA = "bucket int, log_size int, cells binary, keys binary, counts binary"
+#: A filter less full than this doesn't grow for a key that finds no room: such keys, alike in mark and home, go to a stash.
+LEAST_LOAD = 0.25
+
+_FIELDS = ["log_size", "cells", "keys", "counts", "stash"]
+INDEX_SCHEMA = "bucket int, log_size int, cells binary, keys binary, counts binary, stash binary"
 
 
 class CuckooFilter:
@@ -43,7 +47,14 @@ class CuckooFilter:
 
     def _fill(self) -> bool:
         self.cells = [0] * (SLOTS << self.log_size)
-        return all(self._place(key) for key in self.stored)
+        self.stash: set[bytes] = set()
+        sparse = len(self.stored) < LEAST_LOAD * len(self.cells)
+        for key in self.stored:
+            if not self._place(key):
+                if not sparse:
+                    return False
+                self.stash.add(key)
+        return True
 
     @staticmethod
     def _mark(key: bytes) -> int:
@@ -63,20 +74,24 @@ class CuckooFilter:
                 if not cells[i]:
                     cells[i] = mark
                     return True
+        moves = []
         for kick in range(MAX_KICKS):
             i = row * SLOTS + (kick + mark) % SLOTS
+            moves.append(i)
             cells[i], mark = mark, cells[i]
             row = self._other(row, mark)
             for i in range(row * SLOTS, row * SLOTS + SLOTS):
                 if not cells[i]:
                     cells[i] = mark
                     return True
+        for i in reversed(moves):  # as it was: no key that had room loses it
+            cells[i], mark = mark, cells[i]
         return False
 
     def may_contain(self, key: bytes) -> bool:
         mark, row = self._mark(key), self._home(key)
         a, b = row * SLOTS, self._other(row, mark) * SLOTS
-        return mark in self.cells[a : a + SLOTS] or mark in self.cells[b : b + SLOTS]
+        return mark in self.cells[a : a + SLOTS] or mark in self.cells[b : b + SLOTS] or key in self.stash
 
     def contains(self, key: bytes) -> bool:
         return self.may_contain(key) and key in self.stored
@@ -88,6 +103,9 @@ class CuckooFilter:
             return True
         self.stored[key] = 1
         if not self._place(key):
+            if len(self.stored) < LEAST_LOAD * len(self.cells):
+                self.stash.add(key)
+                return False
             self.log_size += 1
             self.resizes += 1
             while not self._fill():
@@ -101,6 +119,9 @@ class CuckooFilter:
         self.stored[key] -= 1
         if not self.stored[key]:
             del self.stored[key]
+            if key in self.stash:
+                self.stash.remove(key)
+                return True
             mark, row = self._mark(key), self._home(key)
             for at in (row, self._other(row, mark)):
                 for i in range(at * SLOTS, at * SLOTS + SLOTS):
@@ -116,15 +137,17 @@ class CuckooFilter:
             np.array(self.cells, dtype="<u2").tobytes(),
             b"".join(self.stored),
             np.fromiter(self.stored.values(), dtype="<i8", count=len(self.stored)).tobytes(),
+            b"".join(sorted(self.stash)),
         )
 
     @classmethod
-    def from_row(cls, log_size: int, cells: bytes, keys: bytes, counts: bytes) -> CuckooFilter:
+    def from_row(cls, log_size: int, cells: bytes, keys: bytes, counts: bytes, stash: bytes) -> CuckooFilter:
         self = cls.__new__(cls)
         self.log_size, self.resizes = int(log_size), 0
         self.cells = np.frombuffer(cells, dtype="<u2").tolist()
         n = np.frombuffer(counts, dtype="<i8").tolist()
         self.stored = {keys[16 * i : 16 * i + 16]: c for i, c in enumerate(n)}
+        self.stash = {stash[i : i + 16] for i in range(0, len(stash), 16)}
         return self
 
 
@@ -149,19 +172,19 @@ def build_index(docs: DataFrame, buckets: int) -> DataFrame:
         f = CuckooFilter()
         for d in pdf["digest"]:
             f.insert(bytes(d))
-        return pd.DataFrame([f.to_row(int(key[0]))], columns=["bucket", "log_size", "cells", "keys", "counts"])
+        return pd.DataFrame([f.to_row(int(key[0]))], columns=["bucket", *_FIELDS])
 
     return digests(docs, buckets).groupBy("bucket").applyInPandas(build, INDEX_SCHEMA)
 
 
 def _change(index: DataFrame, docs: DataFrame, buckets: int, delete: bool) -> DataFrame:
     def change(key: tuple, held: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        f = CuckooFilter.from_row(*held.iloc[0][["log_size", "cells", "keys", "counts"]]) if len(held) else CuckooFilter()
+        f = CuckooFilter.from_row(*held.iloc[0][_FIELDS]) if len(held) else CuckooFilter()
         act = f.delete if delete else f.insert
         for d in new["digest"]:
             act(bytes(d))
         rows = [f.to_row(int(key[0]))] if f.stored else []
-        return pd.DataFrame(rows, columns=["bucket", "log_size", "cells", "keys", "counts"])
+        return pd.DataFrame(rows, columns=["bucket", *_FIELDS])
 
     return index.groupBy("bucket").cogroup(digests(docs, buckets).groupBy("bucket")).applyInPandas(change, INDEX_SCHEMA)
 
@@ -182,7 +205,7 @@ def lookup(index: DataFrame, docs: DataFrame, buckets: int) -> DataFrame:
     def find(key: tuple, held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(held):
-            f = CuckooFilter.from_row(*held.iloc[0][["log_size", "cells", "keys", "counts"]])
+            f = CuckooFilter.from_row(*held.iloc[0][_FIELDS])
             out = [(d, f.stored[d]) for d in {bytes(d) for d in asked["digest"]} if f.contains(d)]
         return pd.DataFrame(out, columns=["digest", "copies"])
 
@@ -246,11 +269,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     dup = duplicates(docs)
     lost = dup.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_lost_id"), F.col("digest").alias("_lost_digest"))
     twice = dup.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("id_rows") > 1)).select(F.col("doc_id").alias("_lost_id"), F.col("digest").alias("_lost_digest"))
-    base = docs.alias("d")
-    digest = F.unhex(F.md5(F.col("d.text").cast("binary")))
-    on = F.col("d.doc_id").eqNullSafe(F.col("_lost_id")) & (digest == F.col("_lost_digest"))
-    left = base.join(small(lost, 64), on, "left_anti")
+    digest = F.unhex(F.md5(docs["text"].cast("binary")))
+    on = lambda other: docs["doc_id"].eqNullSafe(other["_lost_id"]) & (digest == other["_lost_digest"])
+    left = docs.join(small(lost, 64), on(lost), "left_anti")
     if not twice.take(1):
         return left
-    once = left.alias("d")
-    return once.join(twice, on, "left_anti").unionByName(once.join(twice, on, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return left.join(twice, on(twice), "left_anti").unionByName(left.join(twice, on(twice), "left_semi").dropDuplicates(["doc_id", "text"]))

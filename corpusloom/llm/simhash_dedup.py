@@ -6,7 +6,7 @@ within distance r differs span at most r dimensions, so some table drops all of
 them and the pair collides there: no pair within the radius is missed (Pagh,
 "Locality-sensitive Hashing without False Negatives", 2016).
 
-The searched SimHash is over words, weighted by count^0.75.  A pair that it
+The searched SimHash is over words, weighted by their counts, up to a bound.  A pair that it
 finds must also agree in a 128-bit SimHash over word pairs, which sets apart
 texts that merely share common words.
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,13 @@ from pyspark.sql import types as T
 from corpusloom.llm.common import Scratch, partitions_for, small
 from corpusloom.operators.cluster import connected_components
 
-RADIUS = 6
+RADIUS = 7
 #: Most bits of the 128 over word pairs in which a near duplicate may differ.
 PAIR_BITS = 34
-POWER = 0.75
-#: Rows of the tables that one task of the pair search is planned for.
-TABLE_ROWS = 1_500_000
+#: A word's weight is its count, up to this: common words steady the sketch of a short text and don't rule that of a long one.
+SATURATION = 8
+#: Rows that one task of the pair search is planned for.
+TABLE_ROWS = 750_000
 _KNOWN_WORDS = 1 << 20
 
 WORD = re.compile(r"[^\W_]+")
@@ -49,6 +51,28 @@ def masks(radius: int = RADIUS) -> np.ndarray:
     return (odd.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
+@lru_cache(maxsize=8)
+def mask_pairs(radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """(shared, tables): masks two by two with the bits both keep, and the tables' numbers (-1: none).
+
+    A row is sent once by the bits that two tables share and meets there all
+    rows that either table would bring to it, so half as many rows are sent.
+    """
+    m = masks(radius)
+    left, shared, tables = list(range(len(m))), [], []
+    while left:
+        a = left.pop(0)
+        if left:
+            b = max(left, key=lambda x: (int(m[a] & m[x]).bit_count(), -x))
+            left.remove(b)
+            shared.append(m[a] & m[b])
+            tables.append((a, b))
+        else:
+            shared.append(m[a])
+            tables.append((a, -1))
+    return np.array(shared, dtype=np.uint64), np.array(tables)
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * _MIX1
     h = (h ^ (h >> np.uint64(33))) * _MIX2
@@ -72,7 +96,7 @@ def sketch(h: np.ndarray) -> tuple[int, int, int]:
     """Searched SimHash and the two halves of the one over word pairs, of at least one word hash."""
     u, n = np.unique(h, return_counts=True)
     bits = np.unpackbits(u.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    w = (n**POWER).astype(np.float32)
+    w = np.minimum(n, SATURATION).astype(np.float32)
     s = np.packbits((w @ bits) * 2 > w.sum(), bitorder="little").view(np.int64)[0]
     p = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + (h[1:] ^ (h[1:] >> np.uint64(29))) if len(h) > 1 else h
     p = np.stack([_mix(p), _mix(p ^ np.uint64(0xA0761D6478BD642F))], axis=1)
@@ -112,8 +136,7 @@ def bucket_edges(t: np.ndarray, s: np.ndarray, v: np.ndarray, ids: np.ndarray, r
     two components so far become edges, which keeps the components exact.
     """
     key = s & masks(radius)[t]
-    h = _mix(key ^ (t.astype(np.uint64) << np.uint64(56)) ^ t.astype(np.uint64))
-    order = np.lexsort((key, t, h))
+    order = np.lexsort((key, t))
     t, s, v, ids, key = t[order], s[order], v[order], ids[order], key[order]
     names, local = np.unique(ids, return_inverse=True)
     comp = np.arange(len(names))
@@ -142,11 +165,11 @@ def bucket_edges(t: np.ndarray, s: np.ndarray, v: np.ndarray, ids: np.ndarray, r
 def near_edges(unique: DataFrame, rows: int, radius: int = RADIUS, pair_bits: int = PAIR_BITS) -> DataFrame:
     """(a, b): edges over ``rep`` of ``unique`` (rep, s, v1, v2) whose components are those of all near pairs."""
     spark = unique.sparkSession
-    parts = partitions_for(spark, rows * ((2 << radius) - 1), TABLE_ROWS)
+    parts = partitions_for(spark, rows << radius, TABLE_ROWS)
     kind = unique.schema["rep"].dataType
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = masks(radius)
+        m = mask_pairs(radius)[0]
         k = len(m)
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
@@ -169,7 +192,10 @@ def near_edges(unique: DataFrame, rows: int, radius: int = RADIUS, pair_bits: in
         codes = reps.dictionary_encode()
         ids = codes.indices.to_numpy()
         v = np.stack([col["v1"].astype(np.uint64), col["v2"].astype(np.uint64)], axis=1)
-        a, b = bucket_edges(col["t"], col["s"].astype(np.uint64), v, ids, radius, pair_bits)
+        tables = mask_pairs(radius)[1][col["t"]]
+        both = np.concatenate([np.arange(len(ids)), np.flatnonzero(tables[:, 1] >= 0)])
+        t = np.concatenate([tables[:, 0], tables[tables[:, 1] >= 0, 1]])
+        a, b = bucket_edges(t, col["s"].astype(np.uint64)[both], v[both], ids[both], radius, pair_bits)
         yield pa.RecordBatch.from_arrays([codes.dictionary.take(pa.array(a)), codes.dictionary.take(pa.array(b))], ["a", "b"])
 
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("t", T.ShortType()), T.StructField("rep", kind), *(T.StructField(c, T.LongType()) for c in ("s", "v1", "v2"))])
