@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions import kernels as K
+from corpusloom.sources.scratch import scratch_dir
 
 
 class SpaceSaving:
@@ -126,6 +128,17 @@ def space_saving_merged(df: DataFrame, item: str, capacity: int) -> DataFrame:
     return sums.select("item", (F.col("c") + missing).alias("count"), (F.col("e") + missing).alias("err")).orderBy(F.desc("count"), "item").limit(capacity)
 
 
+def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows with ``_n``, their number from 1 in a global order: a range sort, then each range's offset."""
+    path = f"{scratch_dir(df.sparkSession)}/numbered-{uuid.uuid4().hex}"
+    df.orderBy(*order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("_range").agg(F.count("*").alias("_c")).select("_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return rows.withColumn("_in", within).join(offsets, "_range").withColumn("_n", F.col("_in") + F.col("_before")).drop("_range", "_in", "_before", *order)
+
+
 def reservoir(df: DataFrame, keys: list[str], item: str, order: list[str], k: int, seed: int) -> DataFrame:
     """(keys, slot, item): Algorithm R over each group's rows in ``order``, all draws taken at once.
 
@@ -136,7 +149,11 @@ def reservoir(df: DataFrame, keys: list[str], item: str, order: list[str], k: in
         raise ValueError("k must be positive")
     if not order:
         raise ValueError("the sample depends on the order of items: name its columns")
-    ranked = df.select(*keys, F.col(item).alias("item"), F.row_number().over((Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*order)).cast("long").alias("_n"))
+    if keys:
+        number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
+        ranked = df.select(*keys, F.col(item).alias("item"), number.alias("_n"))
+    else:
+        ranked = _numbered(df.select(F.col(item).alias("item"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)]), [f"_o{i}" for i in range(len(order))])
 
     @F.arrow_udf(T.LongType())
     def slot(column: pa.Array) -> pa.Array:
