@@ -14,6 +14,9 @@ from corpusloom.functions import columns as C
 from corpusloom.functions import kernels as K
 from corpusloom.functions import udfs as U
 
+#: Groups whose partial signatures a task holds before it passes them on.
+FOLD_GROUPS = 20_000
+
 
 def minhash_agg(df: DataFrame, keys: list[str], h: str = "h", k: int = 128, seed: int = 0) -> DataFrame:
     """(keys, sig): signature of the set of hashes of each group.
@@ -22,9 +25,37 @@ def minhash_agg(df: DataFrame, keys: list[str], h: str = "h", k: int = 128, seed
     shuffle; slots are then reduced by an unsigned minimum in the JVM.  Null
     hashes are ignored; a group of none but nulls has the empty signature.
     """
-    per_batch = df.groupBy(*keys, F.spark_partition_id().alias("_task")).agg(F.collect_set(h).alias("_h"))
-    parts = per_batch.select(*keys, U.minhash(F.col("_h"), k, seed).alias("sig"))
-    return union_agg(parts, keys)
+    schema = T.StructType([*(df.schema[c] for c in keys), T.StructField("sig", T.ArrayType(T.LongType()))])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        kinds: list[pa.DataType] = []
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*held, strict=True)) if keys else []
+            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), pa.array([s.view(np.int64) for s in held.values()], pa.list_(pa.int64()))], schema.names)
+
+        for b in batches:
+            kinds = [b.schema.field(i).type for i in range(len(keys))]
+            x = b.column(len(keys))
+            real = x.is_valid().to_numpy(zero_copy_only=False)
+            x = x.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            names = list(zip(*(b.column(i).to_pylist() for i in range(len(keys))), strict=True)) if keys else [()] * len(x)
+            code: dict[tuple, int] = {}
+            of = np.fromiter((code.setdefault(n, len(code)) for n in names), dtype=np.int64, count=len(x))
+            order = np.argsort(of, kind="stable")
+            ends = np.cumsum(np.bincount(of, minlength=len(code)))
+            for name, lo, hi in zip(code, [0, *ends[:-1]], ends, strict=True):
+                rows = order[lo:hi]
+                sig = K.minhash(x[rows[real[rows]]], k, seed)
+                held[name] = np.minimum(held[name], sig) if name in held else sig
+            if len(held) > FOLD_GROUPS:
+                yield flush()
+                held.clear()
+        if held:
+            yield flush()
+
+    return union_agg(df.select(*keys, F.col(h).cast("long").alias("h")).mapInArrow(fold, schema), keys)
 
 
 def union_agg(sigs: DataFrame, keys: list[str], sig: str = "sig") -> DataFrame:
