@@ -27,13 +27,13 @@ from pyspark.sql import types as T
 from corpusloom.llm.common import Scratch, partitions_for, small
 from corpusloom.operators.cluster import connected_components
 
-RADIUS = 7
+RADIUS = 8
 #: Most bits of the 128 over word pairs in which a near duplicate may differ.
 PAIR_BITS = 34
 #: A word's weight is its count, up to this: common words steady the sketch of a short text and don't rule that of a long one.
 SATURATION = 8
 #: Rows that one task of the pair search is planned for.
-TABLE_ROWS = 750_000
+TABLE_ROWS = 500_000
 _KNOWN_WORDS = 1 << 20
 
 WORD = re.compile(r"[^\W_]+")

@@ -304,7 +304,7 @@ def test_repeated_spans(spark, docs, edge, empty):
 
 def test_covering_masks():
     rng = random.Random(2)
-    for r in (1, 3, 7):
+    for r in (1, 3, 8):
         m = simhash_dedup.masks(r)
         assert len(m) == 2 ** (r + 1) - 1
         for _ in range(2000):
