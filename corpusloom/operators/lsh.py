@@ -14,9 +14,14 @@ from corpusloom.functions import columns as C
 from corpusloom.functions import udfs as U
 
 
-def band_table(sigs: DataFrame, bands: int, rows: int, id: str = "id", seq: str = "seq", sig: str = "sig") -> DataFrame:
-    """(band, key, seq, id), a row per band of each signature; rows with a null id or signature are left out."""
+def band_table(sigs: DataFrame, bands: int, rows: int, id: str = "id", seq: str = "seq", sig: str = "sig", drop_empty: bool = False) -> DataFrame:
+    """(band, key, seq, id), a row per band of each signature; rows with a null id or signature are left out.
+
+    With ``drop_empty`` so are empty sets, which all share every key and would be one quadratic bucket per band.
+    """
     held = sigs.where(F.col(id).isNotNull() & F.col(sig).isNotNull())
+    if drop_empty:
+        held = held.where(~C.is_empty(F.col(sig)))
     keys = held.select(F.col(seq).alias("seq"), F.col(id).alias("id"), U.band_keys(F.col(sig), bands, rows).alias("keys"))
     return keys.select(F.posexplode("keys").alias("band", "key"), "seq", "id")
 

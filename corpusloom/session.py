@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -24,6 +25,7 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parent
     handle, path = tempfile.mkstemp(prefix="corpusloom-", suffix=".zip")
     os.close(handle)
+    atexit.register(Path(path).unlink, missing_ok=True)
     with zipfile.ZipFile(path, "w") as z:
         for p in sorted(root.rglob("*")):
             if p.suffix in {".py", ".json", ".txt"}:

@@ -76,6 +76,8 @@ def test_similarity_join_and_queries(docs, texts):
     gone = lsh.remove(index, docs.where("id < 10").select("id"))
     assert lsh.stats(gone).first().ids == len([i for i in sigs if i >= 10])
     assert lsh.stats(index.where("false")).first().entries == 0
+    short = [i for i, t in texts if t is not None and not len(K.words(t, 2))]
+    assert short and lsh.stats(lsh.band_table(s, 8, 4, drop_empty=True)).first().ids == len(sigs) - len(short)
 
 
 def test_verified_readd_replaces(spark):
