@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -228,11 +229,26 @@ def fit(coded: DataFrame, words: list[str], n: np.ndarray, others: int, other_ty
     return BrownModel(words, named, emit, step)
 
 
+def _most_frequent(counts: DataFrame, most: int) -> pd.DataFrame:
+    """The ``most`` most frequent words, of equals the first by code points.
+
+    A histogram of counts gives the count at which they end, so that the driver
+    is sent those words and the ones tied with the last, not a list per task.
+    """
+    hist = counts.groupBy("n").agg(F.count("*").alias("words")).toPandas().sort_values("n", ascending=False)
+    reach = hist["words"].cumsum().to_numpy()
+    if not len(reach):
+        return counts.toPandas()
+    least = int(hist["n"].iloc[min(int(np.searchsorted(reach, most)), len(reach) - 1)])
+    held = counts.where(F.col("n") >= least).toPandas()
+    return held.sort_values(["n", "word"], ascending=[False, True], kind="stable").head(most)
+
+
 def train(docs: DataFrame, scratch: Scratch, vocabulary: int = VOCABULARY, classes: int = CLASSES, core: int = CORE) -> tuple[BrownModel, DataFrame]:
     """The model of all of ``docs``, and its texts encoded."""
     counts = scratch.save(word_counts(docs), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("types")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).toPandas()
+    top = _most_frequent(counts, vocabulary)
     words, n = top["word"].tolist(), top["n"].to_numpy(dtype=np.float64)
     coded = scratch.save(encode(docs, words), "coded")
     return fit(coded, words, n, int(total["n"] - n.sum()), int(total["types"] - len(words)), classes, core), coded
