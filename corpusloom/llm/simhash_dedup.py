@@ -32,8 +32,8 @@ RADIUS = 8
 PAIR_BITS = 34
 #: A word's weight is its count, up to this: common words steady the sketch of a short text and don't rule that of a long one.
 SATURATION = 8
-#: Rows that one task of the pair search is planned for.
-TABLE_ROWS = 500_000
+#: Rows that one task of the pair search is planned for, and that it holds at a time (or one bucket, if larger).
+TABLE_ROWS, CHUNK_ROWS = 1_000_000, 200_000
 _KNOWN_WORDS = 1 << 20
 
 WORD = re.compile(r"[^\W_]+")
@@ -165,43 +165,44 @@ def bucket_edges(t: np.ndarray, s: np.ndarray, v: np.ndarray, ids: np.ndarray, r
 def near_edges(unique: DataFrame, rows: int, radius: int = RADIUS, pair_bits: int = PAIR_BITS) -> DataFrame:
     """(a, b): edges over ``rep`` of ``unique`` (rep, s, v1, v2) whose components are those of all near pairs."""
     spark = unique.sparkSession
-    parts = partitions_for(spark, rows << radius, TABLE_ROWS)
+    shared = mask_pairs(radius)[0]
+    parts = partitions_for(spark, rows * len(shared), TABLE_ROWS)
     kind = unique.schema["rep"].dataType
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = mask_pairs(radius)[0]
-        k = len(m)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
-                s = b.column(1).to_numpy(zero_copy_only=False)
-                t = np.tile(np.arange(k, dtype=np.int16), len(s))
-                key = (s.astype(np.uint64)[:, None] & m[None, :]).ravel()
-                part = (_mix(key ^ _mix(t.astype(np.uint64) + np.uint64(1))) % np.uint64(parts)).astype(np.int32)
-                again = pa.array(np.repeat(np.arange(len(s)), k))
-                cols = [b.column(i).take(again) for i in range(4)]
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(t), *cols], ["part", "t", "rep", "s", "v1", "v2"])
-
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        whole = pa.Table.from_batches(held)
-        col = {n: whole.column(n).to_numpy() for n in ("t", "s", "v1", "v2")}
-        reps = whole.column("rep").combine_chunks()
-        codes = reps.dictionary_encode()
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= CHUNK_ROWS:
+                t = pa.Table.from_batches(held).combine_chunks()
+                bucket = t.column("bucket").to_numpy()
+                cut = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
+                if cut:
+                    yield edges_of(t.slice(0, cut))
+                    held = t.slice(cut).to_batches()
+                    size = t.num_rows - cut
+        if held:
+            yield edges_of(pa.Table.from_batches(held).combine_chunks())
+
+    def edges_of(t: pa.Table) -> pa.RecordBatch:
+        col = {n: t.column(n).to_numpy() for n in ("t", "s", "v1", "v2")}
+        codes = t.column("rep").combine_chunks().dictionary_encode()
         ids = codes.indices.to_numpy()
         v = np.stack([col["v1"].astype(np.uint64), col["v2"].astype(np.uint64)], axis=1)
         tables = mask_pairs(radius)[1][col["t"]]
         both = np.concatenate([np.arange(len(ids)), np.flatnonzero(tables[:, 1] >= 0)])
-        t = np.concatenate([tables[:, 0], tables[tables[:, 1] >= 0, 1]])
-        a, b = bucket_edges(t, col["s"].astype(np.uint64)[both], v[both], ids[both], radius, pair_bits)
-        yield pa.RecordBatch.from_arrays([codes.dictionary.take(pa.array(a)), codes.dictionary.take(pa.array(b))], ["a", "b"])
+        number = np.concatenate([tables[:, 0], tables[tables[:, 1] >= 0, 1]])
+        a, b = bucket_edges(number, col["s"].astype(np.uint64)[both], v[both], ids[both], radius, pair_bits)
+        return pa.RecordBatch.from_arrays([codes.dictionary.take(pa.array(a)), codes.dictionary.take(pa.array(b))], ["a", "b"])
 
-    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("t", T.ShortType()), T.StructField("rep", kind), *(T.StructField(c, T.LongType()) for c in ("s", "v1", "v2"))])
     edges = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    spreaded = unique.select("rep", "s", "v1", "v2").mapInArrow(spread, schema)
-    return spreaded.repartition(parts, "part").mapInArrow(search, edges)
+    keep = F.array(*[F.lit(int(np.uint64(m).astype(np.int64))) for m in shared])
+    sent = unique.select("rep", "s", "v1", "v2", F.explode(F.sequence(F.lit(0), F.lit(len(shared) - 1))).alias("t"))
+    bucket = F.xxhash64("t", F.element_at(keep, F.col("t") + 1).bitwiseAND(F.col("s")))
+    ordered = sent.repartition(parts, bucket).withColumn("bucket", bucket).sortWithinPartitions("bucket")
+    return ordered.mapInArrow(search, edges)
 
 
 def groups(docs: DataFrame, radius: int = RADIUS, pair_bits: int = PAIR_BITS) -> DataFrame:
