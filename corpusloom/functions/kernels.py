@@ -170,12 +170,22 @@ def minhash(h: np.ndarray, k: int, seed: int) -> np.ndarray:
     """Least value of each of ``k`` permutations; all ones for an empty set."""
     a, b = permutations(k, seed)
     out = np.full(k, MASK, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(h), 512):
-            np.minimum(out, (a[:, None] * h[None, at : at + 512] + b[:, None]).min(axis=1), out=out)
+    room = _room(k)
+    for at in range(0, len(h), len(room)):
+        part = h[at : at + len(room), None]
+        got = room[: len(part)]
+        np.multiply(part, a, out=got)
+        np.add(got, b, out=got)
+        np.minimum(out, np.minimum.reduce(got, axis=0), out=out)
     return out
 
 
+@lru_cache(maxsize=8)
+def _room(k: int) -> np.ndarray:
+    """Room for the permuted values of a stretch of hashes, about what a core's cache holds."""
+    return np.empty((max(16, (1 << 15) // k), k), dtype=np.uint64)
+
+
 def simhash(h: np.ndarray, weights: np.ndarray | None = None) -> int:
     """Bit i is set where the weights of hashes that have it outweigh the others."""
     if not len(h):

@@ -98,6 +98,8 @@ _ALL_LOWER = LOWER | {c: c + 32 for c in range(65, 91)}
 TOKEN_CLASS = "[0-9A-Za-z" + "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in RANGES) + "]"
 TOKEN = re.compile(TOKEN_CLASS + "+")
 ASCII_TOKEN = re.compile("[0-9A-Za-z]+")
+#: For texts within the first plane, where a class is one table lookup.
+BMP_TOKEN = re.compile("[0-9A-Za-z" + "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in RANGES if b <= 0xFFFF) + "]+")
 #: str.lower agrees with the frozen table under these versions, but for two letters.
 _SAME = unicodedata.unidata_version in {"15.0.0", "15.1.0"}
 _ODD = re.compile("[\u0130\u03a3]")
@@ -116,4 +118,7 @@ def lower(text: str) -> str:
 
 def tokens(text: str) -> list[str]:
     """Lower-cased token runs, in order."""
-    return (ASCII_TOKEN if text.isascii() else TOKEN).findall(lower(text))
+    if text.isascii():
+        return ASCII_TOKEN.findall(text.lower())
+    first_plane = len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)
+    return (BMP_TOKEN if first_plane else TOKEN).findall(lower(text))
