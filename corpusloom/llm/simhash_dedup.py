@@ -35,6 +35,7 @@ SATURATION = 8
 #: Rows that one task of the pair search is planned for, and that it holds at a time (or one bucket, if larger).
 TABLE_ROWS, CHUNK_ROWS = 1_000_000, 200_000
 _KNOWN_WORDS = 1 << 20
+_SKETCH = ("s", "v1", "v2")
 
 WORD = re.compile(r"[^\W_]+")
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -163,19 +164,18 @@ def bucket_edges(t: np.ndarray, s: np.ndarray, v: np.ndarray, ids: np.ndarray, r
 
 
 def near_edges(unique: DataFrame, rows: int, radius: int = RADIUS, pair_bits: int = PAIR_BITS) -> DataFrame:
-    """(a, b): edges over ``rep`` of ``unique`` (rep, s, v1, v2) whose components are those of all near pairs."""
+    """(a_s, a_v1, a_v2, b_s, b_v1, b_v2): edges between distinct sketches whose components are those of all near pairs."""
     spark = unique.sparkSession
     shared = mask_pairs(radius)[0]
     parts = partitions_for(spark, rows * len(shared), TABLE_ROWS)
-    kind = unique.schema["rep"].dataType
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        size, limit = 0, CHUNK_ROWS
         for b in batches:
             held.append(b)
             size += b.num_rows
-            if size >= CHUNK_ROWS:
+            if size >= limit:
                 t = pa.Table.from_batches(held).combine_chunks()
                 bucket = t.column("bucket").to_numpy()
                 cut = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
@@ -183,23 +183,28 @@ def near_edges(unique: DataFrame, rows: int, radius: int = RADIUS, pair_bits: in
                     yield edges_of(t.slice(0, cut))
                     held = t.slice(cut).to_batches()
                     size = t.num_rows - cut
+                limit = max(CHUNK_ROWS, 2 * size)
         if held:
             yield edges_of(pa.Table.from_batches(held).combine_chunks())
 
     def edges_of(t: pa.Table) -> pa.RecordBatch:
-        col = {n: t.column(n).to_numpy() for n in ("t", "s", "v1", "v2")}
-        codes = t.column("rep").combine_chunks().dictionary_encode()
-        ids = codes.indices.to_numpy()
-        v = np.stack([col["v1"].astype(np.uint64), col["v2"].astype(np.uint64)], axis=1)
-        tables = mask_pairs(radius)[1][col["t"]]
+        number, *triple = (t.column(n).to_numpy() for n in ("t", *_SKETCH))
+        order = np.lexsort(triple)
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = np.any([c[order][1:] != c[order][:-1] for c in triple], axis=0)
+        ids = np.empty(len(order), dtype=np.int64)
+        ids[order] = np.cumsum(new) - 1
+        first = order[new]
+        s, v = triple[0].astype(np.uint64), np.stack(triple[1:], axis=1).astype(np.uint64)
+        tables = mask_pairs(radius)[1][number]
         both = np.concatenate([np.arange(len(ids)), np.flatnonzero(tables[:, 1] >= 0)])
-        number = np.concatenate([tables[:, 0], tables[tables[:, 1] >= 0, 1]])
-        a, b = bucket_edges(number, col["s"].astype(np.uint64)[both], v[both], ids[both], radius, pair_bits)
-        return pa.RecordBatch.from_arrays([codes.dictionary.take(pa.array(a)), codes.dictionary.take(pa.array(b))], ["a", "b"])
+        each = np.concatenate([tables[:, 0], tables[tables[:, 1] >= 0, 1]])
+        ends = bucket_edges(each, s[both], v[both], ids[both], radius, pair_bits)
+        return pa.RecordBatch.from_arrays([pa.array(c[first[e]]) for e in ends for c in triple], edges.names)
 
-    edges = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    edges = T.StructType([T.StructField(f"{x}_{c}", T.LongType()) for x in "ab" for c in _SKETCH])
     keep = F.array(*[F.lit(int(np.uint64(m).astype(np.int64))) for m in shared])
-    sent = unique.select("rep", "s", "v1", "v2", F.explode(F.sequence(F.lit(0), F.lit(len(shared) - 1))).alias("t"))
+    sent = unique.select(*_SKETCH, F.explode(F.sequence(F.lit(0), F.lit(len(shared) - 1))).alias("t"))
     bucket = F.xxhash64("t", F.element_at(keep, F.col("t") + 1).bitwiseAND(F.col("s")))
     ordered = sent.repartition(parts, bucket).withColumn("bucket", bucket).sortWithinPartitions("bucket")
     return ordered.mapInArrow(search, edges)
@@ -218,7 +223,9 @@ def groups(docs: DataFrame, radius: int = RADIUS, pair_bits: int = PAIR_BITS) ->
     scratch = Scratch(spark, "simhash")
     base = scratch.save(sketches(docs).where("s IS NOT NULL AND doc_id IS NOT NULL"), "sketches")
     unique = scratch.save(base.groupBy("s", "v1", "v2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "unique")
-    edges = scratch.save(near_edges(unique, unique.count(), radius, pair_bits), "edges")
+    edges = scratch.save(near_edges(unique, unique.count(), radius, pair_bits).distinct(), "edges")
+    for x in "ab":
+        edges = edges.join(unique.select(*[F.col(c).alias(f"{x}_{c}") for c in _SKETCH], F.col("rep").alias(x)), [f"{x}_{c}" for c in _SKETCH])
     roots = connected_components(edges).withColumnRenamed("id", "rep")
     named = unique.join(roots, "rep", "left").where("copies > 1 OR root IS NOT NULL").select("s", "v1", "v2", F.coalesce("root", "rep").alias("keep_id"))
     named = scratch.save(named, "named")
