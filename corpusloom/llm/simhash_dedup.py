@@ -33,7 +33,10 @@ PAIR_BITS = 34
 #: A word's weight is its count, up to this: common words steady the sketch of a short text and don't rule that of a long one.
 SATURATION = 8
 #: Rows that one task of the pair search is planned for, and that it holds at a time (or one bucket, if larger).
-TABLE_ROWS, CHUNK_ROWS = 1_000_000, 200_000
+TABLE_ROWS, CHUNK_ROWS = 1_000_000, 100_000
+#: Up to so many distinct sketches a group of four tables, which parts them by 7 bits at least, has buckets that a task
+#: can hold; beyond it tables go in twos, by about 16 bits, and twice the rows are sent.  The pairs found are the same.
+FOURS_ROWS, FOURS_BITS = 100_000_000, 7
 _KNOWN_WORDS = 1 << 20
 _SKETCH = ("s", "v1", "v2")
 
@@ -53,24 +56,30 @@ def masks(radius: int = RADIUS) -> np.ndarray:
 
 
 @lru_cache(maxsize=8)
-def mask_pairs(radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """(shared, tables): masks two by two with the bits both keep, and the tables' numbers (-1: none).
+def mask_groups(radius: int = RADIUS, fours: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(shared, tables): masks in fours, or in twos, with the bits that all of a group keep; tables' numbers (-1: none).
 
-    A row is sent once by the bits that two tables share and meets there all
-    rows that either table would bring to it, so half as many rows are sent.
+    A row is sent once per group by the shared bits and meets there all rows
+    that any table of the group would bring to it.  Tables a, b, c and a^b^c
+    share the bits that are odd with all of the first three, about 8; two share 16.
     """
     m = masks(radius)
-    left, shared, tables = list(range(len(m))), [], []
+    left, shared, tables = dict.fromkeys(range(1, len(m) + 1)), [], []
+    keep = lambda *t: int(np.bitwise_and.reduce([m[x - 1] for x in t]))
     while left:
-        a = left.pop(0)
-        if left:
-            b = max(left, key=lambda x: (int(m[a] & m[x]).bit_count(), -x))
-            left.remove(b)
-            shared.append(m[a] & m[b])
-            tables.append((a, b))
-        else:
-            shared.append(m[a])
-            tables.append((a, -1))
+        group = [next(iter(left))]
+        if len(left) > 1:
+            group.append(max((x for x in left if x != group[0]), key=lambda x: (keep(group[0], x).bit_count(), -x)))
+            a, b = group
+            thirds = [x for x in left if x not in group and x ^ a ^ b in left and x ^ a ^ b not in (a, b)] if fours else []
+            if thirds:
+                c = max(thirds, key=lambda x: (keep(a, b, x).bit_count(), -x))
+                if keep(a, b, c).bit_count() >= FOURS_BITS:
+                    group += [c, a ^ b ^ c]
+        for x in group:
+            del left[x]
+        shared.append(keep(*group))
+        tables.append([x - 1 for x in group] + [-1] * (4 - len(group)))
     return np.array(shared, dtype=np.uint64), np.array(tables)
 
 
@@ -166,7 +175,8 @@ def bucket_edges(t: np.ndarray, s: np.ndarray, v: np.ndarray, ids: np.ndarray, r
 def near_edges(unique: DataFrame, rows: int, radius: int = RADIUS, pair_bits: int = PAIR_BITS) -> DataFrame:
     """(a_s, a_v1, a_v2, b_s, b_v1, b_v2): edges between distinct sketches whose components are those of all near pairs."""
     spark = unique.sparkSession
-    shared = mask_pairs(radius)[0]
+    fours = rows <= FOURS_ROWS
+    shared, group_tables = mask_groups(radius, fours)
     parts = partitions_for(spark, rows * len(shared), TABLE_ROWS)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,10 +206,9 @@ def near_edges(unique: DataFrame, rows: int, radius: int = RADIUS, pair_bits: in
         ids[order] = np.cumsum(new) - 1
         first = order[new]
         s, v = triple[0].astype(np.uint64), np.stack(triple[1:], axis=1).astype(np.uint64)
-        tables = mask_pairs(radius)[1][number]
-        both = np.concatenate([np.arange(len(ids)), np.flatnonzero(tables[:, 1] >= 0)])
-        each = np.concatenate([tables[:, 0], tables[tables[:, 1] >= 0, 1]])
-        ends = bucket_edges(each, s[both], v[both], ids[both], radius, pair_bits)
+        tables = group_tables[number]
+        row, place = np.nonzero(tables >= 0)
+        ends = bucket_edges(tables[row, place], s[row], v[row], ids[row], radius, pair_bits)
         return pa.RecordBatch.from_arrays([pa.array(c[first[e]]) for e in ends for c in triple], edges.names)
 
     edges = T.StructType([T.StructField(f"{x}_{c}", T.LongType()) for x in "ab" for c in _SKETCH])

@@ -310,9 +310,10 @@ def test_covering_masks():
         for _ in range(2000):
             x = sum(1 << b for b in rng.sample(range(64), r))
             assert (np.uint64(x) & m == 0).any()
-        shared, tables = simhash_dedup.mask_pairs(r)
-        assert sorted(t for t in tables.ravel().tolist() if t >= 0) == list(range(len(m)))
-        assert all(s & ~m[t] == 0 for s, pair in zip(shared, tables, strict=True) for t in pair if t >= 0)
+        for fours in (True, False):
+            shared, tables = simhash_dedup.mask_groups(r, fours)
+            assert sorted(t for t in tables.ravel().tolist() if t >= 0) == list(range(len(m)))
+            assert all(s and s & ~m[t] == 0 for s, group in zip(shared, tables, strict=True) for t in group if t >= 0)
 
 
 def brute_groups(df, radius=simhash_dedup.RADIUS, bits=simhash_dedup.PAIR_BITS):
@@ -335,6 +336,11 @@ def brute_groups(df, radius=simhash_dedup.RADIUS, bits=simhash_dedup.PAIR_BITS):
     return {(i, find(i)) for i in grouped}
 
 
+def test_simhash_twos(docs, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "FOURS_ROWS", 0)
+    assert {tuple(r) for r in simhash_dedup.groups(docs).collect()} == brute_groups(docs)
+
+
 def test_simhash_groups(spark, docs, edge, empty):
     for df in (docs, edge):
         assert {tuple(r) for r in simhash_dedup.groups(df).collect()} == brute_groups(df)
