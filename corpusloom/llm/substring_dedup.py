@@ -20,7 +20,6 @@ the same edge wherever the passage stands.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -201,10 +200,12 @@ def compact(edges: DataFrame, scratch: Scratch) -> DataFrame:
     all_edges = edges.select("h").distinct()
     at = all_edges.join(link.select(F.col("n").alias("h"), F.col("h").alias("up")), "h", "left")
     at = scratch.save(at.select("h", F.coalesce("up", "h").alias("top"), F.col("up").isNotNull().cast("int").alias("idx"), F.col("up").isNotNull().alias("open")), "path-0")
-    rounds, total = 0, at.count()
-    while rounds <= math.ceil(math.log2(max(2, total))):
+    rounds, left = 0, 0
+    while True:
         going = at.where("open")
-        if not going.take(1):
+        was, left = left, going.count()
+        # a path with a beginning gives up some of its edges in every round: those that no longer change go in circles
+        if left in (0, was):
             break
         b = at.select(F.col("h").alias("top"), F.col("top").alias("_top"), F.col("idx").alias("_idx"), F.col("open").alias("_open"))
         step = going.join(b, "top").select("h", F.col("_top").alias("top"), (F.col("idx") + F.col("_idx")).alias("idx"), F.col("_open").alias("open"))
