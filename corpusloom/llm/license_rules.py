@@ -5,7 +5,7 @@ expression stands for any white space.  Tiers, strongest first: text (wording of
 the licence itself), grant (a sentence that licenses the work), tag (a machine
 readable mark), name (a named version), family (a name without its version),
 hint (licensing language only).  A rule is tried only on texts that hold one of
-its keywords in lower case.
+its keywords in lower case, so any match of its expression must hold one of them.
 """
 
 TIERS = ("text", "grant", "tag", "name", "family", "hint")
@@ -23,7 +23,7 @@ BSD-2-Clause;text;redistribution and use;redistribution and use in source and bi
 BSD-3-Clause;text;endorse or promote;neither the name of .{1,120}? nor the names of its contributors may be used to endorse or promote products
 BSD-4-Clause;text;advertising materials;all advertising materials mentioning features or use of this software must display the following acknowledge?ment
 BSD-3-Clause-Clear;text;patent rights are granted;no express or implied licenses to any party's patent rights are granted by this license
-BSD-2-Clause-Patent;text;combinations of;subject to the terms and conditions of this license, each copyright holder and contributor hereby grants to those receiving rights under this license a perpetual
+BSD-2-Clause-Patent;text;each copyright holder and contributor hereby grants;subject to the terms and conditions of this license, each copyright holder and contributor hereby grants to those receiving rights under this license a perpetual
 BSD-disclaimer;text;provided by the copyright holders;this software is provided by the copyright holders and contributors "?as is"?
 BSD-disclaimer;text;provided by the regents;this software is provided by the regents and contributors ``?as is''?
 Apache-2.0;text;unless required by applicable law;unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an "as is" basis
@@ -51,7 +51,7 @@ GPL-any;grant;free software;is free software[;:,] you can redistribute it and/or
 LGPL-any;grant;free software;is free software[;:,] you can redistribute it and/or modify it under the terms of the gnu (lesser|library) general public license
 AGPL-any;grant;free software;is free software[;:,] you can redistribute it and/or modify it under the terms of the gnu affero general public license
 GPL-warranty;text;fitness for a particular purpose;without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose
-GPL-copy;text;gnu.org/licenses;you should have received a copy of the gnu (lesser |affero |library )?general public license along with this (program|library|software)
+GPL-copy;text;you should have received a copy;you should have received a copy of the gnu (lesser |affero |library )?general public license along with this (program|library|software)
 Classpath-exception-2.0;text;independent modules;as a special exception, the copyright holders of this library give you permission to link this library with independent modules
 GCC-exception-3.1;text;runtime library exception;gcc runtime library exception
 LLVM-exception;text;llvm exceptions;llvm exceptions to the apache 2\.0 license
@@ -67,8 +67,8 @@ CPL-1.0;text;common public license;the accompanying program is provided under th
 IPL-1.0;text;ibm public license;the accompanying program is provided under the terms of this ibm public license
 CDDL-1.0;text;common development;common development and distribution license \(cddl\) version 1\.0
 CDDL-1.1;text;common development;common development and distribution license \(cddl\) version 1\.1
-EUPL-1.1;text;european union public;licensed under the eupl,? version 1\.1
-EUPL-1.2;text;european union public;licensed under the eupl,? version 1\.2
+EUPL-1.1;text;under the eupl;licensed under the eupl,? version 1\.1
+EUPL-1.2;text;under the eupl;licensed under the eupl,? version 1\.2
 OSL-3.0;text;open software license;licensed under the open software license version 3\.0
 AFL-3.0;text;academic free license;licensed under the academic free license version 3\.0
 AFL-2.1;text;academic free license;licensed under the academic free license version 2\.1
@@ -79,7 +79,7 @@ Zlib;text;plainly marked;altered source versions must be plainly marked as such
 libpng-2.0;text;png reference library;png reference library license version 2
 Unlicense;text;unencumbered;this is free and unencumbered software released into the public domain
 WTFPL;text;what the fuck;do what the fuck you want to public license
-Beerware;text;beer-ware;the beer-?ware license.{0,40}revision 42
+Beerware;text;beer-ware,beerware;the beer-?ware license.{0,40}revision 42
 PostgreSQL;text;without a written agreement;permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement
 NCSA;text;university of illinois;university of illinois/ncsa open source license
 Python-2.0;text;python software foundation;python software foundation license version 2
@@ -87,14 +87,14 @@ PSF-2.0;text;psf hereby;psf hereby grants licensee a nonexclusive, royalty-free,
 CNRI-Python;text;cnri;cnri license agreement
 PHP-3.01;text;php license;the php license, version 3\.01
 PHP-3.0;text;php license;the php license, version 3\.0\b(?!1)
-Artistic-1.0;text;artistic license;the intent of this document is to state the conditions under which a package may be copied
+Artistic-1.0;text;the intent of this document;the intent of this document is to state the conditions under which a package may be copied
 Artistic-2.0;text;artistic license;the artistic license 2\.0
-Ruby;text;ruby;you may redistribute it and/or modify it under either the terms of the (2-clause bsdl|gpl)
+Ruby;text;modify it under either;you may redistribute it and/or modify it under either the terms of the (2-clause bsdl|gpl)
 Vim;text;vim;vim license
 OpenSSL;text;openssl;this product includes software developed by the openssl project
 SSLeay;text;eric young;this product includes cryptographic software written by eric young
-curl;text;curl;permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies
-ICU;text;unicode;icu license - icu 1\.8\.1 and later
+curl;text;with or without fee is hereby granted;permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies
+ICU;text;icu license;icu license - icu 1\.8\.1 and later
 Unicode-DFS-2016;text;unicode;unicode, inc\. license agreement - data files and software
 Unicode-3.0;text;unicode;unicode license v3
 W3C;text;w3c;w3c software (notice and license|and document notice)
@@ -108,7 +108,7 @@ MulanPSL-1.0;text;mulan;mulan permissive software license, version 1
 Ms-PL;text;microsoft public;microsoft public license \(ms-pl\)
 Ms-RL;text;microsoft reciprocal;microsoft reciprocal license \(ms-rl\)
 QPL-1.0;text;q public license;the q public license version 1\.0
-Sleepycat;text;sleepycat;redistributions in any form must be accompanied by information on how to obtain complete source code
+Sleepycat;text;redistributions in any form;redistributions in any form must be accompanied by information on how to obtain complete source code
 LPPL-1.3c;text;latex project;latex project public license.{0,20}version 1\.3c
 CECILL-2.1;text;cecill;cecill free software license agreement version 2\.1
 CECILL-B;text;cecill-b;cecill-b free software license agreement
@@ -215,11 +215,11 @@ ISC;grant;isc license;(released|licensed|distributed|available|published) under
 Unlicense;grant;unlicense;(released|licensed|distributed|available|published) under (the )?unlicense
 Zlib;grant;zlib;(released|licensed|distributed|available|published) under (the )?zlib(/libpng)? license
 EPL-any;grant;eclipse public;(released|licensed|distributed|available|published) under (the )?(terms of )?(the )?eclipse public license(,? (version |v\.? ?)?\d\.\d)?
-Artistic-any;grant;artistic license;(released|licensed|distributed|available|published) under (the )?(same terms as perl itself|(terms of )?(the )?artistic license)
+Artistic-any;grant;artistic license,same terms as perl;(released|licensed|distributed|available|published) under (the )?(same terms as perl itself|(terms of )?(the )?artistic license)
 CC-any;grant;creative commons;(released|licensed|distributed|available|published) under (the |a )?(terms of )?(the |a )?creative commons [a-z -]{0,60}licen[cs]e
 public-domain;grant;public domain;(released|placed|dedicated) (in|into|to) the public domain
 Perl;grant;perl;you can redistribute it and/or modify it under the same terms as perl
-same-terms;grant;same terms;under the same (terms|license) as the (original|project|main program)
+same-terms;grant;under the same;under the same (terms|license) as the (original|project|main program)
 dual-MIT-Apache;grant;apache;(dual[- ])?licensed under (either of |either )?(the )?(mit (license )?(or|and|/) (the )?apache|apache[^\n]{0,40} (or|and|/) (the )?mit)
 GPL-3.0;name;general public license;gnu general public license,? (version |v\.? ?)3(\.0)?
 GPL-2.0;name;general public license;gnu general public license,? (version |v\.? ?)2(\.0)?
@@ -239,7 +239,7 @@ EPL-2.0;name;eclipse public;eclipse public license,? (- )?(version |v\.? ?)2\.0
 EPL-1.0;name;eclipse public;eclipse public license,? (- )?(version |v\.? ?)1\.0
 CDDL;name;common development;common development and distribution license
 BSL-1.0;name;boost software;boost software license
-ODbL-1.0;name;open database;open (data commons )?(open )?database license
+ODbL-1.0;name;database license;open (data commons )?(open )?database license
 PDDL-1.0;name;public domain dedication;public domain dedication and license
 CDLA-Permissive-2.0;name;community data license;community data license agreement - permissive - version 2\.0
 CDLA-Sharing-1.0;name;community data license;community data license agreement - sharing - version 1\.0
@@ -250,9 +250,9 @@ OGL-UK-3.0;name;open government;open government licen[cs]e v3\.0
 OGL-UK-any;name;open government;open government licen[cs]e
 DL-DE-BY-2.0;name;datenlizenz;datenlizenz deutschland[^\n]{0,5}namensnennung[^\n]{0,5}version 2\.0
 GFDL-any;name;free documentation;gnu free documentation license
-MIT;family;mit license;\bmit licen[cs]e
-X11;family;x11 license;\bx11 licen[cs]e
-ISC;family;isc license;\bisc licen[cs]e
+MIT;family;mit licen;\bmit licen[cs]e
+X11;family;x11 licen;\bx11 licen[cs]e
+ISC;family;isc licen;\bisc licen[cs]e
 BSD-any;family;bsd;\bbsd[- ](style )?licen[cs]e
 GPL-any;family;general public license;gnu general public license
 LGPL-any;family;lesser general public,library general public;gnu (lesser|library) general public license
@@ -261,14 +261,14 @@ Apache-any;family;apache;apache (software )?licen[cs]e
 MPL-any;family;mozilla public;mozilla public licen[cs]e
 EPL-any;family;eclipse public;eclipse public licen[cs]e
 EUPL-any;family;european union public;european union public licen[cs]e
-Artistic-any;family;artistic license;\bartistic licen[cs]e
+Artistic-any;family;artistic licen;\bartistic licen[cs]e
 CC-any;family;creative commons;creative commons
 OFL-any;family;open font;open font licen[cs]e
 CECILL-any;family;cecill;\bcecill\b
 SSPL-any;family;server side public;server side public licen[cs]e
 MS-any;family;microsoft;microsoft (public|reciprocal|limited public) licen[cs]e
 GPL-abbreviation;family;gpl;\b[al]?gpl(v[123](\.\d)?|-[123]\.\d)\+?
-CC-abbreviation;family;cc by,cc-by;\bcc[- ]by(-nc)?(-sa|-nd)?( \d\.\d)?\b
+CC-abbreviation;family;cc by,cc-by,cc+by;\bcc[- ]by(-nc)?(-sa|-nd)?( \d\.\d)?\b
 CC0-abbreviation;family;cc0;\bcc0\b
 proprietary;hint;proprietary;\bproprietary (and confidential|software|licen[cs]e)
 confidential;hint;confidential;strictly confidential|confidential and proprietary
@@ -276,20 +276,20 @@ all-rights-reserved;hint;all rights reserved;all rights reserved
 all-rights-reserved-fr;hint;tous droits;tous droits r[ée]serv[ée]s
 all-rights-reserved-de;hint;alle rechte;alle rechte vorbehalten
 all-rights-reserved-es;hint;todos los derechos;todos los derechos reservados
-no-redistribution;hint;redistribut;(may not|do not|no) (be )?(copied|copy|reproduced?|redistribut(e|ed|ion))\b
+no-redistribution;hint;redistribut,copied,copy,reproduce;(may not|do not|no) (be )?(copied|copy|reproduced?|redistribut(e|ed|ion))\b
 non-commercial;hint;commercial;(for )?non-?commercial (use|purposes?) only
 personal-use;hint;personal use;for personal use only
-permission-required;hint;permission;without (the )?(prior|express) (written )?(permission|consent)
+permission-required;hint;without prior,without express,without the prior,without the express;without (the )?(prior|express) (written )?(permission|consent)
 copyright-notice;hint;copyright;copyright (\(c\)|©)? ?(19|20)\d\d( ?[-–,] ?(19|20)\d\d)*
 copyright-sign;hint;©,(c);(©|\(c\)) ?(19|20)\d\d
-eula;hint;end user,end-user;end[- ]user licen[cs]e agreement
+eula;hint;end user,end-user,end+user;end[- ]user licen[cs]e agreement
 trademark;hint;trademark;(registered )?trademarks? of .{1,60}?(inc|corp|ltd|gmbh)\b
 terms-of-use;hint;terms of;(subject to|accept) (the|these|our) terms of (use|service)
-see-license;hint;license;(see|in) (the )?licen[cs]e(\.(txt|md))? file
+see-license;hint;license file,licence file,license.txt file,licence.txt file,license.md file,licence.md file;(see|in) (the )?licen[cs]e(\.(txt|md))? file
 licensed-under;hint;licensed under;licensed under (the )?[a-z][^\n.]{2,60}
-work-licensed;hint;is licensed;this (work|project|software|content|document|dataset) is licen[cs]ed
+work-licensed;hint;is licensed,is licenced;this (work|project|software|content|document|dataset) is licen[cs]ed
 public-domain;hint;public domain;\bpublic domain\b
 copyleft;hint;copyleft;\bcopyleft\b
-open-source;hint;open source,open-source;\bopen[- ]source (software|licen[cs]e)
+open-source;hint;open source,open-source,open+source;\bopen[- ]source (software|licen[cs]e)
 warranty-disclaimer;hint;as is;provided "?as is"?,? without (any )?warrant(y|ies)
 """

@@ -2,6 +2,8 @@
 
 import collections
 import random
+import re._constants as sre
+import re._parser as sre_parser
 
 import duckdb
 import numpy as np
@@ -93,6 +95,52 @@ def test_license_rules():
     assert license_scan.detect("nothing to see") == []
 
 
+def sample_match(rng, seq):
+    """A random text that a parsed expression matches, as far as its look-arounds allow."""
+    out = ""
+    for op, arg in seq:
+        if op == sre.LITERAL:
+            out += rng.choice((chr(arg).lower(), chr(arg).upper())) if chr(arg).isascii() else chr(arg)
+        elif op == sre.IN:
+            kind, value = rng.choice(arg)
+            out += {sre.LITERAL: lambda v: chr(v), sre.RANGE: lambda v: chr(rng.randint(*v)), sre.NEGATE: lambda v: "x", sre.CATEGORY: lambda v: rng.choice(" \n\t") if v == sre.CATEGORY_SPACE else "7"}[kind](value)
+        elif op in (sre.ANY, sre.NOT_LITERAL):
+            out += "x"
+        elif op == sre.SUBPATTERN:
+            out += sample_match(rng, arg[3])
+        elif op == sre.BRANCH:
+            out += sample_match(rng, rng.choice(arg[1]))
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+            out += "".join(sample_match(rng, arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 2))))
+    return out
+
+
+def test_license_keywords_are_implied():
+    """The prefilter tries a rule on whatever its expression matches."""
+    rng, hit, missed = random.Random(3), set(), []
+    for r in license_scan.rules():
+        parsed = sre_parser.parse(r.pattern.pattern, r.pattern.flags)
+        for _ in range(60):
+            text = sample_match(rng, parsed)
+            if r.pattern.search(text):
+                hit.add(r.rule_id)
+                if not any(k in license_scan._flat(text) for k in r.keywords):
+                    missed.append((r.license, text))
+    assert len(hit) == len(license_scan.rules()) and missed == []
+
+
+def test_license_scan_brute_without_prefilter(docs):
+    spelled = ["MIT licence", "Licensed under the EUPL, version 1.2", "You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation", "under the same license as the original", "see the licence file", "This work is licenced", "may not be copied", "without prior consent"]
+    for text in [*spelled, *(r.text for r in docs.select("text").limit(200).collect())]:
+        found = [license_scan.Detection(*m.span(), r) for r in license_scan.rules() for m in r.pattern.finditer(text) if m.end() > m.start()]
+        kept = []
+        for d in sorted(found, key=lambda d: (d.rule.priority, d.start - d.end, d.start)):
+            if not any(k.start <= d.start and d.end <= k.end for k in kept):
+                kept.append(d)
+        assert set(license_scan.detect(text)) == set(kept)
+    assert [[d.rule.license for d in license_scan.detect(t)] for t in spelled] == [["MIT"], ["EUPL-1.2"], ["GPL-copy"], ["same-terms"], ["see-license"], ["work-licensed"], ["no-redistribution"], ["permission-required"]]
+
+
 def test_license_scan(spark, docs, edge, empty):
     planted = frame(spark, [(1, "Released under the MIT License. Released under the MIT License."), (1, "Released under the MIT License. Released under the MIT License."), (2, LONG + "\nAll rights\treserved."), (3, "Licensed under CC BY-NC 4.0."), (4, None), (None, "see LICENSE file")])
     got = license_scan.license_scan(planted).collect()
