@@ -13,15 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
-#: Bound on the labelled rows that the classifier is fitted on.
-TRAIN_ROWS = 1500
+#: Labelled rows that the classifier is fitted on, shared by the languages; rows that each gives in any case, if it has them.
+TRAIN_ROWS, LANG_ROWS = 1500, 50
 TRAIN_WINDOWS = 8000
 EPOCHS = 4
 #: Little above chance among a few classes: a text is rejected only if nothing in it speaks for one.
@@ -137,14 +137,53 @@ def train(texts: list[bytes], labels: list[str], seed: int = 7) -> ByteCNN | Non
     return ByteCNN(classes, params[:3], params[3].astype(np.float32), params[4].astype(np.float32), params[5].astype(np.float32))
 
 
+def _least_hashes(keyed: DataFrame, most: int) -> DataFrame:
+    """(lang, h): the ``most`` least distinct hashes of each language within each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for b in batches:
+            langs, h = b.column(0).dictionary_encode(), b.column(1).to_numpy()
+            code = langs.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            for lang, own in zip(langs.dictionary.to_pylist(), np.split(h[order], np.cumsum(np.bincount(code))[:-1]), strict=True):
+                held[lang] = np.unique(np.concatenate([held[lang], own]) if lang in held else own)[:most]
+        names = [x for x, own in held.items() for _ in own]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate([*held.values(), np.zeros(0, np.int64)]), pa.int64())], ["lang", "h"])
+
+    return keyed.mapInArrow(run, "lang string, h bigint")
+
+
+def shares(held: dict[str, int], rows: int, least: int = LANG_ROWS) -> int:
+    """The most rows of one language: as many as fill ``rows`` in all, and ``least`` in any case."""
+    left, many = rows, sorted(held.values())
+    for i, n in enumerate(many):
+        if n * (len(many) - i) >= left:
+            return max(least, -(-left // (len(many) - i)))
+        left -= n
+    return max([least, *many])
+
+
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> ByteCNN | None:
-    """Fit on at most ``train_rows`` rows with text and lang, picked by a hash of doc_id."""
-    total = max(1, docs.count())
-    share = min(1.0, 1.3 * train_rows / total)
-    h = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("train")), F.lit(1 << 30))
-    rows = docs.where((h < int(share * (1 << 30))) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    picked = rows.select(h.alias("h"), "lang", "text").toPandas().sort_values(["h", "text"]).head(train_rows)
-    return train([t.encode() for t in picked["text"]], picked["lang"].astype(str).tolist())
+    """Fit on the labelled rows with text, picked by a hash of doc_id and text; repeated rows count once.
+
+    Languages share ``train_rows`` evenly: what one has too few rows for goes to
+    the others, and each gives LANG_ROWS if it has them, even where that makes
+    more than ``train_rows``.  Neither unlabelled rows nor the size of the table
+    matter, and every language with a labelled row is a class.
+    """
+    h = F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit("train"))
+    rows = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select(F.col("lang").cast("string").alias("lang"), h.alias("h"), "text")
+    most = max(train_rows, LANG_ROWS)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    near = _least_hashes(rows.select("lang", "h"), most).distinct().withColumn("place", place).where(F.col("place") <= most).toPandas()
+    share = shares(near.groupby("lang").size().to_dict(), train_rows)
+    near = near[near["place"] <= share]
+    if not len(near):
+        return None
+    cut = docs.sparkSession.createDataFrame(near.groupby("lang", as_index=False)["h"].max().rename(columns={"h": "cut"}), "lang string, cut bigint")
+    picked = rows.join(F.broadcast(cut), "lang").where(F.col("h") <= F.col("cut")).groupBy("lang", "h").agg(F.min("text").alias("text")).toPandas().sort_values(["h", "lang", "text"])
+    return train([t.encode() for t in picked["text"]], picked["lang"].tolist())
 
 
 def identify(texts: list[str | None], model: ByteCNN | None, threshold: float = ACCEPT) -> tuple[list, list, list]:

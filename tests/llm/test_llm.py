@@ -432,6 +432,19 @@ def test_langid_features_brute():
         assert np.allclose(got[n], np.maximum(np.array(want) + model.bias, 0), atol=1e-4)
 
 
+def test_langid_fits_on_whatever_is_labelled(spark):
+    """Few labels among many rows, a rare language, rows without ids: the size of the table does not matter."""
+    said = {"en": "the cat sat on the mat and ", "de": "straße über öl und mehr ", "el": "γλώσσα και λόγος "}
+    labelled = [(i, said[x] + prose(i, 5), x) for i, x in enumerate(["en"] * 12 + ["de"] * 7)] + [(None, said["el"], "el")] * 3
+    junk = [(i, prose(i, 4), None) for i in range(100, 3100)]
+    small, large = (langid.fit(frame(spark, r), 10) for r in (labelled, labelled + junk))
+    assert small.classes == large.classes == ["de", "el", "en"]
+    assert all(np.array_equal(a, b) for a, b in zip(small.filters, large.filters, strict=True)) and np.array_equal(small.out, large.out)
+    skewed = [(i, said["en"] + prose(i, 5), "en") for i in range(4000)] + [(i, said["el"] + prose(i, 2), "el") for i in range(4000, 4002)]
+    assert langid.fit(frame(spark, skewed), 60).classes == ["el", "en"]
+    assert [langid.shares(n, 100, 5) for n in ({}, {"a": 9}, {"a": 9, "b": 500, "c": 500}, {str(i): 50 for i in range(40)})] == [5, 9, 46, 5]
+
+
 def test_language_id(spark, docs, edge, empty):
     mixed = docs.select("doc_id", "text", "lang").unionByName(edge.select("doc_id", "text", F.lit(None).cast("string").alias("lang")))
     got = langid.language_id(mixed).collect()
