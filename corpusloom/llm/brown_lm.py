@@ -1,12 +1,16 @@
 """Brown class-based bigram model: P(w | v) = P(class w | class v) P(w | class w).
 
-Word counts are taken over the whole corpus.  The most frequent words are
-clustered by exchange: each in turn moves to the class that raises the
-likelihood of the corpus's class bigrams most, until none moves.  The other
-words of the vocabulary join the class whose neighbours are most like theirs.
-Words beyond the vocabulary share one class, in which all are equally likely.
-Class transitions are then counted over the whole corpus and smoothed towards
-the frequency of classes.
+Every word has counts, a class and an emission of its own; ids are ranks by
+count.  The most frequent words are clustered by exchange one at a time: each in
+turn moves to the class that raises the likelihood of the corpus's class bigrams
+most, until none moves.  The others join the class whose neighbours are most
+like theirs.  Then all words are exchanged in sweeps over tables of their
+neighbours, half of them at once, and a sweep is kept if the likelihood of all
+bigrams rises by it.  Class transitions are then counted over the whole corpus
+and smoothed towards the frequency of classes.
+
+With a bound on the vocabulary, words beyond it share one class, in which all
+are equally likely.
 """
 
 from __future__ import annotations
@@ -22,12 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import Scratch
+from corpusloom.llm.common import Scratch, partitions_for
 from corpusloom.llm.simhash_dedup import WORD
 
-CLASSES = 32
-#: Words clustered by exchange, words with an emission probability of their own, rounds of exchange at most.
-CORE, VOCABULARY, ROUNDS = 512, 65_534, 20
+#: Classes at least; they grow with the words as words ** GROWTH.
+CLASSES, GROWTH = 32, 0.27
+#: Words clustered one at a time before all are exchanged (more if classes need them), rounds of that and sweeps over all words at most.
+CORE, ROUNDS, SWEEPS = 512, 20, 4
+#: Words that a task encodes by a dictionary; all others are encoded by a join.
+HEAD = 1 << 16
+#: Words with as many neighbours move by the exact gain, rarer ones by its derivative.
+EXACT = 128
 #: Counts added: to a transition in all, to each word within its class.
 PRIOR, EMISSION = 16.0, 0.5
 _FLUSH = 500_000
@@ -51,19 +60,59 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def encode(docs: DataFrame, words: list[str]) -> DataFrame:
-    """(doc_id, ids): a text's words as two-byte ranks in ``words``; len(words) stands for any other."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("ids", T.BinaryType())])
+def encode(docs: DataFrame, words: list[str], v: int) -> DataFrame:
+    """(row, doc_id, ids, tail): a text's words as four-byte ranks in ``words``.
+
+    If ``v`` is above len(words), -1 stands for any other word and ``tail`` has
+    these in order; else len(words) stands for them.
+    """
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("ids", T.BinaryType()), T.StructField("tail", T.ArrayType(T.StringType()))])
     shared = docs.sparkSession.sparkContext.broadcast(words)
+    more = v > len(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = {w: i for i, w in enumerate(shared.value)}
-        other, get = len(rank), rank.get
+        other, get = -1 if more else len(rank), rank.get
+        for b in batches:
+            found = [WORD.findall(t.lower()) if t else [] for t in b.column(2).to_pylist()]
+            out = [np.fromiter([get(w, other) for w in ws], dtype=np.int32).tobytes() for ws in found]
+            tail = [[w for w in ws if w not in rank] if more else [] for ws in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary()), pa.array(tail, pa.list_(pa.string()))], [f.name for f in schema])
+
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, schema)
+
+
+def _ranked(counts: DataFrame, last: pd.Series, first: int, v: int, scratch: Scratch) -> DataFrame:
+    """(word, n, id) of the words after ``last`` by count and code points, numbered from ``first`` to ``v``."""
+    rest = counts.where((F.col("n") < int(last["n"])) | ((F.col("n") == int(last["n"])) & (F.col("word") > last["word"])))
+    order = scratch.save(rest.orderBy(F.desc("n"), "word").withColumn("at", F.monotonically_increasing_id()), "order")
+    sizes = order.groupBy(F.shiftright("at", 33).alias("part")).count().toPandas().sort_values("part")
+    sizes["start"] = first + sizes["count"].cumsum() - sizes["count"]
+    starts = counts.sparkSession.createDataFrame(sizes[["part", "start"]], "part bigint, start bigint")
+    ids = order.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(starts), "part")
+    return ids.select("word", "n", (F.col("start") + F.col("at").bitwiseAND((1 << 33) - 1)).cast("int").alias("id")).where(F.col("id") < v)
+
+
+def _fill(part: DataFrame, ranks: DataFrame, v: int) -> DataFrame:
+    """(doc_id, ids) with the tails of encoded texts as the ids of ``ranks``; ``v`` for words that have none."""
+    tokens = part.where(F.size("tail") > 0).select("row", F.posexplode("tail").alias("pos", "word"))
+    found = tokens.join(ranks.select("word", "id"), "word", "left").select("row", (F.shiftleft(F.col("pos").cast("bigint"), 32) + F.coalesce("id", F.lit(v))).alias("at"))
+    lists = found.groupBy("row").agg(F.array_sort(F.collect_list("at")).alias("at"))
+    joined = part.select("row", "doc_id", "ids").join(lists, "row", "left").select("doc_id", "ids", "at")
+    schema = T.StructType([part.schema["doc_id"], part.schema["ids"]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [np.fromiter([get(w, other) for w in WORD.findall(t.lower())] if t else [], dtype=np.uint16).tobytes() for t in b.column(1).to_pylist()]
+            out = []
+            for raw, at in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                if at.is_valid:
+                    ids = np.frombuffer(raw, dtype=np.int32).copy()
+                    ids[ids < 0] = (at.values.to_numpy() & 0xFFFFFFFF).astype(np.int32)
+                    raw = ids.tobytes()
+                out.append(raw)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema)
 
 
 def _count_cells(coded: DataFrame, cells) -> DataFrame:
@@ -80,7 +129,7 @@ def _count_cells(coded: DataFrame, cells) -> DataFrame:
 
         for b in batches:
             for raw in b.column(0).to_pylist():
-                got = cells(np.frombuffer(raw, dtype=np.uint16).astype(np.int64))
+                got = cells(np.frombuffer(raw, dtype=np.int32).astype(np.int64))
                 held.append(got)
                 size += len(got)
                 if size > 4_000_000:
@@ -102,6 +151,26 @@ def likelihood(m: np.ndarray) -> float:
     return float(_phi(m).sum() - _phi(m.sum(axis=1)).sum() - _phi(m.sum(axis=0)).sum())
 
 
+def _gain(m: np.ndarray, a: int, right: np.ndarray, left: np.ndarray, own: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of moving a word of class ``a`` to each class, up to a constant, and ``m`` without the word; ``own`` counts the word beside itself."""
+    k = len(m)
+    base = m.copy()
+    base[a] -= right
+    base[:, a] -= left
+    base[a, a] -= own
+    rows, cols = base.sum(axis=1), base.sum(axis=0)
+    # row b gains right, column b gains left, cell (b, b) gains both and own
+    gain = (_phi(base + right[None, :]) - _phi(base)).sum(axis=1) + (_phi(base + left[:, None]) - _phi(base)).sum(axis=0)
+    d = np.diag(base)
+    gain += _phi(d + right + left + own) - _phi(d + right) - _phi(d + left) + _phi(d)
+    gain -= _phi(rows + right.sum() + own) + _phi(cols + left.sum() + own) - _phi(rows) - _phi(cols)
+    gain -= (_phi(rows[None, :] + np.where(np.eye(k, dtype=bool), 0.0, left[None, :])) - _phi(rows[None, :])).sum(axis=1)
+    gain -= (_phi(cols[None, :] + np.where(np.eye(k, dtype=bool), 0.0, right[None, :])) - _phi(cols[None, :])).sum(axis=1)
+    gain += _phi(rows + right.sum() + own) - _phi(rows + right.sum() + own + left)
+    gain += _phi(cols + left.sum() + own) - _phi(cols + left.sum() + own + right)
+    return gain, base
+
+
 def exchange(counts: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
     """Class of each word from their bigram counts; the likelihood never falls from one move to the next."""
     n = len(counts)
@@ -119,20 +188,7 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -
             own = w[i, i]
             right[a] -= own
             left[a] -= own
-            base = m.copy()
-            base[a] -= right
-            base[:, a] -= left
-            base[a, a] -= own
-            rows, cols = base.sum(axis=1), base.sum(axis=0)
-            # row b gains right, column b gains left, cell (b, b) gains both and own
-            gain = (_phi(base + right[None, :]) - _phi(base)).sum(axis=1) + (_phi(base + left[:, None]) - _phi(base)).sum(axis=0)
-            d = np.diag(base)
-            gain += _phi(d + right + left + own) - _phi(d + right) - _phi(d + left) + _phi(d)
-            gain -= _phi(rows + right.sum() + own) + _phi(cols + left.sum() + own) - _phi(rows) - _phi(cols)
-            gain -= (_phi(rows[None, :] + np.where(np.eye(k, dtype=bool), 0.0, left[None, :])) - _phi(rows[None, :])).sum(axis=1)
-            gain -= (_phi(cols[None, :] + np.where(np.eye(k, dtype=bool), 0.0, right[None, :])) - _phi(cols[None, :])).sum(axis=1)
-            gain += _phi(rows + right.sum() + own) - _phi(rows + right.sum() + own + left)
-            gain += _phi(cols + left.sum() + own) - _phi(cols + left.sum() + own + right)
+            gain, base = _gain(m, a, right, left, own)
             b = int(np.argmax(gain))
             if b != a and gain[b] <= gain[a] + 1e-9 * abs(gain[a]):
                 b = a
@@ -146,9 +202,151 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -
     return c
 
 
+def neighbours(coded: DataFrame, v: int, parts: int) -> DataFrame:
+    """(word, side, other, n): blocks of the bigrams of all words below ``v``, all of a word's in one block.
+
+    A block's entries are sorted by ``word``; ``other`` follows it on side 0 and precedes it on side 1.
+    """
+    low = (1 << 32) - 1
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def pack():
+            key = np.concatenate(held)
+            for side, x in enumerate((key, ((key & low) << 32) | (key >> 32))):
+                u, c = np.unique(x, return_counts=True)
+                w = u >> 32
+                start = np.flatnonzero(np.diff(w, prepend=-1))
+                ends = pa.py_buffer(np.append(start, len(w)).astype(np.int32) * 4)
+                blob = lambda z: pa.Array.from_buffers(pa.binary(), len(start), [None, ends, pa.py_buffer(z.astype(np.int32))])  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(w[start].astype(np.int32)), pa.array(np.full(len(start), side, np.int32)), blob(u & low), blob(c)], ["word", "side", "other", "n"])
+
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                ids = np.frombuffer(raw, dtype=np.int32).astype(np.int64)
+                x, y = ids[:-1], ids[1:]
+                known = (x < v) & (y < v)
+                held.append((x[known] << 32) | y[known])
+                size += len(held[-1])
+                if size > 1_000_000:
+                    yield from pack()
+                    held, size = [], 0
+        if size:
+            yield from pack()
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, limit = [], 0, 250_000
+
+        def pack(x):
+            u, inverse = np.unique((x[0] * 2 + x[1]) << 31 | x[2], return_inverse=True)
+            n = np.bincount(inverse, weights=x[3]).astype(np.int64)
+            cols = [(u >> 32).astype(np.int32), ((u >> 31) & 1).astype(np.uint8), (u & ((1 << 31) - 1)).astype(np.int32), n]
+            return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cols], ["word", "side", "other", "n"])
+
+        for b in batches:
+            other, n = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.int32) for i in (2, 3))
+            sizes = np.diff(np.frombuffer(b.column(2).buffers()[1], dtype=np.int32)[b.column(2).offset :][: len(b.column(2)) + 1]) // 4
+            held.append(np.stack([np.repeat(b.column(0).to_numpy(), sizes), np.repeat(b.column(1).to_numpy(), sizes), other, n]).astype(np.int64))
+            size += len(other)
+            if size > limit:
+                x = np.concatenate(held, axis=1)
+                cut = int(np.searchsorted(x[0], x[0, -1]))
+                if cut:
+                    yield pack(x[:, :cut])
+                held, size = [x[:, cut:]], x.shape[1] - cut
+                limit = max(250_000, 2 * size)
+        if size:
+            yield pack(np.concatenate(held, axis=1))
+
+    spread = coded.select("ids").mapInArrow(pieces, "word int, side int, other binary, n binary").repartition(parts, "word").sortWithinPartitions("word")
+    return spread.mapInArrow(blocks, "word binary, side binary, other binary, n binary")
+
+
+def _entries(b: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+    """The entries of blocks, some thousand words at a time."""
+    for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        cols = [np.frombuffer(x, dtype=d) for x, d in zip(row, (np.int32, np.uint8, np.int32, np.int64), strict=True)]
+        start = np.flatnonzero(np.diff(cols[0], prepend=-1))[::8192].tolist()
+        for i, j in zip(start, [*start[1:], len(cols[0])], strict=True):
+            yield [c[i:j] for c in cols]
+
+
+def class_bigrams(blocks: DataFrame, named: np.ndarray, k: int) -> np.ndarray:
+    """Bigrams by class, of the words that have one of ``k``."""
+    shared = blocks.sparkSession.sparkContext.broadcast(named)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, of = np.zeros(k * k), shared.value
+        for b in batches:
+            for w, side, o, n in _entries(b):
+                x, y = of[w].astype(np.int64), of[o]
+                use = (side == 0) & (x < k) & (y < k)
+                m += np.bincount(x[use] * k + y[use], weights=n[use], minlength=k * k)
+        cell = np.flatnonzero(m)
+        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(m[cell].astype(np.int64), pa.int64())], ["cell", "n"])
+
+    m = np.zeros(k * k)
+    got = blocks.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    m[got["cell"].to_numpy(dtype=np.int64)] = got["n"].to_numpy()
+    shared.unpersist()
+    return m.reshape(k, k)
+
+
+def proposals(blocks: DataFrame, named: np.ndarray, m: np.ndarray, sweep: int) -> np.ndarray:
+    """``named`` after moves that each raise the likelihood by itself: at sweep 0 of words without a class, later of every other word."""
+    k = len(m)
+    shared = blocks.sparkSession.sparkContext.broadcast((named, m))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, m = shared.value
+        soft = m + 0.5
+        pmi = np.log(soft * soft.sum() / (soft.sum(axis=1)[:, None] * soft.sum(axis=0)[None, :]))
+        for b in batches:
+            for w, side, o, n in _entries(b):
+                u, place = np.unique(w, return_inverse=True)
+                c, self = of[o].astype(np.int64), o == w
+                use = (c < k) & ~self
+                seen = np.bincount((place[use] * 2 + side[use]) * k + c[use], weights=n[use], minlength=len(u) * 2 * k).reshape(len(u), 2, k)
+                own = np.bincount(place[self & (side == 0)], weights=n[self & (side == 0)], minlength=len(u))
+                now = of[u].astype(np.int64)
+                score = seen[:, 0] @ pmi.T + seen[:, 1] @ pmi
+                best, total = score.argmax(axis=1), seen.sum(axis=(1, 2))
+                free = (total > 0) & ((now == k) if sweep == 0 else (now == k) | ((u + sweep) % 2 == 0))
+                for i in np.flatnonzero(free & (now < k) & (total >= EXACT)):
+                    gain = _gain(m, now[i], seen[i, 0], seen[i, 1], own[i])[0]
+                    best[i] = int(np.argmax(gain))
+                    if gain[best[i]] <= gain[now[i]] + 1e-9 * abs(gain[now[i]]):
+                        best[i] = now[i]
+                held = score[np.arange(len(u)), np.minimum(now, k - 1)]
+                rare = (total < EXACT) & (now < k)
+                moved = free & (best != now) & ~(rare & (score.max(axis=1) <= held + 1e-9 * np.abs(held)))
+                yield pa.RecordBatch.from_arrays([pa.array([u[moved].astype(np.int32).tobytes()], pa.binary()), pa.array([best[moved].astype(np.int16).tobytes()], pa.binary())], ["word", "class"])
+
+    out = named.copy()
+    for r in blocks.mapInArrow(run, "word binary, class binary").collect():  # a row for thousands of words: the driver makes an object of each
+        out[np.frombuffer(r[0], dtype=np.int32)] = np.frombuffer(r[1], dtype=np.int16)
+    shared.unpersist()
+    return out
+
+
+def sweeps(blocks: DataFrame, named: np.ndarray, k: int, most: int = SWEEPS) -> np.ndarray:
+    """Classes of all words from those of a few; class ``k`` stays for words that are beside none with a class."""
+    m = class_bigrams(blocks, named, k)
+    while not np.array_equal(placed := proposals(blocks, named, m, 0), named):
+        named, m = placed, class_bigrams(blocks, placed, k)
+    for sweep in range(1, most + 1):
+        moved = proposals(blocks, named, m, sweep)
+        after = class_bigrams(blocks, moved, k)
+        if likelihood(after) <= likelihood(m):
+            break
+        named, m = moved, after
+    return named
+
+
 @dataclass
 class BrownModel:
-    """``classes`` has the class of each word rank (the last for words beyond the vocabulary);
+    """``words`` are the first ranks; ``classes`` has the class of each rank (the last for words beyond the vocabulary);
     ``emit`` log P(word | class); ``step`` log P(class | class before), its last row for a text's start."""
 
     words: list[str]
@@ -162,9 +360,9 @@ class BrownModel:
         return float(self.step[before, c].sum() + self.emit[ids].sum())
 
 
-def fit(coded: DataFrame, words: list[str], n: np.ndarray, others: int, other_types: int, classes: int = CLASSES, core: int = CORE) -> BrownModel:
-    """Fit on encoded texts, given the counts of ``words`` and of all other words."""
-    v, k0 = len(words), min(core, len(words))
+def fit(coded: DataFrame, words: list[str], n: np.ndarray, others: int, other_types: int, scratch: Scratch, classes: int, core: int = CORE) -> BrownModel:
+    """Fit on encoded texts, given the counts of all words that have an id and of all others."""
+    v, k0 = len(n), min(core, len(n))
 
     def core_pairs(ids: np.ndarray) -> np.ndarray:
         a, b = ids[:-1], ids[1:]
@@ -177,41 +375,20 @@ def fit(coded: DataFrame, words: list[str], n: np.ndarray, others: int, other_ty
     counts = counts.reshape(k0, k0)
     k = max(1, min(classes, k0))
     of = exchange(counts, k) if k0 else np.zeros(0, np.int64)
-    named = np.full(v + 1, k, dtype=np.int64)  # class k: beyond the vocabulary, or never beside a core word
+    named = np.full(v + 1, k, dtype=np.int16)  # class k: beyond the vocabulary, or beside no word
     named[:k0] = of
     if v > k0:
-        one = np.eye(k)[of]
-        m = one.T @ counts @ one + 0.5
-        pmi = np.log(m * m.sum() / (m.sum(axis=1)[:, None] * m.sum(axis=0)[None, :]))
-        of16 = of
-
-        def beside(ids: np.ndarray) -> np.ndarray:
-            a, b = ids[:-1], ids[1:]
-            after = (a >= k0) & (a < v) & (b < k0)
-            ahead = (b >= k0) & (b < v) & (a < k0)
-            return np.concatenate([a[after] * (2 * k) + of16[b[after]], b[ahead] * (2 * k) + k + of16[a[ahead]]])
-
-        cells = _count_cells(coded, beside)
-        per = cells.groupBy(F.floor(F.col("cell") / (2 * k)).alias("word")).agg(F.collect_list(F.struct((F.col("cell") % (2 * k)).alias("at"), "n")).alias("near"))
-
-        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                best = []
-                for near in b.column(1).to_pylist():
-                    seen = np.zeros(2 * k)
-                    for x in near:
-                        seen[x["at"]] = x["n"]
-                    best.append(int(np.argmax(pmi @ seen[:k] + pmi.T @ seen[k:])))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best, pa.int32())], ["word", "class"])
-
-        got = per.mapInArrow(join, "word bigint, class int").toPandas()
-        named[got["word"].to_numpy(dtype=np.int64)] = got["class"].to_numpy()
+        parts = partitions_for(coded.sparkSession, 2 * int(n.sum()), 1_500_000)
+        named = sweeps(scratch.save(neighbours(coded, v, parts), "neighbours"), named, k)
+        scratch.drop("neighbours")
     kk = k + 1
 
     def transitions(ids: np.ndarray) -> np.ndarray:
-        c = named[ids]
+        c = shared.value[ids].astype(np.int64)
         return np.concatenate([[kk], c[:-1]]) * kk + c if len(c) else c
 
+    shared = coded.sparkSession.sparkContext.broadcast(named)
+
     t = np.zeros((kk + 1) * kk)
     for r in _count_cells(coded, transitions).toPandas().itertuples(index=False):
         t[r.cell] = r.n
@@ -244,17 +421,31 @@ def _most_frequent(counts: DataFrame, most: int) -> pd.DataFrame:
     return held.sort_values(["n", "word"], ascending=[False, True], kind="stable").head(most)
 
 
-def train(docs: DataFrame, scratch: Scratch, vocabulary: int = VOCABULARY, classes: int = CLASSES, core: int = CORE) -> tuple[BrownModel, DataFrame]:
-    """The model of all of ``docs``, and its texts encoded."""
+def train(docs: DataFrame, scratch: Scratch, vocabulary: int | None = None, classes: int | None = None, core: int = CORE, head: int = HEAD) -> tuple[BrownModel, DataFrame]:
+    """The model of all of ``docs``, and its texts encoded; every word has an id unless ``vocabulary`` bounds them."""
     counts = scratch.save(word_counts(docs), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("types")).first()
-    top = _most_frequent(counts, vocabulary)
+    v = total["types"] if vocabulary is None else min(vocabulary, total["types"])
+    top = _most_frequent(counts, min(v, head))
     words, n = top["word"].tolist(), top["n"].to_numpy(dtype=np.float64)
-    coded = scratch.save(encode(docs, words), "coded")
-    return fit(coded, words, n, int(total["n"] - n.sum()), int(total["types"] - len(words)), classes, core), coded
-
-
-def brown_lm(docs: DataFrame, vocabulary: int = VOCABULARY, classes: int = CLASSES, core: int = CORE) -> DataFrame:
+    coded = scratch.save(encode(docs, words, v), "part")
+    if v > len(words):
+        ranks = scratch.save(_ranked(counts, top.iloc[-1], len(words), v, scratch), "ranks")
+        sizes = ranks.groupBy("n").count().toPandas().sort_values("n", ascending=False)
+        n = np.concatenate([n, np.repeat(sizes["n"].to_numpy(dtype=np.float64), sizes["count"])])
+        coded = scratch.save(_fill(coded, ranks, v), "coded")
+        for name in ("order", "ranks", "part"):
+            scratch.drop(name)
+    else:
+        coded = coded.select("doc_id", "ids")
+    scratch.drop("words")
+    if classes is None:
+        classes = max(CLASSES, round(v**GROWTH))
+        core = max(core, 12 * classes)
+    return fit(coded, words, n, int(total["n"] - n.sum()), int(total["types"] - v), scratch, classes, core), coded
+
+
+def brown_lm(docs: DataFrame, vocabulary: int | None = None, classes: int | None = None, core: int = CORE) -> DataFrame:
     """(doc_id, n_words, log_prob, perplexity) of every row under the model of the whole table.
 
     A text without words, null or empty, has 0 words, log_prob 0 and a null
@@ -268,7 +459,7 @@ def brown_lm(docs: DataFrame, vocabulary: int = VOCABULARY, classes: int = CLASS
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            ids = [np.frombuffer(x, dtype=np.uint16) for x in b.column(1).to_pylist()]
+            ids = [np.frombuffer(x, dtype=np.int32) for x in b.column(1).to_pylist()]
             n = [len(x) for x in ids]
             p = [m.score(x) if len(x) else 0.0 for x in ids]
             ppl = [float(np.exp(-q / k)) if k else None for q, k in zip(p, n, strict=True)]

@@ -291,6 +291,34 @@ def test_brown_lm(spark, edge, empty):
     assert brown_lm.brown_lm(frame(spark, [(1, None), (2, "")])).where("n_words = 0").count() == 2
 
 
+def test_brown_every_word_has_its_own(spark):
+    """Words that are joined, not in a task's dictionary: own ids, counts and emissions; exchange reaches them."""
+    texts = [prose(i, 120, 900) for i in range(40)] + [None, "", "lonely"]
+    words = collections.Counter(w for t in texts if t for w in simhash_dedup.WORD.findall(t.lower()))
+    order = [w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))]
+    model, coded = brown_lm.train(frame(spark, list(enumerate(texts))), Scratch(spark, "t"), classes=5, core=30, head=50)
+    got = {r.doc_id: np.frombuffer(r.ids, np.int32) for r in coded.collect()}
+    assert [[order[i] for i in got[d]] for d in range(len(texts))] == [simhash_dedup.WORD.findall((t or "").lower()) for t in texts]
+    p, c = np.exp(model.emit), model.classes
+    assert len(c) == len(order) + 1 and (c[: order.index("lonely")] < 5).all()
+    for k in set(c[:-1].tolist()):
+        own = np.flatnonzero(c[:-1] == k)
+        n = np.array([words[order[i]] for i in own])
+        assert np.allclose(p[own], (n + 0.5) / (n.sum() + 0.5 * len(n)))
+    # class bigrams by brute force; the sweeps raise the likelihood
+    whole = brown_lm.train(frame(spark, list(enumerate(texts))), Scratch(spark, "t"), classes=5, core=30)[0]
+    assert np.array_equal(whole.classes, c)
+    blocks = brown_lm.neighbours(coded, len(order), 3).cache()
+    want = np.zeros((5, 5))
+    for ids in got.values():
+        for x, y in zip(c[ids[:-1]], c[ids[1:]], strict=True):
+            want[x, y] += x < 5 and y < 5
+    assert np.array_equal(brown_lm.class_bigrams(blocks, c, 5), want)
+    start = np.where(np.arange(len(c)) < 30, np.arange(len(c)) % 5, 5).astype(np.int16)
+    few, most = (brown_lm.likelihood(brown_lm.class_bigrams(blocks, brown_lm.sweeps(blocks, start, 5, n), 5)) for n in (0, 4))
+    assert most > few
+
+
 def test_brown_prefers_fluent(docs):
     """Held-out shuffles of a text score below the text."""
     model, _ = brown_lm.train(docs, Scratch(docs.sparkSession, "t"))
