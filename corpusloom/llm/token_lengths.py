@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -13,41 +14,77 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs of white space beyond this are cut out and encoded by themselves: the pattern's look-ahead overflows the encoder's stack on very long ones.
+LONG_RUN = 1000
+_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_LONG = re.compile(_SPACE + "{%d,}" % LONG_RUN)
 
 
 @lru_cache(maxsize=4)
-def encoder(vocabulary: str = VOCABULARY):
+def encoder_of(raw: bytes):
+    """Encoder out of a vocabulary file's content."""
     import base64
 
     import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(vocabulary).read_bytes().splitlines())}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(texts: Iterable[str | None], vocabulary: str = VOCABULARY) -> list[int | None]:
+def encoder(vocabulary: str = VOCABULARY):
+    return encoder_of(Path(vocabulary).read_bytes())
+
+
+def length(text: str, encoding) -> int:
+    """Exact encoded length of a whole text.
+
+    A run of white space is one piece less its last character, which begins the
+    next piece, or one piece as a whole at the end of the text.  Long runs are
+    therefore cut out there, which changes no piece.
+    """
+    encode, n, at = encoding.encode_ordinary, 0, 0
+    if len(text) >= LONG_RUN:
+        for m in _LONG.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            n += len(encode(text[at : m.start()])) + len(encoding._core_bpe.encode_single_piece(text[m.start() : end].encode()))
+            at = end
+    return n + len(encode(text[at:] if at else text))
+
+
+def count_tokens(texts: Iterable[str | None], encoding) -> list[int | None]:
     """Exact encoded length of each whole text; null for null."""
-    encode = encoder(vocabulary).encode_ordinary
-    return [None if text is None else len(encode(text)) for text in texts]
+    return [None if text is None else length(text, encoding) for text in texts]
+
+
+def _shipped(docs: DataFrame, vocabulary: str):
+    """The vocabulary file's content, sent to the executors, which need no such file."""
+    return docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
 
 def lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(n_tokens) of every row; texts are read whole, nulls stay null."""
+    raw = _shipped(docs, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = encoder_of(raw.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(count_tokens(batch.column(0).to_pylist(), vocabulary), pa.int64())], ["n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(count_tokens(batch.column(0).to_pylist(), encoding), pa.int64())], ["n_tokens"])
 
     return docs.select("text").mapInArrow(run, "n_tokens bigint")
 
 
 def histogram(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(n_tokens, docs): documents by exact encoded length; null texts are left out, empty ones have length 0."""
+    """(n_tokens, docs): documents by exact encoded length; null texts are left out, empty ones have length 0.
+
+    Repeated rows count each, documents of one length share a row, and texts of
+    any length and content are encoded whole.
+    """
+    raw = _shipped(docs, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, int] = {}
+        encoding, seen = encoder_of(raw.value), {}
         for batch in batches:
-            got = count_tokens(batch.column(0).to_pylist(), vocabulary)
+            got = count_tokens(batch.column(0).to_pylist(), encoding)
             values, n = np.unique(np.array([x for x in got if x is not None], dtype=np.int64), return_counts=True)
             for v, c in zip(values.tolist(), n.tolist(), strict=True):
                 seen[v] = seen.get(v, 0) + c

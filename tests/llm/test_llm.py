@@ -504,6 +504,24 @@ def test_token_lengths(docs, edge, empty):
     assert token_lengths.token_lengths(empty).count() == token_lengths.at_limit(token_lengths.token_lengths(empty), 9).count() == 0
 
 
+def test_token_lengths_of_any_run(spark):
+    """Runs that the encoder can take give its own lengths; longer ones don't stop the job."""
+    own = token_lengths.encoder()
+    for space in (" ", "\n", "\t", "\r\n", "\u00a0", "\u3000 ", " \n\x85"):
+        for n in (999, 1000, 1001, 5000):
+            for text in (space * n, space * n + "x", "a" + space * n, "a" + space * n + " b", "1" + space * n + "2" + space * n + "!", "\x1c" + space * n + "\x1f"):
+                assert token_lengths.length(text, own) == len(own.encode_ordinary(text))
+    for text in ("a" * 200_000, "=" * 50_000, "7" * 50_000, "\u4e2d\u6587" * 20_000):
+        assert token_lengths.length(text, own) == len(own.encode_ordinary(text))
+    million = 1_000_000
+    huge = ["\n" * million + "x", " " * million + "x", "x" + " " * million, "x" * million, "\t \n" * million]
+    piece = lambda t: len(own._core_bpe.encode_single_piece(t.encode()))
+    want = [piece("\n" * (million - 1)) + 2, piece(" " * (million - 1)) + 1, 1 + piece(" " * million), piece("x" * million), piece("\t \n" * million)]
+    assert [token_lengths.length(t, own) for t in huge] == want
+    got = token_lengths.histogram(frame(spark, list(enumerate(huge)))).collect()
+    assert {(r.n_tokens, r.docs) for r in got} == set(collections.Counter(want).items())
+
+
 # --- 10
 
 
