@@ -64,23 +64,39 @@ class Detection(NamedTuple):
     rule: Rule
 
 
+def uncontained(found: list[Detection]) -> list[Detection]:
+    """Of detections in order of strength those that lie in no stronger one; n log n by prefix maxima of ends over starts (a Fenwick tree)."""
+    starts = sorted({d.start for d in found})
+    rank = {s: i + 1 for i, s in enumerate(starts)}
+    ends, kept = [-1] * (len(starts) + 1), []
+    for d in found:
+        i, far = rank[d.start], -1
+        while i:
+            far = max(far, ends[i])
+            i &= i - 1
+        if far < d.end:
+            kept.append(d)
+            i = rank[d.start]
+            while i < len(ends):
+                ends[i] = max(ends[i], d.end)
+                i += i & -i
+    return kept
+
+
 def detect(text: str) -> list[Detection]:
     """Detections that no stronger one contains, in order of place.
 
     Detections are taken by priority (equal rules: the longer, then the earlier
     first); one whose interval lies within that of a detection already taken is
-    suppressed.  Intervals that merely overlap both stay.
+    suppressed, so that of equal intervals the one of the first rule stays.
+    Intervals that merely overlap both stay.
     """
     ids = sorted({i for _, hit in _automaton().iter(_flat(text)) for i in hit})
     if not ids:
         return []
     found = [Detection(*m.span(), rules()[i]) for i in ids for m in rules()[i].pattern.finditer(text) if m.end() > m.start()]
     found.sort(key=lambda d: (d.rule.priority, d.start - d.end, d.start))
-    kept: list[Detection] = []
-    for d in found:
-        if not any(k.start <= d.start and d.end <= k.end for k in kept):
-            kept.append(d)
-    return sorted(kept, key=lambda d: (d.start, d.end, d.rule.priority))
+    return sorted(uncontained(found), key=lambda d: (d.start, d.end, d.rule.priority))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
@@ -88,7 +104,9 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     ``start`` and ``end`` count characters of the whole text from 0.  Repeated
     rows report their detections each; null and empty texts and texts without a
-    detection give no row.
+    detection give no row, nor does an empty table.  A null doc_id is reported
+    as null.  Ties are settled by :func:`detect`; columns other than doc_id and
+    text are not read, whatever their names.
     """
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("license", T.StringType()), T.StructField("tier", T.StringType()), T.StructField("rule_id", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("matched", T.StringType())])
 
