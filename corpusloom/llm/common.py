@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.session import ship
 from corpusloom.sources.scratch import scratch_dir
@@ -36,9 +37,22 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark a written table for broadcast if its counted rows fit the limit, else leave it to shuffle."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def row_key(docs: DataFrame) -> Column:
+    """128 bits that tell rows of ``docs`` by doc_id and text, nulls included; repeated rows share them."""
+    i, t = docs["doc_id"].cast("string"), docs["text"]
+    part = lambda x: F.when(x.isNull(), F.lit("n")).otherwise(F.concat(F.length(x).cast("string"), F.lit(":"), x))
+    return F.unhex(F.md5(F.concat(part(i), part(t)).cast("binary")))
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a written table for broadcast if its rows, measured, fit the limit, else leave it to shuffle."""
+    fixed = 16 + sum(16 if isinstance(f.dataType, (T.StringType, T.BinaryType)) else 8 for f in df.schema)
+    if any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) for f in df.schema):
+        sizes = [F.octet_length(F.to_json(F.struct(*df.columns)))]
+    else:
+        sizes = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    held = df.agg(F.sum(sum(sizes, F.lit(fixed).cast("bigint")))).first()[0] or 0
+    return F.broadcast(df) if held <= limit else df
 
 
 def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:

@@ -327,4 +327,4 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE) -> DataFrame
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE) -> DataFrame:
     """The rows of ``docs``, with all columns, that no item matches; rows with a null doc_id stay."""
     hit = Scratch(docs.sparkSession, "decontam-hit").save(matches(docs, benchmark, n).select(F.col("doc_id").alias("_hit_id")).distinct(), "hit")
-    return docs.join(small(hit, 32), docs["doc_id"] == hit["_hit_id"], "left_anti")
+    return docs.join(small(hit), docs["doc_id"] == hit["_hit_id"], "left_anti")

@@ -248,7 +248,7 @@ def duplicates(docs: DataFrame) -> DataFrame:
     buckets = partitions_for(spark, docs.count(), BUCKET_ROWS)
     scratch = Scratch(spark, "exact")
     again = scratch.save(_repeated(keyed.select(_bucket(buckets), "digest"), buckets), "again")
-    held = scratch.save(keyed.join(small(again, 64), "digest", "left_semi"), "held")
+    held = scratch.save(keyed.join(small(again), "digest", "left_semi"), "held")
     same = held.groupBy("digest", "text", "doc_id").agg(F.count("*").alias("id_rows"))
     first = held.groupBy("digest", "text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n"))
     out = same.join(first.where("n > 1"), ["digest", "text"]).select("doc_id", "digest", "keep_id", "id_rows")
@@ -271,7 +271,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     twice = dup.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("id_rows") > 1)).select(F.col("doc_id").alias("_lost_id"), F.col("digest").alias("_lost_digest"))
     digest = F.unhex(F.md5(docs["text"].cast("binary")))
     on = lambda other: docs["doc_id"].eqNullSafe(other["_lost_id"]) & (digest == other["_lost_digest"])
-    left = docs.join(small(lost, 64), on(lost), "left_anti")
+    left = docs.join(small(lost), on(lost), "left_anti")
     if not twice.take(1):
         return left
     return left.join(twice, on(twice), "left_anti").unionByName(left.join(twice, on(twice), "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, small, table
+from corpusloom.llm.common import Scratch, small
 
 #: Knots (t, kind): tokens^1, ^3/4 and ^1/2 of each source, so small sources gain weight as training goes on.
 KNOTS = ((0.0, "natural"), (0.5, "tempered"), (1.0, "flat"))
@@ -104,15 +104,11 @@ def plan(docs: DataFrame, knots: tuple = KNOTS, seed: str = SEED) -> DataFrame:
     d = F.greatest(F.col("share") - F.col("c0"), F.lit(0.0))
     root = F.sqrt(F.greatest(F.col("w0") * F.col("w0") + F.lit(2.0) * F.col("slope") * d, F.lit(0.0)))
     t = F.when(d > 0, F.least(F.col("t1"), F.col("t0") + F.lit(2.0) * d / (F.col("w0") + root))).otherwise(F.col("t0"))
-    out = due.join(small(seg, 128), inside).withColumn("t", t)
+    out = due.join(small(seg), inside).withColumn("t", t)
     out = out.select(F.round(F.col("t") * F.col("total"), 3).alias("position"), F.round("t", 9).alias("t"), F.col("epoch"), "doc_id", "source", "tokens")
     return out.orderBy("position", "source", "doc_id", "epoch")
 
 
-def mixing(spark, sf_dir: str) -> DataFrame:
-    return plan(table(spark, sf_dir, "documents"))
-
-
 def _sql(docs: str) -> str:
     """DuckDB SQL for :func:`plan` with the default knots over a relation ``docs``."""
     tokens = TOKENS.format(bytes="encode(text)")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import Scratch, partitions_for, small
+from corpusloom.llm.common import Scratch, partitions_for, row_key, small
 from corpusloom.operators.cluster import connected_components
 
 RADIUS = 8
@@ -34,6 +34,8 @@ PAIR_BITS = 34
 SATURATION = 8
 #: Rows that one task of the pair search is planned for, and that it holds at a time (or one bucket, if larger).
 TABLE_ROWS, CHUNK_ROWS = 1_000_000, 100_000
+#: Rows of a bucket beyond which its components are flooded, not all pairs compared; rows of the flood's front taken at once.
+HOT_ROWS, PIVOTS = 64, 16
 #: Up to so many distinct sketches a group of four tables, which parts them by 7 bits at least, has buckets that a task
 #: can hold; beyond it tables go in twos, by about 16 bits, and twice the rows are sent.  The pairs found are the same.
 FOURS_ROWS, FOURS_BITS = 100_000_000, 7
@@ -116,20 +118,20 @@ def sketch(h: np.ndarray) -> tuple[int, int, int]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, s, v1, v2); nulls in s for a text without words, which is near nothing."""
+    """(doc_id, key, s, v1, v2), key telling rows by doc_id and text; nulls in s for a text without words, which is near nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for b in batches:
             rows = []
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 h = word_hashes(t, known) if t else ()
                 rows.append(sketch(h) if len(h) else (None, None, None))
             cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", "s", "v1", "v2"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", "key", *_SKETCH])
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(c, T.LongType()) for c in ("s", "v1", "v2"))])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("key", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in _SKETCH)])
+    return docs.select("doc_id", row_key(docs).alias("key"), "text").mapInArrow(run, schema)
 
 
 def _find(comp: np.ndarray, i: int) -> int:
@@ -139,32 +141,76 @@ def _find(comp: np.ndarray, i: int) -> int:
     return i
 
 
+def _flood(s: np.ndarray, v: np.ndarray, radius: int, pair_bits: int) -> np.ndarray:
+    """Component of each row of one hot bucket, as the place of one of its rows.
+
+    Rows found near leave the rows still to be searched, so that a bucket of
+    texts near one another costs about one comparison a row, not one a pair.
+    """
+    n = len(s)
+    comp, left = np.full(n, -1), np.arange(n)
+    while len(left):
+        root, front = left[0], left[:1]
+        comp[root], left = root, left[1:]
+        while len(front) and len(left):
+            some, front = front[:PIVOTS], front[PIVOTS:]
+            hit = np.zeros(len(left), dtype=bool)
+            for i in range(0, len(left), CHUNK_ROWS):
+                part = slice(i, i + CHUNK_ROWS)
+                for x in some:  # a row against many
+                    there = np.flatnonzero(~hit[part])
+                    rows = left[part][there]
+                    near = np.bitwise_count(s[x] ^ s[rows]) <= radius
+                    there, rows = there[near], rows[near]
+                    hit[i + there[np.bitwise_count(v[x] ^ v[rows]).sum(axis=1) <= pair_bits]] = True
+            comp[left[hit]] = root
+            front, left = np.concatenate([front, left[hit]]), left[~hit]
+    return comp
+
+
 def bucket_edges(t: np.ndarray, s: np.ndarray, v: np.ndarray, ids: np.ndarray, radius: int = RADIUS, pair_bits: int = PAIR_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Edges (id, root) that join all pairs within the bounds among rows of one table and key.
 
-    Every pair in a bucket is compared; of the pairs found, only those that join
-    two components so far become edges, which keeps the components exact.
+    Every pair in a bucket is compared, or known to be joined already; of the
+    pairs found, only those that join two components so far become edges, which
+    keeps the components exact.  Pairs alike in ``s`` meet in every table and are
+    compared in the first.
     """
     key = s & masks(radius)[t]
-    order = np.lexsort((key, t))
+    order = np.lexsort((s, key, t))
     t, s, v, ids, key = t[order], s[order], v[order], ids[order], key[order]
     names, local = np.unique(ids, return_inverse=True)
     comp = np.arange(len(names))
-    here, d = np.arange(len(s)), 0
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (t[1:] != t[:-1])])) if len(s) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(s))
+
+    def join(x: int, y: int) -> None:
+        x, y = _find(comp, x), _find(comp, y)
+        if x != y:
+            comp[max(x, y)] = min(x, y)
+
+    hot = last - first > HOT_ROWS
+    for i, j in zip(first[hot].tolist(), last[hot].tolist(), strict=True):
+        if t[i] and s[i] == s[j - 1]:
+            continue
+        found = _flood(s[i:j], v[i:j], radius, pair_bits)
+        moved = np.flatnonzero(found != np.arange(j - i))
+        for x, y in zip(local[i + moved].tolist(), local[i + found[moved]].tolist(), strict=True):
+            join(x, y)
+    while (comp != comp[comp]).any():
+        comp = comp[comp]
+    end = np.repeat(last, last - first)
+    here, d = np.arange(len(s))[np.repeat(~hot, last - first)], 0
     while len(here):
         d += 1
-        here = here[here + d < len(s)]
-        here = here[(key[here] == key[here + d]) & (t[here] == t[here + d])]
-        a, b = local[here], local[here + d]
-        open_ = here[comp[a] != comp[b]]
+        here = here[here + d < end[here]]
+        open_ = here[(comp[local[here]] != comp[local[here + d]]) & ((t[here] == 0) | (s[here] != s[here + d]))]
         if len(open_):
             near = np.bitwise_count(s[open_] ^ s[open_ + d]) <= radius
             near &= np.bitwise_count(v[open_] ^ v[open_ + d]).sum(axis=1) <= pair_bits
             hit = open_[near]
             for x, y in zip(local[hit].tolist(), local[hit + d].tolist(), strict=True):
-                x, y = _find(comp, x), _find(comp, y)
-                if x != y:
-                    comp[max(x, y)] = min(x, y)
+                join(x, y)
             if len(hit):
                 while (comp != comp[comp]).any():
                     comp = comp[comp]
@@ -219,30 +265,54 @@ def near_edges(unique: DataFrame, rows: int, radius: int = RADIUS, pair_bits: in
     return ordered.mapInArrow(search, edges)
 
 
-def groups(docs: DataFrame, radius: int = RADIUS, pair_bits: int = PAIR_BITS) -> DataFrame:
-    """(doc_id, keep_id) of every document with a near duplicate; keep_id is the least doc_id of its group.
-
-    Groups are the connected components of all pairs within ``radius`` and
-    ``pair_bits``; every document is compared, whole.  Rows with a null doc_id
-    are in no group; repeated rows are near duplicates of one another and share
-    their doc_id, so that they appear once.  Texts that are null, empty or
-    without a letter or digit are in no group.  An empty table gives no rows.
-    """
+def _members(docs: DataFrame, radius: int, pair_bits: int) -> DataFrame:
+    """(doc_id, key, keep_id, keep_key) of every row of a group of more than one; the row kept has the least doc_id, then key, null ids last."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
-    base = scratch.save(sketches(docs).where("s IS NOT NULL AND doc_id IS NOT NULL"), "sketches")
-    unique = scratch.save(base.groupBy("s", "v1", "v2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "unique")
+    base = scratch.save(sketches(docs).where("s IS NOT NULL"), "sketches")
+    unique = base.groupBy(*_SKETCH).agg(F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id())
+    unique = scratch.save(unique, "unique")  # numbers hold once they are written
     edges = scratch.save(near_edges(unique, unique.count(), radius, pair_bits).distinct(), "edges")
     for x in "ab":
         edges = edges.join(unique.select(*[F.col(c).alias(f"{x}_{c}") for c in _SKETCH], F.col("rep").alias(x)), [f"{x}_{c}" for c in _SKETCH])
     roots = connected_components(edges).withColumnRenamed("id", "rep")
-    named = unique.join(roots, "rep", "left").where("copies > 1 OR root IS NOT NULL").select("s", "v1", "v2", F.coalesce("root", "rep").alias("keep_id"))
+    named = unique.join(roots, "rep", "left").where("copies > 1 OR root IS NOT NULL").select(*_SKETCH, F.coalesce("root", "rep").alias("root"))
     named = scratch.save(named, "named")
-    return base.join(small(named, 64), ["s", "v1", "v2"]).select("doc_id", "keep_id").distinct()
+    members = scratch.save(base.join(small(named), [*_SKETCH]).select("root", "doc_id", "key"), "members")
+    for name in ("sketches", "unique", "edges", "named"):
+        scratch.drop(name)
+    keep = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")).alias("k"))
+    keep = scratch.save(keep.select("root", F.col("k.doc_id").alias("keep_id"), F.col("k.key").alias("keep_key")), "keep")
+    return members.join(small(keep), "root").select("doc_id", "key", "keep_id", "keep_key")
+
+
+def groups(docs: DataFrame, radius: int = RADIUS, pair_bits: int = PAIR_BITS) -> DataFrame:
+    """(doc_id, keep_id) of every document with a near duplicate; keep_id is the least doc_id of its group.
+
+    Groups are the connected components of all pairs within ``radius`` and
+    ``pair_bits``; every row is compared, whole, whatever its doc_id: rows that
+    share an id but not a text are in groups of their own, null ids are in
+    groups too and are kept only where all are null.  Repeated rows are near
+    duplicates of one another; a doc_id and keep_id appear once.  Texts that are
+    null, empty or without a letter or digit are in no group.  An empty table
+    gives no rows; only doc_id and text are read.
+    """
+    return _members(docs, radius, pair_bits).select("doc_id", "keep_id").distinct()
 
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS, pair_bits: int = PAIR_BITS) -> DataFrame:
-    """The rows of ``docs``, with all columns, without documents whose group keeps another one."""
+    """The rows of ``docs``, with all columns, less every row whose group keeps another one.
+
+    Rows are told by doc_id and text; of repeated rows one stays.  Rows in no
+    group (null texts, texts without words) all stay.
+    """
     scratch = Scratch(docs.sparkSession, "simhash-lost")
-    lost = scratch.save(groups(docs, radius, pair_bits).where("doc_id <> keep_id").select(F.col("doc_id").alias("_lost_id")).distinct(), "lost")
-    return docs.join(small(lost, 32), docs["doc_id"] == lost["_lost_id"], "left_anti")
+    members = scratch.save(_members(docs, radius, pair_bits), "members")
+    lost = scratch.save(members.where("key <> keep_key").select(F.col("key").alias("_lost_key")).distinct(), "lost")
+    twice = scratch.save(members.where("key = keep_key").groupBy(F.col("key").alias("_lost_key")).count().where("count > 1").select("_lost_key"), "twice")
+    scratch.drop("members")
+    left = docs.join(small(lost), row_key(docs) == lost["_lost_key"], "left_anti")
+    if not twice.take(1):
+        return left
+    on = row_key(left) == twice["_lost_key"]
+    return left.join(small(twice), on, "left_anti").unionByName(left.join(small(twice), on, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import brown_lm, chat_trees, decontam, exact_dedup, langid, license_scan, mixing, queries, simhash_dedup, substring_dedup, token_lengths
-from corpusloom.llm.common import Scratch, table
+from corpusloom.llm.common import Scratch, row_key, table
 
 #: Columns that clash with the operators' own names.
 EXTRA = ["bucket", "digest", "keep_id", "key", "n", "s", "doc", "kind", "h", "part", "position", "epoch", "_lost_id", "rank", "predicted"]
@@ -410,9 +410,10 @@ def test_covering_masks():
             assert all(s and s & ~m[t] == 0 for s, group in zip(shared, tables, strict=True) for t in group if t >= 0)
 
 
-def brute_groups(df, radius=simhash_dedup.RADIUS, bits=simhash_dedup.PAIR_BITS):
-    sk = [r for r in simhash_dedup.sketches(df).collect() if r.s is not None and r.doc_id is not None]
-    comp = {r.doc_id: r.doc_id for r in sk}
+def brute_members(df, radius=simhash_dedup.RADIUS, bits=simhash_dedup.PAIR_BITS):
+    """(row, row kept) among rows (id is null, doc_id, key), by comparing all pairs."""
+    sk = [r for r in simhash_dedup.sketches(df).collect() if r.s is not None]
+    comp = list(range(len(sk)))
 
     def find(x):
         while comp[x] != x:
@@ -422,12 +423,20 @@ def brute_groups(df, radius=simhash_dedup.RADIUS, bits=simhash_dedup.PAIR_BITS):
     grouped = set()
     mask = (1 << 64) - 1
     for i, a in enumerate(sk):
-        for b in sk[i + 1 :]:
+        for j, b in enumerate(sk[i + 1 :], i + 1):
             if ((a.s ^ b.s) & mask).bit_count() <= radius and ((a.v1 ^ b.v1) & mask).bit_count() + ((a.v2 ^ b.v2) & mask).bit_count() <= bits:
-                grouped |= {a.doc_id, b.doc_id}
-                x, y = find(a.doc_id), find(b.doc_id)
+                grouped |= {i, j}
+                x, y = find(i), find(j)
                 comp[max(x, y)] = min(x, y)
-    return {(i, find(i)) for i in grouped}
+    name = lambda r: (r.doc_id is None, r.doc_id or 0, bytes(r.key))
+    least = {}
+    for i in grouped:
+        least[find(i)] = min(name(sk[i]), least.get(find(i), (True, 1 << 62, b"")))
+    return [(name(sk[i]), least[find(i)]) for i in sorted(grouped)]
+
+
+def brute_groups(df, *a):
+    return {tuple(None if r[0] else r[1] for r in pair) for pair in brute_members(df, *a)}
 
 
 def test_simhash_twos(docs, monkeypatch):
@@ -440,7 +449,7 @@ def test_simhash_groups(spark, docs, edge, empty):
         assert {tuple(r) for r in simhash_dedup.groups(df).collect()} == brute_groups(df)
     kept = simhash_dedup.near_dedup(edge)
     assert kept.columns == edge.columns
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == sorted([1, 2, 3, 4, 5, 6, 7, 9, 0, 0, 11, 12])
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == sorted([1, 2, 3, 4, 5, 6, 7, 9, 0, 11, 12])
     assert simhash_dedup.groups(empty).count() == simhash_dedup.near_dedup(empty).count() == 0
     rng = random.Random(8)
     made = []
@@ -455,6 +464,52 @@ def test_simhash_groups(spark, docs, edge, empty):
     assert all(k in (i, i - 100) for i, k in got.items())
 
 
+def test_simhash_rows_not_ids(spark):
+    """Ids shared by unlike texts, null ids and repeated rows."""
+    a, near, b, c = prose(1, 200), prose(1, 200) + " end", prose(2, 200), prose(3, 200)
+    made = [(3, a), (5, near), (5, b), (7, c), (None, b + " x"), (None, c), (None, None), (8, ""), (None, prose(4, 90)), (9, prose(5, 90)), (9, prose(5, 90)), (None, prose(6, 90)), (None, prose(6, 90) + " y")]
+    df = frame(spark, made).withColumn("_lost_key", F.lit("clash")).withColumn("root", F.lit(1))
+    assert {tuple(r) for r in simhash_dedup.groups(df).collect()} == {(3, 3), (5, 3), (5, 5), (None, 5), (7, 7), (None, 7), (9, 9), (None, None)}
+    lost = {x[2] for x, k in brute_members(df) if x != k}
+    keyed = {(r.doc_id, r.text): bytes(r.key) for r in df.select("doc_id", "text", row_key(df).alias("key")).collect()}
+    got = sorted((str(r.doc_id), str(r.text)) for r in simhash_dedup.near_dedup(df).collect())
+    assert got == sorted({(str(i), str(t)) for i, t in made if keyed[(i, t)] not in lost})
+    assert len(got) == 8
+
+
+def test_simhash_hot_buckets(spark):
+    """A bucket of one template, of one SimHash with unlike word pairs, and small ones, against all pairs; large ones in time."""
+    rng = np.random.default_rng(3)
+    m = simhash_dedup.masks()
+    flip = lambda x, n: x ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, n, replace=False).astype(np.uint64))
+
+    def made(n, wide):
+        base = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
+        s = np.array([flip(base[i % 3], rng.integers(0, 6)) if i % 4 else base[i % 3] for i in range(n)], dtype=np.uint64)
+        v = rng.integers(0, 1 << 63, (n, 2), dtype=np.uint64) if wide else np.array([[flip(np.uint64(9), 3), np.uint64(i % 7)] for i in range(n)], dtype=np.uint64)
+        return s, v
+
+    def components(pairs, n):
+        c = np.arange(n)
+        for x, y in pairs:
+            c[c == max(c[x], c[y])] = min(c[x], c[y])
+        return c.tolist()
+
+    for n, wide in ((40, False), (400, False), (400, True), (700, False)):
+        s, v = made(n, wide)
+        near = (np.bitwise_count(s[:, None] ^ s[None]) <= 8) & (np.bitwise_count(v[:, None] ^ v[None]).sum(axis=2) <= simhash_dedup.PAIR_BITS)
+        t = np.repeat(np.arange(len(m)), n)
+        ends = simhash_dedup.bucket_edges(t, np.tile(s, len(m)), np.tile(v, (len(m), 1)), np.tile(np.arange(n), len(m)))
+        # ids of a component get its least id, so that components compare by label
+        assert components(zip(*map(np.ndarray.tolist, ends), strict=True), n) == components(np.argwhere(near).tolist(), n)
+    for wide in (False, True):
+        s, v = made(30_000, wide)
+        s[:] = s[0] if wide else s
+        began = time.perf_counter()
+        simhash_dedup.bucket_edges(np.full(len(s), int(wide)), s, v, np.arange(len(s)))
+        assert time.perf_counter() - began < 30
+
+
 # --- 8
 
 
