@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import Scratch, small
+from corpusloom.llm.common import Scratch, row_key, small
 from corpusloom.llm.simhash_dedup import WORD
 
 #: Tokens that must follow one another in a phrase match; a shorter item must occur whole.
 PHRASE = 13
-#: Items of fewer tokens than this are too common to be looked for.
+#: All items are looked for and reported; those of fewer tokens stand in clean text too, so that a match of them alone removes no document.
 LEAST = 5
-#: Proximity: so many rarest distinct terms, the share that must meet, and the window in item lengths.
+#: Proximity: so many rarest distinct terms, the share that must meet, and the window in item lengths.  Of items with fewer distinct terms all must meet.
 RAREST, SHARE, SPREAD = 10, 0.8, 1.5
 SEGMENT_TOKENS = 1_000_000
 BLOCKS = 64
@@ -44,6 +44,11 @@ def terms_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _tokens(texts: pd.Series) -> pd.Series:
+    return texts.map(terms_of)
+
+
 def _block(term: str) -> int:
     return zlib.crc32(term.encode()) % BLOCKS
 
@@ -126,7 +131,7 @@ def build_index(docs: DataFrame, segment_tokens: int = SEGMENT_TOKENS) -> DataFr
 
 def _items(benchmark: DataFrame) -> list[tuple[object, list[str]]]:
     got = [(r[0], terms_of(r[1])) for r in benchmark.select("item_id", "text").distinct().collect()]
-    return [(i, w) for i, w in got if len(w) >= LEAST]
+    return [(i, w) for i, w in got if w]
 
 
 def term_counts(index: DataFrame, wanted: set[str]) -> dict[str, int]:
@@ -173,7 +178,7 @@ class Query:
             for o in probes(t, f, n):
                 self.probes[int(t[o])].append((k, o))
             own = sorted(set(t.tolist()), key=lambda x: (f[x], x))
-            self.rare.append(own[:RAREST] if len(own) >= RAREST and len(t) >= n else [])
+            self.rare.append(own[:RAREST])
 
     def search(self, postings: dict[int, np.ndarray], size: int, starts: np.ndarray) -> list[tuple[int, int, str, int, int | None, int, int]]:
         """(document, item, kind, doc_start, item_start, n_tokens, matched) in one segment."""
@@ -217,7 +222,7 @@ class Query:
         return reach
 
     def _near(self, k: int, rare: list[int], postings: dict[int, np.ndarray], starts: np.ndarray) -> list[tuple]:
-        need = int(np.ceil(SHARE * len(rare)))
+        need = int(np.ceil(SHARE * len(rare))) if len(rare) == RAREST else len(rare)
         lists = [postings[t] for t in rare if t in postings]
         if not rare or len(lists) < need:
             return []
@@ -231,13 +236,15 @@ class Query:
             inside = last >= floor
             met += inside
             first = np.where(inside, np.minimum(first, last), first)
-        best: dict[int, tuple[int, int, int]] = {}
-        for j in np.flatnonzero(met >= need).tolist():
-            d, span = int(doc[j]), int(at[j] - first[j]) + 1
-            have = best.get(d)
-            if have is None or (met[j], -span, -first[j]) > have:
-                best[d] = (int(met[j]), -span, -int(first[j]))
-        return [(d, k, "proximity", -f - int(starts[d]), None, -s, m) for d, (m, s, f) in best.items()]
+        out, good = [], np.flatnonzero(met >= need)
+        # windows that overlap are one place; of each, the best window is reported
+        new = np.concatenate([[True], first[good[1:]] > at[good[:-1]]]) if len(good) else np.zeros(0, dtype=bool)
+        for part in np.split(good, np.flatnonzero(new)[1:]):
+            if len(part):
+                j = max(part.tolist(), key=lambda j: (met[j], first[j] - at[j], -first[j]))
+                d = int(doc[j])
+                out.append((d, k, "proximity", int(first[j] - starts[d]), None, int(at[j] - first[j]) + 1, int(met[j])))
+        return out
 
 
 def match_schema(docs: DataFrame, benchmark: DataFrame) -> T.StructType:
@@ -300,11 +307,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE) -> DataFrame
     Tokens are lower-cased runs of letters and digits.  ``phrase``: the longest
     run of item tokens from item_start that stands in the document at doc_start,
     of at least ``n`` tokens or the whole of a shorter item.  ``proximity``: at
-    least 8 of the item's 10 rarest terms in a window of 1.5 item lengths, for
-    items of ``n`` tokens with 10 distinct terms; the window with most terms,
-    then the shortest, then the first; item_start is null.  Items of fewer than
-    5 tokens, null and empty texts match nothing; repeated rows of either table
-    give their matches once; a null doc_id is reported as null.
+    least 8 of the item's 10 rarest terms, or all terms of an item with fewer,
+    in a window of 1.5 item lengths; such windows that overlap are one place, and
+    of each place the window with most terms, then the shortest, then the first
+    is reported; item_start is null.  Every item with a token is looked for.
+    Null and empty texts match nothing; repeated rows of either table give their
+    matches once; a null doc_id is reported as null.
     """
     spark = docs.sparkSession
     scratch, schema = Scratch(spark, "decontam"), match_schema(docs, benchmark)
@@ -324,7 +332,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE) -> DataFrame
     return out.distinct()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE) -> DataFrame:
-    """The rows of ``docs``, with all columns, that no item matches; rows with a null doc_id stay."""
-    hit = Scratch(docs.sparkSession, "decontam-hit").save(matches(docs, benchmark, n).select(F.col("doc_id").alias("_hit_id")).distinct(), "hit")
-    return docs.join(small(hit), docs["doc_id"] == hit["_hit_id"], "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE, least: int = LEAST) -> DataFrame:
+    """The rows of ``docs``, with all columns, that match no item of at least ``least`` tokens.
+
+    Rows are told by doc_id and text, so that neither null nor shared ids keep a
+    contaminated row or lose a clean one; repeated rows go or stay together.
+    Rows with a null or empty text stay.
+    """
+    keyed = docs.select(row_key(docs).alias("doc_id"), "text")
+    long = benchmark.select("item_id", "text").where(F.size(_tokens("text")) >= least)
+    hit = Scratch(docs.sparkSession, "decontam-hit").save(matches(keyed, long, n).select(F.col("doc_id").alias("_hit_key")).distinct(), "hit")
+    return docs.join(small(hit), row_key(docs) == hit["_hit_key"], "left_anti")

@@ -604,7 +604,7 @@ def brute_phrases(pairs, items, n=13):
         w = decontam.terms_of(t)
         for i, s in items:
             a = decontam.terms_of(s)
-            if len(a) < decontam.LEAST:
+            if not a:
                 continue
             need = min(n, len(a))
             for shift in range(-len(a) + 1, len(w)):
@@ -625,21 +625,24 @@ def brute_near(pairs, items):
     for i, s in items:
         a = decontam.terms_of(s)
         rare = sorted(set(a), key=lambda t: (freq[t], t))[: decontam.RAREST]
-        if len(rare) < decontam.RAREST or len(a) < decontam.PHRASE:
+        if not rare:
             continue
+        need = decontam.SHARE * len(rare) if len(rare) == decontam.RAREST else len(rare)
         for d, t in pairs:
-            w, best = decontam.terms_of(t), None
-            for x in range(len(w)):
-                if w[x] in rare:
-                    last = {}
+            w, place = decontam.terms_of(t), []
+            for x in range(len(w) + 1):
+                last = {}
+                if x < len(w) and w[x] in rare:
                     for y in range(max(0, x - int(decontam.SPREAD * len(a)) + 1), x + 1):
                         if w[y] in rare:
                             last[w[y]] = y
-                    if len(last) >= decontam.SHARE * len(rare):
-                        f = min(last.values())
-                        best = max(best or (0,), (len(last), f - x, -f))
-            if best:
-                out.add((d, i, -best[2], 1 - best[1], best[0]))
+                f = min(last.values()) if len(last) >= need else None
+                if place and (x == len(w) or f is not None and f > place[-1][3]):
+                    m, span, f0, _ = max(place, key=lambda p: p[:3])
+                    out.add((d, i, -f0, 1 - span, m))
+                    place = []
+                if f is not None:
+                    place.append((len(last), f - x, -f, x))
     return out
 
 
@@ -655,16 +658,23 @@ def test_decontamination(spark, empty):
                 cut = [x if rng.random() > 0.1 else "edited" for x in cut]
             w[60:60] = cut
         made.append((i, " ".join(w).upper() if i % 4 == 0 else ", ".join(w)))
-    made += [(50, None), (51, ""), (3, made[3][1]), (52, LONG + " " + items[2][1]), (None, items[1][1])]
+    made += [(50, None), (51, ""), (3, made[3][1]), (52, LONG + " " + items[2][1]), (None, items[1][1]), (53, items[2][1] + " " + prose(1, 200) + " " + items[2][1]), (54, "it was much too short"), (55, "short, far too; too"), (56, "stand seven in words only this"), (57, items[0][1]), (57, prose(77, 90)), (None, prose(78, 90))]
     df, bench = frame(spark, made), spark.createDataFrame(items, "item_id int, text string").withColumn("doc_id", F.lit(1)).withColumn("kind", F.lit("x"))
     got = decontam.matches(df, bench).collect()
     phrases = {(r.doc_id, r.item_id, r.doc_start, r.item_start, r.n_tokens) for r in got if r.kind == "phrase"}
     assert phrases == brute_phrases(made, items) and len(phrases) > 10
     near = {(r.doc_id, r.item_id, r.doc_start, r.n_tokens, r.matched) for r in got if r.kind == "proximity"}
     assert near == brute_near(made, items) and len(near) > 5
-    hit = {r.doc_id for r in got}
+    long = [x for x in items if len(decontam.terms_of(x[1])) >= decontam.LEAST]
+    numbered = [(n, t) for n, (_, t) in enumerate(made)]
+    hit = {n for n, *_ in brute_phrases(numbered, long) | brute_near(numbered, long)}
+    assert {(54, 7), (53, 2), (None, 1)} <= {(r.doc_id, r.item_id) for r in got}
+    assert sum(r.doc_id == 53 and r.kind == "proximity" and r.item_id == 2 for r in got) == 2
     kept = decontam.decontaminate(df, bench)
-    assert kept.columns == df.columns and sorted(r.doc_id or -1 for r in kept.collect()) == sorted(d if d is not None else -1 for d, _ in made if d is None or d not in hit)
+    text = lambda rows: sorted((str(i), str(t)) for i, t in rows)
+    assert kept.columns == df.columns and text((r.doc_id, r.text) for r in kept.collect()) == text(x for n, x in enumerate(made) if n not in hit)
+    left = {(r.doc_id, r.text) for r in kept.collect()}
+    assert (57, prose(77, 90)) in left and (57, items[0][1]) not in left and (None, prose(78, 90)) in left and (None, items[1][1]) not in left and any(i == 54 for i, _ in left)
     assert decontam.matches(empty, bench).count() == decontam.matches(df, bench.where("false")).count() == 0
     assert decontam.decontaminate(empty, bench).count() == 0
 
