@@ -253,16 +253,61 @@ def test_chat_trees(spark):
     }
     assert chat_trees.format_branches(df, 1).count() == 2
     deep = spark.createDataFrame([("d", i, i - 1 if i else None, "r", f"{i}", 1.0) for i in range(300)], df.schema)
-    assert chat_trees.branches(deep).first().path == list(range(300))
-    assert chat_trees.branches(df.where("false")).count() == 0
+    assert tuple(chat_trees.branches(deep).first()) == ("d", 299, 0, 300, 300.0)
+    assert chat_trees.format_branches(deep).first().text == "".join(f"<|r|>\n{i}\n<|end|>\n" for i in range(300))
+    assert chat_trees.branches(df.where("false")).count() == chat_trees.format_branches(df.where("false")).count() == 0
+
+
+def test_branches_brute(spark):
+    """Random trees with circles, against following every pointer."""
+    rng, m = random.Random(6), []
+    for tree in range(12):
+        n = rng.choice((1, 2, 3, 17, 60))
+        for i in range(n):
+            parent = rng.choice((None, rng.randrange(n), i - 1 if i else None, i - 1 if i else None, 999))
+            m.append((tree, i, parent, f"r{i % 3}", prose(i, 3), rng.choice((None, float(rng.randrange(4))))))
+    m += [(50, i, (i + 1) % 5, "r", "c", 1.0) for i in range(5)] + [(50, 9, 2, "r", "tail", 1.0)]
+    df = spark.createDataFrame(m, "tree int, node int, parent int, role string, text string, score double")
+    want, by, answered = collections.defaultdict(list), {(x[0], x[1]): x for x in m}, {(x[0], x[2]) for x in m}
+    for x in m:
+        path, at = [x], x
+        while (x[0], x[1]) not in answered and (at[0], at[2]) in by and len(path) < 100:
+            at = by[at[0], at[2]]
+            path.insert(0, at)
+        if (x[0], x[1]) not in answered and len(path) < 100:
+            want[x[0], path[0][1]].append((-sum(p[5] or 0 for p in path), -len(path), x[1], "".join(f"<|{p[3]}|>\n{p[4]}\n<|end|>\n" for p in path)))
+    ranked = {(*k, *x, i) for k, v in want.items() for i, x in enumerate(sorted(v), 1)}
+    assert {(r.tree, r.root, -r.score, -r.depth, r.leaf, r.text, r["rank"]) for r in chat_trees.format_branches(df).collect()} == ranked
+    assert {(r.tree, r.root, r.leaf) for r in chat_trees.format_branches(df, 2).collect()} == {(x[0], x[1], x[4]) for x in ranked if x[6] <= 2}
+
+
+def test_chat_trees_sql(spark, duck, empty):
+    """Branches, alternative replies, ties, nulls, repeated rows, a very long text and clashing columns, against the SQL."""
+    rng, t = random.Random(9), []
+    for c in range(40):
+        for turn in range(rng.randrange(1, 9)):
+            for _ in range(rng.choice((1, 1, 1, 2, 3))):
+                t.append((c, turn * rng.choice((1, 1, 2)), rng.choice(("user", "assistant", "assistant", "tool", None)), rng.choice((prose(rng.randrange(5), 3), "", None))))
+    t += t[:20] + [(99, 0, "user", LONG), (99, 1, "assistant", LONG), (99, 1, "assistant", "short"), (99, 2, "user", LONG), (None, 0, "user", "x"), (98, None, "user", "x")]
+    df = spark.createDataFrame(t, "conv_id long, turn long, role string, text string")
+    for x in ("root", "leaf", "path", "depth", "rank", "node", "tree", "parent", "alt", "score"):
+        df = df.withColumn(x, F.lit("clash"))
+    got = chat_trees.chat_trees(df).toPandas()
+    held = df.select("conv_id", "turn", "role", "text").toPandas()
+    c = duckdb.connect()
+    c.register("held", held)
+    c.sql("CREATE TABLE conversations AS SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, role, text FROM held")
+    assert rows(got) == rows(c.sql(chat_trees.ORACLE).df())
+    assert (got["rank"] > 1).any() and (got.leaf_alt > 0).any() and got.text.str.len().max() > 2 * len(LONG)
+    assert chat_trees.chat_trees(df.where("false")).count() == 0
 
 
 def test_reply_tree(spark):
     t = [(1, 0, "system", "s"), (1, 1, "user", "a"), (1, 2, "user", "b"), (1, 3, "assistant", "cc"), (2, 0, None, None), (2, 0, "user", "tie"), (None, 1, "user", "x"), (3, None, "user", "x")]
     df = spark.createDataFrame(t, "conv_id int, turn int, role string, text string").withColumn("tree", F.lit("clash")).withColumn("parent", F.lit(9))
-    got = {(r.tree, r.node): (r.parent, r.role, r.score) for r in chat_trees.reply_tree(df).collect()}
-    assert got == {(1, 0): (None, "system", 0.0), (1, 1): (0, "user", 0.0), (1, 2): (0, "user", 0.0), (1, 3): (2, "assistant", 2.0), (2, 0): (None, "none", 0.0)}
-    assert {(r.conv_id, r.leaf) for r in chat_trees.chat_trees(df, 3).collect()} == {(1, 1), (1, 3), (2, 0)}
+    got = {(r.tree, *r.node): (r.parent and tuple(r.parent), r.role, r.score) for r in chat_trees.reply_tree(df).collect()}
+    assert got == {(1, 0, 0): (None, "system", 0.0), (1, 1, 0): ((0, 0), "user", 0.0), (1, 2, 0): ((0, 0), "user", 0.0), (1, 3, 0): ((2, 0), "assistant", 2.0), (2, 0, 0): (None, "none", 0.0), (2, 0, 1): (None, "user", 0.0)}
+    assert {(r.conv_id, r.leaf, r.leaf_alt) for r in chat_trees.chat_trees(df, 3).collect()} == {(1, 1, 0), (1, 3, 0), (2, 0, 0), (2, 0, 1)}
 
 
 # --- 5
