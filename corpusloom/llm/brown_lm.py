@@ -1,27 +1,33 @@
 """Brown class-based bigram model: P(w | v) = P(class w | class v) P(w | class w).
 
-Every word has counts, a class and an emission of its own; ids are ranks by
-count.  The most frequent words are clustered by exchange one at a time: each in
+Every word has a count, a class and an emission of its own.  Texts are read once:
+chunks of some 500,000 tokens carry the numbers of their words and a dictionary
+of their own, and all that follows goes over chunks.
+
+The HEAD most frequent words, at most 65,536, are what driver and tasks hold.
+Of them the first few hundred are clustered by exchange one at a time: each in
 turn moves to the class that raises the likelihood of the corpus's class bigrams
-most, until none moves.  The others join the class whose neighbours are most
-like theirs.  Then all words are exchanged in sweeps over tables of their
-neighbours, half of them at once, and a sweep is kept if the likelihood of all
-bigrams rises by it.  Class transitions are then counted over the whole corpus
-and smoothed towards the frequency of classes.
-
-With a bound on the vocabulary, words beyond it share one class, in which all
-are equally likely.
+most, until none moves.  Then all of the head are exchanged in sweeps over a
+table of their bigrams, half of them at once, and a sweep is kept if the
+likelihood rises by it.  All other words, however many, stay in a table with
+their bigrams beside classes: each joins the class that raises the likelihood
+most and is exchanged in a sweep of its own; one that is never beside a word of
+the head is of a class of such words.  Their classes return to the chunks by a
+join.  Transitions are then counted over the whole corpus and
+smoothed towards the frequency of classes.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,115 +37,80 @@ from corpusloom.llm.simhash_dedup import WORD
 
 #: Classes at least; they grow with the words as words ** GROWTH.
 CLASSES, GROWTH = 32, 0.27
-#: Words clustered one at a time before all are exchanged (more if classes need them), rounds of that and sweeps over all words at most.
-CORE, ROUNDS, SWEEPS = 512, 20, 4
-#: Words that a task encodes by a dictionary; all others are encoded by a join.
+#: Words clustered one at a time before all are exchanged (more if classes need them), rounds of that, and sweeps over the head and over all other words at most.
+CORE, ROUNDS, SWEEPS, TAIL_SWEEPS = 512, 20, 4, 1
+#: Words whose bigrams with one another are tabled and whose classes are broadcast; two bytes number them.
 HEAD = 1 << 16
 #: Words with as many neighbours move by the exact gain, rarer ones by its derivative.
 EXACT = 128
 #: Counts added: to a transition in all, to each word within its class.
 PRIOR, EMISSION = 16.0, 0.5
-_FLUSH = 500_000
-
+CHUNK = 1 << 19
+#: Words that are compared with all classes at a time.
+_BLOCK = 8192
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts; words are lower-cased runs of letters and digits."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        pack = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                if t:
-                    seen.update(WORD.findall(t.lower()))
-                if len(seen) > _FLUSH:
-                    yield pack()
-                    seen.clear()
-        yield pack()
+def chunks(docs: DataFrame, tokens: int = CHUNK) -> DataFrame:
+    """(chunk, docs, ends, ids, words, counts): texts as numbers of words of the chunk's dictionary; document i ends before ``ends[i]``.
 
-    return docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def encode(docs: DataFrame, words: list[str], v: int) -> DataFrame:
-    """(row, doc_id, ids, tail): a text's words as four-byte ranks in ``words``.
-
-    If ``v`` is above len(words), -1 stands for any other word and ``tail`` has
-    these in order; else len(words) stands for them.
+    Words are lower-cased runs of letters and digits; null and empty texts have none.
     """
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("ids", T.BinaryType()), T.StructField("tail", T.ArrayType(T.StringType()))])
-    shared = docs.sparkSession.sparkContext.broadcast(words)
-    more = v > len(words)
+    kind = docs.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("docs", T.ArrayType(kind)), T.StructField("ends", T.BinaryType()), T.StructField("ids", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = {w: i for i, w in enumerate(shared.value)}
-        other, get = -1 if more else len(rank), rank.get
-        for b in batches:
-            found = [WORD.findall(t.lower()) if t else [] for t in b.column(2).to_pylist()]
-            out = [np.fromiter([get(w, other) for w in ws], dtype=np.int32).tobytes() for ws in found]
-            tail = [[w for w in ws if w not in rank] if more else [] for ws in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary()), pa.array(tail, pa.list_(pa.string()))], [f.name for f in schema])
-
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, schema)
-
-
-def _ranked(counts: DataFrame, last: pd.Series, first: int, v: int, scratch: Scratch) -> DataFrame:
-    """(word, n, id) of the words after ``last`` by count and code points, numbered from ``first`` to ``v``."""
-    rest = counts.where((F.col("n") < int(last["n"])) | ((F.col("n") == int(last["n"])) & (F.col("word") > last["word"])))
-    order = scratch.save(rest.orderBy(F.desc("n"), "word").withColumn("at", F.monotonically_increasing_id()), "order")
-    sizes = order.groupBy(F.shiftright("at", 33).alias("part")).count().toPandas().sort_values("part")
-    sizes["start"] = first + sizes["count"].cumsum() - sizes["count"]
-    starts = counts.sparkSession.createDataFrame(sizes[["part", "start"]], "part bigint, start bigint")
-    ids = order.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(starts), "part")
-    return ids.select("word", "n", (F.col("start") + F.col("at").bitwiseAND((1 << 33) - 1)).cast("int").alias("id")).where(F.col("id") < v)
+        part, n, arrow = TaskContext.get().partitionId(), 0, None
+        number: dict[str, int] = defaultdict()
+        number.default_factory = number.__len__
+        held, names, ends, size = [], [], [], 0
+
+        def pack() -> pa.RecordBatch:
+            ids = np.concatenate([*held, np.zeros(0, np.int32)])
+            counts = np.bincount(ids, minlength=len(number))
+            row = [[part << 32 | n], [names], [np.array(ends, np.int32).tobytes()], [ids.astype(np.int32).tobytes()], [list(number)], [counts]]
+            kinds = [pa.int64(), pa.list_(arrow), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], [f.name for f in schema])
 
-
-def _fill(part: DataFrame, ranks: DataFrame, v: int) -> DataFrame:
-    """(doc_id, ids) with the tails of encoded texts as the ids of ``ranks``; ``v`` for words that have none."""
-    tokens = part.where(F.size("tail") > 0).select("row", F.posexplode("tail").alias("pos", "word"))
-    found = tokens.join(ranks.select("word", "id"), "word", "left").select("row", (F.shiftleft(F.col("pos").cast("bigint"), 32) + F.coalesce("id", F.lit(v))).alias("at"))
-    lists = found.groupBy("row").agg(F.array_sort(F.collect_list("at")).alias("at"))
-    joined = part.select("row", "doc_id", "ids").join(lists, "row", "left").select("doc_id", "ids", "at")
-    schema = T.StructType([part.schema["doc_id"], part.schema["ids"]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for raw, at in zip(b.column(1).to_pylist(), b.column(2), strict=True):
-                if at.is_valid:
-                    ids = np.frombuffer(raw, dtype=np.int32).copy()
-                    ids[ids < 0] = (at.values.to_numpy() & 0xFFFFFFFF).astype(np.int32)
-                    raw = ids.tobytes()
-                out.append(raw)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
-
-    return joined.mapInArrow(run, schema)
-
-
-def _count_cells(coded: DataFrame, cells) -> DataFrame:
-    """(cell, n): how often ``cells(ids)`` gives each number, over all texts."""
+            arrow = b.schema.field(0).type
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if text:
+                    found = WORD.findall(text.lower())
+                    held.append(np.fromiter(map(number.__getitem__, found), dtype=np.int32, count=len(found)))
+                    size += len(found)
+                names.append(doc)
+                ends.append(size)
+                if size >= tokens:
+                    yield pack()
+                    held, names, ends, size, n = [], [], [], 0, n + 1
+                    number.clear()
+        if names:
+            yield pack()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
-        def fold():
-            k, n = np.unique(np.concatenate(held), return_counts=True)
-            both, inverse = np.unique(np.concatenate([keys, k]), return_inverse=True)
-            return both, np.bincount(inverse, weights=np.concatenate([sums, n])).astype(np.int64)
 
-        for b in batches:
-            for raw in b.column(0).to_pylist():
-                got = cells(np.frombuffer(raw, dtype=np.int32).astype(np.int64))
-                held.append(got)
-                size += len(got)
-                if size > 4_000_000:
-                    keys, sums = fold()
-                    held, size = [], 0
-        if held:
-            keys, sums = fold()
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sums, pa.int64())], ["cell", "n"])
+def most_frequent(counts: DataFrame, most: int) -> pd.DataFrame:
+    """The ``most`` most frequent words of (word, n), of equals those with the least hash; most frequent first.
 
-    return coded.select("ids").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    Histograms of counts, and of the hashes of words tied at the cut, find where
+    they end, so that the driver is sent these words and a few that share the
+    last hash bucket.
+    """
+    hist = counts.groupBy("n").agg(F.count("*").alias("words")).toPandas().sort_values("n", ascending=False)
+    reach = hist["words"].cumsum().to_numpy()
+    bucket = F.shiftrightunsigned(F.xxhash64("word"), 44)
+    held = counts
+    if len(reach) and reach[-1] > most:
+        at = int(np.searchsorted(reach, most))
+        least, before = int(hist["n"].iloc[at]), int(reach[at - 1]) if at else 0
+        tied = counts.where(F.col("n") == least).groupBy(bucket.alias("b")).agg(F.count("*").alias("words")).toPandas().sort_values("b")
+        cut = int(tied["b"].iloc[int(np.searchsorted(tied["words"].cumsum().to_numpy(), most - before))])
+        held = counts.where((F.col("n") > least) | ((F.col("n") == least) & (bucket <= cut)))
+    order = held.withColumn("h", F.xxhash64("word")).toPandas()
+    order["h"] = order["h"].to_numpy().view(np.uint64)
+    return order.sort_values(["n", "h", "word"], ascending=[False, True, True], kind="stable").head(most)[["word", "n"]]
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
@@ -202,78 +173,118 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -
     return c
 
 
-def neighbours(coded: DataFrame, v: int, parts: int) -> DataFrame:
-    """(word, side, other, n): blocks of the bigrams of all words below ``v``, all of a word's in one block.
+def _packed(name: str, *kinds: str) -> T.StructType:
+    return T.StructType([T.StructField(name, T.LongType()), *(T.StructField(k, T.BinaryType()) for k in kinds)])
+
+
+def _cut(part: np.ndarray, cols: dict[str, np.ndarray], name: str) -> pa.RecordBatch:
+    """A row for each value of ``part``, with its entries of the columns packed."""
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    start = np.flatnonzero(np.diff(part, prepend=-1))
+    ends = np.append(start, len(part))
+    out = [pa.array(part[start].astype(np.int64), pa.int64())]
+    for c in cols.values():
+        c = c[order]
+        out.append(pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer((ends * c.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(c))]))
+    return pa.RecordBatch.from_arrays(out, [name, *cols])
+
 
-    A block's entries are sorted by ``word``; ``other`` follows it on side 0 and precedes it on side 1.
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n[order], first) if len(first) else n[:0]
+
+
+def _inside(ends: bytes, size: int) -> np.ndarray:
+    """Whether a token and the next one are of one text."""
+    same = np.ones(max(0, size - 1), dtype=bool)
+    e = np.frombuffer(ends, np.int32)
+    same[e[(e > 0) & (e < size)] - 1] = False
+    return same
+
+
+def neighbours(coded: DataFrame, words: list[str], tokens: int) -> DataFrame:
+    """(part, word, side, other, n): blocks of the bigrams among ``words``, all of a word's in one block, sorted by word.
+
+    ``other`` follows the word on side 0 and precedes it on side 1.  Counts are
+    added up by pair first, so that no task gets what all others found of a
+    frequent word, and then gathered by word.
     """
-    low = (1 << 32) - 1
+    spark = coded.sparkSession
+    shared = spark.sparkContext.broadcast(words)
+    many = partitions_for(spark, tokens, 4_000_000)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        rank = {w: i for i, w in enumerate(shared.value)}
+        keys, sums, held, size = np.zeros(0, np.uint32), np.zeros(0, np.int64), [], 0
 
-        def pack():
-            key = np.concatenate(held)
-            for side, x in enumerate((key, ((key & low) << 32) | (key >> 32))):
-                u, c = np.unique(x, return_counts=True)
-                w = u >> 32
-                start = np.flatnonzero(np.diff(w, prepend=-1))
-                ends = pa.py_buffer(np.append(start, len(w)).astype(np.int32) * 4)
-                blob = lambda z: pa.Array.from_buffers(pa.binary(), len(start), [None, ends, pa.py_buffer(z.astype(np.int32))])  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(w[start].astype(np.int32)), pa.array(np.full(len(start), side, np.int32)), blob(u & low), blob(c)], ["word", "side", "other", "n"])
+        def fold():
+            k = np.concatenate([keys, *(x[0] for x in held)])
+            return _summed(k, np.concatenate([sums, *(x[1] for x in held)]))
 
         for b in batches:
-            for raw in b.column(0).to_pylist():
-                ids = np.frombuffer(raw, dtype=np.int32).astype(np.int64)
-                x, y = ids[:-1], ids[1:]
-                known = (x < v) & (y < v)
-                held.append((x[known] << 32) | y[known])
-                size += len(held[-1])
-                if size > 1_000_000:
-                    yield from pack()
+            for ends, ids, own in zip(*(b.column(i) for i in range(3)), strict=True):
+                seq = _head_ids(rank, own)[np.frombuffer(ids.as_py(), np.int32)]
+                x, y = seq[:-1], seq[1:]
+                good = (x >= 0) & (y >= 0) & _inside(ends.as_py(), len(seq))
+                u, c = np.unique(x[good].astype(np.uint32) << np.uint32(16) | y[good].astype(np.uint32), return_counts=True)
+                held.append((u, c.astype(np.int64)))
+                size += len(u)
+                if size > 2_000_000:
+                    keys, sums = fold()
                     held, size = [], 0
-        if size:
-            yield from pack()
+                    if len(keys) > 4_000_000:
+                        yield out(keys, sums)
+                        keys, sums = keys[:0], sums[:0]
+        if held or len(keys):
+            yield out(*fold())
+
+    def out(keys, sums):
+        return _cut((keys.astype(np.uint64) * _SPREAD >> np.uint64(33)).astype(np.int64) % many, {"pair": keys, "n": sums}, "part")
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, n = _flat(batches, {"pair": np.uint32, "n": np.int64})
+        k, n = _summed(k, n)
+        x, y = (k >> np.uint32(16)).astype(np.uint16), (k & np.uint32(0xFFFF)).astype(np.uint16)
+        for side, w, o in ((0, x, y), (1, y, x)):
+            if len(w):
+                yield _cut((w.astype(np.uint64) * _SPREAD >> np.uint64(33)).astype(np.int64) % many, {"word": w, "side": np.full(len(w), side, np.uint8), "other": o, "n": n}, "part")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, limit = [], 0, 250_000
+        w, side, o, n = _flat(batches, {"word": np.uint16, "side": np.uint8, "other": np.uint16, "n": np.int64})
+        order = np.lexsort((o, side, w))
+        w, side, o, n = w[order], side[order], o[order], n[order]
+        start = np.flatnonzero(np.diff(w.astype(np.int64), prepend=-1))[::1024].tolist()
+        for i, j in zip(start, [*start[1:], len(w)], strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([0]), *(pa.array([c[i:j].tobytes()], pa.binary()) for c in (w, side, o, n))], ["part", "word", "side", "other", "n"])
 
-        def pack(x):
-            u, inverse = np.unique((x[0] * 2 + x[1]) << 31 | x[2], return_inverse=True)
-            n = np.bincount(inverse, weights=x[3]).astype(np.int64)
-            cols = [(u >> 32).astype(np.int32), ((u >> 31) & 1).astype(np.uint8), (u & ((1 << 31) - 1)).astype(np.int32), n]
-            return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cols], ["word", "side", "other", "n"])
+    found = coded.select("ends", "ids", "words").mapInArrow(pieces, _packed("part", "pair", "n"))
+    sides = found.repartitionById(many, F.col("part").cast("int")).select("pair", "n").mapInArrow(both, _packed("part", "word", "side", "other", "n"))
+    return sides.repartitionById(many, F.col("part").cast("int")).select("word", "side", "other", "n").mapInArrow(blocks, _packed("part", "word", "side", "other", "n"))
+
+
+def _head_ids(rank: dict[str, int], words: pa.ListScalar) -> np.ndarray:
+    get = rank.get
+    return np.fromiter((get(w, -1) for w in words.values.to_pylist()), dtype=np.int32, count=len(words.values))
 
-        for b in batches:
-            other, n = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.int32) for i in (2, 3))
-            sizes = np.diff(np.frombuffer(b.column(2).buffers()[1], dtype=np.int32)[b.column(2).offset :][: len(b.column(2)) + 1]) // 4
-            held.append(np.stack([np.repeat(b.column(0).to_numpy(), sizes), np.repeat(b.column(1).to_numpy(), sizes), other, n]).astype(np.int64))
-            size += len(other)
-            if size > limit:
-                x = np.concatenate(held, axis=1)
-                cut = int(np.searchsorted(x[0], x[0, -1]))
-                if cut:
-                    yield pack(x[:, :cut])
-                held, size = [x[:, cut:]], x.shape[1] - cut
-                limit = max(250_000, 2 * size)
-        if size:
-            yield pack(np.concatenate(held, axis=1))
 
-    spread = coded.select("ids").mapInArrow(pieces, "word int, side int, other binary, n binary").repartition(parts, "word").sortWithinPartitions("word")
-    return spread.mapInArrow(blocks, "word binary, side binary, other binary, n binary")
+def _flat(batches: Iterator[pa.RecordBatch], kinds: dict[str, type]) -> list[np.ndarray]:
+    got: dict[str, list[bytes]] = {k: [] for k in kinds}
+    for b in batches:
+        for k in kinds:
+            got[k] += b.column(k).to_pylist()
+    return [np.frombuffer(b"".join(got[k]), dtype=d) for k, d in kinds.items()]
 
 
 def _entries(b: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
-    """The entries of blocks, some thousand words at a time."""
-    for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-        cols = [np.frombuffer(x, dtype=d) for x, d in zip(row, (np.int32, np.uint8, np.int32, np.int64), strict=True)]
-        start = np.flatnonzero(np.diff(cols[0], prepend=-1))[::8192].tolist()
-        for i, j in zip(start, [*start[1:], len(cols[0])], strict=True):
-            yield [c[i:j] for c in cols]
+    for row in zip(*(b.column(c).to_pylist() for c in ("word", "side", "other", "n")), strict=True):
+        yield [np.frombuffer(x, dtype=d) for x, d in zip(row, (np.uint16, np.uint8, np.uint16, np.int64), strict=True)]
 
 
 def class_bigrams(blocks: DataFrame, named: np.ndarray, k: int) -> np.ndarray:
-    """Bigrams by class, of the words that have one of ``k``."""
+    """Bigrams by class, of the head's words that have one of ``k``."""
     shared = blocks.sparkSession.sparkContext.broadcast(named)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,22 +297,44 @@ def class_bigrams(blocks: DataFrame, named: np.ndarray, k: int) -> np.ndarray:
         cell = np.flatnonzero(m)
         yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(m[cell].astype(np.int64), pa.int64())], ["cell", "n"])
 
-    m = np.zeros(k * k)
-    got = blocks.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    m[got["cell"].to_numpy(dtype=np.int64)] = got["n"].to_numpy()
+    out = _square(blocks.mapInArrow(run, "cell bigint, n bigint"), k * k).reshape(k, k)
     shared.unpersist()
-    return m.reshape(k, k)
+    return out
+
+
+def _square(cells: DataFrame, size: int) -> np.ndarray:
+    m = np.zeros(size)
+    got = cells.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    m[got["cell"].to_numpy(dtype=np.int64)] = got["n"].to_numpy()
+    return m
+
+
+def _moves(m: np.ndarray, seen: np.ndarray, own: np.ndarray, now: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """Classes after moves that each raise the likelihood by itself, of words with (words, 2, k) bigrams beside classes; k: none so far."""
+    k = len(m)
+    soft = m + 0.5
+    pmi = np.log(soft * soft.sum() / (soft.sum(axis=1)[:, None] * soft.sum(axis=0)[None, :]))
+    score = seen[:, 0] @ pmi.T + seen[:, 1] @ pmi
+    best, total = score.argmax(axis=1), seen.sum(axis=(1, 2))
+    free = free & (total > 0)
+    for i in np.flatnonzero(free & (now < k) & (total >= EXACT)):
+        gain = _gain(m, now[i], seen[i, 0], seen[i, 1], own[i])[0]
+        best[i] = int(np.argmax(gain))
+        if gain[best[i]] <= gain[now[i]] + 1e-9 * abs(gain[now[i]]):
+            best[i] = now[i]
+    held = score[np.arange(len(now)), np.minimum(now, k - 1)]
+    rare = (total < EXACT) & (now < k)
+    moved = free & (best != now) & ~(rare & (score.max(axis=1) <= held + 1e-9 * np.abs(held)))
+    return np.where(moved, best, now)
 
 
 def proposals(blocks: DataFrame, named: np.ndarray, m: np.ndarray, sweep: int) -> np.ndarray:
-    """``named`` after moves that each raise the likelihood by itself: at sweep 0 of words without a class, later of every other word."""
+    """``named`` after moves: at sweep 0 of words without a class, later of every other word."""
     k = len(m)
     shared = blocks.sparkSession.sparkContext.broadcast((named, m))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, m = shared.value
-        soft = m + 0.5
-        pmi = np.log(soft * soft.sum() / (soft.sum(axis=1)[:, None] * soft.sum(axis=0)[None, :]))
         for b in batches:
             for w, side, o, n in _entries(b):
                 u, place = np.unique(w, return_inverse=True)
@@ -310,28 +343,18 @@ def proposals(blocks: DataFrame, named: np.ndarray, m: np.ndarray, sweep: int) -
                 seen = np.bincount((place[use] * 2 + side[use]) * k + c[use], weights=n[use], minlength=len(u) * 2 * k).reshape(len(u), 2, k)
                 own = np.bincount(place[self & (side == 0)], weights=n[self & (side == 0)], minlength=len(u))
                 now = of[u].astype(np.int64)
-                score = seen[:, 0] @ pmi.T + seen[:, 1] @ pmi
-                best, total = score.argmax(axis=1), seen.sum(axis=(1, 2))
-                free = (total > 0) & ((now == k) if sweep == 0 else (now == k) | ((u + sweep) % 2 == 0))
-                for i in np.flatnonzero(free & (now < k) & (total >= EXACT)):
-                    gain = _gain(m, now[i], seen[i, 0], seen[i, 1], own[i])[0]
-                    best[i] = int(np.argmax(gain))
-                    if gain[best[i]] <= gain[now[i]] + 1e-9 * abs(gain[now[i]]):
-                        best[i] = now[i]
-                held = score[np.arange(len(u)), np.minimum(now, k - 1)]
-                rare = (total < EXACT) & (now < k)
-                moved = free & (best != now) & ~(rare & (score.max(axis=1) <= held + 1e-9 * np.abs(held)))
-                yield pa.RecordBatch.from_arrays([pa.array([u[moved].astype(np.int32).tobytes()], pa.binary()), pa.array([best[moved].astype(np.int16).tobytes()], pa.binary())], ["word", "class"])
+                after = _moves(m, seen, own, now, (now == k) if sweep == 0 else (now == k) | ((u + sweep) % 2 == 0))
+                yield pa.RecordBatch.from_arrays([pa.array([u[after != now].tobytes()], pa.binary()), pa.array([after[after != now].astype(np.int16).tobytes()], pa.binary())], ["word", "class"])
 
     out = named.copy()
-    for r in blocks.mapInArrow(run, "word binary, class binary").collect():  # a row for thousands of words: the driver makes an object of each
-        out[np.frombuffer(r[0], dtype=np.int32)] = np.frombuffer(r[1], dtype=np.int16)
+    for r in blocks.mapInArrow(run, "word binary, class binary").collect():  # some numbers of the head, packed
+        out[np.frombuffer(r[0], dtype=np.uint16)] = np.frombuffer(r[1], dtype=np.int16)
     shared.unpersist()
     return out
 
 
 def sweeps(blocks: DataFrame, named: np.ndarray, k: int, most: int = SWEEPS) -> np.ndarray:
-    """Classes of all words from those of a few; class ``k`` stays for words that are beside none with a class."""
+    """Classes of the head from those of its first words; class ``k`` stays for words that are beside none with a class."""
     m = class_bigrams(blocks, named, k)
     while not np.array_equal(placed := proposals(blocks, named, m, 0), named):
         named, m = placed, class_bigrams(blocks, placed, k)
@@ -344,125 +367,332 @@ def sweeps(blocks: DataFrame, named: np.ndarray, k: int, most: int = SWEEPS) ->
     return named
 
 
+_LIST = T.ArrayType(T.StringType())
+
+
+def tail_words(coded: DataFrame, words: list[str], named: np.ndarray, k: int, parts: int) -> DataFrame:
+    """Blocks of the words outside the head: (words, count), bigrams (at, cell, n) and places in chunks (owner, chunk, local, times).
+
+    ``at`` and ``owner`` number the block's words; a cell is a class that
+    follows, or k and a class that precedes.
+    """
+    shared = coded.sparkSession.sparkContext.broadcast((words, named))
+    spread = T.StructType([T.StructField("word", T.StringType()), T.StructField("chunk", T.LongType()), T.StructField("local", T.IntegerType()), T.StructField("times", T.LongType()), T.StructField("beside", T.BinaryType())])
+    packed = ("count", "at", "cell", "n", "owner", "chunk", "local", "times")
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, of = shared.value
+        rank = {w: i for i, w in enumerate(head)}
+        for b in batches:
+            for chunk, ends, ids, own, counts in zip(*(b.column(i) for i in range(5)), strict=True):
+                head_of, seq = _head_ids(rank, own), np.frombuffer(ids.as_py(), np.int32)
+                rest = np.flatnonzero(head_of < 0)
+                if not len(rest):
+                    continue
+                c = np.where(head_of >= 0, of[head_of], k)[seq]
+                new, inside = head_of[seq] < 0, _inside(ends.as_py(), len(seq))
+                right = np.flatnonzero(new[:-1] & (c[1:] < k) & inside)
+                left = np.flatnonzero(new[1:] & (c[:-1] < k) & inside) + 1
+                key = np.concatenate([seq[right].astype(np.int64) * 2 * k + c[right + 1], seq[left].astype(np.int64) * 2 * k + k + c[left - 1]])
+                u, n = np.unique(key, return_counts=True)
+                at = np.searchsorted(u // (2 * k), rest)
+                stop = np.searchsorted(u // (2 * k), rest, side="right")
+                if len(rest):  # entries lie word after word, as do the words of the rest
+                    blob = u % (2 * k) << 40 | n
+                    edge = (np.append(at, stop[-1]) * 8).astype(np.int32)
+                    beside = pa.Array.from_buffers(pa.binary(), len(rest), [None, pa.py_buffer(edge), pa.py_buffer(blob.astype(np.int64))])
+                    place = pa.array(rest)
+                    yield pa.RecordBatch.from_arrays([own.values.take(place), pa.array(np.full(len(rest), chunk.as_py()), pa.int64()), pa.array(rest.astype(np.int32)), counts.values.take(place), beside], [f.name for f in spread])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def pack(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            coded = t.column("word").combine_chunks().dictionary_encode()
+            code, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+            chunk, local, times = (t.column(c).to_numpy() for c in ("chunk", "local", "times"))
+            beside = t.column("beside").to_pylist()
+            flat = np.frombuffer(b"".join(beside), np.int64)
+            key = np.repeat(code, np.fromiter(map(len, beside), np.int64, len(beside)) // 8) << 16 | flat >> 40
+            key, n = _summed(key, flat & ((1 << 40) - 1))
+            order = np.argsort(code, kind="stable")
+            for i in range(0, len(names), _BLOCK):
+                j = min(i + _BLOCK, len(names))
+                a, z = np.searchsorted(key >> 16, (i, j))
+                r = order[slice(*np.searchsorted(code[order], (i, j)))]
+                owner = (code[r] - i).astype(np.int32)
+                cols = [np.bincount(owner, weights=times[r], minlength=j - i).astype(np.int64), ((key[a:z] >> 16) - i).astype(np.int32), (key[a:z] & 0xFFFF).astype(np.int32), n[a:z], owner, chunk[r], local[r], times[r]]
+                yield pa.RecordBatch.from_arrays([pa.array([names.slice(i, j - i).to_pylist()], pa.list_(pa.string())), *(pa.array([np.ascontiguousarray(c).tobytes()], pa.binary()) for c in cols)], ["words", *packed])
+
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size > 200_000:
+                t = pa.Table.from_batches(held).combine_chunks()
+                cut = int(np.argmax(pc.equal(t.column("word"), t.column("word")[-1]).to_numpy()))  # the last word may go on
+                if cut:
+                    yield from pack(t.slice(0, cut))
+                held, size = t.slice(cut).to_batches(), t.num_rows - cut
+        if size:
+            yield from pack(pa.Table.from_batches(held))
+
+    found = coded.select("chunk", "ends", "ids", "words", "counts").mapInArrow(pieces, spread)
+    schema = T.StructType([T.StructField("words", _LIST), *(T.StructField(c, T.BinaryType()) for c in packed)])
+    return found.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(gather, schema)
+
+
+_TAIL_KINDS = {"count": np.int64, "at": np.int32, "cell": np.int32, "n": np.int64, "owner": np.int32, "chunk": np.int64, "local": np.int32, "times": np.int64}
+
+
+def _tail_classes(row: dict, ms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each word of a block after a sweep under each matrix, and its (words, 2, k) bigrams; the same wherever it is worked out."""
+    k, u = len(ms[0]), len(row["count"])
+    seen = np.bincount(row["at"].astype(np.int64) * 2 * k + row["cell"], weights=row["n"], minlength=u * 2 * k).reshape(u, 2, k)
+    now = np.full(u, k)
+    for m in ms:
+        now = _moves(m, seen, np.zeros(u), now, np.ones(u, dtype=bool))
+    return now, seen
+
+
+def _tail_rows(b: pa.RecordBatch, names: list[str]) -> Iterator[dict]:
+    for row in zip(*(b.column(c) for c in names), strict=True):
+        yield {c: x.values if c == "words" else np.frombuffer(x.as_py(), _TAIL_KINDS[c]) for c, x in zip(names, row, strict=True)}
+
+
+def tail_totals(tail: DataFrame, ms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the words of the tail add to the class bigrams, and their number and counts by class."""
+    k = len(ms[0])
+    shared = tail.sparkSession.sparkContext.broadcast(ms)
+    names = ["count", "at", "cell", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, types, mass = np.zeros((k + 1, 2, k)), np.zeros(k + 1), np.zeros(k + 1)
+        for b in batches:
+            for row in _tail_rows(b, names):
+                now, seen = _tail_classes(row, shared.value)
+                np.add.at(m, now, seen)
+                types += np.bincount(now, minlength=k + 1)
+                mass += np.bincount(now, weights=row["count"], minlength=k + 1)
+        all_ = np.concatenate([m.ravel(), types, mass])
+        cell = np.flatnonzero(all_)
+        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(all_[cell].astype(np.int64), pa.int64())], ["cell", "n"])
+
+    got = _square(tail.select(*names).mapInArrow(run, "cell bigint, n bigint"), 2 * k * (k + 1) + 2 * (k + 1))
+    shared.unpersist()
+    m = got[: 2 * k * (k + 1)].reshape(k + 1, 2, k)[:k]
+    types, mass = got[2 * k * (k + 1) :].reshape(2, k + 1)
+    return m[:, 0] + m[:, 1].T, types, mass
+
+
+def tail_table(tail: DataFrame, ms: list[np.ndarray]) -> DataFrame:
+    """(word, n, class) of every word outside the head."""
+    shared = tail.sparkSession.sparkContext.broadcast(ms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in _tail_rows(b, ["words", "count", "at", "cell", "n"]):
+                yield pa.RecordBatch.from_arrays([row["words"], pa.array(row["count"]), pa.array(_tail_classes(row, shared.value)[0].astype(np.int32))], ["word", "n", "class"])
+
+    return tail.mapInArrow(run, "word string, n bigint, class int")
+
+
+def _returned(tail: DataFrame, ms: list[np.ndarray]) -> DataFrame:
+    """(chunk, local, class, n): classes and counts of the tail's words, packed for each chunk that has them."""
+    shared = tail.sparkSession.sparkContext.broadcast(ms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def pack() -> pa.RecordBatch:
+            chunk, local, c, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            return _cut(chunk, {"local": local, "class": c, "n": n}, "chunk")
+
+        for b in batches:
+            for row in _tail_rows(b, ["count", "at", "cell", "n", "owner", "chunk", "local"]):
+                now = _tail_classes(row, shared.value)[0]
+                held.append((row["chunk"], row["local"], now[row["owner"]].astype(np.int16), row["count"][row["owner"]]))
+                size += len(row["owner"])
+                if size > 1_000_000:
+                    yield pack()
+                    held, size = [], 0
+        if held:
+            yield pack()
+
+    return tail.mapInArrow(run, _packed("chunk", "local", "class", "n"))
+
+
 @dataclass
 class BrownModel:
-    """``words`` are the first ranks; ``classes`` has the class of each rank (the last for words beyond the vocabulary);
-    ``emit`` log P(word | class); ``step`` log P(class | class before), its last row for a text's start."""
+    """``words`` are the head, ``n`` its counts and ``classes`` its classes; ``log_mass`` the log of each class's counts
+    with what is added; ``step`` log P(class | class before), its last row for a text's start; ``likelihood`` has the
+    likelihood of class bigrams before and after each sweep over the tail; ``tail``: (word, n, class) of all other words."""
 
     words: list[str]
+    n: np.ndarray
     classes: np.ndarray
-    emit: np.ndarray
+    log_mass: np.ndarray
     step: np.ndarray
-
-    def score(self, ids: np.ndarray) -> float:
-        c = self.classes[ids]
-        before = np.concatenate([[len(self.step) - 1], c[:-1]])
-        return float(self.step[before, c].sum() + self.emit[ids].sum())
+    likelihood: list[float]
+    tail: DataFrame | None
 
 
-def fit(coded: DataFrame, words: list[str], n: np.ndarray, others: int, other_types: int, scratch: Scratch, classes: int, core: int = CORE) -> BrownModel:
-    """Fit on encoded texts, given the counts of all words that have an id and of all others."""
-    v, k0 = len(n), min(core, len(n))
+def _classed(coded: DataFrame, words: list[str], n: np.ndarray, named: np.ndarray, log_mass: np.ndarray, back: DataFrame | None) -> DataFrame:
+    """(docs, ends, classes, emit): the class of every token, and the sum of log emissions of every text."""
+    shared = coded.sparkSession.sparkContext.broadcast((words, n, named, log_mass))
+    kind = coded.schema["docs"]
+    schema = T.StructType([T.StructField("chunk", T.LongType()), kind, T.StructField("ends", T.BinaryType()), T.StructField("classes", T.BinaryType()), T.StructField("rest", T.BinaryType()), T.StructField("emit", T.BinaryType())])
 
-    def core_pairs(ids: np.ndarray) -> np.ndarray:
-        a, b = ids[:-1], ids[1:]
-        both = (a < k0) & (b < k0)
-        return a[both] * k0 + b[both]
-
-    counts = np.zeros(k0 * k0)
-    for r in _count_cells(coded, core_pairs).toPandas().itertuples(index=False):
-        counts[r.cell] = r.n
-    counts = counts.reshape(k0, k0)
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, n, of, log_mass = shared.value
+        rank = {w: i for i, w in enumerate(head)}
+        emit = np.log(n + EMISSION) - log_mass[of]
+        for b in batches:
+            for chunk, docs, ends, ids, own in zip(*(b.column(i) for i in range(5)), strict=True):
+                head_of, seq = _head_ids(rank, own), np.frombuffer(ids.as_py(), np.int32)
+                if len(head):
+                    c, e = np.where(head_of >= 0, of[head_of], -1).astype(np.int16), np.where(head_of >= 0, emit[head_of], 0.0)
+                else:
+                    c, e = np.full(len(head_of), -1, np.int16), np.zeros(len(head_of))
+                tokens = c[seq]
+                row = [chunk.as_py(), docs, ends.as_py(), tokens.tobytes(), seq[tokens < 0].tobytes(), _per_text(e[seq], ends.as_py()).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([row[0]]), pa.array([docs.as_py()], b.schema.field(1).type), *(pa.array([x], pa.binary()) for x in row[2:])], [f.name for f in schema])
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log_mass = shared.value[3]
+        for b in batches:
+            for r, docs in zip(b.select(["ends", "classes", "rest", "emit", "back"]).to_pylist(), b.column("docs"), strict=True):
+                c, rest = np.frombuffer(r["classes"], np.int16).copy(), np.frombuffer(r["rest"], np.int32)
+                emit = np.frombuffer(r["emit"], np.float64)
+                if len(rest):
+                    local, of, n = (np.frombuffer(b"".join(x[k] for x in r["back"]), d) for k, d in (("local", np.int32), ("class", np.int16), ("n", np.int64)))
+                    size = int(max(local.max(), rest.max())) + 1
+                    class_of, logs = np.zeros(size, np.int16), np.zeros(size)
+                    class_of[local], logs[local] = of, np.log(n + EMISSION) - log_mass[of]
+                    e = np.zeros(len(c))
+                    e[c < 0] = logs[rest]
+                    c[c < 0] = class_of[rest]
+                    emit = emit + _per_text(e, r["ends"])
+                yield pa.RecordBatch.from_arrays([pa.array([docs.as_py()], b.schema.field("docs").type), *(pa.array([x], pa.binary()) for x in (r["ends"], c.tobytes(), emit.tobytes()))], ["docs", "ends", "classes", "emit"])
+
+    out = coded.select("chunk", "docs", "ends", "ids", "words").mapInArrow(first, schema)
+    if back is None:
+        return out.select("docs", "ends", "classes", "emit")
+    per = back.groupBy("chunk").agg(F.collect_list(F.struct("local", "class", "n")).alias("back"))
+    done = T.StructType([kind, *(T.StructField(c, T.BinaryType()) for c in ("ends", "classes", "emit"))])
+    return out.join(per, "chunk", "left").mapInArrow(second, done)
+
+
+def _per_text(x: np.ndarray, ends: bytes) -> np.ndarray:
+    sums = np.concatenate([[0.0], np.cumsum(x)])
+    e = np.frombuffer(ends, np.int32)
+    return sums[e] - sums[np.concatenate([[0], e[:-1]]).astype(np.int64)] if len(e) else np.zeros(0)
+
+
+def _steps(classes: bytes, ends: bytes, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each token's class and the one before it in its text, or ``start``."""
+    c = np.frombuffer(classes, np.int16).astype(np.int64)
+    before = np.concatenate([[start], c[:-1]]) if len(c) else c
+    e = np.frombuffer(ends, np.int32)
+    before[e[e < len(c)]] = start
+    return before, c
+
+
+def train(docs: DataFrame, scratch: Scratch, classes: int | None = None, core: int = CORE, head: int = HEAD, chunk: int = CHUNK) -> tuple[BrownModel, DataFrame]:
+    """The model of all of ``docs``, and its texts as classes."""
+    spark = docs.sparkSession
+    coded = scratch.save(chunks(docs, chunk), "chunks")
+    counts = coded.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy(F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("n"))
+    counts = scratch.save(counts, "words")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("types")).first()
+    top = most_frequent(counts, min(head, HEAD))
+    scratch.drop("words")
+    words, n = top["word"].tolist(), top["n"].to_numpy(dtype=np.float64)
+    if classes is None:
+        classes = max(CLASSES, round(total["types"] ** GROWTH))
+        core = max(core, 12 * classes)
+    k0 = min(core, len(words))
     k = max(1, min(classes, k0))
-    of = exchange(counts, k) if k0 else np.zeros(0, np.int64)
-    named = np.full(v + 1, k, dtype=np.int16)  # class k: beyond the vocabulary, or beside no word
-    named[:k0] = of
-    if v > k0:
-        parts = partitions_for(coded.sparkSession, 2 * int(n.sum()), 1_500_000)
-        named = sweeps(scratch.save(neighbours(coded, v, parts), "neighbours"), named, k)
-        scratch.drop("neighbours")
+    named = np.full(len(words), k, dtype=np.int16)  # class k: beside no word
+    blocks = scratch.save(neighbours(coded, words, total["n"]), "neighbours")
+    if k0:
+        first = _core_counts(blocks, k0)
+        named[:k0] = exchange(first, k)
+        if len(words) > k0:
+            named = sweeps(blocks, named, k)
+    m = class_bigrams(blocks, named, k)
+    types, mass = np.bincount(named, minlength=k + 1).astype(np.float64), np.bincount(named, weights=n, minlength=k + 1)
+    ms, back, tail, reached = [m], None, None, [likelihood(m)]
+    if total["types"] > len(words):
+        parts = partitions_for(spark, total["types"] - len(words), 50_000)
+        tail = scratch.save(tail_words(coded, words, named, k, parts), "tail")
+        more, t, c = tail_totals(tail, ms)
+        reached.append(likelihood(m + more))
+        for _ in range(TAIL_SWEEPS):
+            after = tail_totals(tail, [*ms, m + more])
+            if (value := likelihood(m + after[0])) <= reached[-1]:
+                break
+            ms, (more, t, c) = [*ms, m + more], after
+            reached.append(value)
+        types, mass = types + t, mass + c
+        back = _returned(tail, ms)
+    scratch.drop("neighbours")
+    log_mass = np.log(mass + EMISSION * np.maximum(types, 1))
+    texts = scratch.save(_classed(coded, words, n, named, log_mass, back), "texts")
+    scratch.drop("chunks")
     kk = k + 1
 
-    def transitions(ids: np.ndarray) -> np.ndarray:
-        c = shared.value[ids].astype(np.int64)
-        return np.concatenate([[kk], c[:-1]]) * kk + c if len(c) else c
-
-    shared = coded.sparkSession.sparkContext.broadcast(named)
+    def transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((kk + 1) * kk, dtype=np.int64)
+        for b in batches:
+            for c, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                before, now = _steps(c, e, kk)
+                sums += np.bincount(before * kk + now, minlength=len(sums))
+        cell = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(sums[cell], pa.int64())], ["cell", "n"])
 
-    t = np.zeros((kk + 1) * kk)
-    for r in _count_cells(coded, transitions).toPandas().itertuples(index=False):
-        t[r.cell] = r.n
-    t = t.reshape(kk + 1, kk)
+    t = _square(texts.select("classes", "ends").mapInArrow(transitions, "cell bigint, n bigint"), (kk + 1) * kk).reshape(kk + 1, kk)
     # a class without words gets no mass
-    types = np.bincount(named[:v], minlength=kk).astype(np.float64)
-    types[k] += max(0, other_types)
     prior = np.where(types > 0, t.sum(axis=0) + 1, 0)
     prior = prior / max(1.0, prior.sum())
     with np.errstate(divide="ignore"):
         step = np.log((t + PRIOR * prior[None, :]) / (t.sum(axis=1, keepdims=True) + PRIOR))
-    mass = np.bincount(named[:v], weights=n, minlength=kk)
-    mass[k] += others
-    emit = np.log((np.append(n, others / max(1, other_types)) + EMISSION) / (mass + EMISSION * np.maximum(types, 1))[named])
-    return BrownModel(words, named, emit, step)
-
+    return BrownModel(words, n, named, log_mass, step, reached, None if tail is None else tail_table(tail, ms)), texts
 
-def _most_frequent(counts: DataFrame, most: int) -> pd.DataFrame:
-    """The ``most`` most frequent words, of equals the first by code points.
 
-    A histogram of counts gives the count at which they end, so that the driver
-    is sent those words and the ones tied with the last, not a list per task.
-    """
-    hist = counts.groupBy("n").agg(F.count("*").alias("words")).toPandas().sort_values("n", ascending=False)
-    reach = hist["words"].cumsum().to_numpy()
-    if not len(reach):
-        return counts.toPandas()
-    least = int(hist["n"].iloc[min(int(np.searchsorted(reach, most)), len(reach) - 1)])
-    held = counts.where(F.col("n") >= least).toPandas()
-    return held.sort_values(["n", "word"], ascending=[False, True], kind="stable").head(most)
+def _core_counts(blocks: DataFrame, k0: int) -> np.ndarray:
+    """Bigrams of the first ``k0`` words of the head."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for w, side, o, n in _entries(b):
+                use = (side == 0) & (w < k0) & (o < k0)
+                yield pa.RecordBatch.from_arrays([pa.array(w[use].astype(np.int64) * k0 + o[use], pa.int64()), pa.array(n[use], pa.int64())], ["cell", "n"])
 
-def train(docs: DataFrame, scratch: Scratch, vocabulary: int | None = None, classes: int | None = None, core: int = CORE, head: int = HEAD) -> tuple[BrownModel, DataFrame]:
-    """The model of all of ``docs``, and its texts encoded; every word has an id unless ``vocabulary`` bounds them."""
-    counts = scratch.save(word_counts(docs), "words")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("types")).first()
-    v = total["types"] if vocabulary is None else min(vocabulary, total["types"])
-    top = _most_frequent(counts, min(v, head))
-    words, n = top["word"].tolist(), top["n"].to_numpy(dtype=np.float64)
-    coded = scratch.save(encode(docs, words, v), "part")
-    if v > len(words):
-        ranks = scratch.save(_ranked(counts, top.iloc[-1], len(words), v, scratch), "ranks")
-        sizes = ranks.groupBy("n").count().toPandas().sort_values("n", ascending=False)
-        n = np.concatenate([n, np.repeat(sizes["n"].to_numpy(dtype=np.float64), sizes["count"])])
-        coded = scratch.save(_fill(coded, ranks, v), "coded")
-        for name in ("order", "ranks", "part"):
-            scratch.drop(name)
-    else:
-        coded = coded.select("doc_id", "ids")
-    scratch.drop("words")
-    if classes is None:
-        classes = max(CLASSES, round(v**GROWTH))
-        core = max(core, 12 * classes)
-    return fit(coded, words, n, int(total["n"] - n.sum()), int(total["types"] - v), scratch, classes, core), coded
+    return _square(blocks.mapInArrow(run, "cell bigint, n bigint"), k0 * k0).reshape(k0, k0)
 
 
-def brown_lm(docs: DataFrame, vocabulary: int | None = None, classes: int | None = None, core: int = CORE) -> DataFrame:
+def brown_lm(docs: DataFrame, classes: int | None = None, core: int = CORE, head: int = HEAD) -> DataFrame:
     """(doc_id, n_words, log_prob, perplexity) of every row under the model of the whole table.
 
     A text without words, null or empty, has 0 words, log_prob 0 and a null
-    perplexity.  Repeated rows count and are scored each.
+    perplexity.  Repeated rows count and are scored each.  Words tied at the end
+    of the head are taken by hash; an empty table gives no rows; only doc_id and
+    text are read.
     """
     scratch = Scratch(docs.sparkSession, "brown")
-    model, coded = train(docs, scratch, vocabulary, classes, core)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    model, texts = train(docs, scratch, classes, core, head)
+    shared = docs.sparkSession.sparkContext.broadcast(model.step)
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("perplexity", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        step = shared.value
         for b in batches:
-            ids = [np.frombuffer(x, dtype=np.int32) for x in b.column(1).to_pylist()]
-            n = [len(x) for x in ids]
-            p = [m.score(x) if len(x) else 0.0 for x in ids]
-            ppl = [float(np.exp(-q / k)) if k else None for q, k in zip(p, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(p, pa.float64()), pa.array(ppl, pa.float64())], ["doc_id", "n_words", "log_prob", "perplexity"])
-
-    return coded.mapInArrow(run, schema)
+            for docs, e, c, emit in zip(*(b.column(i) for i in range(4)), strict=True):
+                ends = np.frombuffer(e.as_py(), np.int32)
+                p = _per_text(step[_steps(c.as_py(), e.as_py(), len(step) - 1)], e.as_py()) + np.frombuffer(emit.as_py(), np.float64)
+                n = np.diff(ends, prepend=0).astype(np.int64)
+                p = np.where(n > 0, p, 0.0)
+                ppl = pa.array(np.exp(-p / np.maximum(n, 1)), mask=n == 0)
+                yield pa.RecordBatch.from_arrays([docs.values, pa.array(n), pa.array(p), ppl], ["doc_id", "n_words", "log_prob", "perplexity"])
+
+    return texts.mapInArrow(run, schema)

@@ -328,69 +328,139 @@ def test_exchange_never_worse():
     assert score(got) == pytest.approx(best) and got.tolist() == c.tolist()
 
 
-def test_brown_lm(spark, edge, empty):
-    got = brown_lm.brown_lm(edge, vocabulary=100, classes=4, core=20).toPandas()
-    assert len(got) == len(EDGE) and got[got.n_words == 0].perplexity.isna().all() and (got[got.n_words > 0].perplexity > 1).all()
-    scratch = Scratch(spark, "t")
-    model, coded = brown_lm.train(edge, scratch, 100, 4, 20)
-    # both factors are distributions
-    for row in np.exp(model.step[[i for i in range(len(model.step)) if np.isfinite(model.step[i]).any()]]):
-        assert row.sum() == pytest.approx(1)
-    words = collections.Counter(w for _, t, *_ in EDGE if t for w in simhash_dedup.WORD.findall(t.lower()))
-    assert model.words == [w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))[:100]]
-    p = np.exp(model.emit)
-    others = len(words) - len(model.words)
-    for c in set(model.classes[:-1].tolist()):
-        own = p[:-1][model.classes[:-1] == c].sum() + (p[-1] * others if c == model.classes[-1] else 0)
-        assert own == pytest.approx(1)
-    # brute-force score of a text
-    ids = np.array([model.words.index(w) if w in model.words else len(model.words) for w in simhash_dedup.WORD.findall(prose(1, 80).lower())])
+def brown_words(model):
+    """word -> (n, class, log emission) of all words."""
+    rows = list(zip(model.words, model.n.tolist(), model.classes.tolist(), strict=True)) + [tuple(r) for r in (model.tail.collect() if model.tail else [])]
+    assert len({w for w, *_ in rows}) == len(rows)
+    return {w: (n, c, np.log(n + brown_lm.EMISSION) - model.log_mass[c]) for w, n, c in rows}
+
+
+def brown_score(model, known, words):
     before, total = len(model.step) - 1, 0.0
-    for i in ids:
-        total += model.step[before, model.classes[i]] + model.emit[i]
-        before = model.classes[i]
-    assert got[got.doc_id == 7].log_prob.iloc[0] == pytest.approx(total)
+    for w in words:
+        _, c, e = known[w]
+        total += model.step[before, c] + e
+        before = c
+    return total
+
+
+def test_brown_lm(spark, edge, empty):
+    split = lambda t: simhash_dedup.WORD.findall((t or "").lower())
+    words = collections.Counter(w for _, t, *_ in EDGE for w in split(t))
+    for head, chunk in ((1 << 16, 1 << 19), (100, 5000)):
+        model, _ = brown_lm.train(edge, Scratch(spark, "t"), 4, 20, head, chunk)
+        known = brown_words(model)
+        assert {w: n for w, (n, *_) in known.items()} == words
+        assert (model.tail is None) == (head > len(words)) and sorted(model.n.tolist(), reverse=True) == sorted(words.values(), reverse=True)[: len(model.n)]
+        # both factors are distributions
+        for row in np.exp(model.step[[i for i in range(len(model.step)) if np.isfinite(model.step[i]).any()]]):
+            assert row.sum() == pytest.approx(1)
+        for c in {c for _, c, _ in known.values()}:
+            assert sum(np.exp(e) for _, x, e in known.values() if x == c) == pytest.approx(1)
+    got = brown_lm.brown_lm(edge, classes=4, core=20, head=100).collect()
+    want = [(i, len(split(t)), brown_score(model, known, split(t))) for i, t, *_ in EDGE]
+    assert len(got) == len(want)
+    for r, (i, n, p) in zip(sorted(got, key=lambda r: (str(r.doc_id), r.n_words)), sorted(want, key=lambda r: (str(r[0]), r[1])), strict=True):
+        assert (r.doc_id, r.n_words) == (i, n) and r.log_prob == pytest.approx(p) and (r.perplexity is None) == (n == 0)
+        assert n == 0 or r.perplexity == pytest.approx(np.exp(-p / n))
     assert brown_lm.brown_lm(empty).count() == 0
     assert brown_lm.brown_lm(frame(spark, [(1, None), (2, "")])).where("n_words = 0").count() == 2
+    assert brown_lm.brown_lm(frame(spark, [(1, "one")])).first().n_words == 1
 
 
 def test_brown_every_word_has_its_own(spark):
-    """Words that are joined, not in a task's dictionary: own ids, counts and emissions; exchange reaches them."""
+    """More words than the head: each has its class by exchange, all by brute force, wherever chunks end."""
     texts = [prose(i, 120, 900) for i in range(40)] + [None, "", "lonely"]
-    words = collections.Counter(w for t in texts if t for w in simhash_dedup.WORD.findall(t.lower()))
-    order = [w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))]
-    model, coded = brown_lm.train(frame(spark, list(enumerate(texts))), Scratch(spark, "t"), classes=5, core=30, head=50)
-    got = {r.doc_id: np.frombuffer(r.ids, np.int32) for r in coded.collect()}
-    assert [[order[i] for i in got[d]] for d in range(len(texts))] == [simhash_dedup.WORD.findall((t or "").lower()) for t in texts]
-    p, c = np.exp(model.emit), model.classes
-    assert len(c) == len(order) + 1 and (c[: order.index("lonely")] < 5).all()
-    for k in set(c[:-1].tolist()):
-        own = np.flatnonzero(c[:-1] == k)
-        n = np.array([words[order[i]] for i in own])
-        assert np.allclose(p[own], (n + 0.5) / (n.sum() + 0.5 * len(n)))
-    # class bigrams by brute force; the sweeps raise the likelihood
-    whole = brown_lm.train(frame(spark, list(enumerate(texts))), Scratch(spark, "t"), classes=5, core=30)[0]
-    assert np.array_equal(whole.classes, c)
-    blocks = brown_lm.neighbours(coded, len(order), 3).cache()
-    want = np.zeros((5, 5))
-    for ids in got.values():
-        for x, y in zip(c[ids[:-1]], c[ids[1:]], strict=True):
-            want[x, y] += x < 5 and y < 5
-    assert np.array_equal(brown_lm.class_bigrams(blocks, c, 5), want)
-    start = np.where(np.arange(len(c)) < 30, np.arange(len(c)) % 5, 5).astype(np.int16)
+    split = [simhash_dedup.WORD.findall((t or "").lower()) for t in texts]
+    df = frame(spark, list(enumerate(texts)))
+    model, coded = brown_lm.train(df, Scratch(spark, "t"), 5, 30, 200)
+    known = brown_words(model)
+    again = brown_lm.train(df.repartition(3), Scratch(spark, "t"), 5, 30, 200, 400)[0]
+    assert brown_words(again) == known and np.array_equal(again.step, model.step)
+    beside = {w for ws in split for p in zip(ws[:-1], ws[1:], strict=True) for w, o in (p, p[::-1]) if o in set(model.words)}
+    assert len(known) > 500 and {w for w, (_, c, _) in known.items() if c == 5} == set(known) - beside >= {"lonely"}
+    got = {d: np.frombuffer(r.classes, np.int16)[a:b].tolist() for r in coded.collect() for d, a, b in zip(r.docs, [0, *np.frombuffer(r.ends, np.int32)], np.frombuffer(r.ends, np.int32), strict=False)}
+    assert got == {d: [known[w][1] for w in ws] for d, ws in enumerate(split)}
+    # transitions, and class bigrams of the head, by brute force
+    t = np.zeros((7, 6))
+    m = np.zeros((5, 5))
+    head = dict(zip(model.words, model.classes.tolist(), strict=True))
+    pairs = [p for ws in split for p in zip(ws[:-1], ws[1:], strict=True)]
+    for ws in split:
+        for x, y in zip([6, *[known[w][1] for w in ws]], [known[w][1] for w in ws], strict=False):
+            t[x, y] += 1
+    for x, y in pairs:
+        if x in head and y in head and head[x] < 5 and head[y] < 5:
+            m[head[x], head[y]] += 1
+    prior = np.where([any(c == k for _, c, _ in known.values()) for k in range(6)], t.sum(axis=0) + 1, 0)
+    prior = prior / prior.sum()
+    assert np.allclose(np.exp(model.step), (t + brown_lm.PRIOR * prior) / (t.sum(axis=1, keepdims=True) + brown_lm.PRIOR))
+    assert model.likelihood[0] == pytest.approx(brown_lm.likelihood(m))
+    # the tail: bigrams beside classes, a first class by the derivative, then a sweep that is kept if the likelihood rises
+    tail = sorted(set(known) - set(head))
+    seen = np.zeros((len(tail), 2, 5))
+    place = {w: i for i, w in enumerate(tail)}
+    for x, y in pairs:
+        if x in place and head.get(y, 5) < 5:
+            seen[place[x], 0, head[y]] += 1
+        if y in place and head.get(x, 5) < 5:
+            seen[place[y], 1, head[x]] += 1
+
+    def whole(c):
+        out = m.copy()
+        for i, a in enumerate(c):
+            if a < 5:
+                out[a] += seen[i, 0]
+                out[:, a] += seen[i, 1]
+        return out
+
+    free = np.ones(len(tail), dtype=bool)
+    c = [brown_lm._moves(m, seen, np.zeros(len(tail)), np.full(len(tail), 5), free)]
+    c.append(brown_lm._moves(whole(c[0]), seen, np.zeros(len(tail)), c[0], free))
+    reached = [brown_lm.likelihood(whole(x)) for x in c]
+    assert model.likelihood[1:] == pytest.approx([reached[0], *[x for x in reached[1:] if x > reached[0]]])
+    assert [known[w][1] for w in tail] == c[int(reached[1] > reached[0])].tolist()
+    # sweeps over the head raise the likelihood
+    chunked = brown_lm.chunks(df, 700)
+    blocks = brown_lm.neighbours(chunked, model.words, 3).cache()
+    assert np.array_equal(brown_lm.class_bigrams(blocks, model.classes, 5), m)
+    start = np.where(np.arange(200) < 30, np.arange(200) % 5, 5).astype(np.int16)
     few, most = (brown_lm.likelihood(brown_lm.class_bigrams(blocks, brown_lm.sweeps(blocks, start, 5, n), 5)) for n in (0, 4))
     assert most > few
 
 
+def test_brown_moves_raise_the_likelihood():
+    """A frequent word moves to its best class by the likelihood itself."""
+    rng = np.random.default_rng(4)
+    m = rng.poisson(40.0, (4, 4)).astype(float)
+    seen = rng.poisson(60.0, (6, 2, 4)).astype(float)
+    for i in range(6):
+        place = lambda base, c: base + np.eye(4)[c][:, None] * seen[i, 0][None] + seen[i, 1][:, None] * np.eye(4)[c][None]  # noqa: B023, E731
+        for now in range(4):
+            value = [brown_lm.likelihood(place(m, c)) for c in range(4)]
+            got = brown_lm._moves(place(m, now), seen[i : i + 1], np.zeros(1), np.array([now]), np.array([True]))
+            assert value[got[0]] == pytest.approx(max(value))
+
+
+def test_brown_head(spark):
+    """Ties at the end of the head are taken by hash, and no more words are sent than fit it."""
+    df = spark.createDataFrame([(f"w{i}", 5 if i < 3 else 2 if i < 400 else 1) for i in range(500)], "word string, n long")
+    for most in (1, 3, 10, 399, 400, 450, 500, 900):
+        got = brown_lm.most_frequent(df, most)
+        want = sorted((-r.n, r.h & (1 << 64) - 1, r.word) for r in df.withColumn("h", F.xxhash64("word")).collect())[:most]
+        assert got["word"].tolist() == [w for _, _, w in want]
+    assert len(brown_lm.most_frequent(df.where("false"), 5)) == 0
+
+
 def test_brown_prefers_fluent(docs):
-    """Held-out shuffles of a text score below the text."""
+    """Shuffles of a text score below the text."""
     model, _ = brown_lm.train(docs, Scratch(docs.sparkSession, "t"))
-    rank, rng, better, n = {w: i for i, w in enumerate(model.words)}, np.random.default_rng(1), 0, 0
+    known, rng, better, n = brown_words(model), np.random.default_rng(1), 0, 0
     for r in docs.where("lang = 'en'").limit(40).collect():
-        ids = np.array([rank.get(w, len(rank)) for w in simhash_dedup.WORD.findall(r.text.lower())])
-        if len(ids) > 50:
+        words = simhash_dedup.WORD.findall(r.text.lower())
+        if len(words) > 50:
             n += 1
-            better += model.score(ids) > model.score(rng.permutation(ids))
+            better += brown_score(model, known, words) > brown_score(model, known, rng.permutation(words).tolist())
     assert better / n > 0.6
 
 
