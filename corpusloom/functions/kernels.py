@@ -228,6 +228,30 @@ def hll_cell(x: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
     return (x >> _U(64 - p)).astype(np.int64), np.minimum(lead + 1, 64 - p + 1)
 
 
+def hll_estimate(registers: np.ndarray, p: int) -> float:
+    """Values that a sketch has seen; free registers are counted linearly where that is better."""
+    m = float(1 << p)
+    alpha = {16.0: 0.673, 32.0: 0.697, 64.0: 0.709}.get(m, 0.7213 / (1 + 1.079 / m))
+    zeros = int((registers == 0).sum())
+    raw = alpha * m * m / float(np.sum(2.0 ** -registers.astype(np.float64)))
+    return m * float(np.log(m / zeros)) if raw <= 2.5 * m and zeros else raw
+
+
+def cardinality(sig: np.ndarray) -> float:
+    """Estimated size of a signature's set, 0 for the empty one."""
+    if not len(sig) or (sig == MASK).all():
+        return 0.0
+    return len(sig) / float(np.cumsum(sig.astype(np.float64) / 18446744073709551616.0)[-1]) - 1
+
+
+def containment(a: np.ndarray, b: np.ndarray) -> float:
+    """Estimated share of a's set in b's, within [0, 1]; 0 for an empty a."""
+    if len(a) != len(b) or not len(a):
+        raise ValueError(f"signatures of {len(a)} and {len(b)} slots")
+    x, y, j = cardinality(a), cardinality(b), float((a == b).mean())
+    return 0.0 if x <= 0 else min(max(j / (1 + j) * (x + y) / x, 0.0), 1.0)
+
+
 def marshal_signature(sig: np.ndarray, seed: int) -> bytes:
     return b"\x01\x01" + struct.pack("<HQ", len(sig), seed & MASK) + sig.astype("<u8").tobytes()
 
@@ -247,6 +271,16 @@ def decode_signature(raw: bytes) -> tuple[np.ndarray, int]:
     return np.frombuffer(raw[12:], dtype="<u8"), seed
 
 
+def unmarshal_signature(raw: bytes, k: int, seed: int) -> np.ndarray:
+    """A signature that a hasher of ``k`` slots and ``seed`` could have made."""
+    sig, own = decode_signature(raw)
+    if len(sig) != k:
+        raise ValueError(f"signature of {len(sig)} slots for a hasher of {k}")
+    if own != seed & MASK:
+        raise ValueError(f"signature of seed {own} for a hasher of seed {seed & MASK}")
+    return sig
+
+
 def marshal_fingerprint(fp: int) -> bytes:
     return b"\x01\x02" + struct.pack("<Q", fp & MASK)
 

@@ -218,6 +218,24 @@ def decode_signature(c: Column, strict: bool = True) -> Column:
     return run(c)
 
 
+def unmarshal_signature(c: Column, k: int, seed: int = 0, strict: bool = True) -> Column:
+    """Signature out of bytes for a hasher of ``k`` slots and ``seed``; other bytes are an error or, if not strict, null."""
+
+    @F.arrow_udf(_LONGS)
+    def run(column: pa.Array) -> pa.Array:
+        out = []
+        for raw in column.to_pylist():
+            try:
+                out.append(None if raw is None else K.unmarshal_signature(raw, k, seed))
+            except ValueError:
+                if strict:
+                    raise
+                out.append(None)
+        return _lists(out)
+
+    return run(c)
+
+
 def marshal_fingerprint(c: Column) -> Column:
     @F.arrow_udf(T.BinaryType())
     def run(column: pa.Array) -> pa.Array:

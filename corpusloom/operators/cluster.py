@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.sources.scratch import scratch_dir
-
-
-def _save(df: DataFrame, name: str) -> DataFrame:
-    spark: SparkSession = df.sparkSession
-    path = f"{scratch_dir(spark)}/components-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from corpusloom.sources.scratch import delete, new_folder
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -24,9 +15,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     shared folder, until no edge changes.  Edges with a null end are left out;
     loops give a component of their own; repeated edges change nothing.
     """
+    spark = edges.sparkSession
+    root = new_folder(spark, "components")
+
+    def _save(df: DataFrame, name: str) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
     raw = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     e = _save(raw.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "0")
-    all_ids = e.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    all_ids = e.select(F.explode(F.array("u", "v")).alias("id")).distinct()  # table 0 stays
     mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     now, step = mark(e), 0
     while now[0]:
@@ -37,6 +35,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         small = e.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("s"))
         step += 1
         e = _save(small.select("s.*").where("u <> v").distinct(), str(step))
+        if step > 1:
+            delete(spark, f"{root}/{step - 1}")
         was, now = now, mark(e)
         if was == now:
             break

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import columns as C
 from corpusloom.functions import udfs as U
+from corpusloom.sources.scratch import written
 
 
 def band_table(sigs: DataFrame, bands: int, rows: int, id: str = "id", seq: str = "seq", sig: str = "sig", drop_empty: bool = False) -> DataFrame:
@@ -63,26 +64,56 @@ def verified_query(sigs: DataFrame, queries: DataFrame, bands: int, rows: int, l
     return scored.withColumn("rank", F.row_number().over(w))
 
 
+def classes(df: DataFrame, value: str = "sig") -> DataFrame:
+    """(id, seq, rep, value): the class of rows with equal signatures or fingerprints, by its least id.
+
+    Classes are told by 128 bits of the value.  Rows with a null id or value are
+    left out.  Sketches are worked out once, into the shared folder.
+    """
+    held = df.where(F.col("id").isNotNull() & F.col(value).isNotNull())
+    held = written(held.select("id", "seq", value, F.xxhash64(value).alias("_k1"), F.xxhash64(F.lit(1), value).alias("_k2")), "classes")
+    least = held.groupBy("_k1", "_k2").agg(F.min("id").alias("rep"))
+    return held.join(least, ["_k1", "_k2"]).select("id", "seq", "rep", value)
+
+
+def representatives(classed: DataFrame, value: str = "sig") -> DataFrame:
+    """(seq, id, value): one row for each class, its least id's."""
+    return classed.where(F.col("id") == F.col("rep")).select("seq", "id", value)
+
+
 def similarity_join(sigs: DataFrame, bands: int, rows: int, least: float, drop_empty: bool = False) -> DataFrame:
-    """(a, b, similarity): pairs with a < b that share a band and reach the similarity.
+    """(a, b, similarity): near pairs among classes of equal signatures, and each class's members.
 
-    Equal signatures are banded once: pairs are found among distinct signatures
-    and then spread over the ids that have them, so that copies cost no more
-    than their own pairs.
+    Pairs are of the least ids of two classes that share a band and reach the
+    similarity, a < b; every other member b of a class has one row with the
+    class's least id as a and similarity 1.  So a group of copies costs its
+    members and not its pairs, and no link between unlike signatures is lost:
+    see :func:`spread` for all pairs of ids.
     """
-    held = sigs.select("id", "sig").where("id IS NOT NULL AND sig IS NOT NULL")
+    held = sigs if "seq" in sigs.columns else sigs.withColumn("seq", F.lit(0))
     if drop_empty:
         held = held.where(~C.is_empty(F.col("sig")))
-    groups = held.groupBy("sig").agg(F.min("id").alias("g"))
-    member = held.join(groups, "sig").select("id", "g")
-    keys = groups.select("g", F.posexplode(U.band_keys(F.col("sig"), bands, rows)).alias("band", "key"))
-    a, b = keys.select("band", "key", F.col("g").alias("ga")), keys.select("band", "key", F.col("g").alias("gb"))
-    pairs = a.join(b, ["band", "key"]).where("ga < gb").select("ga", "gb").distinct()
-    pairs = pairs.join(groups.select(F.col("g").alias("ga"), F.col("sig").alias("sa")), "ga").join(groups.select(F.col("g").alias("gb"), F.col("sig").alias("sb")), "gb")
-    near = pairs.select("ga", "gb", C.jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= least)
-    same = groups.select(F.col("g").alias("ga"), F.col("g").alias("gb"), F.lit(1.0).alias("similarity"))
-    spread = near.unionByName(same).join(member.select(F.col("id").alias("x"), F.col("g").alias("ga")), "ga").join(member.select(F.col("id").alias("y"), F.col("g").alias("gb")), "gb")
-    return spread.where("ga <> gb OR x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    classed = written(classes(held), "classed")
+    reps = representatives(classed)
+    keys = written(reps.select("id", F.posexplode(U.band_keys(F.col("sig"), bands, rows)).alias("band", "key")), "keys")
+    shared = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
+    keys = keys.join(shared, ["band", "key"])
+    pairs = keys.select("band", "key", F.col("id").alias("a")).join(keys.select("band", "key", F.col("id").alias("b")), ["band", "key"]).where("a < b").select("a", "b").distinct()
+    pairs = pairs.join(reps.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(reps.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+    near = pairs.select("a", "b", C.jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= least).distinct()
+    copies = classed.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")).distinct()
+    return near.unionByName(copies)
+
+
+def spread(pairs: DataFrame, value: str = "similarity", same: float | int = 1.0) -> DataFrame:
+    """(a, b, value): all pairs of ids out of the pairs of a join; quadratic in the copies of a text."""
+    classed = pairs.where(F.col(value) == same).select("a", "b")
+    member = classed.select(F.col("b").alias("id"), F.col("a").alias("rep"))
+    reps = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(member.select("id"), "id", "left_anti").select("id", F.col("id").alias("rep"))
+    all_ = member.unionByName(reps)
+    across = pairs.where(F.col(value) != same).select("a", "b", value).unionByName(reps.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(same).alias(value)))
+    out = across.join(all_.select(F.col("id").alias("x"), F.col("rep").alias("a")), "a").join(all_.select(F.col("id").alias("y"), F.col("rep").alias("b")), "b")
+    return out.where("a <> b OR x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), value)
 
 
 def forest_table(sigs: DataFrame, trees: int, depth: int) -> DataFrame:
@@ -132,12 +163,13 @@ def hamming_query(index: DataFrame, queries: DataFrame, d: int) -> DataFrame:
 
 
 def hamming_join(fps: DataFrame, d: int) -> DataFrame:
-    """(a, b, distance): all pairs with a < b within d; equal fingerprints are compared once and then spread."""
-    held = fps.select("id", "fp").where("id IS NOT NULL AND fp IS NOT NULL")
-    groups = held.groupBy("fp").agg(F.min("id").alias("id")).withColumn("seq", F.lit(0))
-    t = hamming_table(groups, d)
-    a, b = t.select("block", "key", F.col("fp").alias("fa")), t.select("block", "key", F.col("fp").alias("fb"))
-    near = a.join(b, ["block", "key"]).where("fa < fb").withColumn("distance", C.distance(F.col("fa"), F.col("fb"))).where(F.col("distance") <= d).distinct().select("fa", "fb", "distance")
-    same = groups.select(F.col("fp").alias("fa"), F.col("fp").alias("fb"), F.lit(0).alias("distance"))
-    spread = near.unionByName(same).join(held.select(F.col("id").alias("x"), F.col("fp").alias("fa")), "fa").join(held.select(F.col("id").alias("y"), F.col("fp").alias("fb")), "fb")
-    return spread.where("fa <> fb OR x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
+    """(a, b, distance): pairs within d of the least ids of classes of equal fingerprints, a < b, and, at distance 0, each class's other members b."""
+    held = fps if "seq" in fps.columns else fps.withColumn("seq", F.lit(0))
+    classed = written(classes(held, "fp"), "classed")
+    t = written(hamming_table(representatives(classed, "fp"), d), "blocks")
+    shared = t.groupBy("block", "key").agg(F.count("*").alias("n")).where("n > 1").select("block", "key")
+    t = t.join(shared, ["block", "key"])
+    a, b = t.select("block", "key", F.col("fp").alias("fa"), F.col("id").alias("a")), t.select("block", "key", F.col("fp").alias("fb"), F.col("id").alias("b"))
+    near = a.join(b, ["block", "key"]).where("a < b").withColumn("distance", C.distance(F.col("fa"), F.col("fb"))).where(F.col("distance") <= d).select("a", "b", "distance").distinct()
+    copies = classed.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance")).distinct()
+    return near.unionByName(copies)

@@ -59,8 +59,37 @@ def minhash_agg(df: DataFrame, keys: list[str], h: str = "h", k: int = 128, seed
 
 
 def union_agg(sigs: DataFrame, keys: list[str], sig: str = "sig") -> DataFrame:
-    """(keys, sig): exact signature of the union of each group's sets; nulls are ignored."""
-    slots = sigs.where(F.col(sig).isNotNull()).select(*keys, F.posexplode(sig).alias("_slot", "_v"))
+    """(keys, sig): exact signature of the union of each group's sets; nulls are ignored.
+
+    A group's signatures are folded to one per task before the shuffle, in the
+    unsigned order that the JVM then reduces by slot.
+    """
+    schema = T.StructType([*(sigs.schema[c] for c in keys), T.StructField("sig", T.ArrayType(T.LongType()))])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        kinds: list[pa.DataType] = []
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*held, strict=True)) if keys else []
+            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), pa.array([s.view(np.int64) for s in held.values()], pa.list_(pa.int64()))], schema.names)
+
+        for b in batches:
+            kinds = [b.schema.field(i).type for i in range(len(keys))]
+            names = zip(*(b.column(i).to_pylist() for i in range(len(keys))), strict=True) if keys else [()] * b.num_rows
+            for name, s in zip(names, U.longs_of(b.column(len(keys))), strict=True):
+                have = held.get(name)
+                if have is not None and len(have) != len(s):
+                    raise ValueError(f"signatures of {len(have)} and {len(s)} slots")
+                held[name] = s.copy() if have is None else np.minimum(have, s)
+            if len(held) > FOLD_GROUPS:
+                yield flush()
+                held.clear()
+        if held:
+            yield flush()
+
+    part = sigs.where(F.col(sig).isNotNull()).select(*keys, sig).mapInArrow(fold, schema)
+    slots = part.select(*keys, F.posexplode("sig").alias("_slot", "_v"))
     least = slots.groupBy(*keys, "_slot").agg(F.min(C.unsigned(F.col("_v"))).alias("_m"))
     rows = least.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_slot", "_m"))).alias("_s"))
     return rows.select(*keys, F.transform("_s", lambda x: C.unsigned(x["_m"])).alias("sig"))
@@ -77,24 +106,48 @@ def simhash_agg(df: DataFrame, keys: list[str], h: str = "h", weight: Column | N
     return sums.select(*keys, fp.alias("fp"))
 
 
+def _precision(registers: DataFrame) -> int | None:
+    """What a table of registers says of its precision."""
+    return registers.schema["idx"].metadata.get("hll_p")
+
+
+def _with_precision(p: int) -> Column:
+    return F.col("idx").alias("idx", metadata={"hll_p": p})
+
+
+def _check_precision(p: int, *others: int | None) -> None:
+    if not 4 <= p <= 18:
+        raise ValueError("p must be in [4, 18]")
+    for q in others:
+        if q is not None and q != p:
+            raise ValueError(f"a sketch of precision {q} is not one of precision {p}")
+
+
 def hll_registers(df: DataFrame, keys: list[str], value: str, p: int = 14) -> DataFrame:
-    """(keys, idx, rho): registers above zero of each group's sketch of a 64-bit column; nulls are ignored."""
+    """(keys, idx, rho): registers above zero of each group's sketch of a 64-bit column; nulls are ignored.
+
+    The column ``idx`` carries the precision in its metadata, also through Parquet.
+    """
+    _check_precision(p)
     cells = df.where(F.col(value).isNotNull()).select(*keys, U.hll_cell(F.col(value).cast("long"), p).alias("_c"))
-    return cells.groupBy(*keys, F.col("_c.idx").alias("idx")).agg(F.max("_c.rho").alias("rho"))
+    return cells.groupBy(*keys, F.col("_c.idx").alias("idx")).agg(F.max("_c.rho").alias("rho")).select(*keys, _with_precision(p), "rho")
 
 
 def hll_merge(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Registers of the union of two sketches of the same precision."""
-    return a.unionByName(b).groupBy(*keys, "idx").agg(F.max("rho").alias("rho"))
+    """Registers of the union of two sketches; an error if their precisions differ."""
+    p, q = _precision(a), _precision(b)
+    if p is not None:
+        _check_precision(p, q)
+    out = a.select(*keys, "idx", "rho").unionByName(b.select(*keys, "idx", "rho")).groupBy(*keys, "idx").agg(F.max("rho").alias("rho"))
+    return out if p is None else out.select(*keys, _with_precision(p), "rho")
 
 
 def hll_estimate(registers: DataFrame, keys: list[str], p: int = 14) -> DataFrame:
-    """(keys, estimate); counts free registers linearly where that is better."""
-    if not 4 <= p <= 18:
-        raise ValueError("p must be in [4, 18]")
+    """(keys, estimate); counts free registers linearly where that is better; 0 for no registers at all and no keys."""
+    _check_precision(p, _precision(registers))
     m = float(1 << p)
     alpha = {16.0: 0.673, 32.0: 0.697, 64.0: 0.709}.get(m, 0.7213 / (1 + 1.079 / m))
-    sums = registers.groupBy(*keys).agg(F.sum(F.pow(F.lit(2.0), -F.col("rho"))).alias("_s"), F.count("*").alias("_n"))
+    sums = registers.groupBy(*keys).agg(F.coalesce(F.sum(F.pow(F.lit(2.0), -F.col("rho"))), F.lit(0.0)).alias("_s"), F.count("*").alias("_n"))
     zeros = F.lit(m) - F.col("_n")
     raw = F.lit(alpha * m * m) / (F.col("_s") + zeros)
     linear = F.lit(m) * F.log(F.lit(m) / zeros)
@@ -103,6 +156,7 @@ def hll_estimate(registers: DataFrame, keys: list[str], p: int = 14) -> DataFram
 
 def hll_bytes(registers: DataFrame, keys: list[str], p: int = 14) -> DataFrame:
     """(keys, data): the versioned bytes of each sketch."""
+    _check_precision(p, _precision(registers))
     held = registers.groupBy(*keys).agg(F.collect_list(F.struct("idx", "rho")).alias("_r"))
 
     @F.arrow_udf(T.BinaryType())

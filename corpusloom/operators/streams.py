@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 import heapq
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions import kernels as K
-from corpusloom.sources.scratch import scratch_dir
+from corpusloom.sources.scratch import written
 
 
 class SpaceSaving:
@@ -45,6 +43,12 @@ class SpaceSaving:
         heapq.heappush(self.heap, (count + n, self.seq, item))
         self.seq += 1
 
+    def load(self, rows) -> None:
+        """Counters (item, count, err, seq) as they were."""
+        self.held = {i: [c, s, e] for i, c, e, s in rows}
+        self.heap = [(v[0], v[1], i) for i, v in self.held.items()]
+        heapq.heapify(self.heap)
+
     def _least(self, take: bool = False):
         while True:
             count, seq, item = self.heap[0]
@@ -86,7 +90,8 @@ class SpaceSaving:
 def space_saving(df: DataFrame, keys: list[str], item: str, order: list[str], capacity: int, weight: str | None = None) -> DataFrame:
     """(keys, item, count, err, total): counters of each group's items taken in ``order``; null items are ignored.
 
-    Exact to the order and so sequential within a group; see
+    Exact to the order and so sequential within a group: its rows pass in sorted
+    batches, and no more than the counters and a batch is held.  See
     :func:`space_saving_merged` for one stream over many tasks.
     """
     if not order:
@@ -94,16 +99,42 @@ def space_saving(df: DataFrame, keys: list[str], item: str, order: list[str], ca
     SpaceSaving(capacity)
     schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("item", df.schema[item].dataType), *(T.StructField(c, T.LongType()) for c in ("count", "err", "total"))])
     w = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
-    rows = df.where(F.col(item).isNotNull()).select(*keys, *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.col(item).alias("_item"), w.alias("_w"))
+    sort = [f"_o{i}" for i in range(len(order))]
+    rows = df.where(F.col(item).isNotNull()).select(*keys, *[F.col(o).alias(n) for o, n in zip(order, sort, strict=True)], F.col(item).alias("_item"), w.alias("_w"))
+    rows = (rows.repartition(*keys) if keys else rows.repartition(1)).sortWithinPartitions(*keys, *sort).select(*keys, "_item", "_w")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        s = SpaceSaving(capacity)
-        pdf = pdf.sort_values([f"_o{i}" for i in range(len(order))], kind="stable")
-        for i, n in zip(pdf["_item"].tolist(), pdf["_w"].tolist(), strict=True):
-            s.add(i, n)
-        return pd.DataFrame([(*key, i, c, e, s.n) for i, c, e in s.top()], columns=schema.names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, now, kinds = SpaceSaving(capacity), None, []
+
+        def counters() -> pa.RecordBatch:
+            top = s.top()
+            cols = [[k] * len(top) for k in now] + [[t[0] for t in top], [t[1] for t in top], [t[2] for t in top], [s.n] * len(top)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], schema.names)
 
-    return rows.groupBy(*keys).applyInPandas(run, schema)
+        for b in batches:
+            kinds = [b.schema.field(i).type for i in range(len(keys) + 1)] + [pa.int64()] * 3
+            names = zip(*(b.column(i).to_pylist() for i in range(len(keys))), strict=True) if keys else [()] * b.num_rows
+            for key, x, n in zip(names, b.column(len(keys)).to_pylist(), b.column(len(keys) + 1).to_pylist(), strict=True):
+                if key != now:
+                    if now is not None:
+                        yield counters()
+                    s, now = SpaceSaving(capacity), key
+                s.add(x, n)
+        if now is not None:
+            yield counters()
+
+    return rows.mapInArrow(run, schema)
+
+
+def space_saving_count(held: DataFrame, items: DataFrame, capacity: int) -> DataFrame:
+    """(item, count, err, tracked) of the items asked for, each once, in counters (item, count, err) of a sketch.
+
+    An item without a counter may have as many as the least of the counters, if
+    all are taken, else it has none; count and err are that bound.
+    """
+    least = held.agg(F.count("*").alias("_n"), F.min("count").alias("_least")).select(F.when(F.col("_n") >= capacity, F.col("_least")).otherwise(0).cast("long").alias("_floor"))
+    found = items.select("item").distinct().join(held.select("item", "count", "err"), "item", "left").crossJoin(F.broadcast(least))  # one row
+    return found.select("item", F.coalesce("count", "_floor").alias("count"), F.coalesce("err", "_floor").alias("err"), F.col("count").isNotNull().alias("tracked"))
 
 
 def space_saving_merged(df: DataFrame, item: str, capacity: int) -> DataFrame:
@@ -130,9 +161,7 @@ def space_saving_merged(df: DataFrame, item: str, capacity: int) -> DataFrame:
 
 def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
     """Rows with ``_n``, their number from 1 in a global order: a range sort, then each range's offset."""
-    path = f"{scratch_dir(df.sparkSession)}/numbered-{uuid.uuid4().hex}"
-    df.orderBy(*order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
-    rows = df.sparkSession.read.parquet(path)
+    rows = written(df.orderBy(*order).withColumn("_range", F.spark_partition_id()), "numbered")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("_range").agg(F.count("*").alias("_c")).select("_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
     within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))

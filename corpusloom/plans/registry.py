@@ -11,6 +11,7 @@ from corpusloom.functions import columns as C
 from corpusloom.functions import udfs as U
 from corpusloom.operators import cluster, lsh, sketches, streams, winnow
 from corpusloom.plans import oracle as O
+from corpusloom.sources.scratch import written
 
 K, W = 8, 6  # winnowing: bytes of a window, windows
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,10 +49,21 @@ def _fps(df: DataFrame) -> DataFrame:
     return df.select("id", "seq", U.simhash_text(F.col("text"), 3).alias("fp"))
 
 
+#: Searches ask for every row whose id is divisible by 20, among all rows.
+_ASKED = "id % 20 = 0"
+
+
+def _search(classed: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
+    """(index, queries): the first of each class of equal sketches, and the rows asked for; sketched once."""
+    classed = written(classed, "classed")
+    return lsh.representatives(classed, value), classed.where(_ASKED).select("seq", "id", value)
+
+
 _SH = O.shingles("documents", "doc_id")
 _SIG16 = f"WITH {_SH}, {O.signatures(16, ids='(SELECT doc_id AS id FROM documents)')}"
 _SIG128 = f"WITH {_SH}, {O.signatures(128, ids='(SELECT doc_id AS id FROM documents)')}"
 _ITEM = f"WITH {O.shingles('benchmark', 'item_id')}, {O.signatures(128, ids='(SELECT item_id AS id FROM benchmark)')}"
+_CLASS = "cl AS (SELECT id, sig, min(id) OVER (PARTITION BY sig) AS rep FROM sigs), rp AS (SELECT id, sig FROM cl WHERE id = rep)"
 _FP = f"WITH {_SH}, {O.simhash()}, allf AS (SELECT d.doc_id AS id, coalesce(fp, 0::UBIGINT) AS fp FROM documents d LEFT JOIN fps ON fps.id = d.doc_id)"
 _CH = O.char8("benchmark", "item_id")
 _WF = f"WITH {_CH}, {O.winnow(W)}"
@@ -170,10 +182,17 @@ def band_keys(spark, sf_dir):
     return lsh.band_table(_sigs(_docs(spark, sf_dir), 16), 4, 4).select("id", "band", "key")
 
 
-@query(f"{_SIG16}, {O.bands(4, 4)}, h AS (SELECT q.id AS query, x.id AS id, min(struct_pack(band := q.band, seq := x.id)) AS first FROM bk q JOIN bk x USING (band, key) GROUP BY ALL) SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY first.band, first.seq, id)::INT AS rank FROM h")
+@query(f"{_SIG16}, {_CLASS} SELECT id, rep FROM cl")
+def signature_classes(spark, sf_dir):
+    """The class of every document: the least id with the same signature."""
+    return lsh.classes(_sigs(_docs(spark, sf_dir), 16)).select("id", "rep")
+
+
+@query(f"{_SIG16}, {_CLASS}, {O.bands(4, 4)}, h AS (SELECT q.id AS query, x.id AS id, min(struct_pack(band := q.band, seq := x.id)) AS first FROM bk q JOIN bk x USING (band, key) WHERE q.id % 20 = 0 AND x.id IN (SELECT id FROM rp) GROUP BY ALL) SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY first.band, first.seq, id)::INT AS rank FROM h")
 def lsh_candidates(spark, sf_dir):
-    s = _sigs(_docs(spark, sf_dir), 16)
-    return lsh.index_query(lsh.band_table(s, 4, 4), s, 4, 4)
+    """Classes of signatures that agree in some band with the documents asked for."""
+    index, asked = _search(lsh.classes(_sigs(_docs(spark, sf_dir), 16)), "sig")
+    return lsh.index_query(lsh.band_table(index, 4, 4), asked, 4, 4)
 
 
 _STATS = "SELECT (SELECT count(DISTINCT id) FROM {t}) AS ids, count(*) AS buckets, sum(n)::BIGINT AS entries, max(n) AS max_bucket FROM (SELECT count(*) AS n FROM {t} GROUP BY {k})"
@@ -191,18 +210,19 @@ def lsh_remove(spark, sf_dir):
     return lsh.remove(t, _read(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))).select("band", "key", "id")
 
 
-@query(f"{_SIG16}, {O.bands(4, 4)}, h AS (SELECT DISTINCT q.id AS query, x.id AS id FROM bk q JOIN bk x USING (band, key)), v AS (SELECT query, h.id, {O.same('a.sig', 'b.sig', 16)} AS similarity FROM h JOIN sigs a ON a.id = query JOIN sigs b ON b.id = h.id) SELECT query, id, similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id)::INT AS rank FROM v WHERE similarity >= 0.5")
+@query(f"{_SIG16}, {_CLASS}, {O.bands(4, 4)}, h AS (SELECT DISTINCT q.id AS query, x.id AS id FROM bk q JOIN bk x USING (band, key) WHERE q.id % 20 = 0 AND x.id IN (SELECT id FROM rp)), v AS (SELECT query, h.id, {O.same('a.sig', 'b.sig', 16)} AS similarity FROM h JOIN sigs a ON a.id = query JOIN sigs b ON b.id = h.id) SELECT query, id, similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id)::INT AS rank FROM v WHERE similarity >= 0.5")
 def verified_neighbors(spark, sf_dir):
-    s = _sigs(_docs(spark, sf_dir), 16)
-    return lsh.verified_query(s, s, 4, 4, 0.5)
+    """Classes of signatures at least half like the documents asked for."""
+    index, asked = _search(lsh.classes(_sigs(_docs(spark, sf_dir), 16)), "sig")
+    return lsh.verified_query(index, asked, 4, 4, 0.5)
 
 
-_NEAR = f"{_SIG128}, {O.bands(16, 8)}, h AS (SELECT DISTINCT x.id AS a, y.id AS b FROM bk x JOIN bk y USING (band, key) WHERE x.id < y.id), np AS (SELECT a, b, {O.same('x.sig', 'y.sig', 128)} AS similarity FROM h JOIN sigs x ON x.id = a JOIN sigs y ON y.id = b)"
+_NEAR = f"{_SIG128}, {_CLASS}, {O.bands(16, 8)}, h AS (SELECT DISTINCT x.id AS a, y.id AS b FROM (SELECT * FROM bk WHERE id IN (SELECT id FROM rp)) x JOIN (SELECT * FROM bk WHERE id IN (SELECT id FROM rp)) y USING (band, key) WHERE x.id < y.id), np AS (SELECT a, b, {O.same('x.sig', 'y.sig', 128)} AS similarity FROM h JOIN sigs x ON x.id = a JOIN sigs y ON y.id = b), ne AS (SELECT a, b, similarity FROM np WHERE similarity >= 0.5 UNION ALL SELECT rep, id, 1.0::DOUBLE FROM cl WHERE id <> rep)"
 
 
-@query(f"{_NEAR} SELECT a, b, similarity FROM np WHERE similarity >= 0.5")
+@query(f"{_NEAR} SELECT a, b, similarity FROM ne")
 def near_duplicate_pairs(spark, sf_dir):
-    """Flagship: pairs of documents whose estimated Jaccard similarity is at least one half."""
+    """Flagship: classes of equal signatures whose estimated Jaccard similarity is at least one half, and each class's members."""
     return lsh.similarity_join(_sigs(_docs(spark, sf_dir), 128), 16, 8, 0.5)
 
 
@@ -215,15 +235,19 @@ def lsh_params(spark, sf_dir):
 _LCP = "CASE " + " ".join(f"WHEN qk[1:{n}] = k[1:{n}] THEN {n}" for n in (4, 3, 2, 1)) + " ELSE 0 END"
 
 
-@query(f"{_SIG16}, ft AS (SELECT id, t AS tree, sig[t * 4 + 1 : t * 4 + 4] AS k FROM sigs, (SELECT unnest(range(4))::INT AS t)), m AS (SELECT q.id AS query, x.id AS id, q.tree, q.k AS qk, x.k AS k FROM ft q JOIN ft x ON q.tree = x.tree AND q.k[1] = x.k[1]), b AS (SELECT query, id, min(struct_pack(d := -({_LCP}), tree := tree, k := k, seq := id)) AS f FROM m GROUP BY ALL), r AS (SELECT query, id, -f.d AS depth, row_number() OVER (PARTITION BY query ORDER BY f.d, f.tree, f.k, f.seq)::INT AS rank FROM b) SELECT query, id, depth::INT AS depth, rank FROM r WHERE rank <= 5")
+@query(f"{_SIG16}, {_CLASS}, ft AS (SELECT id, t AS tree, sig[t * 4 + 1 : t * 4 + 4] AS k FROM sigs, (SELECT unnest(range(4))::INT AS t)), m AS (SELECT q.id AS query, x.id AS id, q.tree, q.k AS qk, x.k AS k FROM ft q JOIN ft x ON q.tree = x.tree AND q.k[1] = x.k[1] WHERE q.id % 20 = 0 AND x.id IN (SELECT id FROM rp)), b AS (SELECT query, id, min(struct_pack(d := -({_LCP}), tree := tree, k := k, seq := id)) AS f FROM m GROUP BY ALL), r AS (SELECT query, id, -f.d AS depth, row_number() OVER (PARTITION BY query ORDER BY f.d, f.tree, f.k, f.seq)::INT AS rank FROM b) SELECT query, id, depth::INT AS depth, rank FROM r WHERE rank <= 5")
 def forest_topk(spark, sf_dir):
-    """Five nearest by shared prefix, of 4 trees of depth 4."""
-    s = _sigs(_docs(spark, sf_dir), 16)
-    return lsh.forest_query(lsh.forest_table(s, 4, 4), s, 4, 4, 5)
+    """The five classes nearest to the documents asked for by shared prefix, of 4 trees of depth 4."""
+    index, asked = _search(lsh.classes(_sigs(_docs(spark, sf_dir), 16)), "sig")
+    return lsh.forest_query(lsh.forest_table(index, 4, 4), asked, 4, 4, 5)
+
+
+_FCLASS = "fc AS (SELECT id, fp, min(id) OVER (PARTITION BY fp) AS rep FROM allf), fr AS (SELECT id, fp FROM fc WHERE id = rep)"
 
 
-@query(f"{_FP} SELECT x.id AS a, y.id AS b, bit_count(xor(x.fp, y.fp))::INT AS distance FROM allf x, allf y WHERE x.id < y.id AND bit_count(xor(x.fp, y.fp)) <= 3")
+@query(f"{_FP}, {_FCLASS} SELECT x.id AS a, y.id AS b, bit_count(xor(x.fp, y.fp))::INT AS distance FROM fr x, fr y WHERE x.id < y.id AND bit_count(xor(x.fp, y.fp)) <= 3 UNION ALL SELECT rep, id, 0 FROM fc WHERE id <> rep")
 def hamming_within_3(spark, sf_dir):
+    """Classes of equal fingerprints within 3 bits, and each class's members."""
     return lsh.hamming_join(_fps(_docs(spark, sf_dir)), 3)
 
 
@@ -231,10 +255,11 @@ _BLOCK = "CASE block WHEN 0 THEN fp & 65535 WHEN 1 THEN (fp >> 16) & 65535 WHEN
 _HT = f"{_FP}, ht AS (SELECT id, fp, block, {_BLOCK} AS key FROM allf, (SELECT unnest(range(4))::INT AS block))"
 
 
-@query(f"{_HT}, hq AS (SELECT q.id AS query, x.id AS id, min(q.block) AS block, any_value(bit_count(xor(q.fp, x.fp)))::INT AS distance FROM ht q JOIN ht x USING (block, key) WHERE bit_count(xor(q.fp, x.fp)) <= 3 GROUP BY ALL) SELECT query, id, distance, row_number() OVER (PARTITION BY query ORDER BY block, id)::INT AS rank FROM hq")
+@query(f"{_HT}, {_FCLASS}, hq AS (SELECT q.id AS query, x.id AS id, min(q.block) AS block, any_value(bit_count(xor(q.fp, x.fp)))::INT AS distance FROM ht q JOIN ht x USING (block, key) WHERE q.id % 20 = 0 AND x.id IN (SELECT id FROM fr) AND bit_count(xor(q.fp, x.fp)) <= 3 GROUP BY ALL) SELECT query, id, distance, row_number() OVER (PARTITION BY query ORDER BY block, id)::INT AS rank FROM hq")
 def hamming_query(spark, sf_dir):
-    f = _fps(_docs(spark, sf_dir))
-    return lsh.hamming_query(lsh.hamming_table(f, 3), f, 3)
+    """Classes of fingerprints within 3 bits of the documents asked for."""
+    index, asked = _search(lsh.classes(_fps(_docs(spark, sf_dir)), "fp"), "fp")
+    return lsh.hamming_query(lsh.hamming_table(index, 3), asked, 3)
 
 
 @query(f"{_HT} " + _STATS.format(t="ht", k="block, key"))
@@ -287,16 +312,34 @@ def winnow_matches_documents(spark, sf_dir):
     return winnow.matches(winnow.fingerprints(_docs(spark, sf_dir), K, W), winnow.fingerprints(_items(spark, sf_dir), K, W), K)
 
 
-_NEXT = "SELECT doc_id AS y, lag(doc_id) OVER (PARTITION BY substr(text, 1, 40) ORDER BY doc_id) AS x FROM documents"
+_BEST = """dt AS (SELECT text, min(doc_id) AS rep FROM documents GROUP BY text), qd AS (SELECT doc_id, rep FROM documents JOIN dt USING (text) WHERE doc_id % 20 = 0),
+sn AS (SELECT qd.doc_id AS query, b.id AS id, count(*) AS shared FROM (SELECT DISTINCT id, h FROM wfd) a JOIN qd ON a.id = qd.doc_id JOIN (SELECT DISTINCT id, h FROM wfd WHERE id IN (SELECT rep FROM dt)) b ON a.h = b.h WHERE b.id <> qd.rep GROUP BY ALL),
+pr AS (SELECT query AS y, id AS x FROM sn QUALIFY row_number() OVER (PARTITION BY query ORDER BY shared DESC, id) = 1)"""
 
 
-@query(f"{_WFD}, pr AS (SELECT * FROM ({_NEXT}) WHERE x IS NOT NULL), m AS (SELECT pr.y AS query, 0 AS id, b.ord AS j, b.pos AS qpos, a.pos AS dpos FROM pr JOIN wfd b ON b.id = pr.y JOIN wfd a ON a.id = pr.x AND a.h = b.h), {_ISLES} SELECT query AS pair, min(dpos) AS pos_a, min(qpos) AS pos_b, (max(qpos) - min(qpos) + {K})::INT AS len FROM g GROUP BY query, diag, isle")
+@query(f"{_WFD}, {_BEST}, m AS (SELECT pr.y AS query, 0 AS id, b.ord AS j, b.pos AS qpos, a.pos AS dpos FROM pr JOIN wfd b ON b.id = pr.y JOIN wfd a ON a.id = pr.x AND a.h = b.h), {_ISLES} SELECT query AS pair, min(dpos) AS pos_a, min(qpos) AS pos_b, (max(qpos) - min(qpos) + {K})::INT AS len FROM g GROUP BY query, diag, isle")
 def winnow_overlaps(spark, sf_dir):
-    """Aligned spans of each document and the one before it that starts alike."""
-    d = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    w = Window.partitionBy(F.substring("text", 1, 40)).orderBy("doc_id")
-    pairs = d.select(F.col("doc_id").alias("pair"), F.lag("text").over(w).alias("a"), F.col("text").alias("b")).where("a IS NOT NULL")
-    return winnow.overlaps(pairs, K, W)
+    """Aligned spans of each document asked for and the other text that shares most fingerprints with it."""
+    d = _docs(spark, sf_dir).where("text IS NOT NULL")
+    same = d.groupBy("text").agg(F.min("id").alias("rep"))
+    index = written(winnow.fingerprints(same.select(F.col("rep").alias("id"), "text"), K, W), "fingerprints")
+    asked = d.where(_ASKED).join(same, "text").select("id", "text", "rep")
+    counts = winnow.overlap_counts(index, winnow.fingerprints(asked, K, W)).withColumnRenamed("id", "other")
+    other = counts.join(asked.select(F.col("id").alias("query"), "rep"), "query").where("other <> rep")
+    best = other.groupBy("query").agg(F.max_by("other", F.struct("shared", -F.col("other"))).alias("other"))
+    texts = lambda name, at: d.select(F.col("id").alias(at), F.col("text").alias(name))
+    pairs = best.join(texts("a", "other"), "other").join(texts("b", "query"), "query")
+    return winnow.overlaps(written(pairs.select(F.col("query").alias("pair"), "a", "b"), "pairs"), K, W)
+
+
+@query(f"{_WFD} SELECT {O.signed('h')} AS hash, count(DISTINCT id) AS docs FROM wfd GROUP BY h")
+def winnow_doc_freq_documents(spark, sf_dir):
+    return winnow.doc_freq(winnow.fingerprints(_docs(spark, sf_dir), K, W))
+
+
+@query(f"{_WFD} SELECT id, ord, pos, {O.signed('h')} AS hash FROM wfd")
+def winnow_fingerprints_documents(spark, sf_dir):
+    return winnow.fingerprints(_docs(spark, sf_dir), K, W)
 
 
 @query(f"{_WF}, df AS (SELECT h, count(DISTINCT id) AS n FROM wf GROUP BY h), q AS (SELECT id, ord, pos FROM wf JOIN df USING (h) WHERE n >= 2), r AS (SELECT *, ord - row_number() OVER (PARTITION BY id ORDER BY ord) AS isle FROM q) SELECT id, min(pos) AS pos, (max(pos) + {K} - min(pos))::INT AS len FROM r GROUP BY id, isle HAVING count(*) >= 2")
@@ -345,20 +388,53 @@ def hll_marshal(spark, sf_dir):
     return sketches.hll_bytes(r, ["event_type"], 4).select("event_type", F.hex("data").alias("data"))
 
 
+@query("SELECT 0.0::DOUBLE AS estimate FROM (SELECT count(*) FROM events WHERE user_id IS NULL) WHERE true")
+def hll_empty(spark, sf_dir):
+    """The estimate of a stream without values is 0."""
+    none = _read(spark, sf_dir, "events").where("user_id IS NULL")
+    return sketches.hll_estimate(sketches.hll_registers(none, [], "user_id", 12), [], 12)
+
+
 @query("SELECT event_type AS item, count(*) AS count, 0::BIGINT AS err, sum(count(*)) OVER ()::BIGINT AS total FROM events GROUP BY event_type")
 def topk_exact(spark, sf_dir):
     """SpaceSaving with a counter for every item is an exact count."""
     return streams.space_saving(_read(spark, sf_dir, "events"), [], "event_type", ["event_id"], 1000)
 
 
-@query("SELECT user_id AS item, true AS ok FROM events GROUP BY user_id HAVING count(*) > (SELECT count(*) FROM events) / 200")
+_CAP = 10
+# one row a step: (n, items, counts, errs, seqs); p: place of the item, v: of the least and oldest counter
+_DROP = "list_transform(list_filter(range(1, len(items) + 1), lambda i: i <> v), lambda i: {}[i])"
+_SAVING = f"""WITH RECURSIVE s AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS n, s_nationkey AS x FROM supplier),
+st AS (SELECT 0::BIGINT AS n, []::INT[] AS items, []::BIGINT[] AS counts, []::BIGINT[] AS errs, []::BIGINT[] AS seqs
+UNION ALL SELECT m, CASE WHEN p > 0 THEN items WHEN len(items) < {_CAP} THEN list_append(items, x) ELSE list_append({_DROP.format("items")}, x) END,
+  CASE WHEN p > 0 THEN list_transform(counts, lambda c, i: CASE WHEN i = p THEN c + 1 ELSE c END) WHEN len(items) < {_CAP} THEN list_append(counts, 1) ELSE list_append({_DROP.format("counts")}, counts[v] + 1) END,
+  CASE WHEN p > 0 THEN errs WHEN len(items) < {_CAP} THEN list_append(errs, 0) ELSE list_append({_DROP.format("errs")}, counts[v]) END,
+  CASE WHEN p > 0 THEN seqs WHEN len(items) < {_CAP} THEN list_append(seqs, m) ELSE list_append({_DROP.format("seqs")}, m) END
+FROM (SELECT st.*, s.n AS m, x, coalesce(list_position(items, x), 0) AS p, list_position(list_transform(counts, lambda c, i: c * 1000000000 + seqs[i]), list_min(list_transform(counts, lambda c, i: c * 1000000000 + seqs[i]))) AS v FROM st JOIN s ON s.n = st.n + 1)),
+held AS (SELECT unnest(items) AS item, unnest(counts) AS count, unnest(errs) AS err, n AS total FROM st WHERE n = (SELECT count(*) FROM s))"""
+
+
+@query(f"{_SAVING} SELECT item, count, err, total FROM held")
+def topk_evicting(spark, sf_dir):
+    """Ten counters for the 25 nations of suppliers: newcomers take over the least, oldest counter."""
+    return streams.space_saving(_read(spark, sf_dir, "supplier"), [], "s_nationkey", ["s_suppkey"], _CAP)
+
+
+@query(f"{_SAVING} SELECT n_nationkey AS item, coalesce(count, fl) AS count, coalesce(err, fl) AS err, count IS NOT NULL AS tracked FROM nation LEFT JOIN held ON item = n_nationkey, (SELECT CASE WHEN count(*) >= {_CAP} THEN min(count) ELSE 0 END AS fl FROM held)")
+def topk_count(spark, sf_dir):
+    """Count and error of every nation, whether it has a counter or not."""
+    items = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("item"))
+    return streams.space_saving_count(written(topk_evicting(spark, sf_dir), "held"), items, _CAP)
+
+
+@query("SELECT user_id AS item, count(*) AS lower, count(*) AS upper FROM events GROUP BY user_id HAVING count(*) > (SELECT count(*) FROM events) / 200")
 def topk_bounds(spark, sf_dir):
-    """Users with more than one in 200 events are all held by 400 counters, within their bounds."""
+    """Users with more than one in 200 events are all held by 400 merged counters: what these say is at least and at most, or the truth where it is within."""
     e = _read(spark, sf_dir, "events")
     held = streams.space_saving_merged(e, "user_id", 400)
     truth, all_ = e.groupBy(F.col("user_id").alias("item")).agg(F.count("*").alias("n")), e.agg(F.count("*").alias("total"))
     heavy = truth.crossJoin(all_).where(F.col("n") * 200 > F.col("total")).join(held, "item", "left")
-    return heavy.select("item", F.coalesce((F.col("n") <= F.col("count")) & (F.col("n") >= F.col("count") - F.col("err")), F.lit(False)).alias("ok"))
+    return heavy.select("item", F.when(F.col("count").isNotNull(), F.greatest("n", F.col("count") - F.col("err"))).alias("lower"), F.when(F.col("count").isNotNull(), F.least("n", "count")).alias("upper"))
 
 
 def _reservoir_sql(table: str, keys: str, item: str, order: str, k: int, seed: int) -> str:
@@ -384,7 +460,7 @@ def reservoir_by_group(spark, sf_dir):
 # --- clusters
 
 
-_CLUSTERS = f"{_NEAR}, e AS (SELECT a, b FROM np WHERE similarity >= 0.5), u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r(x, y) AS (SELECT x, x FROM u UNION SELECT r.x, u.y FROM r JOIN u ON r.y = u.x)".replace("WITH ", "WITH RECURSIVE ", 1)
+_CLUSTERS = f"{_NEAR}, e AS (SELECT a, b FROM ne), u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r(x, y) AS (SELECT x, x FROM u UNION SELECT r.x, u.y FROM r JOIN u ON r.y = u.x)".replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 @query(f"{_CLUSTERS} SELECT x AS id, min(y) AS rep FROM r GROUP BY x")
@@ -420,11 +496,30 @@ def marshal_fingerprint(spark, sf_dir):
     return _fps(_docs(spark, sf_dir)).select("id", F.hex(U.marshal_fingerprint(F.col("fp"))).alias("data"))
 
 
-@query("SELECT doc_id AS id, true AS ok FROM documents")
+@query(f"{_SIG16}, {O.simhash()}, allf AS (SELECT d.doc_id AS id, coalesce(fp, 0::UBIGINT) AS fp FROM documents d LEFT JOIN fps ON fps.id = d.doc_id) SELECT slots.id, slot::INT AS slot, {O.signed('v')} AS v, 5::BIGINT AS seed, {O.signed('fp')} AS fp FROM slots JOIN allf ON allf.id = slots.id")
 def decode_roundtrip(spark, sf_dir):
+    """What comes back from the bytes of signatures and fingerprints."""
     d = _docs(spark, sf_dir).select("id", U.sketch(F.col("text"), 3, 16).alias("sig"), U.simhash_text(F.col("text")).alias("fp"))
-    d = d.withColumn("s", U.decode_signature(U.marshal_signature(F.col("sig"), 5))).withColumn("f", U.decode_fingerprint(U.marshal_fingerprint(F.col("fp"))))
-    return d.select("id", ((F.col("s.sig") == F.col("sig")) & (F.col("s.seed") == 5) & (F.col("f") == F.col("fp"))).alias("ok"))
+    d = d.select("id", U.decode_signature(U.marshal_signature(F.col("sig"), 5)).alias("s"), U.decode_fingerprint(U.marshal_fingerprint(F.col("fp"))).alias("fp"))
+    return d.select("id", F.posexplode("s.sig").alias("slot", "v"), F.col("s.seed").alias("seed"), "fp")
+
+
+@query(f"{_SIG16} SELECT id, slot::INT AS slot, {O.signed('v')} AS v FROM slots")
+def unmarshal_signature(spark, sf_dir):
+    """Signatures out of bytes, of 16 slots and seed 0 as is asked for; others are an error."""
+    d = _docs(spark, sf_dir).select("id", U.marshal_signature(U.sketch(F.col("text"), 3, 16), 0).alias("data"))
+    return d.select("id", F.posexplode(U.unmarshal_signature(F.col("data"), 16, 0)).alias("slot", "v"))
+
+
+@query(f"{_ITEM}, card AS (SELECT id, sig, {_card('sig', 128)} AS c FROM sigs), pr AS (SELECT a.id, a.c AS ca, b.c AS cb, {O.same('a.sig', 'b.sig', 128)} AS j FROM card a JOIN card b ON b.id = a.id + 1) SELECT id, round(ca, 6) AS cardinality, j AS jaccard, round(CASE WHEN ca <= 0 THEN 0.0::DOUBLE ELSE greatest(least(j / (1 + j) * (ca + cb) / ca, 1.0::DOUBLE), 0.0::DOUBLE) END, 6) AS containment FROM pr")
+def sql_estimates(spark, sf_dir):
+    """Estimates of each benchmark item and the next one, by their SQL names."""
+    from corpusloom.functions import sql
+
+    sql.register(spark)
+    items = _items(spark, sf_dir)
+    q = "SELECT a.id, round(cl_cardinality(a.s), 6) AS cardinality, cl_jaccard(a.s, b.s) AS jaccard, round(cl_containment(a.s, b.s), 6) AS containment FROM (SELECT id, cl_sketch(text, 3, 128, 0) AS s FROM {items}) a JOIN (SELECT id, cl_sketch(text, 3, 128, 0) AS s FROM {items}) b ON b.id = a.id + 1"
+    return spark.sql(q, items=items)
 
 
 # --- chunks
@@ -437,3 +532,12 @@ def chunked_sketch(spark, sf_dir):
 
     c = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_seq"), F.col("text").cast("binary").alias("chunk"))
     return sketch_chunks(c, 3, 16, 0).select(F.col("doc_id").alias("conv_id"), F.posexplode("sig").alias("slot", "v"))
+
+
+@query(f"WITH {_SH} SELECT id, ((pos - 1) // 64)::INT AS block, ((pos - 1) % 64)::INT AS at, {O.signed('h')} AS h FROM sh WHERE pos <= 192")
+def word_blocks(spark, sf_dir):
+    """The first three blocks of 64 shingles of each document; the rest is not scanned."""
+    from corpusloom.streaming.chunks import word_blocks as blocks
+
+    b = _docs(spark, sf_dir).select("id", F.posexplode(blocks(F.col("text"), 3, 64, 3)).alias("block", "hashes"))
+    return b.select("id", "block", F.posexplode("hashes").alias("at", "h"))

@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -65,7 +66,14 @@ def test_similarity_join_and_queries(docs, texts):
     s = docs.select("id", "seq", U.sketch(F.col("text"), 2, 32).alias("sig"))
     sigs = {i: K.minhash(K.words(t, 2), 32, 0) for i, t in texts if t is not None}
     want = brute_pairs(sigs, 0.3, 8, 4)
-    assert {tuple(r) for r in lsh.similarity_join(s, 8, 4, 0.3).collect()} == want
+    joined = lsh.similarity_join(s, 8, 4, 0.3).cache()
+    assert {tuple(r) for r in lsh.spread(joined).collect()} == want
+    first = {}
+    for i, x in sorted(sigs.items()):
+        first.setdefault(x.tobytes(), i)
+    rep = {i: first[x.tobytes()] for i, x in sigs.items()}
+    assert {tuple(r) for r in joined.collect()} == {(a, b, j) for a, b, j in want if rep[a] == a and rep[b] == b} | {(rep[i], i, 1.0) for i in sigs if rep[i] != i}
+    assert joined.count() < len(want)
     got = {(r.query, r.id, r.similarity) for r in lsh.verified_query(s, s, 8, 4, 0.3).collect()}
     assert {(a, b, j) for a, b, j in got if a < b} == want
     index = lsh.band_table(s, 8, 4)
@@ -122,7 +130,7 @@ def test_hamming_exact(spark, d):
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     df = spark.createDataFrame(list(enumerate(signed)), "id int, fp long").withColumn("seq", F.col("id"))
     want = {(a, b, (fps[a] ^ fps[b]).bit_count()) for a in range(61) for b in range(a + 1, 61) if (fps[a] ^ fps[b]).bit_count() <= d}
-    assert {tuple(r) for r in lsh.hamming_join(df, d).collect()} == want
+    assert {tuple(r) for r in lsh.spread(lsh.hamming_join(df, d), "distance", 0).collect()} == want
     got = {(r.query, r.id) for r in lsh.hamming_query(lsh.hamming_table(df, d), df, d).collect()}
     assert {(a, b) for a, b in got if a < b} == {(a, b) for a, b, _ in want}
     with pytest.raises(ValueError):
@@ -144,6 +152,62 @@ def test_aggregated_sketches(docs, texts):
     assert {tuple(r) for r in both.collect()} == {tuple(r) for r in union.collect()}
 
 
+def test_hll_precision_and_empty(spark, tmp_path):
+    a, b = (sketches.hll_registers(spark.range(100), [], "id", p) for p in (8, 9))
+    with pytest.raises(ValueError, match="precision 9"):
+        sketches.hll_merge(a, b, [])
+    with pytest.raises(ValueError, match="precision 8"):
+        sketches.hll_estimate(a, [], 10)
+    with pytest.raises(ValueError, match="precision 8"):
+        sketches.hll_bytes(sketches.hll_merge(a, a, []), [], 10)
+    a.write.parquet(str(tmp_path / "r"))
+    with pytest.raises(ValueError, match="precision"):
+        sketches.hll_merge(b, spark.read.parquet(str(tmp_path / "r")), [])
+    assert sketches.hll_estimate(a.where("false"), [], 8).collect()[0].estimate == 0.0
+    assert sketches.hll_estimate(a.where("false").withColumn("g", F.lit(1)), ["g"], 8).count() == 0
+
+
+def test_union_agg(docs, texts):
+    s = docs.select((F.col("id") % 3).alias("g"), U.sketch(F.col("text"), 2, 16).alias("sig")).repartition(5)
+    want = {g: np.minimum.reduce([K.minhash(K.words(t, 2), 16, 0) for i, t in texts if t is not None and i % 3 == g]).view(np.int64).tolist() for g in range(3)}
+    assert {r.g: r.sig for r in sketches.union_agg(s, ["g"]).collect()} == want
+    assert sketches.union_agg(s.drop("g"), []).first().sig == np.minimum.reduce([np.array(x).view(np.uint64) for x in want.values()]).view(np.int64).tolist()
+
+
+def test_space_saving_in_batches(spark):
+    """Groups and a stream without keys, with evictions, against the sketch itself; counts of items with and without a counter."""
+    rng = random.Random(3)
+    rows = [(i, i % 2 if i % 5 else None, int(rng.paretovariate(0.6)) % 60 if i % 11 else None, i % 3) for i in range(3000)]
+    df = spark.createDataFrame(rows, "at int, g int, x int, w int").repartition(6)
+
+    def brute(keep):
+        s = streams.SpaceSaving(7)
+        for r in rows:
+            if keep(r) and r[2] is not None:
+                s.add(r[2], r[3])
+        return s
+
+    whole = streams.space_saving(df, [], "x", ["at"], 7, "w")
+    s = brute(lambda r: True)
+    assert [(r.item, r["count"], r.err, r.total) for r in whole.collect()] == [(*t, s.n) for t in s.top()]
+    got = {}
+    for r in streams.space_saving(df, ["g"], "x", ["at"], 7, "w").collect():
+        got.setdefault(r.g, []).append((r.item, r["count"], r.err, r.total))
+    assert got == {g: [(*t, b.n) for t in b.top()] for g in (0, 1, None) for b in [brute(lambda r, g=g: r[1] == g)]}
+    asked = spark.range(62).select(F.col("id").cast("int").alias("item"))
+    assert {(r.item, r["count"], r.err, r.tracked) for r in streams.space_saving_count(whole, asked, 7).collect()} == {(i, *s.count(i), i in s.held) for i in range(62)}
+    assert streams.space_saving(df.where("false"), [], "x", ["at"], 7).count() == 0
+
+
+def test_winnow_is_not_bounded_by_default(spark):
+    text = "ab" * 300
+    f = winnow.fingerprints(spark.createDataFrame([(1, text), (2, text)], "id int, text string"), 4, 3)
+    shared = {r.id: r.n for r in f.join(f.select("hash", F.col("id").alias("q")), "hash").where("q = 1").groupBy("id").agg(F.count("*").alias("n")).collect()}
+    assert min(shared.values()) > 1000
+    whole, few = winnow.matches(f, f, 4), winnow.matches(f, f, 4, 100)
+    assert whole.count() > few.count() > 0
+
+
 def test_hll_bound(spark):
     est = sketches.hll_estimate(sketches.hll_registers(spark.range(50_000), [], "id", 12), [], 12).first()[0]
     assert abs(est / 50_000 - 1) < 3 * 1.04 / 64
@@ -266,6 +330,86 @@ def test_scanner(size, w):
         scan.write(b"x")
 
 
+def test_word_blocks(spark):
+    from corpusloom.streaming.chunks import blocks_of, word_blocks
+
+    ship(spark)
+    text = "Résumé, façade-naïve 𝐀x KK_y the quick brown fox " * 300
+    for raw in (text, text.encode(), "one two", "", b"\xff" * 5000 + b" a b c"):
+        whole = K.words(raw, 3)
+        for size in (1, 7, 256, 10**6):
+            got = list(blocks_of(raw, 3, size, 97))
+            assert [len(b) for b in got] == [min(size, len(whole) - i) for i in range(0, len(whole), size)]
+            assert np.array_equal(np.concatenate([whole[:0], *got]), whole)
+    scanned = blocks_of("a b c d " * 10**6, 2, 5)
+    assert next(scanned).tolist() == K.words("a b c d " * 3, 2)[:5].tolist()
+    df = spark.createDataFrame([(text,), (None,), ("",)], "t string")
+    got = [r.b for r in df.select(word_blocks(F.col("t"), 3, 100, 2).alias("b")).collect()]
+    assert got == [K.words(text, 3)[:200].view(np.int64).reshape(2, 100).tolist(), None, []]
+    with pytest.raises(ValueError):
+        word_blocks(F.col("t"), 0, 1)
+
+
+def _run(stream, mode, name, path):
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(path / name)).start()
+    q.processAllAvailable()
+    q.stop()
+    return stream.sparkSession.table(name)
+
+
+def test_streaming_space_saving_and_reservoir(spark, tmp_path):
+    from corpusloom.streaming.incremental import reservoir_stream, space_saving_stream
+
+    ship(spark)
+    rng = random.Random(8)
+    rows = [(i, i % 2, f"x{int(rng.paretovariate(0.6)) % 40}") for i in range(600)]
+    df = spark.createDataFrame(rows, "at int, g int, x string")
+    for part in range(3):
+        df.where(F.floor(F.col("at") / 200) == part).coalesce(1).write.parquet(str(tmp_path / f"in/part={part}"))
+    paths = sorted(p for p in (tmp_path / "in").rglob("*.parquet"))
+    for n, p in enumerate(sorted(paths, key=lambda p: p.parent.name)):
+        os.utime(p, (1_700_000_000 + n, 1_700_000_000 + n))
+    source = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    newest = lambda t: spark.createDataFrame(t.collect(), t.schema)
+    last = lambda t: newest(t).join(newest(t).groupBy("g").agg(F.max("version").alias("version")), ["g", "version"])
+    held = last(_run(space_saving_stream(source(), "g", "x", ["at"], 6), "update", "tops", tmp_path))
+    want = streams.space_saving(df, ["g"], "x", ["at"], 6)
+    assert {(r.g, r.item, r["count"], r.err, r.total) for r in held.collect()} == {(r.g, r.item, r["count"], r.err, r.total) for r in want.collect()}
+    got = last(_run(reservoir_stream(source(), "g", "x", ["at"], 5, 9), "update", "samples", tmp_path))
+    assert {(r.g, r.slot, r.item) for r in got.collect()} == {(r.g, r.slot, r.item) for r in streams.reservoir(df, ["g"], "x", ["at"], 5, 9).collect()}
+
+
+def test_signature_of_a_running_document(spark, tmp_path):
+    """After each micro-batch, the signature of the text so far; the document goes on as if none had been asked for."""
+    from corpusloom.streaming.chunks import sketch_stream
+
+    ship(spark)
+    parts = ["one two th", "ree four fi", "ve six seven"]
+    schema = "doc_id string, chunk_seq int, chunk binary, last boolean"
+    for n, x in enumerate(parts):
+        spark.createDataFrame([("a", n, bytearray(x.encode()), n == 2)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{n}"))
+    for p in (tmp_path / "in").rglob("*.parquet"):
+        t = 1_700_000_000 + int(p.parent.name)
+        os.utime(p, (t, t))
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    got = _run(sketch_stream(src, 2, 16, running=True), "append", "running", tmp_path).collect()
+    want = [K.minhash(K.words("".join(parts[: i + 1]), 2), 16, 0).view(np.int64).tolist() for i in range(3)]
+    assert [(r.n_chunks, r.sig, r.done) for r in sorted(got, key=lambda r: r.n_chunks)] == [(i + 1, want[i], i == 2) for i in range(3)]
+
+
+def test_scratch_is_removed(spark):
+    from pathlib import Path
+
+    from corpusloom.sources import scratch
+
+    path = scratch.new_folder(spark, "t")
+    spark.range(3).write.parquet(path)
+    there = Path(path.removeprefix("file:"))
+    assert there.exists()
+    scratch.delete(spark, path)
+    assert not there.exists()
+
+
 def test_chunks_batch_and_stream(spark, tmp_path):
     from corpusloom.streaming.chunks import sketch_stream
 

@@ -1,10 +1,12 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import columns as C
 from corpusloom.functions import kernels as K
 from corpusloom.functions import sql
 from corpusloom.functions import udfs as U
-from corpusloom.operators import lsh, winnow
+from corpusloom.operators import lsh, sketches, winnow
 from corpusloom.sources import index_tables
 from corpusloom.streaming.incremental import hll_stream, minhash_union_stream
 
@@ -28,6 +30,30 @@ def test_register(spark):
     assert fp & K.MASK == K.simhash(K.words(A, 3))
 
 
+def test_names_for_estimates_and_bytes(spark):
+    names = sql.register(spark)
+    assert {"cl_jaccard", "cl_containment", "cl_cardinality", "cl_distance", "cl_hll", "cl_unmarshal_signature", "cl_word_blocks"} <= set(names)
+    df = spark.createDataFrame([(A, B, 1), (A, A, 2), ("", "", None)], "a string, b string, v long")
+    df.select(U.sketch(F.col("a"), 2, 32).alias("a"), U.sketch(F.col("b"), 2, 32).alias("b"), U.simhash_text(F.col("a"), 2).alias("f"), U.simhash_text(F.col("b"), 2).alias("g"), "v").createOrReplaceTempView("e")
+    got = spark.sql("SELECT cl_jaccard(a, b) j, cl_containment(a, b) c, cl_cardinality(a) n, cl_distance(f, g) d, cl_cosine(f, g) s, cl_is_empty(a) e, cl_unmarshal_signature(cl_marshal_signature(a, 7), 32, 7) = a r, cl_decode_fingerprint(cl_marshal_fingerprint(f)) = f q FROM e").collect()
+    want = spark.table("e").select(C.jaccard(F.col("a"), F.col("b")), C.containment(F.col("a"), F.col("b")), C.cardinality(F.col("a")), C.distance(F.col("f"), F.col("g")), C.cosine_estimate(F.col("f"), F.col("g")), C.is_empty(F.col("a"))).collect()
+    assert [tuple(r)[:6] for r in got] == [tuple(r) for r in want] and all(r.r and r.q for r in got)
+    for bad in ("cl_unmarshal_signature(cl_marshal_signature(a, 7), 16, 7)", "cl_unmarshal_signature(cl_marshal_signature(a, 7), 32, 8)", "cl_jaccard(a, slice(b, 1, 3))"):
+        with pytest.raises(Exception, match="signature"):
+            spark.sql(f"SELECT {bad} FROM e").collect()
+    spark.range(3000).select((F.col("id") % 2).alias("g"), (F.col("id") % 700).alias("v")).createOrReplaceTempView("h")
+    est = spark.sql("SELECT cl_hll_estimate(cl_hll_union(s)) u FROM (SELECT cl_hll(v, 12) s FROM h GROUP BY g)").first()
+    whole = sketches.hll_estimate(sketches.hll_registers(spark.table("h"), [], "v", 12), [], 12).first().estimate
+    assert est.u == pytest.approx(whole)
+    cells = spark.sql("SELECT c.idx, max(c.rho) rho FROM (SELECT cl_hll_cell(v, 12) c FROM h) GROUP BY c.idx")
+    assert {tuple(r) for r in cells.collect()} == {tuple(r) for r in sketches.hll_registers(spark.table("h"), [], "v", 12).collect()}
+    with pytest.raises(Exception, match="precisions"):
+        spark.sql("SELECT cl_hll_union(s) FROM (SELECT cl_hll(v, 8) s FROM h UNION ALL SELECT cl_hll(v, 9) FROM h)").collect()
+    spark.createDataFrame([(1, A)], "id int, t string").createOrReplaceTempView("d1")
+    blocks = spark.sql("SELECT b.* FROM d1, LATERAL cl_word_blocks(t, 2, 5) b ORDER BY block").collect()
+    assert sum((r.hashes for r in blocks), []) == K.words(A, 2).view(np.int64).tolist() and len(blocks[0].hashes) == 5
+
+
 def test_overlaps_table_function(spark):
     sql.register(spark)
     pairs = spark.createDataFrame([(1, A, B), (2, A, A), (3, A, None)], "pair int, a string, b string")
