@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.session import ship
-from corpusloom.sources.scratch import scratch_dir
+from corpusloom.sources.scratch import delete, new_folder
 
 #: A side of a join is broadcast up to this many bytes; beyond it the join shuffles.
 BROADCAST_BYTES = 16 << 20
@@ -21,11 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Scratch:
-    """Tables written to the shared folder: they cut lineage and survive a lost executor."""
+    """Tables written to the shared folder: they cut lineage, survive a lost executor and go with the process."""
 
     def __init__(self, spark: SparkSession, label: str):
         ship(spark)
-        self.spark, self.root = spark, f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, new_folder(spark, label)
 
     def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -33,8 +31,7 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, f"{self.root}/{name}")
 
 
 def row_key(docs: DataFrame) -> Column:

@@ -4,6 +4,11 @@ Filters of several widths run over one-hot bytes, each keeps its maximum over a
 window, and a softmax layer reads the maxima.  A text is cut into windows of
 fixed length that cover all of its bytes; its class probabilities are the mean
 over windows, weighted by the bytes in each.
+
+One class more stands for no language at all.  It is trained on what the labelled
+texts turn into when their letters are exchanged or shuffled, and on random
+characters.  A text is rejected where this class is likelier than for any of the
+labelled rows held back from training, by half the distance to certainty.
 """
 
 from __future__ import annotations
@@ -24,8 +29,10 @@ FILTERS = 8
 TRAIN_ROWS, LANG_ROWS = 1500, 50
 TRAIN_WINDOWS = 8000
 EPOCHS = 4
-#: Little above chance among a few classes: a text is rejected only if nothing in it speaks for one.
-ACCEPT = 0.34
+#: Windows of no language for each one of a language, and their least bytes: shorter texts say too little against one.
+NOISE, NOISE_BYTES = 0.34, 48
+#: One in so many labelled rows is held back to set the bound; with fewer than the second number of them nothing is rejected.
+HOLD_BACK, HELD_LEAST = 5, 20
 
 
 @dataclass
@@ -35,6 +42,7 @@ class ByteCNN:
     bias: np.ndarray
     out: np.ndarray
     out_bias: np.ndarray
+    reject: float = 1.0  # texts that are of no language with more than this probability are rejected
 
     def __post_init__(self):
         self._tables = None
@@ -79,24 +87,51 @@ def windows(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return x.reshape(n, WINDOW), size
 
 
+_ALPHABETS = tuple(np.frombuffer(a, np.uint8) for a in (bytes(range(33, 127)), b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", b"0123456789abcdef", bytes(range(97, 123)) + b"      ", bytes(range(128, 256)) + b"  "))
+
+
+def noise(raw: bytes, rng: np.random.Generator) -> bytes:
+    """What a text becomes without its language: letters exchanged one for another, characters shuffled, or random ones."""
+    kind = int(rng.integers(0, 3))
+    if kind == 0:
+        to = np.arange(256, dtype=np.uint8)
+        small = rng.permutation(np.arange(97, 123))
+        to[97:123], to[65:91] = small, small - 32
+        return to[np.frombuffer(raw, np.uint8)].tobytes()
+    if kind == 1:
+        text = raw.decode("utf-8", "replace")
+        return "".join(text[i] for i in rng.permutation(len(text)).tolist()).encode()
+    return rng.choice(_ALPHABETS[int(rng.integers(0, len(_ALPHABETS)))], len(raw)).tobytes()
+
+
 def train(texts: list[bytes], labels: list[str], seed: int = 7) -> ByteCNN | None:
     """Adam on cross-entropy, classes weighted alike; None without any labelled text."""
     classes = sorted(set(labels))
     if not classes:
         return None
+    held = texts[::HOLD_BACK] if len(texts) >= HOLD_BACK * HELD_LEAST else []
+    if held and set(labels) == {x for i, x in enumerate(labels) if i % HOLD_BACK}:
+        texts, labels = ([x for i, x in enumerate(of) if i % HOLD_BACK] for of in (texts, labels))
     rng = np.random.default_rng(seed)
     rows, ys, each = [], [], max(1, TRAIN_WINDOWS // max(1, len(texts)))
+
+    def window(part: bytes, c: int) -> None:
+        row = np.zeros(WINDOW, dtype=np.uint8)
+        row[: min(WINDOW, len(part))] = np.frombuffer(part[:WINDOW], dtype=np.uint8)
+        rows.append(row)
+        ys.append(c)
+
     for raw, label in zip(texts, labels, strict=True):
         for _ in range(min(each, 1 + len(raw) // 64)):
             n = WINDOW if rng.random() < 0.5 else int(rng.integers(12, WINDOW + 1))
             at = int(rng.integers(0, max(1, len(raw) - n + 1)))
-            row = np.zeros(WINDOW, dtype=np.uint8)
-            part = np.frombuffer(raw[at : at + n], dtype=np.uint8)
-            row[: len(part)] = part
-            rows.append(row)
-            ys.append(classes.index(label))
+            window(raw[at : at + n], classes.index(label))
+            if len(raw) >= NOISE_BYTES and rng.random() < NOISE:
+                n = int(rng.integers(NOISE_BYTES, WINDOW + 1))
+                at = int(rng.integers(0, max(1, len(raw) - n + 1)))
+                window(noise(raw[at : at + n], rng), len(classes))
     x, y = np.array(rows), np.array(ys)
-    k = len(classes)
+    k = len(classes) + 1
     params = [rng.normal(0, 0.1, (w, 256, FILTERS)) for w in WIDTHS]
     params += [np.zeros(len(WIDTHS) * FILTERS), rng.normal(0, 0.2, (len(WIDTHS) * FILTERS, k)), np.zeros(k)]
     weight = len(y) / (k * np.maximum(1, np.bincount(y, minlength=k)))
@@ -134,7 +169,18 @@ def train(texts: list[bytes], labels: list[str], seed: int = 7) -> ByteCNN | Non
                 a += 0.1 * (g - a)
                 c += 0.001 * (g * g - c)
                 p -= 0.02 * (a / (1 - 0.9**step)) / (np.sqrt(c / (1 - 0.999**step)) + 1e-8)
-    return ByteCNN(classes, params[:3], params[3].astype(np.float32), params[4].astype(np.float32), params[5].astype(np.float32))
+    model = ByteCNN(classes, params[:3], params[3].astype(np.float32), params[4].astype(np.float32), params[5].astype(np.float32))
+    if held:
+        model.reject = (1 + float(_of_texts(held, model)[:, -1].max())) / 2
+    return model
+
+
+def _of_texts(raws: list[bytes], model: ByteCNN) -> np.ndarray:
+    """(texts, classes) mean probabilities of texts with a byte at least, the last column for no language."""
+    pairs = [windows(r) for r in raws]
+    p = model.probabilities(np.concatenate([p[0] for p in pairs])) * np.concatenate([p[1] for p in pairs])[:, None]
+    starts = np.concatenate([[0], np.cumsum([len(p[0]) for p in pairs])[:-1]]).astype(np.int64)
+    return np.add.reduceat(p, starts, axis=0) / np.array([len(r) for r in raws])[:, None]
 
 
 def _least_hashes(keyed: DataFrame, most: int) -> DataFrame:
@@ -186,41 +232,41 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> ByteCNN | None:
     return train([t.encode() for t in picked["text"]], picked["lang"].tolist())
 
 
-def identify(texts: list[str | None], model: ByteCNN | None, threshold: float = ACCEPT) -> tuple[list, list, list]:
-    """Predicted class, its probability and whether the text is accepted.
+def identify(texts: list[str | None], model: ByteCNN | None) -> tuple[list, list, list]:
+    """Likeliest language, its probability among the languages, and whether the text is accepted.
 
     Texts without a letter (also null and empty ones) have no language: null,
-    null, False.  Without a model, texts with a letter are accepted unnamed.
+    null, False.  Without a model, texts with a letter are accepted unnamed.  A
+    text of NOISE_BYTES or more is rejected where it is of no language with more
+    than ``model.reject``.
     """
     raws = [t.encode() if t is not None and any(map(str.isalpha, t)) else b"" for t in texts]
-    pairs = [windows(r) for r in raws]
     name: list = [None] * len(texts)
     sure: list = [None] * len(texts)
     good = [bool(r) and model is None for r in raws]
-    if model is None or not any(raws):
+    held = [i for i, r in enumerate(raws) if r]
+    if model is None or not held:
         return name, sure, good
-    counts = np.array([len(p[0]) for p in pairs])
-    p = model.probabilities(np.concatenate([p[0] for p in pairs])) * np.concatenate([p[1] for p in pairs])[:, None]
-    held = np.flatnonzero(counts)
-    starts = np.concatenate([[0], np.cumsum(counts[held])[:-1]])
-    mean = np.add.reduceat(p, starts, axis=0) / np.array([len(raws[i]) for i in held])[:, None]
-    for i, row in zip(held.tolist(), mean, strict=True):
-        best = int(row.argmax())
-        name[i], sure[i] = model.classes[best], round(float(row[best]), 6)
-        good[i] = sure[i] >= threshold
+    for i, row in zip(held, _of_texts([raws[i] for i in held], model), strict=True):
+        best = int(row[:-1].argmax())
+        name[i], sure[i] = model.classes[best], round(float(row[best] / max(row[:-1].sum(), 1e-12)), 6)
+        good[i] = len(raws[i]) < NOISE_BYTES or bool(row[-1] <= model.reject)
     return name, sure, good
 
 
-def language_id(docs: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = ACCEPT) -> DataFrame:
+def language_id(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, lang, predicted, confidence, accepted) for every row, repeated rows each.
 
-    ``lang`` is the label as given, null or not; it is used to fit only.
+    ``lang`` is the label as given, null or not; it is used to fit only.  Null
+    and empty texts and texts without a letter are not accepted and have no
+    prediction.  Of classes tied the first by name is predicted.  An empty table
+    gives no rows; a table without labels accepts texts with a letter, unnamed.
     """
     model = fit(docs, train_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            name, sure, good = identify(b.column(2).to_pylist(), model, threshold)
+            name, sure, good = identify(b.column(2).to_pylist(), model)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(name, pa.string()), pa.array(sure, pa.float64()), pa.array(good, pa.bool_())], ["doc_id", "lang", "predicted", "confidence", "accepted"])
 
     kinds = {f.name: f.dataType for f in docs.schema}
@@ -228,14 +274,19 @@ def language_id(docs: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float
     return docs.select("doc_id", "lang", "text").mapInArrow(run, schema)
 
 
-def keep_identified(docs: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = ACCEPT) -> DataFrame:
-    """The rows of ``docs`` whose language is recognised, with all columns."""
+def keep_identified(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs`` that :func:`language_id` accepts, with all columns, whatever their names.
+
+    Null and empty texts and texts without a letter go; repeated rows go or stay
+    together.  Without a labelled row every text with a letter stays.  An empty
+    table stays one.
+    """
     model = fit(docs, train_rows)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = identify(b.column(at).to_pylist(), model, threshold)[2]
+            good = identify(b.column(at).to_pylist(), model)[2]
             yield b if all(good) else b.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -633,7 +633,29 @@ def test_langid_held_out(docs):
     model = langid.train([t for t, _ in rows[::2]], [x for _, x in rows[::2]])
     held = rows[1::2]
     name, _, good = langid.identify([t.decode() for t, _ in held], model)
-    assert np.mean([a == b for a, (_, b) in zip(name, held, strict=True)]) > 0.95 and np.mean(good) > 0.99
+    assert np.mean([a == b for a, (_, b) in zip(name, held, strict=True)]) > 0.95 and np.mean(good) > 0.98
+
+
+def test_langid_rejects(docs):
+    """Unlabelled languages and junk go, labelled text and texts too short to tell stay."""
+    rows = [(r.text.encode(), r.lang) for r in docs.collect()]
+    model = langid.train([t for t, _ in rows], [x for _, x in rows])
+    assert 0 < model.reject < 1 and model.classes == ["de", "en", "es", "fr"]
+    alien = [
+        "Warszawa jest stolicą i największym miastem Polski, położonym nad Wisłą we wschodniej części kraju, gdzie mieszka wielu ludzi",
+        "Helsinki on Suomen pääkaupunki ja maan suurin kaupunki, joka sijaitsee Uudenmaan maakunnassa ja jossa asuu yli puoli miljoonaa ihmistä",
+        "Москва является столицей России и самым большим городом страны, расположенным на реке Москве в центральной части",
+        "İstanbul Türkiye'nin en kalabalık şehridir ve ülkenin ekonomik, tarihî ve kültürel merkezi olarak bilinir",
+        "q8Zk3LmPx0VbN7yWc2RtGh5JdSaFeUi9OoTlKjHgFdSaQwErTyUiOpZxCvBnMq1W2e3R4t5Y6u7I8o9P0aSdFgHjKlZx",
+        "deadbeef00c0ffee1234567890abcdefdeadbeef00c0ffee1234567890abcdefdeadbeef00c0ffee1234567890abcdef",
+        "xkqz vwpj gfhd zzqx kjwv pqxz mnbv cxzl kjhg fdsq wrtp sdfg hjkl zxcv bnmq wrtp sdfg hjkl zxcv bnmp",
+    ]
+    assert sum(langid.identify(alien, model)[2]) == 0
+    rng = np.random.default_rng(5)
+    long = [t[:600] for t, _ in rows if len(t) > 300]
+    assert np.mean(langid.identify([langid.noise(t, rng).decode("utf-8", "replace") for t in long], model)[2]) < 0.05
+    assert langid.identify(["xq", "zzqx kjwv", "7", None, ""], model)[2] == [True, True, False, False, False]
+    assert langid.train([b"the cat sat"] * 5, ["en"] * 5).reject == 1.0
 
 
 def test_langid_features_brute():
