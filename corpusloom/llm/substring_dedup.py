@@ -151,12 +151,13 @@ _L, _I = T.LongType(), T.IntegerType()
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc, text): rows with the same doc_id and text share a key, and so a result."""
-    return docs.where(F.col("text").isNotNull()).select(F.xxhash64(F.col("doc_id").cast("string"), "text").alias("doc"), "doc_id", "text")
+    """(doc, more, doc_id, text): rows with the same doc_id and text share a key of 96 bits, doc and more, and so a result."""
+    i = F.col("doc_id").cast("string")
+    return docs.where(F.col("text").isNotNull()).select(F.xxhash64(i, "text").alias("doc"), F.hash("text", i, F.lit("more")).alias("more"), "doc_id", "text")
 
 
 def repeated_edges(keyed: DataFrame, parts: int, span: int, k: int, w: int) -> DataFrame:
-    """(doc, i, s, e, h): edges whose words occur at least twice."""
+    """(doc, more, i, s, e, h): edges whose words occur at least twice."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
@@ -164,15 +165,15 @@ def repeated_edges(keyed: DataFrame, parts: int, span: int, k: int, w: int) -> D
         size = 0
 
         def flush():
-            c = {n: np.concatenate([x[j] for x in held]) for j, n in enumerate(("doc", "i", "s", "e", "h"))}
+            c = {n: np.concatenate([x[j] for x in held]) for j, n in enumerate(("doc", "more", "i", "s", "e", "h"))}
             yield from _pass_on(c, ["h"], parts)
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, more, text in zip(*(b.column(j).to_pylist() for j in range(3)), strict=True):
                 words = word_hashes(text, known)
                 if len(words) >= span:
                     s, e, h = edges_of(words, span, k, w)
-                    held.append((np.full(len(s), doc, np.int64), np.arange(len(s), dtype=np.int32), s.astype(np.int32), e.astype(np.int32), h))
+                    held.append((np.full(len(s), doc, np.int64), np.full(len(s), more, np.int32), np.arange(len(s), dtype=np.int32), s.astype(np.int32), e.astype(np.int32), h))
                     size += len(s)
                     if size > HELD_ROWS:
                         yield from flush()
@@ -180,9 +181,9 @@ def repeated_edges(keyed: DataFrame, parts: int, span: int, k: int, w: int) -> D
         if held:
             yield from flush()
 
-    sent = keyed.select("doc", "text").mapInArrow(emit, _schema(part=_I, kind=T.ByteType(), doc=_L, i=_I, s=_I, e=_I, h=_L))
-    out = ["doc", "i", "s", "e", "h"]
-    return sent.repartition(parts, "part").mapInArrow(_repeats(["h"], out), _schema(doc=_L, i=_I, s=_I, e=_I, h=_L))
+    sent = keyed.select("doc", "more", "text").mapInArrow(emit, _schema(part=_I, kind=T.ByteType(), doc=_L, more=_I, i=_I, s=_I, e=_I, h=_L))
+    out = ["doc", "more", "i", "s", "e", "h"]
+    return sent.repartition(parts, "part").mapInArrow(_repeats(["h"], out), _schema(doc=_L, more=_I, i=_I, s=_I, e=_I, h=_L))
 
 
 def compact(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -191,7 +192,7 @@ def compact(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Pointer jumping: each round doubles the stretch that an edge knows before
     it.  An edge on a circle without a beginning is a path of its own.
     """
-    w = Window.partitionBy("doc").orderBy("i")
+    w = Window.partitionBy("doc", "more").orderBy("i")
     after = edges.select("h", "i", F.lead("h").over(w).alias("n"), F.lead("i").over(w).alias("ni")).where("ni = i + 1")
     pairs = scratch.save(after.groupBy("h", "n").agg(F.lit(1).alias("one")).drop("one"), "pairs")
     only_next = pairs.groupBy("h").agg(F.count("*").alias("c"), F.min("n").alias("n")).where("c = 1")
@@ -216,10 +217,10 @@ def compact(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def occurrences(edges: DataFrame, paths: DataFrame, scratch: Scratch, span: int) -> DataFrame:
-    """(doc, lo, hi, s, e): per stretch along a path, the range of window starts that hold an edge of it, and, if all
+    """(doc, more, lo, hi, s, e): per stretch along a path, the range of window starts that hold an edge of it, and, if all
     occurrences of the path are of the same edges, the words s to e that it covers (else null)."""
     on = edges.join(paths, "h")
-    runs = on.groupBy("doc", "path", (F.col("i") - F.col("idx")).alias("shift")).agg(
+    runs = on.groupBy("doc", "more", "path", (F.col("i") - F.col("idx")).alias("shift")).agg(
         F.min("idx").alias("a"), F.max("idx").alias("b"), F.min("s").alias("s"), F.max("e").alias("e"), (F.min("e") - span).alias("lo"), F.max("s").alias("hi"),
     )
     runs = scratch.save(runs, "runs")
@@ -227,7 +228,7 @@ def occurrences(edges: DataFrame, paths: DataFrame, scratch: Scratch, span: int)
     even = even.where("c > 1 AND a0 = a1 AND b0 = b1").select("path", F.lit(True).alias("even"))
     out = runs.join(even, "path", "left")
     whole = F.col("even") & (F.col("e") - F.col("s") >= span)
-    return out.select("doc", "lo", "hi", F.when(whole, F.col("s")).alias("s"), F.when(whole, F.col("e")).alias("e"))
+    return out.select("doc", "more", "lo", "hi", F.when(whole, F.col("s")).alias("s"), F.when(whole, F.col("e")).alias("e"))
 
 
 def candidates_of(n: int, ranges: list[tuple[int, int, int | None, int | None]], span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -245,7 +246,7 @@ def candidates_of(n: int, ranges: list[tuple[int, int, int | None, int | None]],
 
 
 def verified(keyed: DataFrame, ranges: DataFrame, parts: int, span: int) -> DataFrame:
-    """(doc, s, e): candidates whose words occur at least twice."""
+    """(doc, more, s, e): candidates whose words occur at least twice."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
@@ -253,16 +254,16 @@ def verified(keyed: DataFrame, ranges: DataFrame, parts: int, span: int) -> Data
         size = 0
 
         def flush():
-            c = {n: np.concatenate([x[j] for x in held]) for j, n in enumerate(("doc", "s", "e", "h1", "h2"))}
+            c = {n: np.concatenate([x[j] for x in held]) for j, n in enumerate(("doc", "more", "s", "e", "h1", "h2"))}
             yield from _pass_on(c, ["h1", "h2"], parts)
 
         for b in batches:
-            for doc, text, r in zip(*(b.column(j).to_pylist() for j in range(3)), strict=True):
+            for doc, more, text, r in zip(*(b.column(j).to_pylist() for j in range(4)), strict=True):
                 words = word_hashes(text, known)
                 s, e = candidates_of(len(words), [(x["lo"], x["hi"], x["s"], x["e"]) for x in r], span)
                 h1, h2 = Roller(words)(s, e), Roller(words, 1)(s, e)
                 h1[len(s) - sum(x["s"] is not None for x in r) :] ^= np.uint64(0x8EBC6AF09C88C6E3)  # whole stretches are compared with their like
-                held.append((np.full(len(s), doc, np.int64), s.astype(np.int32), e.astype(np.int32), h1, h2))
+                held.append((np.full(len(s), doc, np.int64), np.full(len(s), more, np.int32), s.astype(np.int32), e.astype(np.int32), h1, h2))
                 size += len(s)
                 if size > HELD_ROWS:
                     yield from flush()
@@ -270,9 +271,10 @@ def verified(keyed: DataFrame, ranges: DataFrame, parts: int, span: int) -> Data
         if held:
             yield from flush()
 
-    per = ranges.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "s", "e")).alias("ranges"))
-    sent = keyed.select("doc", "text").join(per, "doc").select("doc", "text", "ranges").mapInArrow(emit, _schema(part=_I, kind=T.ByteType(), doc=_L, s=_I, e=_I, h1=_L, h2=_L))
-    return sent.repartition(parts, "part").mapInArrow(_repeats(["h1", "h2"], ["doc", "s", "e"]), _schema(doc=_L, s=_I, e=_I))
+    per = ranges.groupBy("doc", "more").agg(F.collect_list(F.struct("lo", "hi", "s", "e")).alias("ranges"))
+    sent = keyed.select("doc", "more", "text").join(per, ["doc", "more"]).select("doc", "more", "text", "ranges")
+    sent = sent.mapInArrow(emit, _schema(part=_I, kind=T.ByteType(), doc=_L, more=_I, s=_I, e=_I, h1=_L, h2=_L))
+    return sent.repartition(parts, "part").mapInArrow(_repeats(["h1", "h2"], ["doc", "more", "s", "e"]), _schema(doc=_L, more=_I, s=_I, e=_I))
 
 
 def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,15 +282,15 @@ def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not held:
         return
     t = pa.Table.from_batches(held)
-    doc, s, e = (t.column(c).to_numpy() for c in ("doc", "s", "e"))
-    order = np.lexsort((e, s, doc))
-    doc, s, e = doc[order], s[order].astype(np.int64), e[order].astype(np.int64)
-    own = np.cumsum(np.concatenate([[True], doc[1:] != doc[:-1]])) - 1
+    doc, more, s, e = (t.column(c).to_numpy() for c in ("doc", "more", "s", "e"))
+    order = np.lexsort((e, s, more, doc))
+    doc, more, s, e = doc[order], more[order], s[order].astype(np.int64), e[order].astype(np.int64)
+    own = np.cumsum(np.concatenate([[True], (doc[1:] != doc[:-1]) | (more[1:] != more[:-1])])) - 1
     far = np.maximum.accumulate(own * (1 << 33) + e)  # ends so far, within a document
     new = np.concatenate([[True], own[1:] * (1 << 33) + s[1:] > far[:-1]])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(s)) - 1
-    yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(s[first].astype(np.int32)), pa.array((far[last] - own[last] * (1 << 33)).astype(np.int32))], ["doc", "s", "e"])
+    yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(more[first]), pa.array(s[first].astype(np.int32)), pa.array((far[last] - own[last] * (1 << 33)).astype(np.int32))], ["doc", "more", "s", "e"])
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN, k: int = K, w: int = W) -> DataFrame:
@@ -311,6 +313,6 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, k: int = K, w: int = W) ->
     paths = compact(edges, scratch)
     ranges = occurrences(edges, paths, scratch, span)
     found = verified(keyed, ranges, parts, span)
-    spans = scratch.save(found.repartition(parts, "doc").mapInArrow(_union, _schema(doc=_L, s=_I, e=_I)), "spans")
-    names = keyed.select("doc", "doc_id").distinct()
-    return spans.join(names, "doc").select("doc_id", F.col("s").alias("start_word"), F.col("e").alias("end_word"), (F.col("e") - F.col("s")).alias("n_words"))
+    spans = scratch.save(found.repartition(parts, "doc").mapInArrow(_union, _schema(doc=_L, more=_I, s=_I, e=_I)), "spans")
+    names = keyed.select("doc", "more", "doc_id").distinct()
+    return spans.join(names, ["doc", "more"]).select("doc_id", F.col("s").alias("start_word"), F.col("e").alias("end_word"), (F.col("e") - F.col("s")).alias("n_words"))

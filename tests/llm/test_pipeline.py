@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from corpusloom.llm import decontam, exact_dedup, langid, mixing, simhash_dedup
 from corpusloom.llm.common import table
@@ -46,3 +48,33 @@ def test_empty(spark, sf):
     docs = table(spark, sf, "documents").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+EXTRA = ["bucket", "digest", "keep_id", "key", "n", "s", "doc", "more", "kind", "h", "part", "position", "epoch", "_lost_id", "_lost_key", "_hit_key", "rank", "root", "predicted", "chunk"]
+
+
+def test_stages_on_odd_rows(spark, sf):
+    """Nulls anywhere, empty and very long texts, repeated rows, shared ids and clashing columns, through every stage."""
+    text = "the cat sat on the mat while rain fell over the harbour and nobody spoke about it at all "
+    item = table(spark, sf, "benchmark").first().text
+    long = " ".join(f"{text}{i}" for i in range(3000))
+    made = [(1, None), (2, ""), (3, " \n"), (4, "!!"), (5, text), (5, text), (6, text), (7, text + "again"), (8, long), (9, long), (None, text), (None, "a clean one of its own, without an id, on quite another subject altogether"), (10, item), (10, "shares its id with a contaminated row, and says nothing that any benchmark has"), (None, item)]
+    df = spark.createDataFrame([(i, t, "en" if n % 2 else None, "web" if n % 3 else None, len(t or "")) for n, (i, t) in enumerate(made)], "doc_id long, text string, lang string, source string, n_chars long")
+    for c in EXTRA:
+        df = df.withColumn(c, F.lit(c))
+    kept = lambda d: sorted((str(r.doc_id), str(r.text)[:40], len(r.text or "")) for r in d.collect())
+    own = lambda *at: sorted((str(made[i][0]), str(made[i][1])[:40], len(made[i][1] or "")) for i in at)
+    want = {
+        "language_id": own(*range(4, 15)),
+        "exact_dedup": own(0, 1, 2, 3, 4, 7, 8, 11, 12, 13),
+        "near_dedup": own(0, 1, 2, 3, 4, 8, 11, 12, 13),
+        "decontamination": own(*range(12), 13),
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, sf)
+        if name in want:
+            assert out.columns == df.columns and kept(out) == want[name], name
+        else:
+            got = out.collect()
+            assert len({(r.doc_id, r.source, r.tokens) for r in got}) >= 10 and sum(r.epoch == 0 for r in got) == len(made)
+        assert stage(spark, df.where("false"), sf).count() == 0
