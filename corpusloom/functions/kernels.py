@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from corpusloom.functions.unicode15 import tokens
+from corpusloom.functions.unicode15 import LOWER, RANGES, tokens
 
 try:
     from xxhash import xxh64_intdigest
@@ -55,38 +55,167 @@ def _round(acc, lane):
     return rotl(acc + lane * _P2, 31) * _P1
 
 
-def xxh64_rows(rows: np.ndarray) -> np.ndarray:
-    """XXH64, seed 0, of each row of an (n, length) array of bytes."""
-    n, k = rows.shape
-    rows = np.ascontiguousarray(rows)
+def _xxh64(n: int, k: int, lane8, lane4, byte) -> np.ndarray:
+    """XXH64, seed 0, of n rows of k bytes, read through functions of the place in a row."""
     at = 0
-    lane = lambda i: rows[:, i : i + 8].copy().view("<u8")[:, 0]
     with np.errstate(over="ignore"):
         if k >= 32:
             v = [np.full(n, x, dtype=np.uint64) for x in (_P1 + _P2, _P2, _U(0), _U(0) - _P1)]
             while at + 32 <= k:
-                v = [_round(v[j], lane(at + 8 * j)) for j in range(4)]
+                v = [_round(v[j], lane8(at + 8 * j)) for j in range(4)]
                 at += 32
             h = rotl(v[0], 1) + rotl(v[1], 7) + rotl(v[2], 12) + rotl(v[3], 18)
             for x in v:
                 h = (h ^ _round(_U(0), x)) * _P1 + _P4
+            h = h + _U(k)
         else:
-            h = np.full(n, _P5, dtype=np.uint64)
-        h = h + _U(k)
+            h = np.full(n, _P5 + _U(k), dtype=np.uint64)
         while at + 8 <= k:
-            h = rotl(h ^ _round(_U(0), lane(at)), 27) * _P1 + _P4
+            h = rotl(h ^ _round(_U(0), lane8(at)), 27) * _P1 + _P4
             at += 8
         if at + 4 <= k:
-            h = rotl(h ^ (rows[:, at : at + 4].copy().view("<u4")[:, 0].astype(np.uint64) * _P1), 23) * _P2 + _P3
+            h = rotl(h ^ (lane4(at).astype(np.uint64) * _P1), 23) * _P2 + _P3
             at += 4
         while at < k:
-            h = rotl(h ^ (rows[:, at].astype(np.uint64) * _P5), 11) * _P1
+            h = rotl(h ^ (byte(at).astype(np.uint64) * _P5), 11) * _P1
             at += 1
         h = (h ^ (h >> _U(33))) * _P2
         h = (h ^ (h >> _U(29))) * _P3
     return h ^ (h >> _U(32))
 
 
+def xxh64_rows(rows: np.ndarray) -> np.ndarray:
+    """XXH64, seed 0, of each row of an (n, length) array of bytes."""
+    rows = np.ascontiguousarray(rows)
+    return _xxh64(*rows.shape, lambda i: rows[:, i : i + 8].copy().view("<u8")[:, 0], lambda i: rows[:, i : i + 4].copy().view("<u4")[:, 0], lambda i: rows[:, i])
+
+
+def _lanes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 8 and the 4 bytes from every place of a buffer that has 8 more."""
+    return np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,)), np.ndarray((len(raw) - 3,), "<u4", raw, strides=(1,))
+
+
+#: Characters that a batch is cut into for tokens, hashed by their lengths, and bytes for windows, hashed as they lie.
+_STRETCH, _WINDOWS = 1 << 19, 1 << 15
+
+
+@lru_cache(maxsize=1)
+def _folded() -> np.ndarray:
+    """Lower case of every code point that makes tokens, a space for all others."""
+    table = np.full(0x110000, 32, dtype=np.uint32)
+    for first, last in (*RANGES, (48, 57), (65, 90), (97, 122)):
+        table[first : last + 1] = np.arange(first, last + 1)
+    table[65:91] += 32
+    for c, to in LOWER.items():
+        if table[c] != 32:
+            table[c] = to
+    return table
+
+
+def _stretch_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of some texts, one after the other, and how many each text has."""
+    joined = "\n".join(texts)
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    folded = _folded()[points]
+    ends = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1) - 1
+    if len(folded) and folded.max() >= 0x80:
+        raw = folded.tobytes().decode("utf-32-le").encode()
+        width = np.cumsum(1 + (folded >= 0x80) + (folded >= 0x800) + (folded >= 0x10000))
+        ends = np.concatenate([width[ends[:-1]] - 1, width[-1:]])
+    else:
+        raw = folded.astype(np.uint8).tobytes()
+    raw = np.frombuffer(raw + b" " * 8, dtype=np.uint8)
+    inside = np.empty(len(raw) + 1, dtype=bool)
+    inside[0] = False
+    np.not_equal(raw, 32, out=inside[1:])
+    turn = np.flatnonzero(inside[1:] != inside[:-1])
+    start, size = turn[0::2], (turn[1::2] - turn[0::2]).astype(np.int32)
+    out = np.empty(len(start), dtype=np.uint64)
+    eight, four = _lanes(raw)
+    order = np.argsort(np.minimum(size, 65535).astype(np.uint16), kind="stable")
+    cuts = np.flatnonzero(np.diff(size[order])) + 1
+    for part in np.split(order, cuts) if len(order) else ():
+        k, at = int(size[part[0]]), start[part]
+        if len(part) == 1 or k > 1024:
+            for i in part.tolist():
+                out[i] = xxh64(raw[start[i] : start[i] + size[i]].tobytes())
+        else:
+            out[part] = _xxh64(len(part), k, lambda i: eight[at + i], lambda i: four[at + i], lambda i: raw[at + i])  # noqa: B023
+    return out, np.diff(np.searchsorted(start, ends), prepend=0)
+
+
+def _stretches(sizes: list[int], most: int) -> list[slice]:
+    """Runs of texts of about ``most`` characters, or of one text."""
+    out, first, held = [], 0, 0
+    for i, n in enumerate(sizes):
+        held += n
+        if held >= most:
+            out.append(slice(first, i + 1))
+            first, held = i + 1, 0
+    return [*out, slice(first, len(sizes))] if first < len(sizes) else out
+
+
+def token_hashes_of(texts: list[str | bytes]) -> list[np.ndarray]:
+    """Of each of many texts what :func:`token_hashes` gives."""
+    texts, out = [as_text(t) for t in texts], []
+    for part in _stretches([len(t) for t in texts], _STRETCH):
+        h, n = _stretch_tokens(texts[part])
+        out += np.split(h, np.cumsum(n)[:-1])
+    return out
+
+
+def words_of(texts: list[str | bytes], w: int) -> list[np.ndarray]:
+    """Of each of many texts what :func:`words` gives."""
+    texts, out = [as_text(t) for t in texts], []
+    for part in _stretches([len(t) for t in texts], _STRETCH):
+        h, n = _stretch_tokens(texts[part])
+        acc, many = _U(MIX_INIT), max(0, len(h) - w + 1)
+        for j in range(w):
+            acc = mix(acc, h[j : j + many])
+        ends = np.cumsum(n)
+        # runs that begin in a text and end in another are left out
+        out += [acc[e - c : e - w + 1] if c >= w else np.zeros(0, np.uint64) for e, c in zip(ends.tolist(), n.tolist(), strict=True)]
+    return out
+
+
+def _stretch_windows(raws: list[bytes], k: int) -> np.ndarray:
+    """XXH64 of every window of ``k`` bytes of some texts laid end to end."""
+    joined = b"".join(raws)
+    n = len(joined) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    raw = np.frombuffer(joined + b"\0" * 8, dtype=np.uint8)
+    eight, four = _lanes(raw)
+    return _xxh64(n, k, lambda i: eight[i : i + n], lambda i: four[i : i + n], lambda i: raw[i : i + n])
+
+
+def char_of(texts: list[str | bytes], k: int) -> list[np.ndarray]:
+    """Of each of many texts what :func:`char` gives."""
+    raws, out = [as_bytes(t) for t in texts], []
+    for part in _stretches([len(r) for r in raws], _WINDOWS):
+        h, at = _stretch_windows(raws[part], k), 0
+        for r in raws[part]:
+            out.append(h[at : at + len(r) - k + 1] if len(r) >= k else h[:0])
+            at += len(r)
+    return out
+
+
+def winnow_of(texts: list[str | bytes], k: int, w: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each of many texts the positions of its winnowed windows of ``k`` bytes, and their hashes."""
+    raws, out = [as_bytes(t) for t in texts], []
+    for part in _stretches([len(r) for r in raws], _WINDOWS):
+        h, at = _stretch_windows(raws[part], k), 0
+        least = _rightmost(h, w)
+        for r in raws[part]:
+            n = len(r) - k - w + 2
+            own = least[at : at + n] if n > 0 else least[:0]
+            if n > 0:
+                own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+            out.append((own - at, h[own]))
+            at += len(r)
+    return out
+
+
 def xxh64(raw: bytes) -> int:
     if xxh64_intdigest is not None:
         return xxh64_intdigest(raw)
@@ -198,13 +327,26 @@ def simhash(h: np.ndarray, weights: np.ndarray | None = None) -> int:
     return int(np.packbits(up, bitorder="little").view("<u8")[0])
 
 
-def winnow(h: np.ndarray, w: int) -> np.ndarray:
-    """Positions of the rightmost least hash of every window of ``w``, each once, ascending."""
+def _rightmost(h: np.ndarray, w: int) -> np.ndarray:
+    """Position of the rightmost least hash of every window of ``w``."""
     n = len(h) - w + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64)
-    back = np.lib.stride_tricks.sliding_window_view(h[::-1], w).argmin(axis=1)
-    return np.unique(len(h) - 1 - (np.arange(n) + back))
+    least, reach = h, 1  # of stretches of 1, 2, 4, ... hashes
+    while 2 * reach <= w:
+        least = np.minimum(least[: len(least) - reach], least[reach:])
+        reach *= 2
+    least = np.minimum(least[:n], least[w - reach : w - reach + n])
+    off = np.zeros(n, dtype=np.int8 if w < 128 else np.int64)
+    for j in range(1, w):
+        np.copyto(off, j, where=h[j : j + n] == least)
+    return np.arange(n) + off
+
+
+def winnow(h: np.ndarray, w: int) -> np.ndarray:
+    """Positions of the rightmost least hash of every window of ``w``, each once, ascending."""
+    at = _rightmost(h, w)
+    return at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at  # they never go back
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:

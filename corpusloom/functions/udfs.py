@@ -45,32 +45,40 @@ def longs_of(column: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
-def _over_text(kernel: Callable[[object], np.ndarray]) -> Callable:
+def _over_texts(kernel: Callable[[list], list[np.ndarray]]) -> Callable:
+    """An Arrow UDF around a kernel over all texts of a batch at once."""
+
     @F.arrow_udf(_LONGS)
     def run(column: pa.Array) -> pa.Array:
-        return _lists([None if t is None else kernel(t) for t in column.to_pylist()])
+        return _lists(over_held(column.to_pylist(), kernel))
 
     return run
 
 
+def over_held(values: list, kernel: Callable[[list], list]) -> list:
+    """What the kernel makes of the values that aren't null."""
+    got = iter(kernel([v for v in values if v is not None]))
+    return [None if v is None else next(got) for v in values]
+
+
 def char(c: Column, k: int) -> Column:
     """XXH64 of every window of k bytes, of a string or binary column."""
     _check("k", k)
-    return _over_text(lambda t: K.char(t, k))(c)
+    return _over_texts(lambda ts: K.char_of(ts, k))(c)
 
 
 def char_runes(c: Column, k: int) -> Column:
     _check("k", k)
-    return _over_text(lambda t: K.char_runes(t, k))(c)
+    return _over_texts(lambda ts: [K.char_runes(t, k) for t in ts])(c)
 
 
 def words(c: Column, w: int = 3) -> Column:
     _check("w", w)
-    return _over_text(lambda t: K.words(t, w))(c)
+    return _over_texts(lambda ts: K.words_of(ts, w))(c)
 
 
 def token_hashes(c: Column) -> Column:
-    return _over_text(lambda t: K.token_hashes(K.as_text(t)))(c)
+    return _over_texts(K.token_hashes_of)(c)
 
 
 def tokens(c: Column) -> Column:
@@ -86,12 +94,12 @@ def tokens(c: Column) -> Column:
 def sketch(c: Column, w: int = 3, k: int = 128, seed: int = 0) -> Column:
     """MinHash signature of a text's word shingles, in one call."""
     _check("w", w), _check("k", k, 1, 65535)
-    return _over_text(lambda t: K.minhash(K.words(t, w), k, seed))(c)
+    return _over_texts(lambda ts: [K.minhash(h, k, seed) for h in K.words_of(ts, w)])(c)
 
 
 def sketch_char(c: Column, n: int, k: int = 128, seed: int = 0) -> Column:
     _check("n", n), _check("k", k, 1, 65535)
-    return _over_text(lambda t: K.minhash(K.char(t, n), k, seed))(c)
+    return _over_texts(lambda ts: [K.minhash(h, k, seed) for h in K.char_of(ts, n)])(c)
 
 
 def minhash(c: Column, k: int = 128, seed: int = 0) -> Column:
@@ -111,7 +119,7 @@ def simhash_text(c: Column, w: int = 3) -> Column:
 
     @F.arrow_udf(T.LongType())
     def run(column: pa.Array) -> pa.Array:
-        got = [None if t is None else K.simhash(K.words(t, w)) for t in column.to_pylist()]
+        got = over_held(column.to_pylist(), lambda ts: [K.simhash(h) for h in K.words_of(ts, w)])
         return pa.array([None if x is None else x - (1 << 64) if x >> 63 else x for x in got], pa.int64())
 
     return run(c)
@@ -135,14 +143,13 @@ def band_keys(c: Column, bands: int, rows: int) -> Column:
 _FINGERPRINTS = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType(), False), T.StructField("hash", T.LongType(), False)]), False)
 
 
-def _fingerprints(hashes: list[np.ndarray | None], w: int) -> pa.Array:
-    at = [None if h is None else K.winnow(h, w) for h in hashes]
-    size = np.array([0 if p is None else len(p) for p in at], dtype=np.int64)
-    held = [i for i, p in enumerate(at) if p is not None and len(p)]
-    pos = np.concatenate([at[i] for i in held]).astype(np.int32) if held else np.zeros(0, np.int32)
-    h = np.concatenate([hashes[i][at[i]] for i in held]).view(np.int64) if held else np.zeros(0, np.int64)
+def _fingerprints(found: list[tuple[np.ndarray, np.ndarray] | None]) -> pa.Array:
+    size = np.array([0 if f is None else len(f[0]) for f in found], dtype=np.int64)
+    held = [f for f in found if f is not None and len(f[0])]
+    pos = np.concatenate([f[0] for f in held]).astype(np.int32) if held else np.zeros(0, np.int32)
+    h = np.concatenate([f[1] for f in held]).view(np.int64) if held else np.zeros(0, np.int64)
     rows = pa.StructArray.from_arrays([pa.array(pos), pa.array(h)], ["pos", "hash"])
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), rows, mask=pa.array([p is None for p in at], pa.bool_()))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), rows, mask=pa.array([f is None for f in found], pa.bool_()))
 
 
 def winnow_text(c: Column, k: int, w: int) -> Column:
@@ -151,7 +158,7 @@ def winnow_text(c: Column, k: int, w: int) -> Column:
 
     @F.arrow_udf(_FINGERPRINTS)
     def run(column: pa.Array) -> pa.Array:
-        return _fingerprints([None if t is None else K.char(t, k) for t in column.to_pylist()], w)
+        return _fingerprints(over_held(column.to_pylist(), lambda ts: K.winnow_of(ts, k, w)))
 
     return run(c)
 
@@ -161,7 +168,8 @@ def winnow_hashes(c: Column, w: int) -> Column:
 
     @F.arrow_udf(_FINGERPRINTS)
     def run(column: pa.Array) -> pa.Array:
-        return _fingerprints(longs_of(column), w)
+        at = [None if h is None else (K.winnow(h, w), h) for h in longs_of(column)]
+        return _fingerprints([None if x is None else (x[0], x[1][x[0]]) for x in at])
 
     return run(c)
 
