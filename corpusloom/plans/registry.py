@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import columns as C
 from corpusloom.functions import udfs as U
+from corpusloom.functions.columns import Config
+from corpusloom.functions.unicode15 import UNICODE_VERSION
 from corpusloom.operators import cluster, lsh, sketches, streams, winnow
+from corpusloom.operators.sketcher import Sketcher
 from corpusloom.plans import oracle as O
-from corpusloom.sources.scratch import written
+from corpusloom.sources import index_tables
+from corpusloom.sources.scratch import new_folder, written
 
 K, W = 8, 6  # winnowing: bytes of a window, windows
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,16 +140,16 @@ def minhash_cardinality(spark, sf_dir):
 
 
 _PAIRS = f"""{_ITEM}, card AS (SELECT id, sig, {_card("sig", 128)} AS c FROM sigs),
-pr AS (SELECT a.id AS a, b.id AS b, a.c AS ca, b.c AS cb, {O.same("a.sig", "b.sig", 128)} AS j FROM card a, card b)
+pr AS (SELECT a.id AS a, b.id AS b, a.c AS ca, b.c AS cb, {O.same("a.sig", "b.sig", 128)} AS j FROM card a, card b WHERE a.id % 20 = 0)
 SELECT a, b, CASE WHEN ca = 0 OR cb = 0 THEN 0.0::DOUBLE ELSE j END AS similarity, j AS jaccard, round(j / (1 + j) * (ca + cb), 6) AS intersection,
   round(CASE WHEN ca <= 0 THEN 0.0::DOUBLE ELSE greatest(least(j / (1 + j) * (ca + cb) / ca, 1.0::DOUBLE), 0.0::DOUBLE) END, 6) AS containment FROM pr"""
 
 
 @query(_PAIRS)
 def item_pairs(spark, sf_dir):
-    """Every ordered pair of benchmark items, estimated: the one-against-many comparison."""
-    s = _sigs(_items(spark, sf_dir), 128)
-    a, b = s.select(F.col("id").alias("a"), F.col("sig").alias("x")), s.select(F.col("id").alias("b"), F.col("sig").alias("y"))
+    """Benchmark items asked for against all items, estimated: the one-against-many comparison."""
+    s = written(_sigs(_items(spark, sf_dir), 128), "items")
+    a, b = s.where(_ASKED).select(F.col("id").alias("a"), F.col("sig").alias("x")), s.select(F.col("id").alias("b"), F.col("sig").alias("y"))
     x, y = F.col("x"), F.col("y")
     return a.crossJoin(b).select("a", "b", C.similarity(x, y).alias("similarity"), C.jaccard(x, y).alias("jaccard"), F.round(C.intersection_cardinality(x, y), 6).alias("intersection"), F.round(C.containment(x, y), 6).alias("containment"))
 
@@ -166,12 +170,13 @@ def simhash_weighted(spark, sf_dir):
     return sketches.simhash_agg(d, ["lang"], weight=F.col("n_chars"))
 
 
-@query(f"WITH {O.shingles('benchmark', 'item_id')}, {O.simhash()} SELECT a.id AS a, b.id AS b, bit_count(xor(a.fp, b.fp))::INT AS distance, round(cos(bit_count(xor(a.fp, b.fp)) * (pi() / 64)), 9) AS cosine FROM fps a, fps b WHERE a.id < b.id")
+@query(f"WITH {O.shingles('benchmark', 'item_id')}, {O.simhash()} SELECT a.id AS a, b.id AS b, bit_count(xor(a.fp, b.fp))::INT AS distance, round(cos(bit_count(xor(a.fp, b.fp)) * (pi() / 64)), 9) AS cosine FROM fps a, fps b WHERE a.id <> b.id AND a.id % 20 = 0")
 def simhash_distance(spark, sf_dir):
-    f = _fps(_items(spark, sf_dir))
-    a, b = f.select(F.col("id").alias("a"), F.col("fp").alias("x")), f.select(F.col("id").alias("b"), F.col("fp").alias("y"))
+    """Fingerprints of the items asked for against all others."""
+    f = written(_fps(_items(spark, sf_dir)), "items")
+    a, b = f.where(_ASKED).select(F.col("id").alias("a"), F.col("fp").alias("x")), f.select(F.col("id").alias("b"), F.col("fp").alias("y"))
     x, y = F.col("x"), F.col("y")
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", C.distance(x, y).alias("distance"), F.round(C.cosine_estimate(x, y), 9).alias("cosine"))
+    return a.join(b, F.col("a") != F.col("b")).select("a", "b", C.distance(x, y).alias("distance"), F.round(C.cosine_estimate(x, y), 9).alias("cosine"))
 
 
 # --- LSH
@@ -541,3 +546,96 @@ def word_blocks(spark, sf_dir):
 
     b = _docs(spark, sf_dir).select("id", F.posexplode(blocks(F.col("text"), 3, 64, 3)).alias("block", "hashes"))
     return b.select("id", "block", F.posexplode("hashes").alias("at", "h"))
+
+
+# --- the same through other doors: bytes, stored indexes, lifecycles, the sketcher
+
+
+@query(ORACLE_SQL["word_shingles"])
+def word_shingles_bytes(spark, sf_dir):
+    """Word shingles of texts as bytes."""
+    return _docs(spark, sf_dir).select("id", F.posexplode(U.words(F.encode("text", "UTF-8"), 3)).alias("pos", "h"))
+
+
+@query(ORACLE_SQL["char_hashes"])
+def char_hashes_bytes(spark, sf_dir):
+    return _items(spark, sf_dir).select("id", F.posexplode(U.char(F.encode("text", "UTF-8"), 8)).alias("pos", "h"))
+
+
+@query(ORACLE_SQL["char_rune_hashes"])
+def char_rune_hashes_bytes(spark, sf_dir):
+    c = _read(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.posexplode(U.char_runes(F.encode("text", "UTF-8"), 8)).alias("pos", "h"))
+
+
+@query(ORACLE_SQL["band_keys"])
+def stored_index(spark, sf_dir):
+    """The band table after it was written as an index and read again."""
+    path = new_folder(spark, "index")
+    index_tables.write_bands(lsh.band_table(_sigs(_docs(spark, sf_dir), 16), 4, 4), path)
+    return index_tables.read_index(spark, path).select("id", "band", "key")
+
+
+@query("SELECT DISTINCT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def index_ids(spark, sf_dir):
+    """Ids of an index, after some were removed."""
+    toxic = _read(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
+    return index_tables.ids(lsh.remove(lsh.band_table(_sigs(_docs(spark, sf_dir), 16), 4, 4), toxic))
+
+
+@query(f"{_SIG16}, last AS (SELECT id % 50 AS id, max(id) AS seq FROM sigs GROUP BY 1) SELECT last.id, seq, slot::INT AS slot, {O.signed('v')} AS v FROM last JOIN slots ON slots.id = last.seq")
+def verified_add(spark, sf_dir):
+    """Signatures of a verified index in which ids were added again: the last one stands."""
+    s = _sigs(_docs(spark, sf_dir), 16).withColumn("id", F.col("id") % 50)
+    return lsh.latest(s).select("id", "seq", F.posexplode("sig").alias("slot", "v"))
+
+
+@query(f"{_SIG16} SELECT tree, count(*) AS entries, count(DISTINCT sig[tree * 4 + 1 : tree * 4 + 4]) AS keys FROM sigs, (SELECT unnest(range(4))::INT AS tree) WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY tree")
+def forest_remove(spark, sf_dir):
+    """Entries and keys of each tree of a forest without the documents labelled toxic."""
+    toxic = _read(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
+    left = lsh.remove(lsh.forest_table(_sigs(_docs(spark, sf_dir), 16), 4, 4), toxic)
+    return left.groupBy("tree").agg(F.count("*").alias("entries"), F.countDistinct("key").alias("keys"))
+
+
+@query(f"{_WF}, ix AS (SELECT * FROM wf WHERE id % 3 <> 0) SELECT count(DISTINCT id) AS ids, count(*) AS entries, count(DISTINCT h) AS hashes FROM ix")
+def winnow_remove(spark, sf_dir):
+    """Size of a fingerprint index after a third of its ids were removed."""
+    f = written(winnow.fingerprints(_items(spark, sf_dir), K, W), "fingerprints")
+    left = winnow.remove(f, f.where("id % 3 = 0"))
+    return left.agg(F.countDistinct("id").alias("ids"), F.count("*").alias("entries"), F.countDistinct("hash").alias("hashes"))
+
+
+@query(f"{_WF}, m0 AS (SELECT q.id AS query, x.id AS id, q.ord AS j, q.pos AS qpos, x.pos AS dpos, row_number() OVER (PARTITION BY q.id ORDER BY q.ord, x.id, x.pos) AS r FROM wf q JOIN wf x USING (h)), m AS (SELECT * FROM m0 WHERE r <= 25), {_ISLES} SELECT query, id, min(qpos) AS qpos, min(dpos) AS dpos, (max(qpos) - min(qpos) + {K})::INT AS len FROM g GROUP BY query, id, diag, isle")
+def winnow_matches_bounded(spark, sf_dir):
+    """Passages out of the first 25 matches of each query, for those who want a bound."""
+    f = written(winnow.fingerprints(_items(spark, sf_dir), K, W), "fingerprints")
+    return winnow.matches(f, f, K, 25)
+
+
+_LABELS = f"{_CLUSTERS}, lb AS (SELECT x AS id, min(y) AS rep FROM r GROUP BY x)"
+
+
+@query(f"{_LABELS} SELECT doc_id AS id, coalesce(rep, -1) AS rep, rep IS NOT NULL AS known FROM documents LEFT JOIN lb ON lb.id = doc_id")
+def cluster_find(spark, sf_dir):
+    """The representative of every document, -1 where no cluster knows it."""
+    return cluster.find(clusters(spark, sf_dir), _docs(spark, sf_dir)).withColumn("rep", F.coalesce("rep", F.lit(-1)))
+
+
+@query(f"{_LABELS} SELECT d.doc_id AS a, d.doc_id + 1 AS b, coalesce(x.rep = y.rep, false) AS same FROM documents d LEFT JOIN lb x ON x.id = d.doc_id LEFT JOIN lb y ON y.id = d.doc_id + 1")
+def cluster_same(spark, sf_dir):
+    """Whether each id and the next one are of one cluster."""
+    return cluster.same(clusters(spark, sf_dir), _docs(spark, sf_dir).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+
+
+@query(f"{_SIG128}, {O.bands(16, 8)} " + _STATS.format(t="(SELECT bk.* FROM bk JOIN sigs USING (id) WHERE list_min(sig) < 18446744073709551615)", k="band, key"))
+def sketcher_index(spark, sf_dir):
+    """Size of the index of a sketcher as it comes, without texts that have no shingles."""
+    return lsh.stats(Sketcher().index(_docs(spark, sf_dir), drop_empty=True))
+
+
+@query("SELECT '15.0.0' AS unicode, 3 AS w, 128 AS k, 0::BIGINT AS seed, 16 AS bands, 8 AS rows")
+def defaults(spark, sf_dir):
+    """Version of the tables and the configuration as it comes."""
+    c = Config()
+    return spark.createDataFrame([(UNICODE_VERSION, c.w, c.k, c.seed, c.bands, c.rows)], "unicode string, w int, k int, seed bigint, bands int, rows int")
