@@ -7,6 +7,8 @@ band key; ``drop_empty`` leaves them out of a join.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,6 +155,26 @@ def hamming_table(fps: DataFrame, d: int) -> DataFrame:
     return fps.where("id IS NOT NULL AND fp IS NOT NULL").select(F.posexplode(keys).alias("block", "key"), "seq", "fp", "id")
 
 
+#: Distinct fingerprints beyond which a join goes over keys of 32 bits: with 16 its chance pairs grow as rows squared over 65,536.
+WIDE_ROWS = 1 << 21
+
+
+def wide_masks(d: int) -> list[int]:
+    """Masks of half the bits: of 2d blocks every choice of d, one of which two fingerprints within d agree in."""
+    ends = [round(64 * i / (2 * d)) for i in range(2 * d + 1)]
+    blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return [sum(c) for c in combinations(blocks, d)]
+
+
+def wide_table(fps: DataFrame, d: int) -> DataFrame:
+    """(block, key, seq, fp, id) like :func:`hamming_table`, with more tables of longer keys."""
+    if d not in BLOCKS:
+        raise ValueError("the distance must be 1, 2 or 3")
+    signed = [m - (1 << 64) if m >> 63 else m for m in wide_masks(d)]
+    keys = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])
+    return fps.where("id IS NOT NULL AND fp IS NOT NULL").select(F.posexplode(keys).alias("block", "key"), "seq", "fp", "id")
+
+
 def hamming_query(index: DataFrame, queries: DataFrame, d: int) -> DataFrame:
     """(query, id, distance, rank): exactly the ids within d, by first agreeing block, then insertion."""
     asked = hamming_table(queries.select(F.lit(0).alias("seq"), "fp", "id"), d).select("block", "key", F.col("fp").alias("qfp"), F.col("id").alias("query"))
@@ -162,11 +184,15 @@ def hamming_query(index: DataFrame, queries: DataFrame, d: int) -> DataFrame:
     return best.select("query", "id", F.col("m.distance").alias("distance"), F.row_number().over(w).alias("rank"))
 
 
-def hamming_join(fps: DataFrame, d: int) -> DataFrame:
-    """(a, b, distance): pairs within d of the least ids of classes of equal fingerprints, a < b, and, at distance 0, each class's other members b."""
+def hamming_join(fps: DataFrame, d: int, wide_rows: int = WIDE_ROWS) -> DataFrame:
+    """(a, b, distance): pairs within d of the least ids of classes of equal fingerprints, a < b, and, at distance 0, each class's other members b.
+
+    Beyond ``wide_rows`` classes the tables have longer keys; the pairs are the same.
+    """
     held = fps if "seq" in fps.columns else fps.withColumn("seq", F.lit(0))
     classed = written(classes(held, "fp"), "classed")
-    t = written(hamming_table(representatives(classed, "fp"), d), "blocks")
+    reps = representatives(classed, "fp")
+    t = written((wide_table if reps.count() > wide_rows else hamming_table)(reps, d), "blocks")
     shared = t.groupBy("block", "key").agg(F.count("*").alias("n")).where("n > 1").select("block", "key")
     t = t.join(shared, ["block", "key"])
     a, b = t.select("block", "key", F.col("fp").alias("fa"), F.col("id").alias("a")), t.select("block", "key", F.col("fp").alias("fb"), F.col("id").alias("b"))

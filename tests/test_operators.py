@@ -131,6 +131,8 @@ def test_hamming_exact(spark, d):
     df = spark.createDataFrame(list(enumerate(signed)), "id int, fp long").withColumn("seq", F.col("id"))
     want = {(a, b, (fps[a] ^ fps[b]).bit_count()) for a in range(61) for b in range(a + 1, 61) if (fps[a] ^ fps[b]).bit_count() <= d}
     assert {tuple(r) for r in lsh.spread(lsh.hamming_join(df, d), "distance", 0).collect()} == want
+    assert {tuple(r) for r in lsh.spread(lsh.hamming_join(df, d, 0), "distance", 0).collect()} == want
+    assert all(m.bit_count() == 32 or d == 3 and 31 <= m.bit_count() <= 33 for m in lsh.wide_masks(d))
     got = {(r.query, r.id) for r in lsh.hamming_query(lsh.hamming_table(df, d), df, d).collect()}
     assert {(a, b) for a, b in got if a < b} == {(a, b) for a, b, _ in want}
     with pytest.raises(ValueError):
