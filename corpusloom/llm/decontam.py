@@ -116,8 +116,8 @@ def build_index(docs: DataFrame, segment_tokens: int = SEGMENT_TOKENS) -> DataFr
 
         for b in batches:
             arrow = b.schema.field(0).type
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = terms_of(text)
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                words = terms_of(text.as_py())
                 if words:
                     held.add(doc, words)
                     if held.size >= segment_tokens:
@@ -311,8 +311,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE) -> DataFrame
     in a window of 1.5 item lengths; such windows that overlap are one place, and
     of each place the window with most terms, then the shortest, then the first
     is reported; item_start is null.  Every item with a token is looked for.
-    Null and empty texts match nothing; repeated rows of either table give their
-    matches once; a null doc_id is reported as null.
+    Null and empty texts match nothing, texts of any length are searched whole;
+    repeated rows of either table give their matches once; a null doc_id is
+    reported as null.  If either table is empty there are no rows; other columns
+    than doc_id, item_id and text are not read.
     """
     spark = docs.sparkSession
     scratch, schema = Scratch(spark, "decontam"), match_schema(docs, benchmark)

@@ -241,7 +241,8 @@ def duplicates(docs: DataFrame) -> DataFrame:
     is the number of rows that repeat this very doc_id and text.  Hits of the
     filter are verified against the texts themselves: equal digests of unequal
     texts stay apart.  Empty texts are equal to one another.  Null texts are
-    never duplicates.  An empty table gives no rows.
+    never duplicates.  An empty table gives no rows; only doc_id and text are
+    read, and texts of any length compared whole.
     """
     spark = docs.sparkSession
     keyed = docs.select("doc_id", "text").where(F.col("text").isNotNull()).withColumn("digest", _digest())

@@ -28,6 +28,8 @@ FILTERS = 8
 #: Labelled rows that the classifier is fitted on, shared by the languages; rows that each gives in any case, if it has them.
 TRAIN_ROWS, LANG_ROWS = 1500, 50
 TRAIN_WINDOWS = 8000
+#: Bytes of text that are looked at together.
+PART_BYTES = 1 << 21
 EPOCHS = 4
 #: Windows of no language for each one of a language, and their least bytes: shorter texts say too little against one.
 NOISE, NOISE_BYTES = 0.34, 48
@@ -215,7 +217,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> ByteCNN | None:
 
     Languages share ``train_rows`` evenly: what one has too few rows for goes to
     the others, and each gives LANG_ROWS if it has them, even where that makes
-    more than ``train_rows``.  Neither unlabelled rows nor the size of the table
+    more than ``train_rows``; languages are taken to be thousands at most.  Neither unlabelled rows nor the size of the table
     matter, and every language with a labelled row is a class.
     """
     h = F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit("train"))
@@ -232,6 +234,16 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> ByteCNN | None:
     return train([t.encode() for t in picked["text"]], picked["lang"].tolist())
 
 
+def _in_parts(raws: list[bytes], model: ByteCNN) -> Iterator[np.ndarray]:
+    """Rows of :func:`_of_texts`, some megabytes of text (or one text) at a time."""
+    first, size = 0, 0
+    for i, r in enumerate(raws):
+        size += len(r)
+        if size > PART_BYTES or i + 1 == len(raws):
+            yield from _of_texts(raws[first : i + 1], model)
+            first, size = i + 1, 0
+
+
 def identify(texts: list[str | None], model: ByteCNN | None) -> tuple[list, list, list]:
     """Likeliest language, its probability among the languages, and whether the text is accepted.
 
@@ -247,7 +259,7 @@ def identify(texts: list[str | None], model: ByteCNN | None) -> tuple[list, list
     held = [i for i, r in enumerate(raws) if r]
     if model is None or not held:
         return name, sure, good
-    for i, row in zip(held, _of_texts([raws[i] for i in held], model), strict=True):
+    for i, row in zip(held, _in_parts([raws[i] for i in held], model), strict=True):
         best = int(row[:-1].argmax())
         name[i], sure[i] = model.classes[best], round(float(row[best] / max(row[:-1].sum(), 1e-12)), 6)
         good[i] = len(raws[i]) < NOISE_BYTES or bool(row[-1] <= model.reject)

@@ -68,7 +68,8 @@ def plan(docs: DataFrame, knots: tuple = KNOTS, seed: str = SEED) -> DataFrame:
     A null source is a source of its own.  Null and empty texts have 0 tokens
     and stand, in epoch 0 and each later one, where the next document does; the
     documents of a source without any tokens come at position 0, once.  Repeated
-    rows are documents of their own.  An empty table gives no rows.
+    rows are documents of their own.  An empty table gives no rows; doc_id, source
+    and text alone are read, and a null doc_id stands as the word null in the order.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")

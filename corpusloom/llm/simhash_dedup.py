@@ -39,7 +39,7 @@ HOT_ROWS, PIVOTS = 64, 16
 #: Up to so many distinct sketches a group of four tables, which parts them by 7 bits at least, has buckets that a task
 #: can hold; beyond it tables go in twos, by about 16 bits, and twice the rows are sent.  The pairs found are the same.
 FOURS_ROWS, FOURS_BITS = 100_000_000, 7
-_KNOWN_WORDS = 1 << 20
+_KNOWN_WORDS = 1 << 18
 _SKETCH = ("s", "v1", "v2")
 
 WORD = re.compile(r"[^\W_]+")
