@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -112,11 +113,14 @@ def _folded() -> np.ndarray:
     return table
 
 
-def _stretch_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens of some texts, one after the other, and how many each text has."""
+def _stretch_tokens(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of some texts, one after the other, and how many each text has.
+
+    ``table`` has what each code point becomes, a space where it parts tokens.
+    """
     joined = "\n".join(texts)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    folded = _folded()[points]
+    folded = table[points]
     ends = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1) - 1
     if len(folded) and folded.max() >= 0x80:
         raw = folded.tobytes().decode("utf-32-le").encode()
@@ -155,20 +159,23 @@ def _stretches(sizes: list[int], most: int) -> list[slice]:
     return [*out, slice(first, len(sizes))] if first < len(sizes) else out
 
 
+def run_hashes(texts: list[str], table: np.ndarray) -> Iterator[np.ndarray]:
+    """For each text the XXH64 of the UTF-8 of its runs of code points for which ``table`` has no space, as ``table`` has them."""
+    for part in _stretches([len(t) for t in texts], _STRETCH):
+        h, n = _stretch_tokens(texts[part], table)
+        yield from np.split(h, np.cumsum(n)[:-1])
+
+
 def token_hashes_of(texts: list[str | bytes]) -> list[np.ndarray]:
     """Of each of many texts what :func:`token_hashes` gives."""
-    texts, out = [as_text(t) for t in texts], []
-    for part in _stretches([len(t) for t in texts], _STRETCH):
-        h, n = _stretch_tokens(texts[part])
-        out += np.split(h, np.cumsum(n)[:-1])
-    return out
+    return list(run_hashes([as_text(t) for t in texts], _folded()))
 
 
 def words_of(texts: list[str | bytes], w: int) -> list[np.ndarray]:
     """Of each of many texts what :func:`words` gives."""
     texts, out = [as_text(t) for t in texts], []
     for part in _stretches([len(t) for t in texts], _STRETCH):
-        h, n = _stretch_tokens(texts[part])
+        h, n = _stretch_tokens(texts[part], _folded())
         acc, many = _U(MIX_INIT), max(0, len(h) - w + 1)
         for j in range(w):
             acc = mix(acc, h[j : j + many])
