@@ -35,7 +35,7 @@ from corpusloom.llm.common import Scratch, partitions_for
 SPAN, K, W = 50, 12, 19
 #: Rows that one task of a search for repeats is planned for, and that a task holds before it passes them on.
 TASK_ROWS, HELD_ROWS = 1_000_000, 1_000_000
-_KNOWN_WORDS = 1 << 20
+_KNOWN_WORDS = 1 << 18
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -183,7 +183,7 @@ def repeated_edges(keyed: DataFrame, parts: int, span: int, k: int, w: int) -> D
 
     sent = keyed.select("doc", "more", "text").mapInArrow(emit, _schema(part=_I, kind=T.ByteType(), doc=_L, more=_I, i=_I, s=_I, e=_I, h=_L))
     out = ["doc", "more", "i", "s", "e", "h"]
-    return sent.repartition(parts, "part").mapInArrow(_repeats(["h"], out), _schema(doc=_L, more=_I, i=_I, s=_I, e=_I, h=_L))
+    return sent.repartitionById(parts, F.col("part")).mapInArrow(_repeats(["h"], out), _schema(doc=_L, more=_I, i=_I, s=_I, e=_I, h=_L))
 
 
 def compact(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -274,7 +274,7 @@ def verified(keyed: DataFrame, ranges: DataFrame, parts: int, span: int) -> Data
     per = ranges.groupBy("doc", "more").agg(F.collect_list(F.struct("lo", "hi", "s", "e")).alias("ranges"))
     sent = keyed.select("doc", "more", "text").join(per, ["doc", "more"]).select("doc", "more", "text", "ranges")
     sent = sent.mapInArrow(emit, _schema(part=_I, kind=T.ByteType(), doc=_L, more=_I, s=_I, e=_I, h1=_L, h2=_L))
-    return sent.repartition(parts, "part").mapInArrow(_repeats(["h1", "h2"], ["doc", "more", "s", "e"]), _schema(doc=_L, more=_I, s=_I, e=_I))
+    return sent.repartitionById(parts, F.col("part")).mapInArrow(_repeats(["h1", "h2"], ["doc", "more", "s", "e"]), _schema(doc=_L, more=_I, s=_I, e=_I))
 
 
 def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +300,9 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, k: int = K, w: int = W) ->
     spans of one document neither touch nor overlap.  A passage counts as met
     again in another row or elsewhere in its own.  Rows with equal doc_id and
     text are copies of each other and give one set of spans.  Null texts and
-    texts of fewer than ``span`` words have none.
+    texts of fewer than ``span`` words have none; others are read whole, however
+    long.  A null doc_id is reported as null, an id shared by unlike texts with the
+    spans of each, an empty table gives no rows; only doc_id and text are read.
     """
     if 2 * w + k > span + 1:
         raise ValueError("a passage of `span` words must hold two windows of `w` k-mers")
