@@ -159,13 +159,20 @@ def space_saving_merged(df: DataFrame, item: str, capacity: int) -> DataFrame:
     return sums.select("item", (F.col("c") + missing).alias("count"), (F.col("e") + missing).alias("err")).orderBy(F.desc("count"), "item").limit(capacity)
 
 
-def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """Rows with ``_n``, their number from 1 in a global order: a range sort, then each range's offset."""
-    rows = written(df.orderBy(*order).withColumn("_range", F.spark_partition_id()), "numbered")
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("_range").agg(F.count("*").alias("_c")).select("_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return rows.withColumn("_in", within).join(offsets, "_range").withColumn("_n", F.col("_in") + F.col("_before")).drop("_range", "_in", "_before", *order)
+def _numbered(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows with ``_n``, their number from 1 within their keys: a range sort by keys and order, then each range's offset.
+
+    A key with most of the rows is parted by ranges like any other.
+    """
+    rows = written(df.orderBy(*keys, *order).withColumn("_range", F.spark_partition_id()), "numbered")
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("_range", *keys).agg(F.count("*").alias("_c"))
+    offsets = offsets.select(F.col("_range").alias("_r"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order))
+    on = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        on &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.withColumn("_in", within).join(offsets, on).withColumn("_n", F.col("_in") + F.col("_before")).select(*keys, "item", "_n")
 
 
 def reservoir(df: DataFrame, keys: list[str], item: str, order: list[str], k: int, seed: int) -> DataFrame:
@@ -178,11 +185,7 @@ def reservoir(df: DataFrame, keys: list[str], item: str, order: list[str], k: in
         raise ValueError("k must be positive")
     if not order:
         raise ValueError("the sample depends on the order of items: name its columns")
-    if keys:
-        number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
-        ranked = df.select(*keys, F.col(item).alias("item"), number.alias("_n"))
-    else:
-        ranked = _numbered(df.select(F.col(item).alias("item"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)]), [f"_o{i}" for i in range(len(order))])
+    ranked = _numbered(df.select(*keys, F.col(item).alias("item"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)]), keys, [f"_o{i}" for i in range(len(order))])
 
     @F.arrow_udf(T.LongType())
     def slot(column: pa.Array) -> pa.Array:
