@@ -18,7 +18,7 @@ from corpusloom.llm.common import Scratch
 OPEN, CLOSE = "<|{role}|>\n", "<|end|>\n"
 
 
-def reply_tree(turns: DataFrame) -> DataFrame:
+def reply_tree(turns: DataFrame, ranges: int | None = None) -> DataFrame:
     """Messages (tree, node, parent, role, text, score) from (conv_id, turn, role, text).
 
     A node is (turn, alt): different (role, text) of one turn are alternatives,
@@ -30,18 +30,35 @@ def reply_tree(turns: DataFrame) -> DataFrame:
     Rows with a null conv_id or turn are left out.  A null role is a role of its
     own, named ``none``; a null text is an empty one.  An empty table has no
     messages; other columns are not read.
+
+    Turns are parted by ``ranges`` of (conv_id, turn), and a range is told what
+    stands before it, so that a conversation of any length is shared by tasks.
     """
+    spark = turns.sparkSession
+    scratch = Scratch(spark, "replies")
     m = turns.select("conv_id", "turn", F.coalesce("role", F.lit("none")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     m = m.where("conv_id IS NOT NULL AND turn IS NOT NULL").distinct()
-    m = m.withColumn("alt", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")) - 1)
-    # rows in order, the first alternative of a turn last
-    w = Window.partitionBy("conv_id").orderBy("turn", F.desc("alt"))
+    m = m.repartitionByRange(ranges or int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id", "turn")
+    m = scratch.save(m.withColumn("range", F.spark_partition_id()), "ranges")
+    m = m.withColumn("alt", F.row_number().over(Window.partitionBy("range", "conv_id", "turn").orderBy("role", "text")) - 1)
+    # rows in order, the first alternative of a turn last; an edge is to the row before, if it is of another role
+    w = Window.partitionBy("range", "conv_id").orderBy("turn", F.desc("alt"))
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     m = m.withColumn("_was", F.lag(F.struct("turn", "alt", "role")).over(w))
-    m = m.withColumn("_edge", F.when(F.col("_was.role") != F.col("role"), F.struct("_was.turn", "_was.alt")))
-    m = m.withColumn("_other", F.last("_edge", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    m = m.withColumn("_edge", F.last(F.when(F.col("_was.role") != F.col("role"), F.struct("_was.turn", "_was.alt")), ignorenulls=True).over(so_far))
+    end = m.groupBy("range", "conv_id").agg(
+        F.min_by("role", F.struct("turn", -F.col("alt"))).alias("_first"),
+        F.max_by(F.struct("turn", "alt", "role", "_edge"), F.struct("turn", -F.col("alt"))).alias("_end"),
+    )
+    by = Window.partitionBy("conv_id").orderBy("range")
+    end = end.withColumn("_before", F.lag("_end").over(by))
+    end = end.withColumn("_in", F.when(F.col("_before.role") != F.col("_first"), F.struct("_before.turn", "_before.alt")))
+    carried = F.last(F.coalesce("_end._edge", "_in"), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    end = end.select("range", "conv_id", F.struct("_before.turn", "_before.alt", "_before.role", carried.alias("_other")).alias("_before"), F.coalesce("_in", carried).alias("_carried"))
+    m = m.join(scratch.save(end, "ends"), ["range", "conv_id"]).withColumn("_other", F.coalesce("_edge", "_carried"))
     # the last row of an earlier turn: it or the last of another role before it is answered
-    last = F.lag(F.struct("turn", "alt", "role", "_other")).over(w)
-    m = m.withColumn("_lag", last).withColumn("_last", F.first("_lag").over(Window.partitionBy("conv_id", "turn").orderBy(F.desc("alt"))))
+    m = m.withColumn("_lag", F.coalesce(F.lag(F.struct("turn", "alt", "role", "_other")).over(w), F.when(F.col("_before.turn").isNotNull(), F.col("_before"))))
+    m = m.withColumn("_last", F.first("_lag").over(Window.partitionBy("range", "conv_id", "turn").orderBy(F.desc("alt"))))
     up = F.when(F.col("_last.role") != F.col("role"), F.struct("_last.turn", "_last.alt")).otherwise(F.col("_last._other"))
     score = F.when(F.col("role") == "assistant", F.length("text")).otherwise(0).cast("double")
     return m.select(F.col("conv_id").alias("tree"), F.struct("turn", "alt").alias("node"), up.alias("parent"), "role", "text", score.alias("score"))
@@ -110,14 +127,14 @@ def format_branches(messages: DataFrame, best: int | None = None) -> DataFrame:
     return chosen.join(texts, ["tree", "leaf"]).select("tree", "root", "leaf", "rank", "depth", "score", "text")
 
 
-def chat_trees(turns: DataFrame, best: int | None = None) -> DataFrame:
+def chat_trees(turns: DataFrame, best: int | None = None, ranges: int | None = None) -> DataFrame:
     """(conv_id, root, root_alt, leaf, leaf_alt, rank, depth, score, text) of a table of turns; see :func:`reply_tree`.
 
     ``root`` and ``leaf`` are turns, with the alternative that stands in the
     branch.  All branches are given unless ``best`` bounds those of each root.
     An empty table gives no rows.
     """
-    out = format_branches(reply_tree(turns), best)
+    out = format_branches(reply_tree(turns, ranges), best)
     return out.select(F.col("tree").alias("conv_id"), F.col("root.turn").alias("root"), F.col("root.alt").alias("root_alt"), F.col("leaf.turn").alias("leaf"), F.col("leaf.alt").alias("leaf_alt"), "rank", "depth", "score", "text")
 
 

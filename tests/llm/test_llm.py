@@ -293,6 +293,10 @@ def test_chat_trees_sql(spark, duck, empty):
     for x in ("root", "leaf", "path", "depth", "rank", "node", "tree", "parent", "alt", "score"):
         df = df.withColumn(x, F.lit("clash"))
     got = chat_trees.chat_trees(df).toPandas()
+    one = df.where("conv_id < 40").select(F.lit(1).cast("long").alias("conv_id"), (F.col("turn") + 20 * F.col("conv_id")).alias("turn"), "role", "text")  # a conversation over many ranges
+    tree = lambda n: {(r.tree, *r.node, r.parent and tuple(r.parent), r.role, r.text) for r in chat_trees.reply_tree(one, n).collect()}
+    assert tree(1) == tree(9) == tree(60) and len(tree(9)) > 200
+    assert rows(chat_trees.chat_trees(df, ranges=13).toPandas()) == rows(got)
     held = df.select("conv_id", "turn", "role", "text").toPandas()
     c = duckdb.connect()
     c.register("held", held)
