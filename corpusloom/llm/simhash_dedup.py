@@ -19,11 +19,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.functions.kernels import run_hashes
 from corpusloom.llm.common import Scratch, partitions_for, row_key, small
 from corpusloom.operators.cluster import connected_components
 
@@ -39,7 +39,6 @@ HOT_ROWS, PIVOTS = 64, 16
 #: Up to so many distinct sketches a group of four tables, which parts them by 7 bits at least, has buckets that a task
 #: can hold; beyond it tables go in twos, by about 16 bits, and twice the rows are sent.  The pairs found are the same.
 FOURS_ROWS, FOURS_BITS = 100_000_000, 7
-_KNOWN_WORDS = 1 << 18
 _SKETCH = ("s", "v1", "v2")
 
 WORD = re.compile(r"[^\W_]+")
@@ -91,29 +90,35 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def word_hashes(text: str, known: dict[str, int]) -> np.ndarray:
-    words = WORD.findall(text.lower())
-    try:
-        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-    except KeyError:
-        if len(known) > _KNOWN_WORDS:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Letters and digits as they are, a space for every other code point: what WORD matches."""
+    return np.fromiter((c if chr(c).isalnum() else 32 for c in range(0x110000)), dtype=np.uint32, count=0x110000)
+
+
+def word_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """XXH64 of each text's words."""
+    return run_hashes([t.lower() if t else "" for t in texts], _letters())
+
+
+def _votes(h: np.ndarray, weights: np.ndarray | None, most: int) -> np.ndarray:
+    """For each bit of rows of hashes the weights (up to ``most``) of those that have it, added in bytes, eight at a time."""
+    bits = np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
+    eight = bits.view(np.uint64)
+    if weights is not None:
+        eight = eight * weights[:, None]
+    sums = np.add.reduceat(eight, np.arange(0, len(h), 255 // most), axis=0)
+    return sums.view(np.uint8).reshape(-1, bits.shape[1]).sum(axis=0, dtype=np.int64)
 
 
 def sketch(h: np.ndarray) -> tuple[int, int, int]:
     """Searched SimHash and the two halves of the one over word pairs, of at least one word hash."""
     u, n = np.unique(h, return_counts=True)
-    bits = np.unpackbits(u.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    w = np.minimum(n, SATURATION).astype(np.float32)
-    s = np.packbits((w @ bits) * 2 > w.sum(), bitorder="little").view(np.int64)[0]
+    w = np.minimum(n, SATURATION).astype(np.uint64)
+    s = np.packbits(_votes(u, w, SATURATION) * 2 > int(w.sum()), bitorder="little").view(np.int64)[0]
     p = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + (h[1:] ^ (h[1:] >> np.uint64(29))) if len(h) > 1 else h
     p = np.stack([_mix(p), _mix(p ^ np.uint64(0xA0761D6478BD642F))], axis=1)
-    ones = np.unpackbits(p.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    v = np.packbits(ones * 2 > len(p), bitorder="little").view(np.int64)
+    v = np.packbits(_votes(p, None, 1) * 2 > len(p), bitorder="little").view(np.int64)
     return int(s), int(v[0]), int(v[1])
 
 
@@ -121,12 +126,8 @@ def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, key, s, v1, v2), key telling rows by doc_id and text; nulls in s for a text without words, which is near nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
         for b in batches:
-            rows = []
-            for t in b.column(2).to_pylist():
-                h = word_hashes(t, known) if t else ()
-                rows.append(sketch(h) if len(h) else (None, None, None))
+            rows = [sketch(h) if len(h) else (None, None, None) for h in word_hashes(b.column(2).to_pylist())]
             cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", "key", *_SKETCH])
 

@@ -21,21 +21,21 @@ the same edge wherever the passage stands.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.functions.kernels import run_hashes
 from corpusloom.llm.common import Scratch, partitions_for
 
 #: Least words of a repeated span; words of an anchor; k-mers of an anchor's window.
 SPAN, K, W = 50, 12, 19
 #: Rows that one task of a search for repeats is planned for, and that a task holds before it passes them on.
 TASK_ROWS, HELD_ROWS = 1_000_000, 1_000_000
-_KNOWN_WORDS = 1 << 18
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -68,18 +68,15 @@ class Roller:
         return _mix(raw ^ ((end - start).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)))
 
 
-def word_hashes(text: str, known: dict[str, int]) -> np.ndarray:
-    """Of the runs without white space, as they stand."""
-    words = text.split()
-    try:
-        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-    except KeyError:
-        if len(known) > _KNOWN_WORDS:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+@lru_cache(maxsize=1)
+def _solid() -> np.ndarray:
+    """Every code point as it is, but a space for all white space."""
+    return np.fromiter((32 if chr(c).isspace() else c for c in range(0x110000)), dtype=np.uint32, count=0x110000)
+
+
+def word_hashes(texts: list[str]) -> Iterator[np.ndarray]:
+    """Of each text the XXH64 of its runs without white space, as they stand."""
+    return run_hashes(texts, _solid())
 
 
 def edges_of(words: np.ndarray, span: int, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,7 +157,6 @@ def repeated_edges(keyed: DataFrame, parts: int, span: int, k: int, w: int) -> D
     """(doc, more, i, s, e, h): edges whose words occur at least twice."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
         held: list[tuple] = []
         size = 0
 
@@ -169,8 +165,7 @@ def repeated_edges(keyed: DataFrame, parts: int, span: int, k: int, w: int) -> D
             yield from _pass_on(c, ["h"], parts)
 
         for b in batches:
-            for doc, more, text in zip(*(b.column(j).to_pylist() for j in range(3)), strict=True):
-                words = word_hashes(text, known)
+            for doc, more, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), word_hashes(b.column(2).to_pylist()), strict=True):
                 if len(words) >= span:
                     s, e, h = edges_of(words, span, k, w)
                     held.append((np.full(len(s), doc, np.int64), np.full(len(s), more, np.int32), np.arange(len(s), dtype=np.int32), s.astype(np.int32), e.astype(np.int32), h))
@@ -249,7 +244,6 @@ def verified(keyed: DataFrame, ranges: DataFrame, parts: int, span: int) -> Data
     """(doc, more, s, e): candidates whose words occur at least twice."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
         held: list[tuple] = []
         size = 0
 
@@ -258,8 +252,7 @@ def verified(keyed: DataFrame, ranges: DataFrame, parts: int, span: int) -> Data
             yield from _pass_on(c, ["h1", "h2"], parts)
 
         for b in batches:
-            for doc, more, text, r in zip(*(b.column(j).to_pylist() for j in range(4)), strict=True):
-                words = word_hashes(text, known)
+            for doc, more, words, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), word_hashes(b.column(2).to_pylist()), b.column(3).to_pylist(), strict=True):
                 s, e = candidates_of(len(words), [(x["lo"], x["hi"], x["s"], x["e"]) for x in r], span)
                 h1, h2 = Roller(words)(s, e), Roller(words, 1)(s, e)
                 h1[len(s) - sum(x["s"] is not None for x in r) :] ^= np.uint64(0x8EBC6AF09C88C6E3)  # whole stretches are compared with their like
