@@ -2,6 +2,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,8 @@ from corpusloom.functions import columns as C
 from corpusloom.functions import kernels as K
 from corpusloom.functions import udfs as U
 from corpusloom.operators import cluster, lsh, sketches, streams, winnow
-from corpusloom.session import ship
+from corpusloom.plans import registry
+from corpusloom.session import BATCH_BYTES, bound_batches, ship
 from corpusloom.streaming.chunks import WordScanner, sketch_chunks
 from corpusloom.streaming.incremental import dedup_batches
 
@@ -44,6 +46,20 @@ def test_udfs_match_kernels(docs, texts):
         assert r.f & K.MASK == K.simhash(K.words(text, 3))
 
 
+def test_batches_to_workers_are_bounded(spark, sf):
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    registry.QUERIES["simhash_text"](spark, sf)
+    size = F.arrow_udf("long")(lambda c: pa.array([c.nbytes] * len(c), pa.int64()))
+    held = spark.range(3000).coalesce(1).select(size(F.repeat(F.lit("abcd efgh "), 500)).alias("n")).agg(F.max("n")).first()[0]
+    assert held <= BATCH_BYTES + 3 * 5000
+    spark.conf.set(key, "4k")
+    bound_batches(spark)
+    assert spark.conf.get(key) == "4k"
+    spark.conf.unset(key)
+
+
 def test_columns(spark):
     ship(spark)
     df = spark.createDataFrame([("one two three four", "one two three five"), ("", ""), ("a b c", "")], "a string, b string")
