@@ -457,3 +457,30 @@ def test_dedup_batches(spark, tmp_path):
     sink(spark.createDataFrame([(3, 3, a), (4, 4, a + " eleven")], "id int, seq int, text string"), 1)
     got = {(r.id, r.earlier) for r in spark.read.parquet(str(tmp_path / "ix/pairs")).collect()}
     assert (3, 1) in got and (4, 3) in got and all(x > y for x, y in got) and not any(2 in p for p in got)
+
+
+def test_best_overlaps(spark):
+    ship(spark)
+    rng = random.Random(8)
+    sets = {i: sorted(rng.sample(range(60), rng.randrange(0, 25))) for i in range(120)} | {200: list(range(60)), 201: list(range(60))}
+    index = spark.createDataFrame(list(sets.items()), "id long, hashes array<bigint>").repartition(5)
+    want = {}
+    for q in [*range(0, 120, 5), 200]:
+        shared = {i: len({*sets[q]} & {*s}) for i, s in sets.items() if i != q}
+        i = min(shared, key=lambda i: (-shared[i], i))
+        if shared[i]:
+            want[q] = (i, shared[i])
+    for block in (1 << 20, 100):
+        got = winnow.best_overlaps(index, index.where("id % 5 = 0 AND id <> 201"), block).collect()
+        assert {r.query: (r.id, r.shared) for r in got} == want
+    assert winnow.best_overlaps(index, index.where("false")).count() == 0
+
+
+def test_overlaps_of_periodic_texts(spark):
+    """Texts that repeat one line share as many matches as the product of their lengths; rows of matches took gigabytes."""
+    ship(spark)
+    a, b = "some line of text again. " * 4000, "more. " + "some line of text again. " * 4000
+    spans = {(r.pos_a, r.pos_b, r.len) for r in winnow.overlaps(spark.createDataFrame([(1, a, b)], "pair int, a string, b string"), 8, 6).collect()}
+    assert any(n > 99_000 for _, _, n in spans) and len(spans) > 7000
+    for x, y in (("xyzzy " * 40 + "end of it all", "so " + "xyzzy " * 30 + "end of it"), ("abc" * 50, "abcab" * 40), ("", "some words here"), ("one and only one text", "nothing like that 1234")):
+        assert {tuple(r) for r in K.overlap_spans(x, y, 6, 4).tolist()} == {(p, q, n) for q, p, n in brute_matches(y, x, 6, 4)}
