@@ -484,3 +484,23 @@ def test_overlaps_of_periodic_texts(spark):
     assert any(n > 99_000 for _, _, n in spans) and len(spans) > 7000
     for x, y in (("xyzzy " * 40 + "end of it all", "so " + "xyzzy " * 30 + "end of it"), ("abc" * 50, "abcab" * 40), ("", "some words here"), ("one and only one text", "nothing like that 1234")):
         assert {tuple(r) for r in K.overlap_spans(x, y, 6, 4).tolist()} == {(p, q, n) for q, p, n in brute_matches(y, x, 6, 4)}
+
+
+def test_forest_with_a_prefix_that_all_share(spark):
+    """20,000 queries and entries under one prefix: 400 million pairs, if all were compared."""
+    rng = random.Random(9)
+    keys = {i: [7, rng.randrange(-2, 2), rng.randrange(-40, 40)] for i in range(20_000)} | {20_000 + i: [7, 1, 50 + i] for i in range(3)}
+    sigs = spark.createDataFrame([(i, i, k) for i, k in keys.items()], "id long, seq long, sig array<bigint>")
+    again = spark.createDataFrame([(5, 30_000 + j, [7, 0, -60 + j]) for j in range(9)], "id long, seq long, sig array<bigint>")
+    got = {}
+    for r in lsh.forest_query(lsh.forest_table(sigs.unionByName(again), 1, 3), sigs, 1, 3, 4).where("query % 4001 = 0 OR query >= 20000").collect():
+        got.setdefault(r.query, []).append((r.rank, r.id, r.depth))
+    held = [(k, i, i) for i, k in keys.items()] + [([7, 0, -60 + j], 30_000 + j, 5) for j in range(9)]
+    for q in [*range(0, 20_000, 4001), 20_000, 20_001, 20_002]:
+        best = {}
+        for k, seq, i in held:
+            d = next((n for n in range(3) if k[n] != keys[q][n]), 3)
+            at = (-d, [x & K.MASK for x in k], seq, i)
+            best[i] = min(best.get(i, at), at)
+        want = sorted(best.values())[:4]
+        assert sorted(got[q]) == [(n + 1, x[3], -x[0]) for n, x in enumerate(want)]
