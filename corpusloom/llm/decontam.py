@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,7 @@ from pyspark.sql import types as T
 
 from corpusloom.llm.common import Scratch, row_key, small
 from corpusloom.llm.simhash_dedup import WORD
+from corpusloom.session import bound_batches
 
 #: Tokens that must follow one another in a phrase match; a shorter item must occur whole.
 PHRASE = 13
@@ -63,8 +65,7 @@ def index_schema(docs: DataFrame) -> T.StructType:
 
 class _Segment:
     def __init__(self):
-        self.vocabulary: dict[str, int] = defaultdict()
-        self.vocabulary.default_factory = self.vocabulary.__len__
+        self.vocabulary: dict[str, int] = defaultdict(count().__next__)  # refers to no part of itself, so that a segment goes as soon as it is written
         self.ids: list[np.ndarray] = []
         self.docs: list = []
         self.starts: list[int] = []
@@ -317,6 +318,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE) -> DataFrame
     than doc_id, item_id and text are not read.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     scratch, schema = Scratch(spark, "decontam"), match_schema(docs, benchmark)
     held = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-held // PASS_BYTES))

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.session import bound_batches
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
@@ -220,6 +222,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> ByteCNN | None:
     more than ``train_rows``; languages are taken to be thousands at most.  Neither unlabelled rows nor the size of the table
     matter, and every language with a labelled row is a class.
     """
+    bound_batches(docs.sparkSession)
     h = F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit("train"))
     rows = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select(F.col("lang").cast("string").alias("lang"), h.alias("h"), "text")
     most = max(train_rows, LANG_ROWS)

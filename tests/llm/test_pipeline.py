@@ -1,8 +1,13 @@
+import gc
+
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusloom.llm import decontam, exact_dedup, langid, mixing, simhash_dedup
 from corpusloom.llm.common import table
+from corpusloom.session import BATCH_BYTES
 
 
 def ids(df):
@@ -78,3 +83,27 @@ def test_stages_on_odd_rows(spark, sf):
             got = out.collect()
             assert len({(r.doc_id, r.source, r.tokens) for r in got}) >= 10 and sum(r.epoch == 0 for r in got) == len(made)
         assert stage(spark, df.where("false"), sf).count() == 0
+
+
+@pytest.mark.parametrize("name", ["language_id", "exact_dedup", "near_dedup", "decontamination"])
+def test_stages_bound_batches_to_workers(spark, sf, name):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    dict(corpus_pipeline.STAGES)[name](spark, table(spark, sf, "documents").limit(20), sf)
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    held = spark.range(3000).coalesce(1).select(F.repeat(F.lit("abcd efgh "), 500)).mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+    spark.conf.unset(key)
+    assert held <= BATCH_BYTES + 3 * 5000
+
+
+def test_a_segment_goes_without_the_collector():
+    gc.collect()
+    gc.disable()
+    try:
+        held = decontam._Segment()
+        held.add(1, ["a", "b", "a"])
+        assert len(held.rows("0")["seg"]) == 3
+        del held
+        assert gc.collect() == 0
+    finally:
+        gc.enable()
