@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.common import Scratch, partitions_for
-from corpusloom.llm.simhash_dedup import WORD
+from corpusloom.llm.simhash_dedup import _letters
 
 #: Classes at least; they grow with the words as words ** GROWTH.
 CLASSES, GROWTH = 32, 0.27
@@ -51,6 +51,17 @@ _BLOCK = 8192
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
+_ASCII = bytes(c if c < 128 and chr(c).isalnum() else 32 for c in range(256))
+
+
+def _words(text: str) -> list[str]:
+    """What WORD finds in the lower-cased text."""
+    if text.isascii():
+        return text.lower().encode().translate(_ASCII).decode().split()
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    return _letters()[codes].tobytes().decode("utf-32-le", "surrogatepass").split()
+
+
 def chunks(docs: DataFrame, tokens: int = CHUNK) -> DataFrame:
     """(chunk, docs, ends, ids, words, counts): texts as numbers of words of the chunk's dictionary; document i ends before ``ends[i]``.
 
@@ -76,7 +87,7 @@ def chunks(docs: DataFrame, tokens: int = CHUNK) -> DataFrame:
             arrow = b.schema.field(0).type
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if text:
-                    found = WORD.findall(text.lower())
+                    found = _words(text)
                     held.append(np.fromiter(map(number.__getitem__, found), dtype=np.int32, count=len(found)))
                     size += len(found)
                 names.append(doc)
@@ -122,21 +133,23 @@ def likelihood(m: np.ndarray) -> float:
     return float(_phi(m).sum() - _phi(m.sum(axis=1)).sum() - _phi(m.sum(axis=0)).sum())
 
 
-def _gain(m: np.ndarray, a: int, right: np.ndarray, left: np.ndarray, own: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of moving a word of class ``a`` to each class, up to a constant, and ``m`` without the word; ``own`` counts the word beside itself."""
-    k = len(m)
+def _gain(m: np.ndarray, a: int, right: np.ndarray, left: np.ndarray, own: float, phi: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of moving a word of class ``a`` to each class, up to a constant, and ``m`` without the word; ``own`` counts the word beside itself, ``phi`` is that of ``m``."""
     base = m.copy()
     base[a] -= right
     base[:, a] -= left
     base[a, a] -= own
     rows, cols = base.sum(axis=1), base.sum(axis=0)
+    held = _phi(m) if phi is None else phi.copy()
+    held[a], held[:, a] = _phi(base[a]), _phi(base[:, a])
     # row b gains right, column b gains left, cell (b, b) gains both and own
-    gain = (_phi(base + right[None, :]) - _phi(base)).sum(axis=1) + (_phi(base + left[:, None]) - _phi(base)).sum(axis=0)
+    gain = (_phi(base + right[None, :]) - held).sum(axis=1) + (_phi(base + left[:, None]) - held).sum(axis=0)
     d = np.diag(base)
     gain += _phi(d + right + left + own) - _phi(d + right) - _phi(d + left) + _phi(d)
     gain -= _phi(rows + right.sum() + own) + _phi(cols + left.sum() + own) - _phi(rows) - _phi(cols)
-    gain -= (_phi(rows[None, :] + np.where(np.eye(k, dtype=bool), 0.0, left[None, :])) - _phi(rows[None, :])).sum(axis=1)
-    gain -= (_phi(cols[None, :] + np.where(np.eye(k, dtype=bool), 0.0, right[None, :])) - _phi(cols[None, :])).sum(axis=1)
+    # every other row gains left, every other column right
+    for grown in (_phi(rows + left) - _phi(rows), _phi(cols + right) - _phi(cols)):
+        gain -= grown.sum() - grown
     gain += _phi(rows + right.sum() + own) - _phi(rows + right.sum() + own + left)
     gain += _phi(cols + left.sum() + own) - _phi(cols + left.sum() + own + right)
     return gain, base
@@ -179,7 +192,7 @@ def _packed(name: str, *kinds: str) -> T.StructType:
 
 def _cut(part: np.ndarray, cols: dict[str, np.ndarray], name: str) -> pa.RecordBatch:
     """A row for each value of ``part``, with its entries of the columns packed."""
-    order = np.argsort(part, kind="stable")
+    order = np.argsort(part.astype(np.uint16) if part.max(initial=0) < 1 << 16 else part, kind="stable")  # two bytes are sorted by digits
     part = part[order]
     start = np.flatnonzero(np.diff(part, prepend=-1))
     ends = np.append(start, len(part))
@@ -191,10 +204,18 @@ def _cut(part: np.ndarray, cols: dict[str, np.ndarray], name: str) -> pa.RecordB
 
 
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(n[order], first) if len(first) else n[:0]
+    if not len(keys):
+        return keys, n
+    bits, kind = int(n.max()).bit_length(), keys.dtype
+    if int(keys.max()).bit_length() + bits < 64:  # both in one number, which is sorted in place
+        both = keys.astype(np.int64) << bits | n
+        both.sort()
+        keys, n = (both >> bits).astype(kind), both & ((1 << bits) - 1)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n, first)
 
 
 def _inside(ends: bytes, size: int) -> np.ndarray:
@@ -206,18 +227,18 @@ def _inside(ends: bytes, size: int) -> np.ndarray:
 
 
 def neighbours(coded: DataFrame, words: list[str], tokens: int) -> DataFrame:
-    """(part, word, side, other, n): blocks of the bigrams among ``words``, all of a word's in one block, sorted by word.
+    """Blocks of the bigrams among ``words``, all of a word's in one block: its number, and of each side how many others it has, which, and counts.
 
-    ``other`` follows the word on side 0 and precedes it on side 1.  Counts are
-    added up by pair first, so that no task gets what all others found of a
-    frequent word, and then gathered by word.
+    Others follow the word on side 0 and precede it on side 1; a pass that needs
+    one side reads no other.  Counts are added up by pair first, so that no task
+    gets what all others found of a frequent word, and then gathered by word.
     """
     spark = coded.sparkSession
-    shared = spark.sparkContext.broadcast(words)
+    shared = spark.sparkContext.broadcast(pa.array(words, pa.string()))
     many = partitions_for(spark, tokens, 4_000_000)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = {w: i for i, w in enumerate(shared.value)}
+        head = shared.value
         keys, sums, held, size = np.zeros(0, np.uint32), np.zeros(0, np.int64), [], 0
 
         def fold():
@@ -226,7 +247,7 @@ def neighbours(coded: DataFrame, words: list[str], tokens: int) -> DataFrame:
 
         for b in batches:
             for ends, ids, own in zip(*(b.column(i) for i in range(3)), strict=True):
-                seq = _head_ids(rank, own)[np.frombuffer(ids.as_py(), np.int32)]
+                seq = _head_ids(head, own)[np.frombuffer(ids.as_py(), np.int32)]
                 x, y = seq[:-1], seq[1:]
                 good = (x >= 0) & (y >= 0) & _inside(ends.as_py(), len(seq))
                 u, c = np.unique(x[good].astype(np.uint32) << np.uint32(16) | y[good].astype(np.uint32), return_counts=True)
@@ -258,16 +279,22 @@ def neighbours(coded: DataFrame, words: list[str], tokens: int) -> DataFrame:
         w, side, o, n = w[order], side[order], o[order], n[order]
         start = np.flatnonzero(np.diff(w.astype(np.int64), prepend=-1))[::1024].tolist()
         for i, j in zip(start, [*start[1:], len(w)], strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([0]), *(pa.array([c[i:j].tobytes()], pa.binary()) for c in (w, side, o, n))], ["part", "word", "side", "other", "n"])
+            first = np.flatnonzero(np.diff(w[i:j].astype(np.int64), prepend=-1))
+            row = [w[i:j][first]]
+            for s in (0, 1):
+                on = side[i:j] == s
+                times = n[i:j][on]
+                row += [np.add.reduceat(on, first, dtype=np.int32), o[i:j][on], times.astype(np.uint32) if times.max(initial=0) < 1 << 32 else times]
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in row], list(_BLOCKS))
 
     found = coded.select("ends", "ids", "words").mapInArrow(pieces, _packed("part", "pair", "n"))
     sides = found.repartitionById(many, F.col("part").cast("int")).select("pair", "n").mapInArrow(both, _packed("part", "word", "side", "other", "n"))
-    return sides.repartitionById(many, F.col("part").cast("int")).select("word", "side", "other", "n").mapInArrow(blocks, _packed("part", "word", "side", "other", "n"))
+    return sides.repartitionById(many, F.col("part").cast("int")).select("word", "side", "other", "n").mapInArrow(blocks, T.StructType([T.StructField(c, T.BinaryType()) for c in _BLOCKS]))
 
 
-def _head_ids(rank: dict[str, int], words: pa.ListScalar) -> np.ndarray:
-    get = rank.get
-    return np.fromiter((get(w, -1) for w in words.values.to_pylist()), dtype=np.int32, count=len(words.values))
+def _head_ids(head: pa.Array, words: pa.ListScalar) -> np.ndarray:
+    """The number of each word in the head, -1 if it is not there."""
+    return pc.index_in(words.values, value_set=head.cast(words.values.type)).fill_null(-1).to_numpy(zero_copy_only=False)
 
 
 def _flat(batches: Iterator[pa.RecordBatch], kinds: dict[str, type]) -> list[np.ndarray]:
@@ -278,9 +305,16 @@ def _flat(batches: Iterator[pa.RecordBatch], kinds: dict[str, type]) -> list[np.
     return [np.frombuffer(b"".join(got[k]), dtype=d) for k, d in kinds.items()]
 
 
+_BLOCKS = ("word", "many0", "other0", "n0", "many1", "other1", "n1")
+
+
 def _entries(b: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
-    for row in zip(*(b.column(c).to_pylist() for c in ("word", "side", "other", "n")), strict=True):
-        yield [np.frombuffer(x, dtype=d) for x, d in zip(row, (np.uint16, np.uint8, np.uint16, np.int64), strict=True)]
+    """Of every block the words and, for each side that was read, how many others each has, these and their counts."""
+    for word, *sides in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        row = [np.frombuffer(word, np.uint16)]
+        for many, other, n in zip(sides[::3], sides[1::3], sides[2::3], strict=True):
+            row += [np.frombuffer(many, np.int32), np.frombuffer(other, np.uint16), np.frombuffer(n, np.uint32 if len(n) == 2 * len(other) else np.int64)]
+        yield row
 
 
 def class_bigrams(blocks: DataFrame, named: np.ndarray, k: int) -> np.ndarray:
@@ -288,16 +322,15 @@ def class_bigrams(blocks: DataFrame, named: np.ndarray, k: int) -> np.ndarray:
     shared = blocks.sparkSession.sparkContext.broadcast(named)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, of = np.zeros(k * k), shared.value
+        m, of = np.zeros((k + 1) ** 2), shared.value.astype(np.int64)
         for b in batches:
-            for w, side, o, n in _entries(b):
-                x, y = of[w].astype(np.int64), of[o]
-                use = (side == 0) & (x < k) & (y < k)
-                m += np.bincount(x[use] * k + y[use], weights=n[use], minlength=k * k)
+            for w, many, o, n in _entries(b):
+                m += np.bincount(np.repeat(of[w] * (k + 1), many) + of[o], weights=n, minlength=len(m))
+        m = m.reshape(k + 1, k + 1)[:k, :k].ravel()
         cell = np.flatnonzero(m)
         yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(m[cell].astype(np.int64), pa.int64())], ["cell", "n"])
 
-    out = _square(blocks.mapInArrow(run, "cell bigint, n bigint"), k * k).reshape(k, k)
+    out = _square(blocks.select(*_BLOCKS[:4]).mapInArrow(run, "cell bigint, n bigint"), k * k).reshape(k, k)
     shared.unpersist()
     return out
 
@@ -317,8 +350,9 @@ def _moves(m: np.ndarray, seen: np.ndarray, own: np.ndarray, now: np.ndarray, fr
     score = seen[:, 0] @ pmi.T + seen[:, 1] @ pmi
     best, total = score.argmax(axis=1), seen.sum(axis=(1, 2))
     free = free & (total > 0)
+    phi = _phi(m)
     for i in np.flatnonzero(free & (now < k) & (total >= EXACT)):
-        gain = _gain(m, now[i], seen[i, 0], seen[i, 1], own[i])[0]
+        gain = _gain(m, now[i], seen[i, 0], seen[i, 1], own[i], phi)[0]
         best[i] = int(np.argmax(gain))
         if gain[best[i]] <= gain[now[i]] + 1e-9 * abs(gain[now[i]]):
             best[i] = now[i]
@@ -336,14 +370,22 @@ def proposals(blocks: DataFrame, named: np.ndarray, m: np.ndarray, sweep: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, m = shared.value
         for b in batches:
-            for w, side, o, n in _entries(b):
-                u, place = np.unique(w, return_inverse=True)
-                c, self = of[o].astype(np.int64), o == w
-                use = (c < k) & ~self
-                seen = np.bincount((place[use] * 2 + side[use]) * k + c[use], weights=n[use], minlength=len(u) * 2 * k).reshape(len(u), 2, k)
-                own = np.bincount(place[self & (side == 0)], weights=n[self & (side == 0)], minlength=len(u))
-                now = of[u].astype(np.int64)
-                after = _moves(m, seen, own, now, (now == k) if sweep == 0 else (now == k) | ((u + sweep) % 2 == 0))
+            for words, *sides in _entries(b):
+                free = of[words] == k
+                if sweep:
+                    free |= (words + sweep) % 2 == 0
+                u = words[free]
+                if not len(u):
+                    continue
+                now, seen = of[u].astype(np.int64), np.zeros((len(u), 2, k + 1))
+                for s, many, o, n in zip((0, 1), sides[::3], sides[1::3], sides[2::3], strict=True):
+                    use = np.repeat(free, many)
+                    o, n, place = o[use], n[use], np.repeat(np.arange(len(u)), many[free])
+                    seen[:, s] = np.bincount(place * (k + 1) + of[o], weights=n, minlength=seen[:, s].size).reshape(len(u), k + 1)
+                    self = o == u[place]
+                    own = np.bincount(place[self], weights=n[self], minlength=len(u))  # on both sides the same
+                    seen[np.arange(len(u)), s, now] -= own
+                after = _moves(m, seen[:, :, :k], own, now, np.ones(len(u), dtype=bool))
                 yield pa.RecordBatch.from_arrays([pa.array([u[after != now].tobytes()], pa.binary()), pa.array([after[after != now].astype(np.int16).tobytes()], pa.binary())], ["word", "class"])
 
     out = named.copy()
@@ -376,16 +418,15 @@ def tail_words(coded: DataFrame, words: list[str], named: np.ndarray, k: int, pa
     ``at`` and ``owner`` number the block's words; a cell is a class that
     follows, or k and a class that precedes.
     """
-    shared = coded.sparkSession.sparkContext.broadcast((words, named))
+    shared = coded.sparkSession.sparkContext.broadcast((pa.array(words, pa.string()), named))
     spread = T.StructType([T.StructField("word", T.StringType()), T.StructField("chunk", T.LongType()), T.StructField("local", T.IntegerType()), T.StructField("times", T.LongType()), T.StructField("beside", T.BinaryType())])
     packed = ("count", "at", "cell", "n", "owner", "chunk", "local", "times")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, of = shared.value
-        rank = {w: i for i, w in enumerate(head)}
         for b in batches:
             for chunk, ends, ids, own, counts in zip(*(b.column(i) for i in range(5)), strict=True):
-                head_of, seq = _head_ids(rank, own), np.frombuffer(ids.as_py(), np.int32)
+                head_of, seq = _head_ids(head, own), np.frombuffer(ids.as_py(), np.int32)
                 rest = np.flatnonzero(head_of < 0)
                 if not len(rest):
                     continue
@@ -444,14 +485,14 @@ def tail_words(coded: DataFrame, words: list[str], named: np.ndarray, k: int, pa
 _TAIL_KINDS = {"count": np.int64, "at": np.int32, "cell": np.int32, "n": np.int64, "owner": np.int32, "chunk": np.int64, "local": np.int32, "times": np.int64}
 
 
-def _tail_classes(row: dict, ms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each word of a block after a sweep under each matrix, and its (words, 2, k) bigrams; the same wherever it is worked out."""
+def _tail_classes(row: dict, ms: list[np.ndarray]) -> np.ndarray:
+    """Class of each word of a block after a sweep under each matrix; the same wherever it is worked out."""
     k, u = len(ms[0]), len(row["count"])
     seen = np.bincount(row["at"].astype(np.int64) * 2 * k + row["cell"], weights=row["n"], minlength=u * 2 * k).reshape(u, 2, k)
     now = np.full(u, k)
     for m in ms:
         now = _moves(m, seen, np.zeros(u), now, np.ones(u, dtype=bool))
-    return now, seen
+    return now
 
 
 def _tail_rows(b: pa.RecordBatch, names: list[str]) -> Iterator[dict]:
@@ -466,14 +507,14 @@ def tail_totals(tail: DataFrame, ms: list[np.ndarray]) -> tuple[np.ndarray, np.n
     names = ["count", "at", "cell", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, types, mass = np.zeros((k + 1, 2, k)), np.zeros(k + 1), np.zeros(k + 1)
+        m, types, mass = np.zeros((k + 1) * 2 * k), np.zeros(k + 1), np.zeros(k + 1)
         for b in batches:
             for row in _tail_rows(b, names):
-                now, seen = _tail_classes(row, shared.value)
-                np.add.at(m, now, seen)
+                now = _tail_classes(row, shared.value)
+                m += np.bincount(now[row["at"]] * 2 * k + row["cell"], weights=row["n"], minlength=len(m))
                 types += np.bincount(now, minlength=k + 1)
                 mass += np.bincount(now, weights=row["count"], minlength=k + 1)
-        all_ = np.concatenate([m.ravel(), types, mass])
+        all_ = np.concatenate([m, types, mass])
         cell = np.flatnonzero(all_)
         yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(all_[cell].astype(np.int64), pa.int64())], ["cell", "n"])
 
@@ -491,7 +532,7 @@ def tail_table(tail: DataFrame, ms: list[np.ndarray]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in _tail_rows(b, ["words", "count", "at", "cell", "n"]):
-                yield pa.RecordBatch.from_arrays([row["words"], pa.array(row["count"]), pa.array(_tail_classes(row, shared.value)[0].astype(np.int32))], ["word", "n", "class"])
+                yield pa.RecordBatch.from_arrays([row["words"], pa.array(row["count"]), pa.array(_tail_classes(row, shared.value).astype(np.int32))], ["word", "n", "class"])
 
     return tail.mapInArrow(run, "word string, n bigint, class int")
 
@@ -509,7 +550,7 @@ def _returned(tail: DataFrame, ms: list[np.ndarray]) -> DataFrame:
 
         for b in batches:
             for row in _tail_rows(b, ["count", "at", "cell", "n", "owner", "chunk", "local"]):
-                now = _tail_classes(row, shared.value)[0]
+                now = _tail_classes(row, shared.value)
                 held.append((row["chunk"], row["local"], now[row["owner"]].astype(np.int16), row["count"][row["owner"]]))
                 size += len(row["owner"])
                 if size > 1_000_000:
@@ -538,17 +579,16 @@ class BrownModel:
 
 def _classed(coded: DataFrame, words: list[str], n: np.ndarray, named: np.ndarray, log_mass: np.ndarray, back: DataFrame | None) -> DataFrame:
     """(docs, ends, classes, emit): the class of every token, and the sum of log emissions of every text."""
-    shared = coded.sparkSession.sparkContext.broadcast((words, n, named, log_mass))
+    shared = coded.sparkSession.sparkContext.broadcast((pa.array(words, pa.string()), n, named, log_mass))
     kind = coded.schema["docs"]
     schema = T.StructType([T.StructField("chunk", T.LongType()), kind, T.StructField("ends", T.BinaryType()), T.StructField("classes", T.BinaryType()), T.StructField("rest", T.BinaryType()), T.StructField("emit", T.BinaryType())])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, n, of, log_mass = shared.value
-        rank = {w: i for i, w in enumerate(head)}
         emit = np.log(n + EMISSION) - log_mass[of]
         for b in batches:
             for chunk, docs, ends, ids, own in zip(*(b.column(i) for i in range(5)), strict=True):
-                head_of, seq = _head_ids(rank, own), np.frombuffer(ids.as_py(), np.int32)
+                head_of, seq = _head_ids(head, own), np.frombuffer(ids.as_py(), np.int32)
                 if len(head):
                     c, e = np.where(head_of >= 0, of[head_of], -1).astype(np.int16), np.where(head_of >= 0, emit[head_of], 0.0)
                 else:
@@ -664,11 +704,12 @@ def _core_counts(blocks: DataFrame, k0: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for w, side, o, n in _entries(b):
-                use = (side == 0) & (w < k0) & (o < k0)
+            for w, many, o, n in _entries(b):
+                w = np.repeat(w, many)
+                use = (w < k0) & (o < k0)
                 yield pa.RecordBatch.from_arrays([pa.array(w[use].astype(np.int64) * k0 + o[use], pa.int64()), pa.array(n[use], pa.int64())], ["cell", "n"])
 
-    return _square(blocks.mapInArrow(run, "cell bigint, n bigint"), k0 * k0).reshape(k0, k0)
+    return _square(blocks.select(*_BLOCKS[:4]).mapInArrow(run, "cell bigint, n bigint"), k0 * k0).reshape(k0, k0)
 
 
 def brown_lm(docs: DataFrame, classes: int | None = None, core: int = CORE, head: int = HEAD) -> DataFrame:

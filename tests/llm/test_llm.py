@@ -8,6 +8,7 @@ import time
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -446,6 +447,54 @@ def test_brown_moves_raise_the_likelihood():
             assert value[got[0]] == pytest.approx(max(value))
 
 
+def test_brown_words_are_those_of_the_pattern():
+    """Of every code point, alone, between letters and at the end of a word, in ASCII and other texts."""
+    for last in (0x80, 0x110000):
+        codes = [chr(c) for c in range(last) if not 0xD800 <= c < 0xE000]
+        for text in (" ".join(codes), "x".join(codes), " ".join(f"A{c}" for c in codes), "".join(codes)):
+            assert brown_lm._words(text) == simhash_dedup.WORD.findall(text.lower())
+    assert brown_lm._words("") == []
+
+
+def test_brown_sums_of_any_size():
+    """Keys and counts too large for one number are added up as others are."""
+    rng = np.random.default_rng(3)
+    for kind, most, count in ((np.uint32, 1 << 32, 9), (np.int64, 1 << 34, 1 << 29), (np.int64, 1 << 34, 1 << 40)):
+        keys = rng.choice(rng.integers(0, most, 50), 400).astype(kind)
+        n = rng.integers(1, count, 400)
+        want = collections.Counter()
+        for x, c in zip(keys.tolist(), n.tolist(), strict=True):
+            want[x] += c
+        got = brown_lm._summed(keys, n)
+        assert got[0].dtype == kind and got[0].tolist() == sorted(want) and got[1].tolist() == [want[x] for x in sorted(want)]
+
+
+def test_brown_work_of_a_pass(spark):
+    """The head's bigrams take some 6 bytes on each side, and come apart as they were counted; a move costs three logs of the matrix."""
+    texts = [prose(i, 120, 900) for i in range(40)]
+    split = [simhash_dedup.WORD.findall(t.lower()) for t in texts]
+    words = sorted({w for ws in split for w in ws})
+    pairs = collections.Counter(p for ws in split for p in zip(ws[:-1], ws[1:], strict=True))
+    blocks = brown_lm.neighbours(brown_lm.chunks(frame(spark, list(enumerate(texts))), 700), words, 3)
+    held = sum(len(x) for r in blocks.collect() for x in r if isinstance(x, (bytes, bytearray)))
+    assert 0 < held <= 12 * len(pairs) + 10 * len(words)
+    got = collections.Counter()
+    for b in blocks.toArrow().to_batches():
+        for w, *sides in brown_lm._entries(b):
+            for s in (0, 1):
+                many, other, n = sides[3 * s : 3 * s + 3]
+                for x, y, c in zip(np.repeat(w, many).tolist(), other.tolist(), n.tolist(), strict=True):
+                    got[(s, words[x], words[y])] = c
+    assert got == {(s, *p[:: 1 - 2 * s]): c for p, c in pairs.items() for s in (0, 1)}
+    large = pa.RecordBatch.from_arrays([pa.array([np.array(x, k).tobytes()]) for x, k in (([7], np.uint16), ([2], np.int32), ([3, 9], np.uint16), ([1 << 40, 5], np.int64))], list("wmon"))
+    assert [x.tolist() for x in next(brown_lm._entries(large))] == [[7], [2], [3, 9], [1 << 40, 5]]
+    logs, phi = [], brown_lm._phi
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(brown_lm, "_phi", lambda x: logs.append(x.size) or phi(x))
+        brown_lm._gain(np.full((50, 50), 9.0), 3, np.ones(50), np.ones(50), 1.0)
+    assert sum(logs) <= 3.5 * 50 * 50
+
+
 def test_brown_head(spark):
     """Ties at the end of the head are taken by hash, and no more words are sent than fit it."""
     df = spark.createDataFrame([(f"w{i}", 5 if i < 3 else 2 if i < 400 else 1) for i in range(500)], "word string, n long")
